@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that their tasks can import it."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        to = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="spark-")), os.path.basename(top))
+        spark.sparkContext.addPyFile(shutil.make_archive(to, "zip", os.path.dirname(top), os.path.basename(top)))
+        _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
