@@ -199,9 +199,8 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, gram: int = 4) -> DataFrame:
-    """One row per input row: id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by one space; null where none went)."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, gram: int = 4) -> DataFrame:
+    """One row per text with repeats: d (its id, NULL_ID for null), h (xxhash64 of the text), whole (sha256 of its words), gone (words removed), sha, kept (the words that stay, joined by one space)."""
     named = docs.selectExpr(f"cast(`{id_col}` AS long) AS d", f"`{text_col}` AS t")
 
     def anchors(batches):
@@ -214,11 +213,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             keep[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])
             yield pa.RecordBatch.from_arrays([_long(a[keep]), pa.array(ids[doc[keep]], pa.int64())], names=["a", "d"])
 
-    def plain(batches):
-        for b in batches:
-            words = [[] if x is None else x.encode().split() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([_sha(w) for w in words], pa.string())], names=["d", "n_words", "whole"])
-
     def found(batch):
         """Segments of a batch of candidates whose minimizer is shared."""
         w = Words(batch.column(1))
@@ -268,15 +262,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def strip(batches):
         for b in batches:
             out = []
-            for d, x, hits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for d, h, x, hits in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
                 words = x.encode().split()
                 begin = hits.values.to_numpy()
                 edge = np.bincount(begin, minlength=len(words) + 1) - np.bincount(begin + window, minlength=len(words) + 1)[: len(words) + 1]
                 gone = np.cumsum(edge)[: len(words)] > 0
                 kept = [w for w, g in zip(words, gone.tolist()) if not g]
-                out.append((d, _sha(words), int(gone.sum()), _sha(kept), b" ".join(kept).decode()))
-            c = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string()), pa.array(c[4], pa.string())], names=["d", "whole", "gone", "sha", "kept"])
+                out.append((d, h, _sha(words), int(gone.sum()), _sha(kept), b" ".join(kept).decode()))
+            c = list(zip(*out)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.string()), pa.array(c[5], pa.string())], names=["d", "h", "whole", "gone", "sha", "kept"])
 
     import pyarrow.compute  # noqa: F401
 
@@ -287,12 +281,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = (candidates.mapInArrow(places, "k1 long, k2 long, d long, h long, at long").join(least, ["k1", "k2"])
             .selectExpr("d", "h", "filter(transform(least, (x, i) -> if(x < d, at + i, null)), x -> x IS NOT NULL) AS begin").filter("size(begin) > 0")
             .groupBy("d", "h").agg(F.flatten(F.collect_list("begin")).alias("begin")))
-    stripped = candidates.select("d", "h", "t").join(hits, ["d", "h"]).select("d", "t", "begin").mapInArrow(strip, "d long, whole string, gone long, sha string, kept string").dropDuplicates(["d", "whole"])
-    whole = named.withColumn("d", F.coalesce("d", F.lit(NULL_ID))).mapInArrow(plain, "d long, n_words long, whole string")
-    return whole.join(stripped, ["d", "whole"], "left").select(
+    return (candidates.select("d", "h", "t").join(hits, ["d", "h"]).select("d", "h", "t", "begin")
+            .mapInArrow(strip, "d long, h long, whole string, gone long, sha string, kept string").dropDuplicates(["d", "h"]))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, gram: int = 4) -> DataFrame:
+    """One row per input row: id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by one space; null where none went)."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def plain(batches):
+        for b in batches:
+            words = [[] if x is None else x.encode().split() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([_sha(w) for w in words], pa.string())], names=["d", "n_words", "whole"])
+
+    stripped = repeats(docs, id_col, text_col, window=window, gram=gram).drop("h")
+    named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("d"), F.col(text_col).alias("t"))
+    return named.mapInArrow(plain, "d long, n_words long, whole string").join(stripped, ["d", "whole"], "left").select(
         F.when(F.col("d") != NULL_ID, F.col("d")).cast(kind).alias(id_col), "n_words", F.coalesce("gone", F.lit(0)).alias("n_removed"),
         F.coalesce("sha", "whole").alias("kept_sha256"), "kept")
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with repeated words taken out of their texts; texts of which no word stays go, others are left as they are."""
+    cut = repeats(docs, id_col, text_col, **options).select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("kept").alias("__kept"))
+    keys = (F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("__d")) & (F.xxhash64(text_col) == F.col("__h"))
+    joined = docs.join(cut, keys, "left").where("__kept IS NULL OR __kept <> ''")
+    return joined.withColumn(text_col, F.coalesce("__kept", text_col)).select(docs.columns)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
