@@ -17,20 +17,20 @@ QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_packing, op3_byte_bpe, op4_ngram_jaccard_join, op5_token_id_output,
     op6_secret_scan, op7_token_counts, op8_toxicity, op9_embedding_dedup, op10_quality_rules)}
 
-_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 _OP1 = f"""
 WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
 f AS (SELECT k, min(doc_id) AS first FROM g GROUP BY k HAVING count(*) > 1),
-p AS (SELECT DISTINCT doc_id, i + o AS at FROM (SELECT g.doc_id, g.i, unnest(range(0, 13)) AS o FROM g JOIN f USING (k) WHERE f.first < g.doc_id)),
-r AS (SELECT doc_id, list(at) AS at FROM p GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(at), 0) AS BIGINT) AS n_removed,
-  sha256(coalesce(array_to_string(CASE WHEN at IS NULL THEN w ELSE list_filter(w, (x, i) -> NOT list_contains(at, i)) END, ' '), '')) AS kept_sha256
+p AS (SELECT DISTINCT doc_id, i + o AS pos FROM (SELECT g.doc_id, g.i, unnest(range(0, 13)) AS o FROM g JOIN f USING (k) WHERE f.first < g.doc_id)),
+r AS (SELECT doc_id, list(pos) AS gone FROM p GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
 FROM d LEFT JOIN r USING (doc_id)"""
 
 _OP4 = r"""
-WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(list_slice(w, i, i + 4), ' ') END AS g
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
@@ -44,7 +44,7 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.v = d.doc_id"""
 
 _OP9 = """
 WITH RECURSIVE u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
-  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
 t AS (SELECT DISTINCT x AS v, x AS r FROM l UNION SELECT t.v, l.y FROM t JOIN l ON l.x = t.r),
 m AS (SELECT v, min(r) AS r FROM t GROUP BY v),
@@ -60,7 +60,7 @@ def _op10() -> str:
         value = f"CAST({top} AS DOUBLE) / nullif({under}, 0)" if under else f"CAST({top} AS DOUBLE)"
         rules += [f"coalesce({value} >= CAST({least} AS DOUBLE), true)"] * (least is not None) + [f"coalesce({value} <= CAST({most} AS DOUBLE), true)"] * (most is not None)
     bare = "translate(t, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
-    lines = "list_filter(string_split(t, chr(10)), x -> length(translate(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) > 0)"
+    lines = "list_filter(string_split(t, chr(10)), lambda x: length(translate(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) > 0)"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 2), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
@@ -68,7 +68,7 @@ r AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM (SELECT doc_id, i, unnest(r
 m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length({bare}) AS BIGINT) AS word_chars,
   CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len({lines}) AS BIGINT) AS n_lines,
   CAST(len({lines}) - len(list_distinct({lines})) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
-  CAST(len(list_filter(w, x -> lower(x) IN ({stop}))) AS BIGINT) AS n_stop_words,
+  CAST(len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS BIGINT) AS n_stop_words,
   CAST(length({bare}) - length(translate({bare}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS BIGINT) AS n_upper
   FROM d LEFT JOIN r ON r.doc_id = d.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
