@@ -38,8 +38,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Written as Parquet in the shared folder and read again: cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Written as Parquet in the shared folder and read again: cuts lineage and outlives lost executors.
+
+    The write's shuffle files are let go as soon as it ends; nothing reads them again.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path, key = shared_dir(spark, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(schema).parquet(path)

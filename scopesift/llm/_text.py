@@ -78,6 +78,13 @@ def runs(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
+def few(batches, rows: int = 1_000):
+    """Batches in slices of at most so many rows, which bounds the arrays made of one."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 _MEMO: dict = {}
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import saved, table
-from ._text import Words, mix, runs
+from ._text import Words, few, mix, runs
 from .components import components
 
 NULL_ID = -(2**63)
@@ -162,7 +162,7 @@ def _candidates(named: DataFrame, n: int, similar, seed: int, big: int, shards:
     divided = "p" in named.columns
 
     def send(batches):
-        for b in batches:
+        for b in few(batches, 2_000):
             ids = b.column(0).to_numpy()
             doc, h = shingle_sets(b.column(1), n)
             keys = np.zeros(len(ids), np.uint64)
@@ -227,7 +227,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("d"), F.col(text_col).alias("t"))
 
     def describe(batches):
-        for b in batches:
+        for b in few(batches):
             ids = b.column(0)
             doc, h = shingle_sets(b.column(1), n)
             key = np.zeros(len(ids), np.uint64)
@@ -236,7 +236,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([ids, _arr(np.bincount(doc, minlength=len(ids))), _arr(key), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * (SKETCH_BITS // 64), pa.int32()), _arr(sk.view("<u8").ravel().copy()))], names=["d", "s", "key", "sketch"])
 
     def sets(batches):
-        for b in batches:
+        for b in few(batches):
             doc, h = shingle_sets(b.column(1), n)
             yield pa.RecordBatch.from_arrays([b.column(0), _blob(h.astype("<u8"), np.cumsum(np.bincount(doc, minlength=b.num_rows)))], names=["d", "set"])
 

@@ -18,7 +18,7 @@ is the window's matching statistic; windows that reach ``window`` report the
 smallest document of their suffix interval. Back at the documents, words that
 are covered by a window with a smaller document are removed.
 
-Words and segments are told by 64- and 128-bit hashes. Null and empty texts
+Words are told by 48-bit hashes inside a shard, segments by 128-bit hashes. Null and empty texts
 have no words and lose none; equal texts under one id do not repeat each
 other, only smaller ids count; a null id counts as the smallest, and null ids
 as one document; rows of one id with different texts are kept apart; other columns
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import saved, table
-from ._text import Words, mix, runs
+from ._text import Words, few, mix, runs
 
 NULL_ID = -(2**63)
 
@@ -160,6 +160,11 @@ def _short(minimizer: np.ndarray) -> np.ndarray:
     return minimizer & np.uint64((1 << 48) - 1)
 
 
+def _six(hashes: np.ndarray) -> bytes:
+    """48 bits of each word's hash: words need only be told apart inside one shard."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
 def search_shard(k1: np.ndarray, k2: np.ndarray, ids: np.ndarray, words: list[bytes], window: int):
     """Per distinct segment of a shard: its key and, per window, the smallest document that holds it.
 
@@ -170,10 +175,12 @@ def search_shard(k1: np.ndarray, k2: np.ndarray, ids: np.ndarray, words: list[by
     begin = np.flatnonzero(np.append(True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
     most = ids[np.append(begin[1:], len(ids)) - 1]
     k1, k2, ids, words = k1[begin], k2[begin], ids[begin], [words[i] for i in order[begin]]
-    size = np.fromiter(map(len, words), np.int64, len(words)) // 8
+    size = np.fromiter(map(len, words), np.int64, len(words)) // 6
     stop = np.cumsum(size + 1)
     start = stop - size - 1
-    flat = np.frombuffer(b"".join(words), "<u8")
+    flat = np.zeros((int(size.sum()), 8), np.uint8)
+    flat[:, :6] = np.frombuffer(b"".join(words), np.uint8).reshape(-1, 6)
+    flat = flat.view("<u8").ravel()
     seq = np.zeros(int(stop[-1]), np.int64)
     owner = np.repeat(np.arange(len(size)), size)
     seq[np.arange(len(flat)) + owner] = np.unique(flat, return_inverse=True)[1] + 1
@@ -199,12 +206,12 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, gram: int = 4) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, gram: int = 6) -> DataFrame:
     """One row per text with repeats: d (its id, NULL_ID for null), h (xxhash64 of the text), whole (sha256 of its words), gone (words removed), sha, kept (the words that stay, joined by one space)."""
     named = docs.selectExpr(f"cast(`{id_col}` AS long) AS d", f"`{text_col}` AS t")
 
     def anchors(batches):
-        for b in batches:
+        for b in few(batches):
             ids, (doc, _, _, a, _, _) = _ids(b.column(0)), segments(Words(b.column(1)), window, gram)
             a = _short(a)
             order = np.lexsort((doc, a))
@@ -225,7 +232,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         return w, doc[on], at[on], n[on], a[on], k1[on], k2[on]
 
     def pieces(batches):
-        for b in batches:
+        for b in few(batches):
             w, doc, at, n, a, k1, k2 = found(b)
             ids = _ids(b.column(0))[doc]
             order = np.lexsort((ids, k2, k1))  # one row per distinct segment and end of its range of documents
@@ -239,12 +246,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
             for lo in range(0, len(r), 50_000):
                 hi = min(lo + 50_000, len(r))
                 x, y = int(stop[lo] - size[lo]), int(stop[hi - 1])
-                offs = pa.array(np.append(0, stop[lo:hi] - x) * 8, pa.int32())
-                blob = pa.Array.from_buffers(pa.binary(), hi - lo, [None, offs.buffers()[1], pa.py_buffer(w.hashes[rows[x:y]].tobytes())])
+                offs = pa.array(np.append(0, stop[lo:hi] - x) * 6, pa.int32())
+                blob = pa.Array.from_buffers(pa.binary(), hi - lo, [None, offs.buffers()[1], pa.py_buffer(_six(w.hashes[rows[x:y]]))])
                 yield pa.RecordBatch.from_arrays([_long(a[r[lo:hi]]), _long(k1[r[lo:hi]]), _long(k2[r[lo:hi]]), pa.array(ids[r[lo:hi]], pa.int64()), blob], names=["a", "k1", "k2", "d", "words"])
 
     def places(batches):
-        for b in batches:
+        for b in few(batches):
             _, doc, at, _, _, k1, k2 = found(b)
             yield pa.RecordBatch.from_arrays([_long(k1), _long(k2), pa.array(_ids(b.column(0))[doc], pa.int64()), b.column(3).take(pa.array(doc, pa.int64())), pa.array(at, pa.int64())], names=["k1", "k2", "d", "h", "at"])
 
@@ -260,7 +267,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
             yield pa.RecordBatch.from_arrays([_long(k1[lo : lo + 20_000]), _long(k2[lo : lo + 20_000]), pa.ListArray.from_arrays(offs, pa.array(np.concatenate(part), pa.int64()))], names=["k1", "k2", "least"])
 
     def strip(batches):
-        for b in batches:
+        for b in few(batches):
             out = []
             for d, h, x, hits in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
                 words = x.encode().split()
@@ -278,19 +285,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     by_doc = named.mapInArrow(anchors, "a long, d long").join(shared, "a").groupBy("d").agg(F.collect_set("a").alias("a"))
     candidates = saved(named.withColumn("d", F.coalesce("d", F.lit(NULL_ID))).join(by_doc, "d").select("d", "t", "a", F.xxhash64("t").alias("h")), "candidates")
     least = candidates.mapInArrow(pieces, "a long, k1 long, k2 long, d long, words binary").repartition("a").mapInArrow(shard, "k1 long, k2 long, least array<long>")
-    hits = (candidates.mapInArrow(places, "k1 long, k2 long, d long, h long, at long").join(least, ["k1", "k2"])
+    hits = saved((candidates.mapInArrow(places, "k1 long, k2 long, d long, h long, at long").join(least, ["k1", "k2"])
             .selectExpr("d", "h", "filter(transform(least, (x, i) -> if(x < d, at + i, null)), x -> x IS NOT NULL) AS begin").filter("size(begin) > 0")
-            .groupBy("d", "h").agg(F.flatten(F.collect_list("begin")).alias("begin")))
+            .groupBy("d", "h").agg(F.flatten(F.collect_list("begin")).alias("begin"))), "hits")
     return (candidates.select("d", "h", "t").join(hits, ["d", "h"]).select("d", "h", "t", "begin")
             .mapInArrow(strip, "d long, h long, whole string, gone long, sha string, kept string").dropDuplicates(["d", "h"]))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, gram: int = 4) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, gram: int = 6) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by one space; null where none went)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def plain(batches):
-        for b in batches:
+        for b in few(batches):
             words = [[] if x is None else x.encode().split() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([_sha(w) for w in words], pa.string())], names=["d", "n_words", "whole"])
 
