@@ -2,5 +2,74 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import functions as F
+
+from ..operators import diff, evidence, merge, rank
+from ..sources.fixtures import NOW, NOW_LIVE, view
+from . import flow
+from .oracle import ORACLES  # noqa: F401
+
+_ID = ["program_id", "target_key"]
+
+
+def _evaluated(*columns):
+    return lambda s, d: flow.evaluated(s, d).select(*_ID, *columns)
+
+
+def _programs(*columns):
+    return lambda s, d: flow.merged(s, d)[0].select("program_id", *columns)
+
+
+QUERIES = {
+    "norm_targets": lambda s, d: merge.norm_targets(view(s, d, "fx_targets")).drop("added_at"),
+    "dedupe_targets": lambda s, d: flow.targets(s, d).drop("added_at"),
+    "merge_lead": _programs("name", "platform", "url"),
+    "merge_rewards": _programs("min_reward", "max_reward"),
+    "merge_flags": _programs("status", "paid", "invite_only", "kyc_required"),
+    "merge_sets": lambda s, d: flow.merged(s, d)[0].select("program_id", F.array_join("source_ids", ",").alias("source_ids"), F.array_join("tags", ",").alias("tags"), "target_count"),
+    "merge_targets": lambda s, d: flow.merged(s, d)[1].select("merge_key", "target_key", "type", "value"),
+    "merge_dates": _programs("launched_at", "resolved_reports"),
+    "diff_targets": lambda s, d: diff.diff_targets(flow.merged(s, d)[1], flow.merged(s, d, True)[1]),
+    "classify_change": lambda s, d: flow.changes(s, d).drop("merge_key"),
+    "missing_grace": lambda s, d: diff.missing_grace(flow.merged(s, d, True)[0].withColumn("missing_count", F.lit(0)), flow.merged(s, d)[0]),
+    "change_events": lambda s, d: diff.change_events(flow.changes(s, d), NOW),
+    "repo_resolve": lambda s, d: evidence.repo_resolve(flow.merged(s, d)[1].select("target_key", "value").distinct()),
+    "repo_activity": lambda s, d: evidence.repo_activity(view(s, d, "fx_repo_commits"), NOW),
+    "repo_profile": lambda s, d: evidence.repo_profile(view(s, d, "fx_repo_commits"), NOW),
+    "scan_priority_pick": lambda s, d: evidence.scan_priority_pick(view(s, d, "fx_blobs"), 2, 8000),
+    "detect_traps": lambda s, d: evidence.detect_traps(view(s, d, "fx_blobs")),
+    "trap_rollup": lambda s, d: evidence.trap_rollup(evidence.detect_traps(view(s, d, "fx_blobs"))),
+    "policy_text": lambda s, d: flow.texts(s, d).select("url", F.sha2("text", 256).alias("text_sha256")),
+    "policy_rewards": lambda s, d: evidence.policy_rewards(flow.texts(s, d)),
+    "policy_floor": lambda s, d: evidence.policy_floor(evidence.policy_rewards(flow.texts(s, d))),
+    "policy_restrictions": lambda s, d: evidence.policy_restrictions(flow.texts(s, d)),
+    "live_activity": lambda s, d: evidence.live_activity(view(s, d, "fx_live_tx"), NOW_LIVE),
+    "hardening_index": _evaluated("hardening_index"),
+    "fresh_code_index": _evaluated("fresh_code_index"),
+    "known_issue_risk": _evaluated("known_issue_risk"),
+    "recent_scope": _evaluated("recent_scope"),
+    "workflow_route": _evaluated("base_workflow", "workflow"),
+    "findable_class": _evaluated("findable_class", "ceiling", "label"),
+    "policy_floor_resolve": _evaluated("floor", "floor_source"),
+    "eligibility": _evaluated(F.array_join("reasons", "; ").alias("reasons")),
+    "p_first": _evaluated("p_first", "reports_estimated"),
+    "p_findable": _evaluated("p_findable"),
+    "p_payable": _evaluated("p_payable"),
+    "dormant": _evaluated("dormant"),
+    "hard_exclusions": _evaluated("exclude_reason"),
+    "trap_tags": _evaluated(F.array_join("trap_tags", ",").alias("trap_tags")),
+    "ev_score": _evaluated("effective_reward", "ev_score"),
+    "reason_text": _evaluated("reason"),
+    "evaluate_targets": _evaluated("workflow", "findable_class", "ceiling", "floor", "hardening_index", "fresh_code_index", "known_issue_risk", "p_findable", "p_payable", "p_first", "ev_score", "exclude_reason", "reason"),
+    "best_target": lambda s, d: flow.best(s, d).select("program_id", "target_key", "targets", "workflow", "ev_score", "exclude_reason"),
+    "program_traps": lambda s, d: rank.program_traps(flow.evaluated(s, d)),
+    "rank_programs": lambda s, d: rank.rank_programs(flow.best(s, d)).select("program_id", "name", "ev_score", "p_findable"),
+    "lane_filter": lambda s, d: rank.lane_filter(flow.best(s, d)).select("program_id", "workflow", "ev_score"),
+    "shortlist": lambda s, d: rank.shortlist(flow.best(s, d)).select("program_id", "name", "workflow", "ev_score", "reason"),
+    "shortlist_live": lambda s, d: rank.shortlist(flow.best(s, d), "live").select("program_id", "name", "workflow", "ev_score", "reason"),
+    "shortlist_fresh_source": lambda s, d: rank.shortlist(flow.best(s, d), "fresh-source").select("program_id", "name", "workflow", "ev_score", "reason"),
+    "facet_platforms": lambda s, d: rank.facet_platforms(flow.merged(s, d)[0]),
+    "summary_metrics": lambda s, d: rank.summary_metrics(flow.best(s, d), flow.evaluated(s, d)),
+    "ev_tier": lambda s, d: rank.ev_tier(flow.best(s, d)),
+    "run_meta": lambda s, d: rank.run_meta(flow.best(s, d)),
+}
