@@ -13,7 +13,7 @@ _ID = ["program_id", "target_key"]
 
 
 def _evaluated(*columns):
-    return lambda s, d: flow.evaluated(s, d).select(*_ID, *columns)
+    return lambda s, d: flow.evaluated(s, d).selectExpr(*_ID, *columns)
 
 
 def _programs(*columns):
@@ -51,13 +51,13 @@ QUERIES = {
     "workflow_route": _evaluated("base_workflow", "workflow"),
     "findable_class": _evaluated("findable_class", "ceiling", "label"),
     "policy_floor_resolve": _evaluated("floor", "floor_source"),
-    "eligibility": _evaluated(F.array_join("reasons", "; ").alias("reasons")),
+    "eligibility": _evaluated("array_join(reasons, '; ') AS reasons"),
     "p_first": _evaluated("p_first", "reports_estimated"),
     "p_findable": _evaluated("p_findable"),
     "p_payable": _evaluated("p_payable"),
     "dormant": _evaluated("dormant"),
     "hard_exclusions": _evaluated("exclude_reason"),
-    "trap_tags": _evaluated(F.array_join("trap_tags", ",").alias("trap_tags")),
+    "trap_tags": _evaluated("array_join(trap_tags, ',') AS trap_tags"),
     "ev_score": _evaluated("effective_reward", "ev_score"),
     "reason_text": _evaluated("reason"),
     "evaluate_targets": _evaluated("workflow", "findable_class", "ceiling", "floor", "hardening_index", "fresh_code_index", "known_issue_risk", "p_findable", "p_payable", "p_first", "ev_score", "exclude_reason", "reason"),
