@@ -18,8 +18,9 @@ groups of up to ``big`` sets give all pairs, larger ones give the pairs with
 their smallest member. Pairs are pruned by sizes and by parity sketches (the
 differing bits of two sketches never outnumber the differing elements), then
 verified on whole sets. Larger groups whose members end in several classes are
-divided further by signatures of another seed, and in the last round give
-every pair that is still open.
+compared sketch by sketch in blocks, of which only near pairs come out; groups
+over ``huge`` sets are divided first by signatures of another seed. The last
+round gives every pair that is still open, so no group is cut.
 
 Sets are told by 64-bit hashes of their elements. Null texts and texts without
 words have empty sets, linked with nothing. Rows that repeat an id with another
@@ -39,6 +40,8 @@ from .components import components
 
 NULL_ID = -(2**63)
 SKETCH_BITS = 1024
+#: For pairs of sets that together hold over WIDE_FROM elements, whose short sketches say little.
+WIDE_BITS, WIDE_FROM = 16_384, 1_000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,11 +117,11 @@ def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int, similar: tuple[int,
     return np.concatenate(sets), np.concatenate(sigs)
 
 
-def sketch(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
-    """Parity of the number of elements in each of SKETCH_BITS places, a row of bytes for each set."""
-    bit = (mix(h) >> np.uint64(40)).astype(np.int64) % SKETCH_BITS
-    odd = np.bincount(doc * SKETCH_BITS + bit, minlength=n_docs * SKETCH_BITS).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(n_docs, SKETCH_BITS), axis=1)
+def sketch(doc: np.ndarray, h: np.ndarray, n_docs: int, width: int = SKETCH_BITS) -> np.ndarray:
+    """Parity of the number of elements in each of ``width`` places, a row of bytes for each set."""
+    bit = (mix(h) >> np.uint64(40)).astype(np.int64) % width
+    odd = np.bincount(doc * width + bit, minlength=n_docs * width).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n_docs, width), axis=1)
 
 
 def pairs_of(sig: np.ndarray, d: np.ndarray, big: int):
@@ -144,7 +147,12 @@ def pairs_of(sig: np.ndarray, d: np.ndarray, big: int):
     x, y = np.concatenate(xs), np.concatenate(ys)
     on = x != y
     both = np.unique(np.stack([x[on], y[on]]), axis=1)
-    return both[0], both[1], sig[member], d[member]
+    # a large group is named by its members, and told once
+    name = np.zeros(len(large), np.uint64)
+    np.add.at(name, np.repeat(np.arange(len(large)), n[large]), mix(d[member].view(np.uint64) * np.uint64(3)))
+    named, once = np.unique(mix(name), return_index=True)
+    keep = np.isin(np.repeat(np.arange(len(large)), n[large]), once)
+    return both[0], both[1], np.repeat(mix(name), n[large])[keep], d[member][keep]
 
 
 def _arr(x: np.ndarray, kind=pa.int64()) -> pa.Array:
@@ -157,12 +165,32 @@ def _blob(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, offs.buffers()[1], pa.py_buffer(np.ascontiguousarray(values).tobytes())]).cast(pa.binary())
 
 
+def near_in_group(v: np.ndarray, s: np.ndarray, bits: np.ndarray, similar: tuple[int, int], block: int = 256):
+    """Pairs of a group that sizes and sketches leave open, block by block; v: ids, s: sizes (negative: unknown), bits: sketches as rows of 64-bit words."""
+    up, down = similar
+    order = np.argsort(s, kind="stable")
+    v, s, bits = v[order], s[order], bits[order]
+    for a in range(0, len(v), block):
+        for c in range(a, len(v), block):
+            p, q = slice(a, a + block), slice(c, c + block)
+            if s[p].min() >= 0 and down * s[p][-1] < up * s[q][0]:
+                break  # sizes ascend: all further blocks are too large
+            differ = np.zeros((len(v[p]), len(v[q])), np.int64)
+            for k in range(bits.shape[1]):
+                differ += np.bitwise_count(bits[p, k][:, None] ^ bits[q, k][None, :])
+            small, large = s[p][:, None], s[q][None, :]
+            ok = ((down * large >= up * small) & (down * small >= up * large) & ((down + up) * differ <= (down - up) * (small + large))) | (small < 0) | (large < 0)
+            i, j = np.nonzero(ok & (v[p][:, None] != v[q][None, :]))
+            x, y = v[p][i], v[q][j]
+            yield np.minimum(x, y), np.maximum(x, y)
+
+
 def _candidates(named: DataFrame, n: int, similar, seed: int, big: int, shards: int) -> DataFrame:
     """named: d, t, and p (array of group numbers) if groups are being divided. Rows: g null: a pair x, y; else set y is in the large group g."""
     divided = "p" in named.columns
 
     def send(batches):
-        for b in few(batches, 2_000):
+        for b in few(batches, 500):
             ids = b.column(0).to_numpy()
             doc, h = shingle_sets(b.column(1), n)
             keys = np.zeros(len(ids), np.uint64)
@@ -194,36 +222,42 @@ def _candidates(named: DataFrame, n: int, similar, seed: int, big: int, shards:
             low = (sig & np.uint64((1 << 48) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             yield pa.RecordBatch.from_arrays([_arr(shard[at]), _blob(low, ends), _blob(ids[s[first]].astype("<i8"), who), _blob(times, who)], names=["shard", "sig", "ids", "times"])
 
+    def close(shard, rows):
+        low = np.frombuffer(b"".join(r for r, _, _ in rows), np.uint8).reshape(-1, 6)
+        sig = np.zeros((len(low), 8), np.uint8)
+        sig[:, :6] = low
+        ids = np.repeat(np.frombuffer(b"".join(w for _, w, _ in rows), "<i8"), np.frombuffer(b"".join(t for _, _, t in rows), "<u4"))
+        x, y, g, m = pairs_of(sig.view("<u8").ravel(), ids, big)
+        for lo in range(0, max(len(x), len(g)), 100_000):
+            a, c, e, f = (v[lo : lo + 100_000] for v in (x, y, g, m))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(len(a), pa.int64()), _arr(e)]), pa.concat_arrays([_arr(a), pa.nulls(len(e), pa.int64())]), _arr(np.append(c, f))], names=["g", "x", "y"])
+
     def gather(batches):
-        sig, ids, groups = [], [], {}
+        """Rows arrive sorted by shard; one shard at a time is held."""
+        now, rows = None, []
         for b in batches:
-            for shard, raw, who, times in zip(*(c.to_pylist() for c in b.columns)):
-                groups.setdefault(shard, []).append((raw, who, times))
-        for shard, rows in groups.items():
-            low = np.frombuffer(b"".join(r for r, _, _ in rows), np.uint8).reshape(-1, 6)
-            sig = np.zeros((len(low), 8), np.uint8)
-            sig[:, :6] = low
-            sig = sig.view("<u8").ravel()
-            ids = np.repeat(np.frombuffer(b"".join(w for _, w, _ in rows), "<i8"), np.frombuffer(b"".join(t for _, _, t in rows), "<u4"))
-            x, y, g, m = pairs_of(sig, ids, big)
-            g = mix(g + np.uint64((shard << 48) & 0xFFFFFFFFFFFFFFFF))
-            for lo in range(0, max(len(x), len(g), 1), 100_000):
-                a, c, e, f = (v[lo : lo + 100_000] for v in (x, y, g, m))
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(len(a), pa.int64()), _arr(e)]), pa.concat_arrays([_arr(a), pa.nulls(len(e), pa.int64())]), _arr(np.append(c, f))], names=["g", "x", "y"])
+            for shard, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if shard != now and rows:
+                    yield from close(now, rows)
+                    rows = []
+                now = shard
+                rows.append(row)
+        if rows:
+            yield from close(now, rows)
 
     import pyarrow.compute  # noqa: F401
 
-    sent = named.mapInArrow(send, "shard long, sig binary, ids binary, times binary").repartition(shards, "shard")
+    sent = named.mapInArrow(send, "shard long, sig binary, ids binary, times binary").repartition(shards, "shard").sortWithinPartitions("shard")
     return sent.mapInArrow(gather, "g long, x long, y long")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, similar: tuple[int, int] = (75, 100),
-                    big: int = 48, rounds: int = 3, shards: int | None = None) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id reachable by links). shards: at least the session's shuffle partitions."""
+                    big: int = 48, huge: int = 20_000, rounds: int = 3, shards: int | None = None) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (smallest id reachable by links). shards: four times the session's shuffle partitions if not given."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     up, down = similar
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("d"), F.col(text_col).alias("t"))
 
     def describe(batches):
@@ -240,6 +274,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             doc, h = shingle_sets(b.column(1), n)
             yield pa.RecordBatch.from_arrays([b.column(0), _blob(h.astype("<u8"), np.cumsum(np.bincount(doc, minlength=b.num_rows)))], names=["d", "set"])
 
+    def wide(batches):
+        for b in few(batches, 200):
+            doc, h = shingle_sets(b.column(1), n)
+            yield pa.RecordBatch.from_arrays([b.column(0), _arr(np.bincount(doc, minlength=b.num_rows)), _blob(sketch(doc, h, b.num_rows, WIDE_BITS), np.arange(1, b.num_rows + 1))], names=["d", "n", "sketch"])
+
+    def still(batches):
+        for b in few(batches):
+            k, p, q = b.column(2).to_numpy(), *(np.frombuffer(b"".join(b.column(i).to_pylist()), "<u8").reshape(b.num_rows, -1) for i in (3, 4))
+            yield b.select(["x", "y"]).filter(pa.array((down + up) * np.bitwise_count(p ^ q).sum(1, dtype=np.int64) <= (down - up) * k))
+
     def verify(batches):
         for b in batches:
             ok = []
@@ -249,37 +293,87 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ok.append(down * same >= up * (len(p) + len(q) - same))
             yield b.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
+    def blocks(batches):
+        """Members of large groups, sorted by group; one group (of huge sets at most) is held at a time."""
+        now, held = None, []
+
+        def close():
+            t = pa.Table.from_batches(held).combine_chunks()
+            bits = t.column(3).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
+            for x, y in near_in_group(t.column(1).to_numpy(), t.column(2).to_numpy(), bits, similar):
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([_arr(x), _arr(y)], names=["x", "y"])
+
+        for b in batches:
+            g = b.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if hi > lo:
+                    if held and g[lo] != now:
+                        yield from close()
+                        held = []
+                    now = g[lo]
+                    held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from close()
+
     about = saved(named.mapInArrow(describe, "d long, s long, key long, sketch array<long>"), "sets")
     equal = about.where("s > 0").groupBy("key", "s").agg(F.min("d").alias("rep"))
-    member = saved(about.where("s > 0").select("d", "s", "key").distinct().join(equal, ["key", "s"]).select("d", "rep"), "members")
-    brief = about.where("s > 0").groupBy("d").agg(F.min_by(F.struct("s", "sketch"), "key").alias("a"), F.count_distinct("key").alias("keys"))
-    links = member.where("d <> rep").selectExpr("d AS x", "rep AS y")
-    found, tried, open_ = links, None, named.where("t IS NOT NULL")
+    member = about.where("s > 0").select("d", "s", "key").distinct().join(equal, ["key", "s"]).select("d", "rep")
+    brief = saved(about.where("s > 0").groupBy("d").agg(F.min_by(F.struct("s", "sketch"), "key").alias("a"), F.count_distinct("key").alias("keys"))
+                  .select("d", F.when(F.col("keys") == 1, F.col("a.s")).otherwise(-1).alias("s"), "a.sketch"), "brief")
+    found = saved(member.where("d <> rep").selectExpr("d AS x", "rep AS y"), "links")
+
+    def linked(found: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """found and labels with the links of the near pairs: first each set with the smallest of its pairs, then what is still apart."""
+        near = saved(near, "near")
+        found = saved(found.union(verified(near.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"))), "links")
+        labels = components(found)
+        marked = near.join(labels.toDF("x", "a"), "x", "left").join(labels.toDF("y", "b"), "y", "left")
+        rest = saved(marked.where("coalesce(a, x) <> coalesce(b, y)").select("x", "y"), "near")
+        more = saved(verified(rest), "links")
+        if more.isEmpty():
+            return found, labels
+        found = saved(found.union(more), "links")
+        return found, components(found)
+
+    def verified(near: DataFrame) -> DataFrame:
+        """Pairs whose whole sets are similar; those of large sets are pruned by wide sketches first."""
+        sized = near.join(brief.select(F.col("d").alias("x"), F.col("s").alias("a")), "x").join(brief.select(F.col("d").alias("y"), F.col("s").alias("b")), "y")
+        sized = saved(sized.withColumn("large", F.expr(f"a >= 0 AND b >= 0 AND a + b > {WIDE_FROM}")).select("x", "y", "large"), "sized")
+        big_ones = sized.where("large").select(F.explode(F.array("x", "y")).alias("d")).distinct()
+        wides = saved(named.join(big_ones, "d", "left_semi").mapInArrow(wide, "d long, n long, sketch binary"), "wide")
+        left = (sized.where("large").select("x", "y").join(wides.toDF("x", "a", "p"), "x").join(wides.toDF("y", "b", "q"), "y")
+                .select("x", "y", (F.col("a") + F.col("b")).alias("k"), "p", "q").mapInArrow(still, "x long, y long"))
+        near = saved(sized.where("NOT large").select("x", "y").union(left), "near")
+        used = near.select(F.explode(F.array("x", "y")).alias("d")).distinct()
+        whole = saved(named.join(used, "d", "left_semi").mapInArrow(sets, "d long, set binary"), "whole")
+        return near.join(whole.toDF("x", "p"), "x").join(whole.toDF("y", "q"), "y").select("x", "y", "p", "q").mapInArrow(verify, "x long, y long")
+
+    def unsettled(groups: DataFrame, labels: DataFrame) -> DataFrame:
+        """Large groups whose members are in several classes: g, v, size of the group."""
+        marked = groups.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
+        several = marked.groupBy("g").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a < b").select("g", "n")
+        return saved(groups.join(several, "g").select("g", "v", "n"), "unsettled")
+
+    open_, labels = named.where("t IS NOT NULL"), None
     for r in range(rounds):
         last = r == rounds - 1
         got = saved(_candidates(open_, n, similar, r, 2**62 if last else big, shards), "candidates")
         pairs = got.where("g IS NULL").select("x", "y").distinct()
-        if r:
-            pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        near = (pairs.join(brief.selectExpr("d AS x", "a AS p", "keys AS i"), "x").join(brief.selectExpr("d AS y", "a AS q", "keys AS j"), "y")
-                .where(f"i > 1 OR j > 1 OR ({down} * least(p.s, q.s) >= {up} * greatest(p.s, q.s) AND "
-                       f"{down + up} * {_hamming('p.sketch', 'q.sketch')} <= {down - up} * (p.s + q.s))")
-                .select("x", "y"))
-        near = saved(near, "near")
-        used = near.select(F.explode(F.array("x", "y")).alias("d")).distinct()
-        whole = saved(named.join(used, "d", "left_semi").mapInArrow(sets, "d long, set binary"), "whole")
-        good = near.join(whole.toDF("x", "p"), "x").join(whole.toDF("y", "q"), "y").select("x", "y", "p", "q").mapInArrow(verify, "x long, y long")
-        found = saved(found.union(good), "links")
-        labels = components(found)
-        if last:
+        near = (pairs.join(brief.toDF("x", "s", "p"), "x").join(brief.toDF("y", "z", "q"), "y")
+                .where(f"s < 0 OR z < 0 OR ({down} * least(s, z) >= {up} * greatest(s, z) AND {down + up} * {_hamming('p', 'q')} <= {down - up} * (s + z))").select("x", "y"))
+        found, labels = linked(found, near)
+        groups = got.where("g IS NOT NULL").selectExpr("g", "y AS v").distinct()
+        if last or groups.isEmpty():
             break
-        tried = pairs if tried is None else tried.union(pairs)
-        groups = got.where("g IS NOT NULL").selectExpr("g", "y AS v").join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
-        several = groups.groupBy("g").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("g")
-        todo = saved(groups.join(several, "g").groupBy(F.col("v").alias("d")).agg(F.collect_set("g").alias("p")), "open")
-        if todo.isEmpty():
+        todo = unsettled(groups, labels)
+        compared = todo.where(F.col("n") <= huge).join(brief.toDF("v", "s", "p"), "v").select("g", "v", "s", "p").repartition("g").sortWithinPartitions("g", "v").mapInArrow(blocks, "x long, y long").distinct()
+        found, labels = linked(found, compared)
+        divide = saved(todo.where(F.col("n") > huge).groupBy(F.col("v").alias("d")).agg(F.collect_set("g").alias("p")), "open")
+        if divide.isEmpty():
             break
-        open_ = named.where("t IS NOT NULL").join(todo, "d").select("d", "t", "p")
+        open_ = named.where("t IS NOT NULL").join(divide, "d").select("d", "t", "p")
     out = about.select("d", F.col("s").alias("n_shingles")).join(labels.withColumnRenamed("v", "d"), "d", "left")
     return out.select(F.when(F.col("d") != NULL_ID, F.col("d")).cast(kind).alias(id_col), "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("d")).alias("component_id"))
 

@@ -145,8 +145,8 @@ def brute_classes(rows):
     return sorted((d, len(sets[i]), least[top(i)]) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("big", [48, 4])
-def test_ngram_join(spark, big):
+@pytest.mark.parametrize("big, huge", [(48, 20_000), (4, 20_000), (4, 8)])
+def test_ngram_join(spark, big, huge):
     random.seed(5)
     base = [[random.choice("abcdefghij") + random.choice("aeiou") for _ in range(n)] for n in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 20, 40, 80)]
     rows = [(900, None), (901, ""), (902, "  ")]
@@ -156,7 +156,7 @@ def test_ngram_join(spark, big):
             x[random.randrange(len(x))] = random.choice("xyz")
         rows.append((k, " ".join(x).title() if k % 5 == 0 else " ".join(x)))
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
-    assert sorted(tuple(r) for r in ngram_join.jaccard_classes(df, big=big).collect()) == brute_classes(rows)
+    assert sorted(tuple(r) for r in ngram_join.jaccard_classes(df, big=big, huge=huge).collect()) == brute_classes(rows)
 
 
 def test_components(spark):
