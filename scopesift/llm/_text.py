@@ -94,7 +94,9 @@ class Memo(dict):
     A part is keyed by its text; ``lead`` is put before it when it is encoded.
     Parts are encoded many at a time, divided by the model's own special
     token, which the library splits off before anything else, so each part is
-    encoded just as if it stood alone. At most ``limit`` parts are remembered.
+    encoded just as if it stood alone. About ``limit`` parts are remembered, in two generations: when
+    the younger is full it becomes the elder, and what is met again comes back
+    without being encoded anew.
     """
 
     def __init__(self, path: str, special: str, lead: str, count: bool, limit: int):
@@ -102,7 +104,7 @@ class Memo(dict):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.special, self.lead, self.count, self.limit = special, lead, count, limit
+        self.special, self.lead, self.count, self.limit, self.elder = special, lead, count, limit, {}
         self.cut = self.tok.token_to_id(special)
 
     @classmethod
@@ -119,9 +121,13 @@ class Memo(dict):
     def learn(self, parts) -> None:
         """parts: a set of texts."""
         new = [x for x in parts if x not in self]
-        if len(self) + len(new) > self.limit:
+        if len(self) + len(new) > self.limit // 2:
+            self.elder = dict(self)
             self.clear()
             new = list(parts)
+        if self.elder:
+            self.update((x, self.elder[x]) for x in new if x in self.elder)
+            new = [x for x in new if x not in self]
         odd = [x for x in new if self.special in x]
         if odd:
             gone = set(odd)
