@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import evidence as e
 from ..operators import merge as m
 from ..operators import value as v
-from ..sources.fixtures import NOW, NOW_LIVE, VIEWS
+from ..sources.fixtures import BEFORE, LIVE_RULES, NOW, NOW_LIVE, OVERRIDES, SOURCES, VIEWS
 
 D = "CAST({} AS DOUBLE)".format
 
@@ -203,3 +203,48 @@ ORACLES = {k: chain(s) for k, s in {
     "ev_tier": "SELECT CASE WHEN ev_score >= 5000 THEN 'High' WHEN ev_score >= 1500 THEN 'Strong' WHEN ev_score >= 500 THEN 'Plausible' ELSE 'Thin' END AS tier, count(*) AS programs FROM best GROUP BY 1",
     "run_meta": "SELECT count(*) AS programs, CAST(sum(targets) AS BIGINT) AS targets, count(*) FILTER (WHERE exclude_reason IS NULL) AS ranked, count(*) FILTER (WHERE exclude_reason IS NOT NULL) AS excluded FROM best",
 }.items()}
+
+_CORE = "{0}.name, {0}.platform, {0}.url, {0}.status, {0}.paid, {0}.min_reward, {0}.max_reward, {0}.launched_at, {0}.resolved_reports, {0}.invite_only, {0}.kyc_required, {0}.source_ids, {0}.tags".format
+WAS = f"TIMESTAMP '{BEFORE}'"
+CTES["health"] = "SELECT s.source_id, count(r.source_id) AS records, CASE WHEN count(r.source_id) >= 10 THEN 'ok' ELSE 'failed' END AS status FROM (VALUES {}) AS s(source_id) LEFT JOIN rec r ON r.source_id = s.source_id GROUP BY 1".format(", ".join(f"('{x}')" for x in SOURCES))
+CTES["counts"] = "SELECT r.record_no, count(t.type) AS target_count, count(*) FILTER (WHERE t.type = 'source-code') AS repository_count, coalesce(string_agg(DISTINCT t.type, ',' ORDER BY t.type), '') AS tags FROM rec r LEFT JOIN dedupe_t t ON t.record_no = r.record_no GROUP BY 1"
+CTES["evt"] = f"SELECT '{NOW}:' || program_id || ':' || change_type AS event_id, program_id, change_type, {AT} AS happened_at FROM chg WHERE change_type <> 'baseline'"
+CTES["scored"] = "SELECT x.event_id, x.program_id, x.change_type, b.ev_score, b.workflow, b.exclude_reason FROM evt x LEFT JOIN best b ON b.program_id = x.program_id"
+CTES["alerts"] = "SELECT * FROM scored WHERE exclude_reason IS NULL AND ev_score > 0"
+CTES["cached"] = "SELECT repo_key, CASE WHEN count(*) % 5 = 0 THEN 'failed' ELSE 'ok' END AS status, max(committed_at) AS fetched_at FROM fx_repo_commits GROUP BY 1"
+CTES["fetched"] = f"SELECT repo_key, CASE WHEN count(*) % 2 = 0 THEN 'failed' ELSE 'ok' END AS status, {AT} AS fetched_at FROM fx_repo_commits GROUP BY 1 HAVING count(*) % 3 = 0"
+CTES["prio"] = "SELECT x.repo_key, max(CASE c.change_type WHEN 'new_target' THEN 3 WHEN 'new_program' THEN 2 ELSE 1 END) AS priority FROM merged_t t JOIN resolved x ON x.target_key = t.target_key JOIN chg c ON c.merge_key = t.merge_key GROUP BY 1"
+CTES["staled"] = f"SELECT p.repo_key, p.priority, k.fetched_at, coalesce(k.status <> 'ok', true) OR coalesce(k.fetched_at <= {AT} - INTERVAL 168 HOURS, true) AS stale FROM prio p LEFT JOIN cached k ON k.repo_key = p.repo_key"
+CTES["gate"] = "SELECT count(*) AS n, count(hardening_index) AS measured, CAST(least(400, ceil(count(*) * CAST(0.8 AS DOUBLE))) AS BIGINT) AS required, count(hardening_index) >= least(400, ceil(count(*) * CAST(0.8 AS DOUBLE))) AS ready, CASE WHEN count(*) = 0 THEN CAST(1 AS DOUBLE) ELSE count(hardening_index) / CAST(count(*) AS DOUBLE) END AS ratio FROM ev WHERE repo_status IS NOT NULL"
+CTES["differ"] = f"SELECT count(*) > 0 AS changed FROM ((SELECT merge_key, {_CORE('prog')} FROM prog EXCEPT ALL SELECT merge_key, {_CORE('prog_before')} FROM prog_before) UNION ALL (SELECT merge_key, {_CORE('prog_before')} FROM prog_before EXCEPT ALL SELECT merge_key, {_CORE('prog')} FROM prog))"
+_RULE = " ".join("WHEN " + (f"contains(lower(value), '{r['address']}')" if r.get("address") else hit("concat_ws(' ', merge_key, target_key, value)", "(?i)" + r["pattern"])) + f" THEN {i}" for i, r in enumerate(LIVE_RULES))
+CTES["ruled"] = f"SELECT merge_key, target_key, CAST(CASE {_RULE} END AS INTEGER) AS rule FROM merged_t"
+CTES["over"] = "SELECT * FROM (VALUES {}) AS o(key, floor)".format(", ".join(f"('{a}', '{b}')" for a, b in OVERRIDES))
+ORACLES |= {k: chain(s) for k, s in {
+    "src_health": "SELECT * FROM health",
+    "src_snapshot_fallback": "SELECT source_id, record_no, name, raw_status FROM rec WHERE source_id IN (SELECT source_id FROM rec GROUP BY 1 HAVING count(*) >= 290) UNION ALL SELECT source_id, record_no, name, raw_status FROM rec_before WHERE source_id NOT IN (SELECT source_id FROM rec GROUP BY 1 HAVING count(*) >= 290)",
+    "norm_programs": "SELECT record_no, merge_key, url, status, paid FROM rec",
+    "norm_counts": "SELECT record_no, target_count, repository_count, repository_count > 0 AS source_code FROM counts",
+    "norm_tags": "SELECT record_no, tags FROM counts",
+    "diff_fingerprint": f"SELECT p.program_id, coalesce(d.added + d.removed, 0) > 0 OR ({_CORE('p')}) IS DISTINCT FROM ({_CORE('o')}) AS changed FROM prog p JOIN prog_before o ON o.merge_key = p.merge_key LEFT JOIN diff d ON d.merge_key = p.merge_key",
+    "dataset_changed": "SELECT changed FROM differ",
+    "program_lifecycle": f"SELECT c.program_id, CASE WHEN o.merge_key IS NULL THEN {AT} ELSE {WAS} END AS first_seen_at, CASE WHEN o.merge_key IS NULL OR change_type <> 'baseline' THEN {AT} ELSE {WAS} END AS last_seen_at, CASE WHEN change_type <> 'baseline' THEN {AT} ELSE {WAS} END AS last_changed_at, CAST(0 AS BIGINT) AS missing_count FROM chg c LEFT JOIN prog_before o ON o.merge_key = c.merge_key",
+    "target_lifecycle": f"SELECT t.merge_key, t.target_key, CASE WHEN b.target_key IS NOT NULL THEN {WAS} ELSE coalesce(t.added_at, CASE WHEN c.change_type <> 'baseline' THEN {AT} END) END AS first_seen_at FROM merged_t t JOIN chg c ON c.merge_key = t.merge_key LEFT JOIN merged_t_before b ON b.merge_key = t.merge_key AND b.target_key = t.target_key",
+    "event_score_join": "SELECT * FROM scored",
+    "event_log_roll": f"SELECT * FROM (SELECT event_id, program_id, change_type, happened_at FROM evt UNION ALL SELECT '{BEFORE}:' || program_id || ':new_program', program_id, 'new_program', {WAS} FROM prog_before) ORDER BY happened_at DESC, event_id LIMIT 700",
+    "alert_digest": "SELECT event_id, program_id, change_type, ev_score, greatest(0, (SELECT count(*) FROM alerts) - 8) AS more FROM alerts ORDER BY ev_score DESC, event_id LIMIT 8",
+    "refresh_schedule": "SELECT repo_key, priority, fetched_at, stale FROM staled ORDER BY stale DESC, priority DESC, fetched_at NULLS FIRST, repo_key LIMIT 250",
+    "enrich_stats": "SELECT count(*) AS discovered, count(*) FILTER (WHERE stale) AS stale, least(250, count(*) FILTER (WHERE stale)) AS scheduled, greatest(0, count(*) FILTER (WHERE stale) - 250) AS deferred FROM staled",
+    "cache_upsert": "SELECT repo_key, CASE WHEN b.status = 'ok' OR a.status = 'ok' THEN 'ok' ELSE 'pending' END AS status, CASE WHEN b.status = 'ok' THEN b.fetched_at WHEN a.status = 'ok' THEN a.fetched_at END AS fetched_at, CASE WHEN a.status = 'ok' AND b.status <> 'ok' THEN b.status END AS last_error FROM cached a FULL JOIN fetched b USING (repo_key) WHERE repo_key IN (SELECT repo_key FROM prio)",
+    "scan_coverage": "SELECT repo_key, count(*) AS eligible, count(k.path) AS selected, CAST(coalesce(sum(k.size), 0) AS BIGINT) AS bytes, CASE WHEN count(k.path) = count(*) THEN 'complete' ELSE 'bounded' END AS status FROM blob_p p LEFT JOIN picked k USING (repo_key, path) GROUP BY 1",
+    "signals_lookup": "SELECT program_id, target_key, repo_key, repo_status FROM j",
+    "coverage_gate": "SELECT * FROM gate",
+    "publish_gate": "SELECT ready AND h AS publish, ready AND h AND changed AS changed FROM (SELECT ready, (SELECT count(*) > 0 FROM health WHERE status = 'ok') AS h, (SELECT changed FROM differ) AS changed FROM gate)",
+    "policy_lookup": "SELECT p.program_id, coalesce(r.policy_invite_only, false) AS policy_invite_only, coalesce(r.policy_kyc, false) AS policy_kyc, coalesce(r.excludes_in, false) AS excludes_in, CAST(coalesce(p.resolved_reports, r.policy_reports) AS BIGINT) AS resolved_reports FROM prog p LEFT JOIN restrict r ON r.url = p.url",
+    "policy_fallback_target": "SELECT merge_key, substr(sha256(t || ':' || lower(url)), 1, 16) AS target_key, t AS type, url AS value FROM (SELECT *, CASE WHEN list_contains(tags, 'api') THEN 'api' ELSE 'web' END AS t FROM prog WHERE target_count = 0)",
+    "live_match": "SELECT * FROM ruled WHERE rule IS NOT NULL",
+    "override_join": "SELECT program_id, arg_min(floor, r) AS override_floor FROM (SELECT p.program_id, o.floor, CASE o.key WHEN p.program_id THEN 0 WHEN p.name THEN 1 ELSE 2 END AS r FROM prog p JOIN over o ON o.key IN (p.program_id, p.name, lower(p.name))) GROUP BY 1",
+    "public_projection": "SELECT program_id, position, target_key, type, workflow, ev_score, CASE WHEN repo_status = 'ok' THEN hardening_index END AS hardening_index, CASE WHEN repo_status = 'ok' THEN stars END AS stars, CASE WHEN repo_status = 'ok' THEN commits_90d END AS commits_90d FROM (SELECT *, CAST(row_number() OVER (PARTITION BY program_id ORDER BY exclude_reason IS NOT NULL, ev_score DESC, p_findable DESC, target_key) AS INTEGER) AS position FROM ev) WHERE position <= 16",
+    "browse": "SELECT program_id, name, workflow, ev_score FROM best WHERE ev_score >= 1 AND platform = 'BUILDING' AND contains(lower(concat_ws(' ', name, platform, url, workflow, findable_class, reason)), 'live')",
+    "browse_sort": "SELECT program_id, name, max_reward, ev_score FROM best ORDER BY coalesce(max_reward, 0) DESC, name, program_id LIMIT 25",
+}.items()}

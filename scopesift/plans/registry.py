@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import diff, evidence, merge, rank
-from ..sources.fixtures import NOW, NOW_LIVE, view
+from ..operators import diff, evidence, merge, rank, state
+from ..sources.fixtures import BEFORE, LIVE_RULES, NOW, NOW_LIVE, OVERRIDES, SOURCES, view
 from . import flow
 from .oracle import ORACLES  # noqa: F401
 
@@ -20,6 +20,57 @@ def _programs(*columns):
     return lambda s, d: flow.merged(s, d)[0].select("program_id", *columns)
 
 
+def _events(s, d):
+    return diff.change_events(flow.changes(s, d), NOW)
+
+
+def _scored(s, d):
+    return state.event_score_join(_events(s, d), flow.best(s, d))
+
+
+def _log(s, d):
+    at = F.lit(BEFORE).cast("timestamp_ntz")
+    old = flow.merged(s, d, True)[0].select(F.concat_ws(":", F.lit(BEFORE), "program_id", F.lit("new_program")).alias("event_id"), "program_id", F.lit("new_program").alias("change_type"), at.alias("happened_at"))
+    return state.event_log_roll(_events(s, d).withColumn("happened_at", F.lit(NOW).cast("timestamp_ntz")), old, 700)
+
+
+def _diff(s, d):
+    return diff.diff_targets(flow.merged(s, d)[1], flow.merged(s, d, True)[1])
+
+
+def _previous(s, d):
+    at = F.lit(BEFORE).cast("timestamp_ntz")
+    return flow.merged(s, d, True)[0].select("merge_key", *(at.alias(c) for c in ("first_seen_at", "last_seen_at", "last_changed_at")))
+
+
+def _cache(s, d):
+    got = view(s, d, "fx_repo_commits").groupBy("repo_key").agg(F.max("committed_at").alias("fetched_at"), F.count("*").alias("n"))
+    return got.select("repo_key", F.when(F.col("n") % 5 == 0, "failed").otherwise("ok").alias("status"), "fetched_at")
+
+
+def _fresh(s, d):
+    got = view(s, d, "fx_repo_commits").groupBy("repo_key").agg(F.count("*").alias("n")).where("n % 3 = 0")
+    return got.select("repo_key", F.when(F.col("n") % 2 == 0, "failed").otherwise("ok").alias("status"), F.lit(NOW).cast("timestamp_ntz").alias("fetched_at"))
+
+
+def _repos(s, d):
+    t = flow.merged(s, d)[1]
+    keys = evidence.repo_resolve(t.select("target_key", "value").distinct()).where("repo_key IS NOT NULL")
+    return state.repo_priority(t.select("merge_key", "target_key").join(keys, "target_key").join(flow.changes(s, d).select("merge_key", "change_type"), "merge_key").select("repo_key", "change_type"))
+
+
+def _stale(s, d):
+    return state.staleness(_repos(s, d), _cache(s, d), NOW)
+
+
+def _core(df):
+    return df.select("merge_key", *diff.CORE)
+
+
+def _health(s, d):
+    return state.src_health(flow.records(s, d), s.createDataFrame([(x,) for x in SOURCES], "source_id string"), 10)
+
+
 QUERIES = {
     "norm_targets": lambda s, d: merge.norm_targets(view(s, d, "fx_targets")).drop("added_at"),
     "dedupe_targets": lambda s, d: flow.targets(s, d).drop("added_at"),
@@ -72,4 +123,30 @@ QUERIES = {
     "summary_metrics": lambda s, d: rank.summary_metrics(flow.best(s, d), flow.evaluated(s, d)),
     "ev_tier": lambda s, d: rank.ev_tier(flow.best(s, d)),
     "run_meta": lambda s, d: rank.run_meta(flow.best(s, d)),
+    "src_health": _health,
+    "src_snapshot_fallback": lambda s, d: state.src_snapshot_fallback(flow.records(s, d), flow.records(s, d, True), 290).select("source_id", "record_no", "name", "raw_status"),
+    "norm_programs": lambda s, d: flow.records(s, d).select("record_no", "merge_key", "url", "status", "paid"),
+    "norm_counts": lambda s, d: state.record_tags(flow.records(s, d), flow.targets(s, d)).drop("tags"),
+    "norm_tags": lambda s, d: state.record_tags(flow.records(s, d), flow.targets(s, d)).select("record_no", F.array_join("tags", ",").alias("tags")),
+    "diff_fingerprint": lambda s, d: state.diff_fingerprint(flow.merged(s, d)[0], flow.merged(s, d, True)[0], _diff(s, d)),
+    "dataset_changed": lambda s, d: state.dataset_changed(_core(flow.merged(s, d)[0]), _core(flow.merged(s, d, True)[0])),
+    "program_lifecycle": lambda s, d: state.program_lifecycle(flow.changes(s, d), _previous(s, d), NOW),
+    "target_lifecycle": lambda s, d: state.target_lifecycle(flow.merged(s, d)[1], flow.merged(s, d, True)[1].withColumn("first_seen_at", F.lit(BEFORE).cast("timestamp_ntz")), flow.changes(s, d), NOW),
+    "event_score_join": lambda s, d: _scored(s, d).select("event_id", "program_id", "change_type", "ev_score", "workflow", "exclude_reason"),
+    "event_log_roll": lambda s, d: _log(s, d).select("event_id", "program_id", "change_type", "happened_at"),
+    "alert_digest": lambda s, d: state.alert_digest(_scored(s, d)),
+    "refresh_schedule": lambda s, d: state.refresh_schedule(_stale(s, d)).select("repo_key", "priority", "fetched_at", "stale"),
+    "enrich_stats": lambda s, d: state.enrich_stats(_stale(s, d)),
+    "cache_upsert": lambda s, d: state.cache_upsert(_cache(s, d), _fresh(s, d), _repos(s, d)),
+    "scan_coverage": lambda s, d: state.scan_coverage(view(s, d, "fx_blobs"), evidence.scan_priority_pick(view(s, d, "fx_blobs"), 2, 8000)),
+    "signals_lookup": lambda s, d: flow.joined(s, d).select("program_id", "target_key", "repo_key", "repo_status"),
+    "coverage_gate": lambda s, d: state.coverage_gate(flow.evaluated(s, d)),
+    "publish_gate": lambda s, d: state.publish_gate(state.coverage_gate(flow.evaluated(s, d)), _health(s, d), state.dataset_changed(_core(flow.merged(s, d)[0]), _core(flow.merged(s, d, True)[0]))),
+    "policy_lookup": lambda s, d: state.policy_lookup(flow.merged(s, d)[0], evidence.policy_restrictions(flow.texts(s, d))),
+    "policy_fallback_target": lambda s, d: state.fallback_target(flow.merged(s, d)[0]),
+    "live_match": lambda s, d: state.live_match(flow.merged(s, d)[1], LIVE_RULES).select("merge_key", "target_key", "rule"),
+    "override_join": lambda s, d: state.override_join(flow.merged(s, d)[0], s.createDataFrame(OVERRIDES, "key string, floor string")),
+    "public_projection": lambda s, d: state.public_projection(flow.evaluated(s, d)),
+    "browse": lambda s, d: state.browse(flow.best(s, d), platform="BUILDING", least=1.0, words="live").select("program_id", "name", "workflow", "ev_score"),
+    "browse_sort": lambda s, d: state.browse_sort(flow.best(s, d), "reward").select("program_id", "name", "max_reward", "ev_score"),
 }

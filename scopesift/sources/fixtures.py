@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 NOW, NOW_LIVE, BEFORE = "2001-11-05 00:00:00", "2024-02-20 00:00:00", "2001-01-01 00:00:00"
 
+#: Small tables of configuration.
+SOURCES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "UNUSED"]
+OVERRIDES = [("program:program-7", "HIGH"), ("Program 7", "LOW"), ("program 12", "CRITICAL"), ("Program 20", "MEDIUM")]
+LIVE_RULES = [{"address": "0x" + "7".rjust(40, "0")}, {"pattern": r"login1[0-9]\."}, {"pattern": r"program-3 .*api\."}]
+
 _RECORDS = """
 SELECT c_mktsegment AS source_id, c_custkey AS record_no, 'Program ' || CAST(CAST(floor(c_custkey / 3) AS BIGINT) AS VARCHAR(20)) AS name,
   CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 10 WHEN 'BUILDING' THEN 20 WHEN 'FURNITURE' THEN 30 WHEN 'HOUSEHOLD' THEN 40 ELSE 50 END AS source_priority,

@@ -20,7 +20,8 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize("name", ["dedupe_targets", "merge_rewards", "merge_flags", "merge_sets", "merge_dates", "diff_targets", "classify_change", "missing_grace", "repo_resolve", "repo_activity", "repo_profile", "scan_priority_pick",
-                                  "trap_rollup", "policy_text", "policy_rewards", "policy_restrictions", "live_activity", "evaluate_targets", "shortlist"])
+                                  "trap_rollup", "policy_text", "policy_rewards", "policy_restrictions", "live_activity", "evaluate_targets", "shortlist",
+                                  "src_snapshot_fallback", "norm_counts", "dataset_changed", "target_lifecycle", "event_log_roll", "refresh_schedule", "cache_upsert", "scan_coverage", "live_match", "override_join"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
