@@ -205,6 +205,41 @@ def test_secret_network_learns():
     assert ((m.score(x[held]) >= m.threshold) == (y[held] > 0)).mean() > 0.97
 
 
+def planted(docs=240, every=6, seed=5):
+    """Prose, of which one text in ``every`` holds a base finding; the texts after have keys that no base pattern matches, paths and numbers."""
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("aeioulnrstdm") for _ in range(r.randint(3, 9))) for _ in range(300)]
+    prose = lambda: " ".join(r.choices(vocabulary, k=40))
+    rows = [(i, prose() + (' token = "' + "".join(r.choices("0123456789abcdef", k=40)) + '" ' if i % every == 0 else f" {r.randrange(10**15, 10**16)} ") + prose()) for i in range(docs)]
+    keys, others = [], []
+    for i, letters in enumerate(["0123456789ABCDEF", "0123456789abcdefABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"] * 8):
+        keys.append("".join(r.choices(letters, k=39)) + "7")
+        others.append(r.choice([str(r.randrange(10**17, 10**18)), "/" + "/".join(r.choices(vocabulary, k=5)) + "12", "_".join(r.choices(vocabulary, k=4)) + "_3"]))
+        rows.append((docs + i, f"{prose()} {keys[-1]} {prose()} {others[-1]} {prose()}"))
+    assert not any(secret_scan.base_spans(t) for _, t in rows[docs:])
+    return rows, keys, others
+
+
+def added(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = secret_scan.scan(df, model=secret_scan.train(df)).collect()
+    text = dict(rows)
+    return [text[r.doc_id][int(a) : int(e)] for r in got for k, a, e in (x.split(":") for x in r.spans.split(",") if x) if k == "model"]
+
+
+def test_secrets_that_no_pattern_matches(spark):
+    rows, keys, others = planted()
+    got = added(spark, rows)
+    assert len(set(got) & set(keys)) >= 0.9 * len(keys)
+    assert len(set(got) - set(keys)) <= 2
+
+
+def test_rest_of_a_candidate_beside_a_base_span():
+    t = "x Zq8LmT0aKp4RwXy7Vn2B" + "0f" * 12 + "-ZZ y"
+    (s, _, e), = secret_scan.base_spans(t)
+    assert [t[a:b] for a, b in secret_scan.other_spans(t, [(s, 2, e)])] == ["Zq8LmT0aKp4RwXy7Vn2B"]
+
+
 def test_toxicity(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = toxicity.train(docs, labels)
