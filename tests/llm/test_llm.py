@@ -234,6 +234,23 @@ def test_secrets_that_no_pattern_matches(spark):
     assert len(set(got) - set(keys)) <= 2
 
 
+def test_few_secrets_in_many_texts(spark):
+    rows, keys, others = planted(docs=1200, every=600)
+    assert sum(bool(secret_scan.base_spans(t)) for _, t in rows) == 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    assert secret_scan.train(df, sample=100) is not None  # secrets are drawn from all texts
+    got = added(spark, rows)
+    assert len(set(got) & set(keys)) >= 0.9 * len(keys) and len(set(got) - set(keys)) <= 2
+
+
+def test_recall_holds():
+    m = secret_scan.CharCNN()
+    x, y = np.random.default_rng(3).integers(0, 128, (400, 80)).astype(np.uint8), np.arange(400) % 40 == 0
+    with pytest.warns(UserWarning, match="recall"):
+        m.calibrate(x, y, 0.98, 0.5)
+    assert (m.score(x)[y] >= m.threshold).all() and m.threshold < 0.5
+
+
 def test_rest_of_a_candidate_beside_a_base_span():
     t = "x Zq8LmT0aKp4RwXy7Vn2B" + "0f" * 12 + "-ZZ y"
     (s, _, e), = secret_scan.base_spans(t)
