@@ -251,6 +251,19 @@ def test_recall_holds():
     assert (m.score(x)[y] >= m.threshold).all() and m.threshold < 0.5
 
 
+def test_long_candidates_are_read_whole(spark):
+    assert [secret_scan.windows(5, 5 + n) for n in (16, 48, 49)] == [[(5, 21)], [(5, 53)], [(5, 53), (6, 54)]]
+    for n in range(16, 300):
+        got = secret_scan.windows(7, 7 + n)
+        assert all(e - a <= secret_scan.INSIDE for a, e in got) and all(any(a <= i and i + 12 <= e for a, e in got) for i in range(7, 7 + n - 12))
+    rows, keys, _ = planted()
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    path = "/".join(["", "several", "folders", "before", "the", "settings", "of", "another", "machine", "stand", "here"])
+    texts = [f"see {path}/{k} now" for k in keys] + [f"see {path}/page12 now"]
+    _, got = secret_scan.find(texts, secret_scan.train(df))
+    assert sum(map(bool, got[:-1])) >= 0.9 * len(keys) and not got[-1]
+
+
 def test_rest_of_a_candidate_beside_a_base_span():
     t = "x Zq8LmT0aKp4RwXy7Vn2B" + "0f" * 12 + "-ZZ y"
     (s, _, e), = secret_scan.base_spans(t)
