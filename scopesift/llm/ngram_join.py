@@ -19,8 +19,9 @@ their smallest member. Pairs are pruned by sizes and by parity sketches (the
 differing bits of two sketches never outnumber the differing elements), then
 verified on whole sets. Larger groups whose members end in several classes are
 compared sketch by sketch in blocks, of which only near pairs come out; groups
-over ``huge`` sets are divided first by signatures of another seed. The last
-round gives every pair that is still open, so no group is cut.
+over ``huge`` sets are divided first by signatures of another seed. In the last
+round those that are still over it are dealt out in pairs of blocks, each of
+which one task compares, so no group is cut.
 
 Sets are told by 64-bit hashes of their elements. Null texts and texts without
 words have empty sets, linked with nothing. Rows that repeat an id with another
@@ -165,24 +166,37 @@ def _blob(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, offs.buffers()[1], pa.py_buffer(np.ascontiguousarray(values).tobytes())]).cast(pa.binary())
 
 
-def near_in_group(v: np.ndarray, s: np.ndarray, bits: np.ndarray, similar: tuple[int, int], block: int = 256):
-    """Pairs of a group that sizes and sketches leave open, block by block; v: ids, s: sizes (negative: unknown), bits: sketches as rows of 64-bit words."""
+def near_in_group(v: np.ndarray, s: np.ndarray, bits: np.ndarray, similar: tuple[int, int], block: int = 256, first: np.ndarray | None = None):
+    """Pairs of a group that sizes and sketches leave open, block by block; v: ids, s: sizes (negative: unknown), bits: sketches as rows of 64-bit words. first: pairs of one set in it and one outside only."""
     up, down = similar
     order = np.argsort(s, kind="stable")
-    v, s, bits = v[order], s[order], bits[order]
-    for a in range(0, len(v), block):
-        for c in range(a, len(v), block):
-            p, q = slice(a, a + block), slice(c, c + block)
-            if s[p].min() >= 0 and down * s[p][-1] < up * s[q][0]:
+    if first is None:
+        one = two = v[order], s[order], bits[order]
+    else:
+        one, two = ((v[on], s[on], bits[on]) for on in (order[first[order]], order[~first[order]]))
+    for a in range(0, len(one[0]), block):
+        x, small, p = (z[a : a + block] for z in one)
+        for c in range(a if first is None else 0, len(two[0]), block):
+            y, large, q = (z[c : c + block] for z in two)
+            if small[0] >= 0 and down * small[-1] < up * large[0]:
                 break  # sizes ascend: all further blocks are too large
-            differ = np.zeros((len(v[p]), len(v[q])), np.int64)
+            if small[0] >= 0 and large[0] >= 0 and down * large[-1] < up * small[0]:
+                continue
+            differ = np.zeros((len(x), len(y)), np.int64)
             for k in range(bits.shape[1]):
-                differ += np.bitwise_count(bits[p, k][:, None] ^ bits[q, k][None, :])
-            small, large = s[p][:, None], s[q][None, :]
-            ok = ((down * large >= up * small) & (down * small >= up * large) & ((down + up) * differ <= (down - up) * (small + large))) | (small < 0) | (large < 0)
-            i, j = np.nonzero(ok & (v[p][:, None] != v[q][None, :]))
-            x, y = v[p][i], v[q][j]
-            yield np.minimum(x, y), np.maximum(x, y)
+                differ += np.bitwise_count(p[:, k][:, None] ^ q[:, k][None, :])
+            m, n = small[:, None], large[None, :]
+            ok = ((down * n >= up * m) & (down * m >= up * n) & ((down + up) * differ <= (down - up) * (m + n))) | (m < 0) | (n < 0)
+            i, j = np.nonzero(ok & (x[:, None] != y[None, :]))
+            yield np.minimum(x[i], y[j]), np.maximum(x[i], y[j])
+
+
+def _dealt(groups: DataFrame, huge: int) -> DataFrame:
+    """groups: g, v, n (size of the group) and more. Members for every pair of blocks i <= j of their group that their own block is in (first: it is i); groups of up to huge sets are one block."""
+    half = max(1, huge // 2)
+    own = groups.withColumn("k", F.expr(f"IF(n <= {huge}, 1, CAST(ceil(n / {half}) AS INT))")).withColumn("own", F.expr("CAST(pmod(xxhash64(v, 17L), k) AS INT)"))
+    met = own.withColumn("with", F.explode(F.expr("sequence(0, k - 1)")))
+    return met.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with")).withColumn("first", F.col("own") == F.col("i")).drop("k", "own", "with")
 
 
 def _candidates(named: DataFrame, n: int, similar, seed: int, big: int, shards: int) -> DataFrame:
@@ -294,25 +308,26 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield b.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
     def blocks(batches):
-        """Members of large groups, sorted by group; one group (of huge sets at most) is held at a time."""
+        """Members of large groups, sorted by group and pair of blocks; one pair (of about huge sets at most) is held at a time."""
         now, held = None, []
 
         def close():
             t = pa.Table.from_batches(held).combine_chunks()
-            bits = t.column(3).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
-            for x, y in near_in_group(t.column(1).to_numpy(), t.column(2).to_numpy(), bits, similar):
+            bits = t.column(6).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
+            first = None if now[1] == now[2] else t.column(5).to_numpy()
+            for x, y in near_in_group(t.column(3).to_numpy(), t.column(4).to_numpy(), bits, similar, first=first):
                 if len(x):
                     yield pa.RecordBatch.from_arrays([_arr(x), _arr(y)], names=["x", "y"])
 
         for b in batches:
-            g = b.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            key = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
             for lo, hi in zip(edges[:-1], edges[1:]):
                 if hi > lo:
-                    if held and g[lo] != now:
+                    if held and tuple(key[lo]) != now:
                         yield from close()
                         held = []
-                    now = g[lo]
+                    now = tuple(key[lo])
                     held.append(b.slice(lo, hi - lo))
         if held:
             yield from close()
@@ -359,17 +374,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_, labels = named.where("t IS NOT NULL"), None
     for r in range(rounds):
         last = r == rounds - 1
-        got = saved(_candidates(open_, n, similar, r, 2**62 if last else big, shards), "candidates")
+        got = saved(_candidates(open_, n, similar, r, big, shards), "candidates")
         pairs = got.where("g IS NULL").select("x", "y").distinct()
         near = (pairs.join(brief.toDF("x", "s", "p"), "x").join(brief.toDF("y", "z", "q"), "y")
                 .where(f"s < 0 OR z < 0 OR ({down} * least(s, z) >= {up} * greatest(s, z) AND {down + up} * {_hamming('p', 'q')} <= {down - up} * (s + z))").select("x", "y"))
         found, labels = linked(found, near)
         groups = got.where("g IS NOT NULL").selectExpr("g", "y AS v").distinct()
-        if last or groups.isEmpty():
+        if groups.isEmpty():
             break
         todo = unsettled(groups, labels)
-        compared = todo.where(F.col("n") <= huge).join(brief.toDF("v", "s", "p"), "v").select("g", "v", "s", "p").repartition("g").sortWithinPartitions("g", "v").mapInArrow(blocks, "x long, y long").distinct()
+        compared = todo if last else todo.where(F.col("n") <= huge)
+        compared = _dealt(compared, huge).join(brief.toDF("v", "s", "p"), "v").select("g", "i", "j", "v", "s", "first", "p").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "v").mapInArrow(blocks, "x long, y long").distinct()
         found, labels = linked(found, compared)
+        if last:
+            break
         divide = saved(todo.where(F.col("n") > huge).groupBy(F.col("v").alias("d")).agg(F.collect_set("g").alias("p")), "open")
         if divide.isEmpty():
             break

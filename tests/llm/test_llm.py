@@ -205,6 +205,35 @@ def test_secret_network_learns():
     assert ((m.score(x[held]) >= m.threshold) == (y[held] > 0)).mean() > 0.97
 
 
+def test_last_round_deals_large_groups_in_blocks(spark, monkeypatch):
+    rng, sizes = random.Random(8), []
+    candidates = ngram_join._candidates
+    monkeypatch.setattr(ngram_join, "_candidates", lambda named, n, similar, seed, big, shards: sizes.append(big) or candidates(named, n, similar, seed, big, shards))
+    template = [f"w{i}" for i in range(70)]
+    rows = []
+    for i in range(60):
+        own = [f"x{i // 3}y{k}" for k in range(30)]
+        own[i % 3] = f"z{i}"
+        rows.append((i, " ".join(template + own)))
+    got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), big=4, huge=8, rounds=1, shards=2).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(d, c) for d, _, c in brute_classes(rows)}
+    assert sizes == [4]  # all pairs of small groups only, in the last round too
+
+
+def test_blocks_of_a_group_meet_once(spark):
+    groups = spark.range(300).selectExpr("IF(id < 6, 1L, 2L) AS g", "id AS v", "IF(id < 6, 6L, 294L) AS n")
+    met = collections.Counter()
+    parts = collections.defaultdict(lambda: ([], []))
+    for r in ngram_join._dealt(groups, 60).collect():
+        parts[r.g, r.i, r.j][r.first].append(r.v)
+    for (g, i, j), (b, a) in parts.items():
+        assert len(a) + len(b) < 2 * 60 and (i < j or not b)
+        z = np.arange(len(a) + len(b)) < len(a)
+        for x, y in ngram_join.near_in_group(np.array(a + b), np.full(len(z), -1), np.zeros((len(z), 1), np.uint64), (75, 100), 16, z if i < j else None):
+            met.update(set(zip(x.tolist(), y.tolist())))
+    assert set(met) == {(x, y) for lo, hi in ((0, 6), (6, 300)) for x in range(lo, hi) for y in range(x + 1, hi)}
+
+
 def planted(docs=240, every=6, seed=5):
     """Prose, of which one text in ``every`` holds a base finding; the texts after have keys that no base pattern matches, paths and numbers."""
     r = random.Random(seed)
