@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from array import array
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -88,6 +92,118 @@ def few(batches, rows: int = 1_000):
 _MEMO: dict = {}
 
 
+def slices(batches, rows: int = 2_000, bytes_: int = 16 << 20, column: int = 1):
+    """Batches in slices of at most so many rows and about so many bytes of a text column (a longer text is a slice by itself)."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        size = pa.compute.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.maximum(np.arange(b.num_rows) // rows, np.cumsum(size) // bytes_)
+        at = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(at[:-1], at[1:]):
+            yield b.slice(lo, hi - lo)
+
+
+class Lexicon:
+    """Token ids of texts as the word-end BPE model gives them, by distinct words of a batch.
+
+    Arrow divides a batch at spaces and numbers its distinct words; only those
+    are looked up, and the ids of all texts are gathered by numpy. A new word of
+    plain letters, digits and marks is divided as the model's own pattern
+    divides it, so that its pieces, far fewer than words, are remembered too; the
+    library's model encodes each new piece. All other words go to the library whole, divided by a special token.
+    About ``limit`` words are kept; then all are forgotten.
+    """
+
+    #: ASCII, line ends and the letters of Latin-1: in normal form as they stand, lower case by one character each.
+    PLAIN = re.compile("[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    #: Fixed value: the model's pattern, for lower-case text of PLAIN.
+    PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\na-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+    def __init__(self, path: str, special: str, limit: int):
+        from tokenizers import Tokenizer
+
+        self.tok, self.special, self.limit = Tokenizer.from_file(path), special, limit
+        self.cut = self.tok.token_to_id(special)
+        # how the model writes the bytes of each letter, as its own pre-tokenizer tells
+        self.bytes = {c: self.tok.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self._forget()
+
+    @classmethod
+    def of(cls, path: str, special: str = "<|endoftext|>", limit: int = 600_000) -> "Lexicon":
+        """One for each Python worker and setting."""
+        key = (path, special, limit)
+        if key not in _MEMO:
+            _MEMO[key] = cls(*key)
+        return _MEMO[key]
+
+    def _forget(self) -> None:
+        self.words, self.pieces = {}, {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+
+    def _add(self, words: list[str], raws: list[bytes]) -> None:
+        ids, first = np.frombuffer(b"".join(raws), np.uint32), len(self.words)
+        size = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        while first + len(words) > len(self.start):
+            self.start, self.size = (np.append(x, np.zeros_like(x)) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.size[first : first + len(words)] = size
+        self.start[first : first + len(words)] = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+        self.words.update(zip(words, range(first, first + len(words))))
+
+    def learn(self, words: list[str]) -> None:
+        new = [w for w in words if w not in self.words]
+        if len(self.words) + len(new) > self.limit and self.words:
+            self._forget()
+            new = words
+        plain = [w for w in new if self.PLAIN.fullmatch(w) and "<|" not in w]
+        if len(plain) < len(new):
+            have = set(plain)
+            odd = [w for w in new if w not in have]
+            alone = [w for w in odd if self.special in w]
+            self._add(alone, [self._encode(w).tobytes() for w in alone])
+            odd = [w for w in odd if self.special not in w]
+            for i in range(0, len(odd), 4_096):
+                some = odd[i : i + 4_096]
+                ids = self._encode(self.special.join(some))
+                at = np.flatnonzero(ids == self.cut)
+                if len(at) != len(some) - 1:
+                    raise ValueError("a special token was not split off")
+                self._add(some, [x[x != self.cut].tobytes() for x in np.split(ids, at)])
+        for i in range(0, len(plain), 50_000):
+            some = plain[i : i + 50_000]
+            cut = [self.PIECE.findall(w.lower()) for w in some]
+            self._learn_pieces({p for c in cut for p in c if p not in self.pieces})
+            get = self.pieces.__getitem__
+            self._add(some, [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut])
+
+    def _learn_pieces(self, new: set[str]) -> None:
+        model, pieces = self.tok.model.tokenize, self.pieces
+        for p in new:
+            pieces[p] = array("I", [t.id for t in model(p if p.isascii() else p.translate(self.bytes))]).tobytes()
+
+    def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row (unsigned 32 bits), end_id after each text, and where each text's ids end. Null: as empty."""
+        lists = pa.compute.split_pattern(texts.fill_null(""), " ")
+        offs = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self.learn(words)
+        entry = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        size = self.size[entry]
+        end = np.cumsum(size)
+        out = self.flat[np.repeat(self.start[entry] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)]
+        stop = np.append(0, end)[offs[1:] - offs[0]]
+        return np.insert(out, stop, end_id), stop + np.arange(1, len(stop) + 1)
+
+
 class Memo(dict):
     """Token ids of space-separated parts of texts, as a tokenizers model gives them.
 

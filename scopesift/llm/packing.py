@@ -24,20 +24,19 @@ from __future__ import annotations
 import bisect
 import zlib
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from ._spark import table
-from ._text import Memo
+from ._spark import ship, table
+from ._text import Lexicon, slices
 
 TIERS = (512, 1024, 2048, 4096)
 
 
 class Packer:
-    """Packs (document row, ids) of one task. A piece is (row, first id's place, ids as bytes)."""
+    """Packs (document row, ids) of one task. A piece is (row, first id's place, ids as bytes, four an id)."""
 
     def __init__(self, tiers=TIERS, step_tokens: int = 65_536):
         self.tiers, self.step_tokens = sorted(tiers), step_tokens
@@ -47,7 +46,7 @@ class Packer:
         self.sequence = self.step = self.in_step = 0
 
     def _put(self, piece: tuple) -> None:
-        n = len(piece[2]) // 2
+        n = len(piece[2]) // 4
         at = bisect.bisect_left(self.sizes, n)
         self.sizes.insert(at, n)
         self.left.insert(at, piece)
@@ -63,7 +62,7 @@ class Packer:
     @staticmethod
     def _cut(piece: tuple, n: int) -> tuple[tuple, tuple]:
         row, start, raw = piece
-        return (row, start, raw[: 2 * n]), (row, start + n, raw[2 * n :])
+        return (row, start, raw[: 4 * n]), (row, start + n, raw[4 * n :])
 
     def _fill(self, size: int) -> list[tuple]:
         """A sequence of exactly ``size`` ids from the leftovers, which hold that many."""
@@ -75,19 +74,19 @@ class Packer:
                 piece, rest = self._cut(piece, gap)
                 self._put(rest)
             got.append(piece)
-            gap -= len(piece[2]) // 2
+            gap -= len(piece[2]) // 4
         return got
 
     def pack(self, docs, last: bool = False):
         """docs: (row, ids as bytes). Yields (sequence, tier, step, pieces) for the sequences that this closes."""
         closed = []
         for row, raw in docs:
-            n = len(raw) // 2
+            n = len(raw) // 4
             for at in range(0, n - self.top + 1, self.top):
-                closed.append((self.top, [(row, at, raw[2 * at : 2 * (at + self.top)])]))
+                closed.append((self.top, [(row, at, raw[4 * at : 4 * (at + self.top)])]))
             if n % self.top:
                 at = n - n % self.top
-                self._put((row, at, raw[2 * at :]))
+                self._put((row, at, raw[4 * at :]))
         total = sum(self.sizes)
         for tier in reversed(self.tiers):
             under = self.tiers[self.tiers.index(tier) - 1] if tier > self.tiers[0] else 0
@@ -108,13 +107,15 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model: str | None = None, end_id: int = 2,
-                   special: str = "<|endoftext|>", tiers=TIERS, step_tokens: int = 65_536, memo: int = 1_000_000) -> DataFrame:
-    """One row per piece; ids holds the piece's ids as little-endian unsigned 16-bit integers."""
+                   special: str = "<|endoftext|>", tiers=TIERS, step_tokens: int = 65_536, memo: int = 600_000, with_ids: bool = True) -> DataFrame:
+    """One row per piece; ids holds the piece's ids as little-endian unsigned 32-bit integers (left out unless with_ids)."""
+    ship(docs.sparkSession)
     path = model or public_tokenizers.path("word_bpe_49k.json")
-    tail = np.array([end_id], dtype="<u2").tobytes()
+    schema = PIECES if with_ids else PIECES.removesuffix(", ids binary")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        words, packer = Memo.of(path, special, limit=memo), Packer(tiers, step_tokens)
+        words, packer = Lexicon.of(path, special, memo), Packer(tiers, step_tokens)
         base = TaskContext.get().partitionId() << 32
 
         def rows(sequences):
@@ -122,23 +123,25 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for seq, tier, step, pieces in sequences:
                 offset = 0
                 for (doc, n), start, raw in pieces:
-                    k = len(raw) // 2
-                    out.append((doc, start, k, zlib.crc32(np.frombuffer(raw, "<u2").astype("<u4")), n, base + seq, offset, tier, base + step, raw))
+                    k = len(raw) // 4
+                    out.append((doc, start, k, zlib.crc32(raw), n, base + seq, offset, tier, base + step, raw))
                     offset += k
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 9 else pa.int64()) for i, c in enumerate(zip(*out))], names=[x.split()[0] for x in PIECES.split(", ")]) if out else None
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, zip(*out))], names=names)
 
-        for b in batches:
-            cut = [[] if not x else x.split(" ") for x in b.column(1).to_pylist()]
-            words.learn({w for p in cut for w in p})
-            get = words.__getitem__
-            raws = [b"".join(map(get, p)) + tail for p in cut]
-            if (got := rows(packer.pack(((doc, len(raw) // 2), raw) for doc, raw in zip(b.column(0).to_pylist(), raws)))) is not None:
-                yield got
-        if (got := rows(packer.pack((), last=True))) is not None:
-            yield got
+        def documents(b):
+            ids, ends = words.ids(b.column(1), end_id)
+            raw, start = ids.astype("<u4").tobytes(), 0
+            for doc, end in zip(b.column(0).to_pylist(), ends.tolist()):
+                yield (doc, end - start), raw[4 * start : 4 * end]
+                start = end
 
-    return docs.selectExpr(f"cast(`{id_col}` AS long) AS i", f"`{text_col}` AS t").mapInArrow(run, PIECES)
+        for b in slices(batches):
+            yield from rows(packer.pack(documents(b)))
+        yield from rows(packer.pack((), last=True))
+
+    return docs.selectExpr(f"cast(`{id_col}` AS long) AS i", f"`{text_col}` AS t").mapInArrow(run, schema)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents")).drop("ids")
+    return pack_documents(table(spark, sf_dir, "documents"), with_ids=False)

@@ -8,15 +8,15 @@ A data file is a row of frames; a frame is
     masked checksum of the payload, unsigned 32 bits
 
 and a payload is the document id (signed 64 bits; a null id is the least
-value) and the token ids, 16 bits each where the vocabulary allows it, else
-32. A checksum is crc32, turned right by 15 bits, plus a constant, so that a
+value) and the token ids, 16 bits each where the model's vocabulary and the end
+id allow it, else 32; the manifest tells which. A checksum is crc32, turned right by 15 bits, plus a constant, so that a
 checksum stored inside checked data does no harm. The index beside a data file
 holds per record the frame's offset, the document id and the number of ids of
 this file before it (three 64-bit integers), so records can be read in any
 order.
 
-Files hold documents in ascending id order (equal ids: by text) and follow one
-another in that order. Each attempt of a task writes files under a name of its
+Files hold documents in ascending id order (equal ids: by a hash of the text,
+so that even they are dealt over many files) and follow one another in that order. Each attempt of a task writes files under a name of its
 own; only the files of attempts whose rows came back are listed in the
 manifest (a few numbers a file), so lost executors and repeated tasks do no
 harm. Null and empty texts hold the end id alone; an empty table gives no file.
@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import shared_dir, table
-from ._text import Memo
+from ._spark import shared_dir, ship, table
+from ._text import Lexicon, slices
 
 # Fixed values of the format.
 MASK_DELTA = 0xA282EAD8
 NULL_ID = -(2**63)
 
-MANIFEST = "first_id long, last_id long, name string, n_docs long, n_tokens long, n_bytes long"
+MANIFEST = "first_id long, first_hash long, last_id long, last_hash long, name string, n_docs long, n_tokens long, n_bytes long, width long"
 
 
 def masked(data: bytes) -> int:
@@ -73,44 +73,47 @@ def store(uri: str):
 
 
 def write_records(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str = "text", *, model: str | None = None,
-                  end_id: int = 1, special: str = "<|endoftext|>", memo: int = 1_000_000) -> list[dict]:
+                  end_id: int = 1, special: str = "<|endoftext|>", memo: int = 600_000) -> list[dict]:
     """Encode, append end_id and write; returns the manifest, one dict a file in id order.
 
     The manifest has a row for each file, not for each document.
     """
+    ship(docs.sparkSession)
     path = model or public_tokenizers.path("word_bpe_49k.json")
-    tail = np.array([end_id], dtype="<u2").tobytes()
 
     def run(batches):
-        words = Memo.of(path, special, limit=memo)
+        words = Lexicon.of(path, special, memo)
+        width = 2 if max(words.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         fs, root = store(to)
-        name, out, index, offset, tokens, ids = f"part-{uuid.uuid4().hex}", None, [], 0, 0, []
-        for b in batches:
-            cut = [[] if not x else x.split(" ") for x in b.column(1).to_pylist()]
-            words.learn({w for p in cut for w in p})
-            get = words.__getitem__
-            for doc, p in zip(b.column(0).to_pylist(), cut):
-                if out is None:
-                    out = fs.open_output_stream(f"{root}/{name}.rec")
+        name, out, index, offset, tokens = f"part-{uuid.uuid4().hex}", None, [], 0, 0
+        for b in slices(batches):
+            ids, ends = words.ids(b.column(1), end_id)
+            raw, start = ids.astype(f"<u{width}").tobytes(), 0
+            hashes = b.column(2).to_pylist()
+            if out is None:
+                out, first = fs.open_output_stream(f"{root}/{name}.rec"), hashes[0]
+            for doc, end in zip(b.column(0).to_pylist(), ends.tolist()):
                 doc = NULL_ID if doc is None else doc
-                raw = b"".join(map(get, p)) + tail
-                f = frame(doc.to_bytes(8, "little", signed=True) + raw)
+                f = frame(doc.to_bytes(8, "little", signed=True) + raw[width * start : width * end])
                 index.append((offset, doc, tokens))
                 out.write(f)
                 offset += len(f)
-                tokens += len(raw) // 2
+                tokens += end - start
+                start = end
+            last = hashes[-1]
         if out is None:
             return
         out.close()
         with fs.open_output_stream(f"{root}/{name}.idx") as x:
             x.write(np.asarray(index, dtype="<i8").tobytes())
-        row = {"first_id": [index[0][1]], "last_id": [index[-1][1]], "name": [name], "n_docs": [len(index)], "n_tokens": [tokens], "n_bytes": [offset]}
-        yield pa.RecordBatch.from_pydict(row, schema=pa.schema([(k, pa.string() if k == "name" else pa.int64()) for k in row]))
+        row = (index[0][1], first, index[-1][1], last, name, len(index), tokens, offset, width)
+        names = [x.split()[0] for x in MANIFEST.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.string() if k == "name" else pa.int64()) for k, x in zip(names, row)], names=names)
 
     fs, root = store(to)
     fs.create_dir(root, recursive=True)
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).repartitionByRange("i").sortWithinPartitions("i", "t")
-    found = sorted((r.asDict() for r in rows.mapInArrow(run, MANIFEST).collect()), key=lambda r: (r["first_id"], r["last_id"]))
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).repartitionByRange("i", "h").sortWithinPartitions("i", "h")
+    found = sorted((r.asDict() for r in rows.mapInArrow(run, MANIFEST).collect()), key=lambda r: (r["first_id"], r["first_hash"], r["last_id"], r["last_hash"]))
     start = 0
     for r in found:
         r["start"] = start
@@ -118,13 +121,19 @@ def write_records(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: st
     return found
 
 
-def read_records(spark: SparkSession, at: str, manifest: list[dict], width: int = 2) -> DataFrame:
-    """Every record of the files, checked: doc_id, start, n_tokens, ids_crc32, ids (little-endian unsigned 32-bit integers)."""
+RECORDS = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
+
+
+def read_records(spark: SparkSession, at: str, manifest: list[dict], with_ids: bool = True) -> DataFrame:
+    """Every record of the files, checked: doc_id, start, n_tokens, ids_crc32, ids (little-endian unsigned 32-bit integers; left out unless with_ids)."""
+    ship(spark)
+    schema = RECORDS if with_ids else RECORDS.removesuffix(", ids binary")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         fs, root = store(at)
         for b in batches:
-            for name, base in zip(*(c.to_pylist() for c in b.columns)):
+            for name, base, width in zip(*(c.to_pylist() for c in b.columns)):
                 index = np.frombuffer(fs.open_input_stream(f"{root}/{name}.idx").read(), dtype="<i8").reshape(-1, 3)
                 with fs.open_input_file(f"{root}/{name}.rec") as f:
                     ends = np.append(index[1:, 0], f.size())
@@ -140,20 +149,19 @@ def read_records(spark: SparkSession, at: str, manifest: list[dict], width: int
                             if doc != index[k, 1]:
                                 raise ValueError(f"index and record {k} of {name} differ")
                             ids = np.frombuffer(payload, dtype=f"<u{width}", offset=8).astype("<u4")
-                            rows.append((None if doc == NULL_ID else doc, base + int(index[k, 2]), len(ids), zlib.crc32(ids), ids.tobytes()))
-                        cols = list(zip(*rows))
-                        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                            rows.append((None if doc == NULL_ID else doc, base + int(index[k, 2]), len(ids), zlib.crc32(ids), *([ids.tobytes()] if with_ids else [])))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, zip(*rows))], names=names)
 
-    files = spark.createDataFrame([(r["name"], r["start"]) for r in manifest], "name string, start long")
-    return files.repartition(max(1, len(manifest))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    files = spark.createDataFrame([(r["name"], r["start"], r["width"]) for r in manifest], "name string, start long, width long")
+    return files.repartition(max(1, len(manifest))).mapInArrow(run, schema)
 
 
-def read_shuffled(at: str, manifest: list[dict], seed: int, epoch: int = 0, width: int = 2):
+def read_shuffled(at: str, manifest: list[dict], seed: int, epoch: int = 0):
     """Records in an order drawn from (seed, epoch), by the index alone: for a training loader. Yields (doc_id, ids)."""
     fs, root = store(at)
     rng = np.random.default_rng([seed, epoch])
     for k in rng.permutation(len(manifest)):
-        name = manifest[k]["name"]
+        name, width = manifest[k]["name"], manifest[k]["width"]
         index = np.frombuffer(fs.open_input_stream(f"{root}/{name}.idx").read(), dtype="<i8").reshape(-1, 3)
         with fs.open_input_file(f"{root}/{name}.rec") as f:
             ends = np.append(index[1:, 0], f.size())
@@ -167,4 +175,4 @@ def read_shuffled(at: str, manifest: list[dict], seed: int, epoch: int = 0, widt
 def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = shared_dir(spark, "records")
     manifest = write_records(table(spark, sf_dir, "documents"), to)
-    return read_records(spark, to, manifest).drop("ids")
+    return read_records(spark, to, manifest, with_ids=False)
