@@ -9,8 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,11 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """A new path in the shared folder of spark.checkpoint.dir. Where that is unset a local folder serves a local master only (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        base = _LOCAL[context.applicationId]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -50,4 +54,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes what ``saved`` wrote, once nothing reads it any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

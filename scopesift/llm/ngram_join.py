@@ -13,19 +13,22 @@ many empty parts for the count above also sends each of its elements as a
 signature; if only one of two sets is such, its partner's count still holds, if
 both are, they share an element. So no similar pair is missed.
 
-Equal sets are one class from the start. Signatures are gathered per shard;
-groups of up to ``big`` sets give all pairs, larger ones give the pairs with
-their smallest member. Pairs are pruned by sizes and by parity sketches (the
-differing bits of two sketches never outnumber the differing elements), then
-verified on whole sets. Larger groups whose members end in several classes are
-compared sketch by sketch in blocks, of which only near pairs come out; groups
-over ``huge`` sets are divided first by signatures of another seed. In the last
-round those that are still over it are dealt out in pairs of blocks, each of
-which one task compares, so no group is cut.
+Equal sets are one node from the start. Signatures are gathered per shard. The
+members of a signature's group all go to the group's hub, its first member in a
+hashed order; groups that overlap mostly share their hub, so a set goes to few
+hubs however many signatures it shares. Inside a hub every two sets are looked
+at in one task, block by block: first sizes and parity sketches (the differing
+bits of two sketches never outnumber the differing elements) tell which sets
+may have a partner at all; only those are sent on as whole sets, which are
+compared exactly and joined at once, so a hub of n sets gives n - 1 links at
+most and never its pairs. Hubs over ``block`` sets are dealt out as pairs of
+blocks over many tasks. Those over ``huge`` sets are divided before by
+signatures of another seed, in ``rounds`` at most; no group is cut.
 
 Sets are told by 64-bit hashes of their elements. Null texts and texts without
 words have empty sets, linked with nothing. Rows that repeat an id with another
-text are told apart by text; their row takes the smallest class of the id.
+text are told apart by text and linked by their id. An empty table gives an
+empty result; null ids are one id; columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -35,14 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import saved, table
+from ._spark import drop, saved, ship, table
 from ._text import Words, few, mix, runs
 from .components import components
 
 NULL_ID = -(2**63)
 SKETCH_BITS = 1024
-#: For pairs of sets that together hold over WIDE_FROM elements, whose short sketches say little.
-WIDE_BITS, WIDE_FROM = 16_384, 1_000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,35 +126,32 @@ def sketch(doc: np.ndarray, h: np.ndarray, n_docs: int, width: int = SKETCH_BITS
     return np.packbits(odd.reshape(n_docs, width), axis=1)
 
 
-def pairs_of(sig: np.ndarray, d: np.ndarray, big: int):
-    """Pairs of ids that share a signature (smallest with all others in groups over big), and the members of those groups."""
-    order = np.lexsort((d, sig))
+def set_keys(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
+    """64 bits for each set, equal for equal sets."""
+    out = np.bincount(doc, minlength=n_docs).astype(np.uint64)
+    np.add.at(out, doc, mix(h))
+    return mix(out)
+
+
+def hubs_of(sig: np.ndarray, d: np.ndarray, named: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hub and member of each group of ids that share a signature, once each. named: a group is called by its members instead."""
+    order = np.lexsort((mix(d.view(np.uint64)), sig))
     sig, d = sig[order], d[order]
     keep = np.ones(len(sig), bool)
     keep[1:] = (sig[1:] != sig[:-1]) | (d[1:] != d[:-1])
     sig, d = sig[keep], d[keep]
     at = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
     n = np.diff(np.append(at, len(sig)))
-    xs, ys = [], []
-    for g in np.unique(n[(n > 1) & (n <= big)]).tolist():
-        i, j = np.triu_indices(g, 1)
-        start = at[n == g][:, None]
-        xs.append(d[start + i].ravel())
-        ys.append(d[start + j].ravel())
-    large = np.flatnonzero(n > big)
-    rows = np.repeat(large, n[large])
-    member = np.arange(len(rows)) - np.repeat(np.cumsum(n[large]) - n[large], n[large]) + at[rows]
-    xs.append(d[at[rows]])
-    ys.append(d[member])
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    on = x != y
-    both = np.unique(np.stack([x[on], y[on]]), axis=1)
-    # a large group is named by its members, and told once
-    name = np.zeros(len(large), np.uint64)
-    np.add.at(name, np.repeat(np.arange(len(large)), n[large]), mix(d[member].view(np.uint64) * np.uint64(3)))
-    named, once = np.unique(mix(name), return_index=True)
-    keep = np.isin(np.repeat(np.arange(len(large)), n[large]), once)
-    return both[0], both[1], np.repeat(mix(name), n[large])[keep], d[member][keep]
+    of = np.repeat(np.arange(len(at)), n)
+    if named:
+        name = np.zeros(len(at), np.uint64)
+        np.add.at(name, of, mix(d.view(np.uint64) * np.uint64(3)))
+        hub = mix(name).view(np.int64)
+    else:
+        hub = d[at]
+    on = (n > 1)[of]
+    both = np.unique(np.stack([hub[of[on]], d[on]]), axis=1)
+    return both[0], both[1]
 
 
 def _arr(x: np.ndarray, kind=pa.int64()) -> pa.Array:
@@ -166,51 +164,117 @@ def _blob(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, offs.buffers()[1], pa.py_buffer(np.ascontiguousarray(values).tobytes())]).cast(pa.binary())
 
 
-def near_in_group(v: np.ndarray, s: np.ndarray, bits: np.ndarray, similar: tuple[int, int], block: int = 256, first: np.ndarray | None = None):
-    """Pairs of a group that sizes and sketches leave open, block by block; v: ids, s: sizes (negative: unknown), bits: sketches as rows of 64-bit words. first: pairs of one set in it and one outside only."""
+def near_members(size: np.ndarray, bits: np.ndarray, first: np.ndarray | None, similar: tuple[int, int], block: int = 256) -> np.ndarray:
+    """Which sets have a partner that sizes and sketches leave open. bits: sketches as rows of 64-bit words. first: only partners on the other side of it count."""
     up, down = similar
-    order = np.argsort(s, kind="stable")
-    if first is None:
-        one = two = v[order], s[order], bits[order]
-    else:
-        one, two = ((v[on], s[on], bits[on]) for on in (order[first[order]], order[~first[order]]))
-    for a in range(0, len(one[0]), block):
-        x, small, p = (z[a : a + block] for z in one)
-        for c in range(a if first is None else 0, len(two[0]), block):
-            y, large, q = (z[c : c + block] for z in two)
-            if small[0] >= 0 and down * small[-1] < up * large[0]:
+    order = np.argsort(size, kind="stable")
+    size, bits, out = size[order], bits[order], np.zeros(len(size), bool)
+    side = None if first is None else first[order]
+    for a in range(0, len(size), block):
+        small, p = size[a : a + block], bits[a : a + block]
+        for c in range(a, len(size), block):
+            large, q = size[c : c + block], bits[c : c + block]
+            if down * small[-1] < up * large[0]:
                 break  # sizes ascend: all further blocks are too large
-            if small[0] >= 0 and large[0] >= 0 and down * large[-1] < up * small[0]:
+            if out[a : a + block].all() and out[c : c + block].all():
                 continue
-            differ = np.zeros((len(x), len(y)), np.int64)
+            m, n = small[:, None], large[None, :]
+            ok = (down * m >= up * n) & (down * n >= up * m)
+            if side is not None:
+                ok &= side[a : a + block][:, None] != side[c : c + block][None, :]
+            if a == c:
+                np.fill_diagonal(ok, False)
+            if not ok.any():
+                continue
+            differ = np.zeros(ok.shape, np.int64)
             for k in range(bits.shape[1]):
                 differ += np.bitwise_count(p[:, k][:, None] ^ q[:, k][None, :])
-            m, n = small[:, None], large[None, :]
-            ok = ((down * n >= up * m) & (down * m >= up * n) & ((down + up) * differ <= (down - up) * (m + n))) | (m < 0) | (n < 0)
-            i, j = np.nonzero(ok & (x[:, None] != y[None, :]))
-            yield np.minimum(x[i], y[j]), np.maximum(x[i], y[j])
+            ok &= (down + up) * differ <= (down - up) * (m + n)
+            out[a : a + block] |= ok.any(1)
+            out[c : c + block] |= ok.any(0)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
 
 
-def _dealt(groups: DataFrame, huge: int) -> DataFrame:
-    """groups: g, v, n (size of the group) and more. Members for every pair of blocks i <= j of their group that their own block is in (first: it is i); groups of up to huge sets are one block."""
-    half = max(1, huge // 2)
-    own = groups.withColumn("k", F.expr(f"IF(n <= {huge}, 1, CAST(ceil(n / {half}) AS INT))")).withColumn("own", F.expr("CAST(pmod(xxhash64(v, 17L), k) AS INT)"))
+def links_of(sets: list[np.ndarray], first: np.ndarray | None, similar: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links that join the sets as all pairs of similar sets do, one fewer than the sets at most. first: only pairs of a set on each side of it."""
+    up, down = similar
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.argsort(size, kind="stable")
+    size = size[order]
+    flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+    stop = np.cumsum(size)
+    start = stop - size
+    bits = sketch(np.repeat(np.arange(len(size)), size), flat.astype(np.uint64), len(size)).view("<u8")
+    side = None if first is None else first[order]
+    cls, mark, out = np.arange(len(size)), np.zeros(int(flat.max()) + 1, bool), []
+    for a in range(len(size)):
+        most = int(np.searchsorted(size, down * size[a] // up, side="right"))
+        on = cls[a + 1 : most] != cls[a]
+        if side is not None:
+            on &= side[a + 1 : most] != side[a]
+        y = np.flatnonzero(on) + a + 1
+        if not len(y):
+            continue
+        differ = np.bitwise_count(bits[y] ^ bits[a]).sum(1, dtype=np.int64)
+        y = y[(down + up) * differ <= (down - up) * (size[y] + size[a])]
+        mark[flat[start[a] : stop[a]]] = True
+        for part in np.split(y, np.flatnonzero(np.diff(np.cumsum(size[y]) // 1_000_000)) + 1):
+            part = part[cls[part] != cls[a]]
+            if len(part):
+                n = size[part]
+                ends = np.cumsum(n)
+                same = np.add.reduceat(mark[flat[np.repeat(start[part] - (ends - n), n) + np.arange(int(ends[-1]))]], ends - n, dtype=np.int64)
+                yes = part[down * same >= up * (size[a] + n - same)]
+                classes, lead = np.unique(cls[yes], return_index=True)
+                out += [(int(order[a]), int(order[i])) for i in yes[lead]]
+                if len(classes):
+                    cls[np.isin(cls, classes)] = cls[a]
+        mark[flat[start[a] : stop[a]]] = False
+    return out
+
+
+def _dealt(members: DataFrame, block: int, weight: int) -> DataFrame:
+    """members: g, key, s (size of the set) and more. Each for every pair of blocks i <= j of its group that its own block is in (first: it is i). A block holds about ``block`` sets and ``weight`` elements."""
+    n = members.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("s") / weight)).cast("int").alias("k"))
+    own = members.join(n, "g").withColumn("own", F.expr("CAST(pmod(xxhash64(key, 17L), k) AS INT)"))
     met = own.withColumn("with", F.explode(F.expr("sequence(0, k - 1)")))
     return met.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with")).withColumn("first", F.col("own") == F.col("i")).drop("k", "own", "with")
 
 
-def _candidates(named: DataFrame, n: int, similar, seed: int, big: int, shards: int) -> DataFrame:
-    """named: d, t, and p (array of group numbers) if groups are being divided. Rows: g null: a pair x, y; else set y is in the large group g."""
+def _per_block(batches, close):
+    """Rows sorted by g, i, j; one pair of blocks is held at a time and given to ``close`` as a table and its ``first`` (None inside one block)."""
+    now, held = None, []
+
+    def end():
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield from close(t, None if now[1] == now[2] else t.column("first").to_numpy())
+
+    for b in batches:
+        key = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if hi > lo:
+                if held and tuple(key[lo]) != now:
+                    yield from end()
+                    held = []
+                now = tuple(key[lo])
+                held.append(b.slice(lo, hi - lo))
+    if held:
+        yield from end()
+
+
+def _groups(named: DataFrame, n: int, similar, seed: int, shards: int) -> DataFrame:
+    """named: d, t, and p (array of group numbers) if groups are being divided. Rows: g (the hub, or the group's number if groups are divided), v."""
     divided = "p" in named.columns
 
     def send(batches):
         for b in few(batches, 500):
             ids = b.column(0).to_numpy()
             doc, h = shingle_sets(b.column(1), n)
-            keys = np.zeros(len(ids), np.uint64)
-            np.add.at(keys, doc, mix(h))
-            _, lead = np.unique(np.stack([keys, np.bincount(doc, minlength=len(ids)).astype(np.uint64)]), axis=1, return_index=True)
             if not divided:  # of equal sets in a batch one stands for all
+                _, lead = np.unique(set_keys(doc, h, len(ids)), return_index=True)
                 on = np.isin(doc, lead)
                 doc, h = doc[on], h[on]
             s, sig = signatures(doc, h, len(ids), similar, seed)
@@ -236,15 +300,14 @@ def _candidates(named: DataFrame, n: int, similar, seed: int, big: int, shards:
             low = (sig & np.uint64((1 << 48) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             yield pa.RecordBatch.from_arrays([_arr(shard[at]), _blob(low, ends), _blob(ids[s[first]].astype("<i8"), who), _blob(times, who)], names=["shard", "sig", "ids", "times"])
 
-    def close(shard, rows):
+    def close(rows):
         low = np.frombuffer(b"".join(r for r, _, _ in rows), np.uint8).reshape(-1, 6)
         sig = np.zeros((len(low), 8), np.uint8)
         sig[:, :6] = low
         ids = np.repeat(np.frombuffer(b"".join(w for _, w, _ in rows), "<i8"), np.frombuffer(b"".join(t for _, _, t in rows), "<u4"))
-        x, y, g, m = pairs_of(sig.view("<u8").ravel(), ids, big)
-        for lo in range(0, max(len(x), len(g)), 100_000):
-            a, c, e, f = (v[lo : lo + 100_000] for v in (x, y, g, m))
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(len(a), pa.int64()), _arr(e)]), pa.concat_arrays([_arr(a), pa.nulls(len(e), pa.int64())]), _arr(np.append(c, f))], names=["g", "x", "y"])
+        g, v = hubs_of(sig.view("<u8").ravel(), ids, divided)
+        for lo in range(0, len(g), 100_000):
+            yield pa.RecordBatch.from_arrays([_arr(g[lo : lo + 100_000]), _arr(v[lo : lo + 100_000])], names=["g", "v"])
 
     def gather(batches):
         """Rows arrive sorted by shard; one shard at a time is held."""
@@ -252,153 +315,94 @@ def _candidates(named: DataFrame, n: int, similar, seed: int, big: int, shards:
         for b in batches:
             for shard, *row in zip(*(c.to_pylist() for c in b.columns)):
                 if shard != now and rows:
-                    yield from close(now, rows)
+                    yield from close(rows)
                     rows = []
                 now = shard
                 rows.append(row)
         if rows:
-            yield from close(now, rows)
-
-    import pyarrow.compute  # noqa: F401
+            yield from close(rows)
 
     sent = named.mapInArrow(send, "shard long, sig binary, ids binary, times binary").repartition(shards, "shard").sortWithinPartitions("shard")
-    return sent.mapInArrow(gather, "g long, x long, y long")
+    return sent.mapInArrow(gather, "g long, v long").distinct()
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, similar: tuple[int, int] = (75, 100),
-                    big: int = 48, huge: int = 20_000, rounds: int = 3, shards: int | None = None) -> DataFrame:
+                    block: int = 4_000, weight: int = 3_000_000, huge: int = 40_000, rounds: int = 2, shards: int | None = None) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable by links). shards: four times the session's shuffle partitions if not given."""
     spark = docs.sparkSession
+    ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    up, down = similar
     shards = shards or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("d"), F.col(text_col).alias("t"))
 
     def describe(batches):
         for b in few(batches):
-            ids = b.column(0)
             doc, h = shingle_sets(b.column(1), n)
-            key = np.zeros(len(ids), np.uint64)
-            np.add.at(key, doc, mix(h))
-            sk = sketch(doc, h, len(ids))
-            yield pa.RecordBatch.from_arrays([ids, _arr(np.bincount(doc, minlength=len(ids))), _arr(key), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * (SKETCH_BITS // 64), pa.int32()), _arr(sk.view("<u8").ravel().copy()))], names=["d", "s", "key", "sketch"])
+            sk = sketch(doc, h, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), _arr(np.bincount(doc, minlength=b.num_rows)), _arr(set_keys(doc, h, b.num_rows)), _blob(sk, np.arange(1, b.num_rows + 1))], names=["d", "s", "key", "sketch"])
 
-    def sets(batches):
+    def whole(batches):
         for b in few(batches):
             doc, h = shingle_sets(b.column(1), n)
-            yield pa.RecordBatch.from_arrays([b.column(0), _blob(h.astype("<u8"), np.cumsum(np.bincount(doc, minlength=b.num_rows)))], names=["d", "set"])
-
-    def wide(batches):
-        for b in few(batches, 200):
-            doc, h = shingle_sets(b.column(1), n)
-            yield pa.RecordBatch.from_arrays([b.column(0), _arr(np.bincount(doc, minlength=b.num_rows)), _blob(sketch(doc, h, b.num_rows, WIDE_BITS), np.arange(1, b.num_rows + 1))], names=["d", "n", "sketch"])
-
-    def still(batches):
-        for b in few(batches):
-            k, p, q = b.column(2).to_numpy(), *(np.frombuffer(b"".join(b.column(i).to_pylist()), "<u8").reshape(b.num_rows, -1) for i in (3, 4))
-            yield b.select(["x", "y"]).filter(pa.array((down + up) * np.bitwise_count(p ^ q).sum(1, dtype=np.int64) <= (down - up) * k))
-
-    def verify(batches):
-        for b in batches:
-            ok = []
-            for p, q in zip(b.column(2), b.column(3)):
-                p, q = np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8")
-                same = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(down * same >= up * (len(p) + len(q) - same))
-            yield b.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
-
-    def blocks(batches):
-        """Members of large groups, sorted by group and pair of blocks; one pair (of about huge sets at most) is held at a time."""
-        now, held = None, []
-
-        def close():
-            t = pa.Table.from_batches(held).combine_chunks()
-            bits = t.column(6).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, -1)
-            first = None if now[1] == now[2] else t.column(5).to_numpy()
-            for x, y in near_in_group(t.column(3).to_numpy(), t.column(4).to_numpy(), bits, similar, first=first):
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([_arr(x), _arr(y)], names=["x", "y"])
-
-        for b in batches:
-            key = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
-            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                if hi > lo:
-                    if held and tuple(key[lo]) != now:
-                        yield from close()
-                        held = []
-                    now = tuple(key[lo])
-                    held.append(b.slice(lo, hi - lo))
-        if held:
-            yield from close()
-
-    about = saved(named.mapInArrow(describe, "d long, s long, key long, sketch array<long>"), "sets")
-    equal = about.where("s > 0").groupBy("key", "s").agg(F.min("d").alias("rep"))
-    member = about.where("s > 0").select("d", "s", "key").distinct().join(equal, ["key", "s"]).select("d", "rep")
-    brief = saved(about.where("s > 0").groupBy("d").agg(F.min_by(F.struct("s", "sketch"), "key").alias("a"), F.count_distinct("key").alias("keys"))
-                  .select("d", F.when(F.col("keys") == 1, F.col("a.s")).otherwise(-1).alias("s"), "a.sketch"), "brief")
-    found = saved(member.where("d <> rep").selectExpr("d AS x", "rep AS y"), "links")
-
-    def linked(found: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """found and labels with the links of the near pairs: first each set with the smallest of its pairs, then what is still apart."""
-        near = saved(near, "near")
-        found = saved(found.union(verified(near.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"))), "links")
-        labels = components(found)
-        marked = near.join(labels.toDF("x", "a"), "x", "left").join(labels.toDF("y", "b"), "y", "left")
-        rest = saved(marked.where("coalesce(a, x) <> coalesce(b, y)").select("x", "y"), "near")
-        more = saved(verified(rest), "links")
-        if more.isEmpty():
-            return found, labels
-        found = saved(found.union(more), "links")
-        return found, components(found)
-
-    def verified(near: DataFrame) -> DataFrame:
-        """Pairs whose whole sets are similar; those of large sets are pruned by wide sketches first."""
-        sized = near.join(brief.select(F.col("d").alias("x"), F.col("s").alias("a")), "x").join(brief.select(F.col("d").alias("y"), F.col("s").alias("b")), "y")
-        sized = saved(sized.withColumn("large", F.expr(f"a >= 0 AND b >= 0 AND a + b > {WIDE_FROM}")).select("x", "y", "large"), "sized")
-        big_ones = sized.where("large").select(F.explode(F.array("x", "y")).alias("d")).distinct()
-        wides = saved(named.join(big_ones, "d", "left_semi").mapInArrow(wide, "d long, n long, sketch binary"), "wide")
-        left = (sized.where("large").select("x", "y").join(wides.toDF("x", "a", "p"), "x").join(wides.toDF("y", "b", "q"), "y")
-                .select("x", "y", (F.col("a") + F.col("b")).alias("k"), "p", "q").mapInArrow(still, "x long, y long"))
-        near = saved(sized.where("NOT large").select("x", "y").union(left), "near")
-        used = near.select(F.explode(F.array("x", "y")).alias("d")).distinct()
-        whole = saved(named.join(used, "d", "left_semi").mapInArrow(sets, "d long, set binary"), "whole")
-        return near.join(whole.toDF("x", "p"), "x").join(whole.toDF("y", "q"), "y").select("x", "y", "p", "q").mapInArrow(verify, "x long, y long")
-
-    def unsettled(groups: DataFrame, labels: DataFrame) -> DataFrame:
-        """Large groups whose members are in several classes: g, v, size of the group."""
-        marked = groups.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v"))
-        several = marked.groupBy("g").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a < b").select("g", "n")
-        return saved(groups.join(several, "g").select("g", "v", "n"), "unsettled")
-
-    open_, labels = named.where("t IS NOT NULL"), None
+            yield pa.RecordBatch.from_arrays([_arr(set_keys(doc, h, b.num_rows)), _blob(h.astype("<u8"), np.cumsum(np.bincount(doc, minlength=b.num_rows)))], names=["key", "set"])
+
+    def by_sketch(batches):
+        def close(t, first):
+            bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(t.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in t.select(["g", "key"]).filter(pa.array(near_members(t.column("s").to_numpy(), bits, first, similar))).columns], names=["g", "key"])
+
+        return _per_block(batches, close)
+
+    def by_set(batches):
+        def close(t, first):
+            key = t.column("key").to_numpy()
+            _, once = np.unique(key, return_index=True)  # rows that repeat id and text give their set twice
+            sets = [np.frombuffer(x.as_buffer(), "<u8") for x in t.column("set").take(pa.array(once))]
+            got = links_of(sets, None if first is None else first[once], similar)
+            if got:
+                x, y = key[once][np.array(got).T]
+                yield pa.RecordBatch.from_arrays([_arr(x), _arr(y)], names=["x", "y"])
+
+        return _per_block(batches, close)
+
+    about = saved(named.mapInArrow(describe, "d long, s long, key long, sketch binary"), "sets")
+    some = about.where("s > 0")
+    node = saved(some.groupBy("key").agg(F.min("d").alias("rep"), F.first("s").alias("s"), F.first("sketch").alias("sketch")), "nodes")
+    of = some.select(F.col("d").alias("v"), "key").distinct()
+
+    def linked(members: DataFrame) -> DataFrame:
+        """members: g, key. Links inside groups."""
+        sized = _dealt(members.join(node.select("key", "s", "sketch"), "key"), block, 50 * weight).select("g", "i", "j", "key", "s", "sketch", "first")
+        near = saved(sized.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(by_sketch, "g long, key long").distinct(), "near")
+        used = near.select("key").distinct().join(node.select("key", "rep"), "key").select(F.col("rep").alias("d")).distinct()
+        sets = saved(named.join(used, "d", "left_semi").mapInArrow(whole, "key long, set binary"), "whole")
+        both = _dealt(near.join(node.select("key", "s"), "key"), block, weight).join(sets, "key").select("g", "i", "j", "key", "set", "first")
+        out = saved(both.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(by_set, "x long, y long"), "links")
+        drop(near, sets)
+        return out
+
+    # rows of one id are linked, whatever their texts
+    own = some.groupBy("d").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x < y").select("d", "x")
+    links = some.select("d", "key").join(own, "d").select("x", F.col("key").alias("y"))
+    open_ = named.where("t IS NOT NULL")
     for r in range(rounds):
+        groups = saved(_groups(open_, n, similar, r, shards), "groups")
+        # copies of a set are one member; groups of one set have nothing to compare
+        members = saved(groups.join(of, "v").select("g", "key").distinct(), "members")
+        counts = saved(members.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+        drop(groups)
         last = r == rounds - 1
-        got = saved(_candidates(open_, n, similar, r, big, shards), "candidates")
-        pairs = got.where("g IS NULL").select("x", "y").distinct()
-        near = (pairs.join(brief.toDF("x", "s", "p"), "x").join(brief.toDF("y", "z", "q"), "y")
-                .where(f"s < 0 OR z < 0 OR ({down} * least(s, z) >= {up} * greatest(s, z) AND {down + up} * {_hamming('p', 'q')} <= {down - up} * (s + z))").select("x", "y"))
-        found, labels = linked(found, near)
-        groups = got.where("g IS NOT NULL").selectExpr("g", "y AS v").distinct()
-        if groups.isEmpty():
-            break
-        todo = unsettled(groups, labels)
-        compared = todo if last else todo.where(F.col("n") <= huge)
-        compared = _dealt(compared, huge).join(brief.toDF("v", "s", "p"), "v").select("g", "i", "j", "v", "s", "first", "p").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "v").mapInArrow(blocks, "x long, y long").distinct()
-        found, labels = linked(found, compared)
-        if last:
-            break
-        divide = saved(todo.where(F.col("n") > huge).groupBy(F.col("v").alias("d")).agg(F.collect_set("g").alias("p")), "open")
-        if divide.isEmpty():
+        links = links.unionByName(linked(members.join(counts if last else counts.where(F.col("n") <= huge), "g").select("g", "key")))
+        divide = None if last else saved(members.join(counts.where(F.col("n") > huge), "g").join(node.select("key", "rep"), "key").groupBy(F.col("rep").alias("d")).agg(F.collect_set("g").alias("p")), "open")
+        drop(members, counts)
+        if divide is None or divide.isEmpty():
             break
         open_ = named.where("t IS NOT NULL").join(divide, "d").select("d", "t", "p")
-    out = about.select("d", F.col("s").alias("n_shingles")).join(labels.withColumnRenamed("v", "d"), "d", "left")
-    return out.select(F.when(F.col("d") != NULL_ID, F.col("d")).cast(kind).alias(id_col), "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("d")).alias("component_id"))
-
-
-def _hamming(a: str, b: str) -> str:
-    """Differing bits of two sketches."""
-    return "(" + " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH_BITS // 64)) + ")"
+    reached = components(links)
+    least = reached.join(node.selectExpr("key AS v", "rep"), "v").groupBy("component").agg(F.min("rep").alias("least"))
+    named_by = node.select(F.col("key").alias("v"), "rep").join(reached.join(least, "component").select("v", "least"), "v", "left").select(F.col("v").alias("key"), F.coalesce("least", "rep").alias("c"))
+    out = about.select("d", "s", "key").join(named_by, "key", "left")
+    return out.select(F.when(F.col("d") != NULL_ID, F.col("d")).cast(kind).alias(id_col), F.col("s").alias("n_shingles"), F.when(F.col("s") > 0, F.col("c")).otherwise(F.col("d")).alias("component_id"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 
 import corpus_pipeline
 from scopesift.llm import bpe, components, embedding_dedup, ngram_join, packing, quality, records, secret_scan, substring_dedup, token_counts, toxicity
-from scopesift.llm._spark import shared_dir
+from scopesift.llm._spark import saved, shared_dir
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", None, " ", "a  b <|endoftext|> c", "x  <|endoftext|>\n y ", "tail \n", "  a 　b\x1cc d", "don't I'LL naïve 日本語 123", "word " * 300, "\n\n a\n", "same same same", "same same same"]
@@ -145,8 +145,8 @@ def brute_classes(rows):
     return sorted((d, len(sets[i]), least[top(i)]) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("big, huge", [(48, 20_000), (4, 20_000), (4, 8)])
-def test_ngram_join(spark, big, huge):
+@pytest.mark.parametrize("options", [{}, {"block": 8, "weight": 300}, {"block": 8, "huge": 20, "rounds": 2}, {"huge": 4, "rounds": 3}])
+def test_ngram_join(spark, options):
     random.seed(5)
     base = [[random.choice("abcdefghij") + random.choice("aeiou") for _ in range(n)] for n in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 20, 40, 80)]
     rows = [(900, None), (901, ""), (902, "  ")]
@@ -156,13 +156,62 @@ def test_ngram_join(spark, big, huge):
             x[random.randrange(len(x))] = random.choice("xyz")
         rows.append((k, " ".join(x).title() if k % 5 == 0 else " ".join(x)))
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
-    assert sorted(tuple(r) for r in ngram_join.jaccard_classes(df, big=big, huge=huge).collect()) == brute_classes(rows)
+    assert sorted(tuple(r) for r in ngram_join.jaccard_classes(df, **options).collect()) == brute_classes(rows)
+
+
+def test_ngram_join_edges(spark):
+    one, two, long = "a b c d e f g h", "p q r s t u v w", " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
+    rows = [(None, one), (4, one), (4, two), (9, two), (9, two), (3, "x"), (5, "X"), (7, long), (8, long + " end"), (6, None), (6, None)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, component_id string, key int").coalesce(2)
+    got = {(r.doc_id, r.component_id) for r in ngram_join.jaccard_classes(df).collect()}
+    # the null id counts as the least; what it is linked with has its class
+    assert got == {(None, ngram_join.NULL_ID), (4, ngram_join.NULL_ID), (9, ngram_join.NULL_ID), (3, 3), (5, 3), (7, 7), (8, 7), (6, 6)}
+    assert ngram_join.jaccard_classes(df.limit(0)).count() == 0
+
+
+def test_links_of_a_group_join_as_all_pairs_do():
+    rng = np.random.default_rng(4)
+    for trial in range(6):
+        base = [rng.choice(2**60, rng.integers(4, 60), replace=False).astype(np.uint64) for _ in range(5)]
+        sets = [np.unique(np.append(rng.choice(b, int(len(b) * rng.uniform(0.8, 1)), replace=False), rng.choice(2**60, rng.integers(0, 3)).astype(np.uint64))) for b in (base[rng.integers(5)] for _ in range(70))]
+        first = None if trial % 2 else rng.random(70) < 0.4
+        true = [(a, b) for a in range(70) for b in range(a) if (first is None or first[a] != first[b]) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))]
+        got = ngram_join.links_of(sets, first, (75, 100))
+        assert len(got) < 70 and all((max(x), min(x)) in true for x in got)
+
+        def classes(pairs):
+            to = list(range(70))
+            for _ in range(70):
+                for a, b in pairs:
+                    to[a] = to[b] = min(to[a], to[b])
+            return to
+
+        assert classes(got) == classes(true)
+        bits = np.stack([ngram_join.sketch(np.zeros(len(s), int), s, 1)[0] for s in sets]).view("<u8")
+        near = ngram_join.near_members(np.array([len(s) for s in sets]), bits, first, (75, 100), 16)
+        assert near[sorted({i for p in true for i in p})].all()
 
 
-def test_components(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(20, 40)] + [(5, 3), (3, 9), (7, 7)], "x long, y long")
+def test_blocks_of_a_group_meet_once(spark):
+    members = spark.range(300).selectExpr("IF(id < 6, 1L, 2L) AS g", "id AS key", "10L AS s")
+    parts = collections.defaultdict(lambda: ([], []))
+    for r in ngram_join._dealt(members, 30, 10_000).collect():
+        parts[r.g, r.i, r.j][r.first].append(r.key)
+    met = collections.Counter()
+    for (g, i, j), (b, a) in parts.items():
+        assert len(a) + len(b) < 120 and (i < j or not b)
+        met.update((min(x, y), max(x, y)) for x in a for y in (b if i < j else a) if x != y and (i < j or x < y))
+    assert set(met) == {(x, y) for lo, hi in ((0, 6), (6, 300)) for x in range(lo, hi) for y in range(x + 1, hi)} and set(met.values()) == {1}
+
+
+def test_components(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(components, "saved", lambda df, name: rounds.append(name) or saved(df, name))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1000, 2000)] + [(5, 3), (3, 9), (7, 7), (None, 4)], "x long, y long")
     got = {r.v: r.component for r in components.components(edges).collect()}
-    assert got == {**{i: 20 for i in range(20, 41)}, 3: 3, 5: 3, 9: 3}
+    assert got == {**{i: 1000 for i in range(1000, 2001)}, 3: 3, 5: 3, 9: 3}
+    assert rounds.count("edges") <= 20  # a chain of 1,000 edges halves in a round
+    assert components.components(edges.limit(0)).count() == 0
 
 
 def test_embeddings(spark):
@@ -205,35 +254,6 @@ def test_secret_network_learns():
     assert ((m.score(x[held]) >= m.threshold) == (y[held] > 0)).mean() > 0.97
 
 
-def test_last_round_deals_large_groups_in_blocks(spark, monkeypatch):
-    rng, sizes = random.Random(8), []
-    candidates = ngram_join._candidates
-    monkeypatch.setattr(ngram_join, "_candidates", lambda named, n, similar, seed, big, shards: sizes.append(big) or candidates(named, n, similar, seed, big, shards))
-    template = [f"w{i}" for i in range(70)]
-    rows = []
-    for i in range(60):
-        own = [f"x{i // 3}y{k}" for k in range(30)]
-        own[i % 3] = f"z{i}"
-        rows.append((i, " ".join(template + own)))
-    got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), big=4, huge=8, rounds=1, shards=2).collect()
-    assert {(r.doc_id, r.component_id) for r in got} == {(d, c) for d, _, c in brute_classes(rows)}
-    assert sizes == [4]  # all pairs of small groups only, in the last round too
-
-
-def test_blocks_of_a_group_meet_once(spark):
-    groups = spark.range(300).selectExpr("IF(id < 6, 1L, 2L) AS g", "id AS v", "IF(id < 6, 6L, 294L) AS n")
-    met = collections.Counter()
-    parts = collections.defaultdict(lambda: ([], []))
-    for r in ngram_join._dealt(groups, 60).collect():
-        parts[r.g, r.i, r.j][r.first].append(r.v)
-    for (g, i, j), (b, a) in parts.items():
-        assert len(a) + len(b) < 2 * 60 and (i < j or not b)
-        z = np.arange(len(a) + len(b)) < len(a)
-        for x, y in ngram_join.near_in_group(np.array(a + b), np.full(len(z), -1), np.zeros((len(z), 1), np.uint64), (75, 100), 16, z if i < j else None):
-            met.update(set(zip(x.tolist(), y.tolist())))
-    assert set(met) == {(x, y) for lo, hi in ((0, 6), (6, 300)) for x in range(lo, hi) for y in range(x + 1, hi)}
-
-
 def planted(docs=240, every=6, seed=5):
     """Prose, of which one text in ``every`` holds a base finding; the texts after have keys that no base pattern matches, paths and numbers."""
     r = random.Random(seed)
