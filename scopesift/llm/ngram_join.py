@@ -120,8 +120,8 @@ def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int, similar: tuple[int,
 
 
 def sketch(doc: np.ndarray, h: np.ndarray, n_docs: int, width: int = SKETCH_BITS) -> np.ndarray:
-    """Parity of the number of elements in each of ``width`` places, a row of bytes for each set."""
-    bit = (mix(h) >> np.uint64(40)).astype(np.int64) % width
+    """Parity of the number of elements in each of ``width`` places (a power of two), a row of bytes for each set. Places are hashes modulo width, so the two halves of a row add up to the row of half the width."""
+    bit = (mix(h) >> np.uint64(24)).astype(np.int64) % width
     odd = np.bincount(doc * width + bit, minlength=n_docs * width).astype(np.uint8) & 1
     return np.packbits(odd.reshape(n_docs, width), axis=1)
 
@@ -164,37 +164,71 @@ def _blob(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, offs.buffers()[1], pa.py_buffer(np.ascontiguousarray(values).tobytes())]).cast(pa.binary())
 
 
-def near_members(size: np.ndarray, bits: np.ndarray, first: np.ndarray | None, similar: tuple[int, int], block: int = 256) -> np.ndarray:
-    """Which sets have a partner that sizes and sketches leave open. bits: sketches as rows of 64-bit words. first: only partners on the other side of it count."""
+def levels(size: np.ndarray) -> np.ndarray:
+    """How often SKETCH_BITS is doubled for a set's sketch: until it has a bit for each element."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / SKETCH_BITS))).astype(np.int64)
+
+
+def sketches(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """A sketch for each set, as wide as its level says."""
+    level, out = levels(size), [b""] * len(size)
+    for k in np.unique(level).tolist():
+        rows = np.flatnonzero(level == k)
+        for some in np.split(rows, range(1_024 >> min(k, 10) or 1, len(rows), 1_024 >> min(k, 10) or 1)):
+            to = np.full(len(size), -1)
+            to[some] = np.arange(len(some))
+            on = to[doc] >= 0
+            for i, x in zip(some.tolist(), sketch(to[doc[on]], h[on], len(some), SKETCH_BITS << k)):
+                out[i] = x.tobytes()
+    return out
+
+
+def halved(bits: np.ndarray) -> np.ndarray:
+    """Sketches as they would be at half the width."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:]
+
+
+def near_members(size: np.ndarray, raw: list[bytes], first: np.ndarray | None, similar: tuple[int, int], block: int = 256) -> np.ndarray:
+    """Which sets have a partner that sizes and sketches leave open. raw: sketches. first: only partners on the other side of it count.
+
+    Sizes of similar sets differ by less than a factor of two, so their levels by one at most; the wider sketch is halved then.
+    """
     up, down = similar
+    out, level = np.zeros(len(size), bool), levels(size)
+
+    def look(rows: np.ndarray, bits: np.ndarray, own: int) -> None:
+        """Pairs whose smaller set is one of the first ``own`` rows, which ascend by size."""
+        n, side = size[rows], None if first is None else first[rows]
+        for a in range(0, own, block):
+            b = min(a + block, own)
+            for c in range(a, len(rows), block):
+                m, k = n[a:b, None], n[None, c : c + block]
+                if down * m[-1, 0] < up * k[0, 0]:
+                    break  # all further blocks are too large
+                if out[rows[a:b]].all() and out[rows[c : c + block]].all():
+                    continue
+                ok = (down * m >= up * k) & (down * k >= up * m)
+                if side is not None:
+                    ok &= side[a:b, None] != side[None, c : c + block]
+                if a == c:
+                    np.fill_diagonal(ok, False)
+                i, j = np.nonzero(ok)
+                for at in range(0, len(i), 4_096):
+                    x, y = i[at : at + 4_096] + a, j[at : at + 4_096] + c
+                    differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+                    yes = (down + up) * differ <= (down - up) * (n[x] + n[y])
+                    out[rows[x[yes]]] = True
+                    out[rows[y[yes]]] = True
+
     order = np.argsort(size, kind="stable")
-    size, bits, out = size[order], bits[order], np.zeros(len(size), bool)
-    side = None if first is None else first[order]
-    for a in range(0, len(size), block):
-        small, p = size[a : a + block], bits[a : a + block]
-        for c in range(a, len(size), block):
-            large, q = size[c : c + block], bits[c : c + block]
-            if down * small[-1] < up * large[0]:
-                break  # sizes ascend: all further blocks are too large
-            if out[a : a + block].all() and out[c : c + block].all():
-                continue
-            m, n = small[:, None], large[None, :]
-            ok = (down * m >= up * n) & (down * n >= up * m)
-            if side is not None:
-                ok &= side[a : a + block][:, None] != side[c : c + block][None, :]
-            if a == c:
-                np.fill_diagonal(ok, False)
-            if not ok.any():
-                continue
-            differ = np.zeros(ok.shape, np.int64)
-            for k in range(bits.shape[1]):
-                differ += np.bitwise_count(p[:, k][:, None] ^ q[:, k][None, :])
-            ok &= (down + up) * differ <= (down - up) * (m + n)
-            out[a : a + block] |= ok.any(1)
-            out[c : c + block] |= ok.any(0)
-    back = np.empty_like(out)
-    back[order] = out
-    return back
+    for k in np.unique(level).tolist():
+        rows = [order[level[order] == k], order[level[order] == k + 1]]
+        bits = [np.frombuffer(b"".join(raw[i] for i in r), "<u8").reshape(len(r), -1) for r in rows if len(r)]
+        if len(bits) > 1:
+            bits[1] = halved(bits[1])
+        look(np.concatenate(rows), np.concatenate(bits), len(rows[0]))
+    return out
 
 
 def links_of(sets: list[np.ndarray], first: np.ndarray | None, similar: tuple[int, int]) -> list[tuple[int, int]]:
@@ -338,8 +372,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def describe(batches):
         for b in few(batches):
             doc, h = shingle_sets(b.column(1), n)
-            sk = sketch(doc, h, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), _arr(np.bincount(doc, minlength=b.num_rows)), _arr(set_keys(doc, h, b.num_rows)), _blob(sk, np.arange(1, b.num_rows + 1))], names=["d", "s", "key", "sketch"])
+            size = np.bincount(doc, minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), _arr(size), _arr(set_keys(doc, h, b.num_rows)), pa.array(sketches(doc, h, size), pa.binary())], names=["d", "s", "key", "sketch"])
 
     def whole(batches):
         for b in few(batches):
@@ -348,7 +382,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def by_sketch(batches):
         def close(t, first):
-            bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(t.num_rows, -1)
+            bits = t.column("sketch").to_pylist()
             yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in t.select(["g", "key"]).filter(pa.array(near_members(t.column("s").to_numpy(), bits, first, similar))).columns], names=["g", "key"])
 
         return _per_block(batches, close)
@@ -372,7 +406,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def linked(members: DataFrame) -> DataFrame:
         """members: g, key. Links inside groups."""
-        sized = _dealt(members.join(node.select("key", "s", "sketch"), "key"), block, 50 * weight).select("g", "i", "j", "key", "s", "sketch", "first")
+        sized = _dealt(members.join(node.select("key", "s", "sketch"), "key"), block, 40 * weight).select("g", "i", "j", "key", "s", "sketch", "first")
         near = saved(sized.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(by_sketch, "g long, key long").distinct(), "near")
         used = near.select("key").distinct().join(node.select("key", "rep"), "key").select(F.col("rep").alias("d")).distinct()
         sets = saved(named.join(used, "d", "left_semi").mapInArrow(whole, "key long, set binary"), "whole")

@@ -187,11 +187,22 @@ def test_links_of_a_group_join_as_all_pairs_do():
             return to
 
         assert classes(got) == classes(true)
-        bits = np.stack([ngram_join.sketch(np.zeros(len(s), int), s, 1)[0] for s in sets]).view("<u8")
-        near = ngram_join.near_members(np.array([len(s) for s in sets]), bits, first, (75, 100), 16)
+        size = np.array([len(s) for s in sets])
+        near = ngram_join.near_members(size, ngram_join.sketches(np.repeat(np.arange(70), size), np.concatenate(sets), size), first, (75, 100), 16)
         assert near[sorted({i for p in true for i in p})].all()
 
 
+def test_sketches_of_two_widths():
+    rng = np.random.default_rng(5)
+    base = rng.choice(2**60, 9_000, replace=False).astype(np.uint64)
+    sets = [base[:k] for k in (1_024, 1_025, 1_200, 2_048, 2_500, 8_000, 9_000)] + [rng.choice(2**60, k).astype(np.uint64) for k in (1_000, 1_100, 2_100, 8_500)]
+    size = np.array([len(s) for s in sets])
+    got = ngram_join.sketches(np.repeat(np.arange(len(sets)), size), np.concatenate(sets), size)
+    assert [len(x) * 8 for x in got] == [1_024, 2_048, 2_048, 2_048, 4_096, 8_192, 16_384, 1_024, 2_048, 4_096, 16_384]
+    assert (ngram_join.halved(np.frombuffer(got[1], "<u8")[None]) == ngram_join.sketch(np.zeros(1_025, int), sets[1], 1).view("<u8")).all()
+    assert ngram_join.near_members(size, got, None, (75, 100)).tolist() == [True] * 7 + [False] * 4
+
+
 def test_blocks_of_a_group_meet_once(spark):
     members = spark.range(300).selectExpr("IF(id < 6, 1L, 2L) AS g", "id AS key", "10L AS s")
     parts = collections.defaultdict(lambda: ([], []))
