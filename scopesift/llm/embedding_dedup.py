@@ -1,25 +1,34 @@
 """Embedding near-dedup with randomised-rotation binary codes.
 
-Each distinct vector of a label is made a unit vector and rotated by several
-random rotations; a code is the signs of the rotated vector, kept with the
-correction factor <o, x>, where o is the unit vector and x the code's own unit
-vector. For another vector's code y with factor f,
-<x, y> / (<o, x> f) estimates the inner product of the two without bias in the
-part that the codes see, and its spread shrinks as 1/sqrt(bits).
-
-Vectors meet in buckets: runs of ``band`` bits of the codes. Two vectors at
-cosine 0.98 differ in 6 % of the bits, so with the bands used here a pair at
-the threshold is missed with probability under 1e-6, less above it; no bucket
-is cut. A pair is looked at in the first band where it meets, so it is counted
-once. The estimate and its confidence bounds, over all rotations, then decide:
-below the upper bound a pair is dropped, all others are computed exactly in
-double precision; only exact values make links.
-
-Equal vectors are collapsed before bucketing and counted as links after; a
-bucket is read in blocks, and gives links per vector and a chain of links for
-the components, not all its pairs. Vectors that are null, zero, of another
-length than their partners, or hold null or non-finite components, and null
-labels link with nothing. Repeated ids are counted as separate vectors.
+Each distinct vector of a label is made a unit vector o and coded once, in a
+written table: the signs x of its coordinates after a random rotation, and the
+correction factor f = <o, x / sqrt(d)>. For another unit vector q, rotated but
+not made into signs, <x / sqrt(d), q> / f estimates the inner product <o, q>
+without bias; its error is sqrt(1 - <o, q>^2) sqrt(1 - f^2) / f times one
+coordinate of a random unit vector in d - 1 dimensions. So a pair at cosine
+``least`` or above has an estimate below
+
+    least - spread sqrt(1 - least^2) sqrt(1 - f^2) / (f sqrt(d - 1))
+
+with a probability under ``error`` only (spread = sqrt(2 ln(2 / error))). Pairs
+below that bound are dropped, all others are computed exactly in double
+precision, and only exact values make links. Rotated coordinates are kept as 8
+bits with a step, whose rounding is added to the bound in full.
+
+Vectors meet in buckets: runs of ``band`` bits of further rotations' signs. Two
+vectors at cosine 0.98 differ in 6 % of the bits, so with the bands used here a
+pair at the threshold is missed with probability under 1e-6, less above it. A
+pair counts in the first band where it meets, so it is counted once. Codes
+without vectors go to the buckets first; vectors follow only where an estimate
+stays above the bound. Large buckets are dealt out as pairs of blocks over many
+tasks; none is cut. A task gives counts of links per vector and the links that
+join its members, never all pairs.
+
+Equal vectors are one node from the start and counted as links after. Vectors
+that are null, zero, of another length than their partners, or hold null or
+non-finite components, and null labels link with nothing. Repeated ids are
+counted as separate vectors; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import saved, table
+from ._blocks import dealt, per_block
+from ._spark import drop, saved, ship, table
 from .components import components
 
 
@@ -43,140 +53,67 @@ def rotations(dim: int, count: int, seed: int) -> np.ndarray:
     return np.stack(out)
 
 
-def encode(vectors: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bits (n, rotations, dim) as booleans and the correction factors (n, rotations) of unit vectors."""
-    turned = np.einsum("nd,rde->nre", vectors, turns)
-    return turned > 0, np.abs(turned).sum(2) / np.sqrt(vectors.shape[1])
-
-
-def upper_bound(bits_a, bits_b, factor_a, factor_b, spread: float) -> np.ndarray:
-    """The estimate of each pair's inner product plus its confidence bound.
+_TURNS: dict = {}
 
-    With o = f x + sqrt(1 - f^2) e for both vectors, the estimate's error is what
-    the e parts add; over r rotations of d bits it falls as 1/sqrt(r d).
-    """
-    r, d = bits_a.shape[1:]
-    agree = 1 - 2 * np.mean(bits_a != bits_b, axis=2)
-    value = np.mean(agree / (factor_a * factor_b), axis=1)
-    error = np.sqrt(np.mean((1 - (factor_a * factor_b) ** 2) / (factor_a * factor_b) ** 2, axis=1) / (r * d))
-    return value + spread * error
 
+def turns_of(dim: int, count: int, seed: int) -> np.ndarray:
+    key = (dim, count, seed)
+    if key not in _TURNS:
+        _TURNS[key] = rotations(*key)
+    return _TURNS[key]
 
-def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, least: float = 0.98,
-                 band: int = 16, bands: int = 40, spread: float = 8.0, seed: int = 7, block: int = 512) -> DataFrame:
-    """One row per vector: id, n_links, component_id, kept."""
-    kind = rows.schema[id_col].dataType.simpleString()
-    named = rows.select(F.col(id_col).cast("long").alias("v"), F.col(vector_col).cast("array<double>").alias("e"), F.col(label_col).alias("l"))
-    fine = F.col("l").isNotNull() & F.coalesce(F.size("e") > 0, F.lit(False)) & F.coalesce(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("e", lambda x: x != 0), F.lit(False))
-    whole = saved(named.withColumn("ok", F.coalesce(fine, F.lit(False))).withColumn("h", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("l").cast("string"), F.transform("e", lambda x: (x + F.lit(0.0)).cast("string"))), 256))), "vectors")
-    # equal vectors of a label: one stands for all
-    distinct = saved(whole.where("ok").groupBy("h").agg(F.min("v").alias("v"), F.count("*").alias("n"), F.first("e").alias("e"), F.first("l").alias("l")).select("v", "n", "e", "l", "h"), "distinct")
 
-    def bucket(batches):
-        for b in batches:
-            lens = pa.compute.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
-            keep = [[], [], [], [], []]
-            for dim in np.unique(lens):
-                on = np.flatnonzero(lens == dim)
-                some = b.take(pa.array(on))
-                e = some.column(2).flatten().to_numpy().reshape(-1, dim)
-                scale = np.abs(e).max(1, keepdims=True)
-                unit = e / scale / np.linalg.norm(e / scale, axis=1, keepdims=True)
-                bits = codes(unit, int(dim), band, bands, seed)
-                for k in range(bands):
-                    keep[0].append(some.column(0))
-                    keep[1].append(some.column(1))
-                    keep[2].append(some.column(2))
-                    keep[3].append(some.column(3))
-                    keep[4].append(pa.array(k * (1 << 32) + bits[:, k], pa.int64()))
-            if keep[0]:
-                for parts in zip(*keep):
-                    yield pa.RecordBatch.from_arrays(list(parts), names=["v", "n", "e", "l", "b"])
-
-    def links(batches):
-        """Rows arrive sorted by label, dimension and bucket."""
-        key, held = None, []
-        for b in batches:
-            keys = np.stack([np.unique(np.asarray(b.column(3).to_pylist(), dtype=object).astype(str), return_inverse=True)[1], pa.compute.list_value_length(b.column(2)).to_numpy(zero_copy_only=False), b.column(4).to_numpy()], 1)
-            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            edges = [0, *cut.tolist(), b.num_rows]
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                now = (b.column(3)[lo].as_py(), int(keys[lo, 1]), int(keys[lo, 2]))
-                if now != key and held:
-                    yield from close(key, held)
-                    held = []
-                key = now
-                held.append(b.slice(lo, hi - lo))
-        if held:
-            yield from close(key, held)
-
-    def close(key, held):
-        if sum(x.num_rows for x in held) < 2:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
-        dim, k = key[1], key[2] >> 32
-        e = t.column(2).combine_chunks().flatten().to_numpy().reshape(-1, dim)
-        v, n = t.column(0).to_numpy(), t.column(1).to_numpy()
-        scaled = e / np.abs(e).max(1, keepdims=True)
-        unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
-        bands_of = codes(unit, dim, band, bands, seed)
-        bits, factor = encode(unit, turns_of(dim, 2, seed + 1))
-        count, xs, ys = np.zeros(len(v), np.int64), [], []
-        for a in range(0, len(v), block):
-            for c in range(a, len(v), block):
-                i, j = np.meshgrid(np.arange(a, min(a + block, len(v))), np.arange(c, min(c + block, len(v))), indexing="ij")
-                i, j = i[i < j] if a == c else i.ravel(), j[i < j] if a == c else j.ravel()
-                for s in range(0, len(i), 65_536):
-                    p, q = i[s : s + 65_536], j[s : s + 65_536]
-                    if k:  # an earlier band has it
-                        new = ~(bands_of[p, :k] == bands_of[q, :k]).any(1)
-                        p, q = p[new], q[new]
-                    if len(p):
-                        may = upper_bound(bits[p], bits[q], factor[p], factor[q], spread) >= least
-                        p, q = p[may], q[may]
-                    if len(p):
-                        yes = np.einsum("nd,nd->n", unit[p], unit[q]) >= least
-                        p, q = p[yes], q[yes]
-                    if len(p):
-                        count += np.bincount(p, weights=n[q], minlength=len(v)).astype(np.int64) + np.bincount(q, weights=n[p], minlength=len(v)).astype(np.int64)
-                        x, y = spanning(p, q, len(v))
-                        xs.append(v[x])
-                        ys.append(v[y])
-        on = np.flatnonzero(count)
-        x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (xs, ys))
-        if len(on):
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(v[on], x), pa.int64()), pa.array(np.append(count[on], np.zeros(len(x), np.int64)), pa.int64()), pa.concat_arrays([pa.nulls(len(on), pa.int64()), pa.array(y, pa.int64())])], names=["v", "links", "y"])
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors; scaled first, so that no square overflows."""
+    scaled = vectors / np.abs(vectors).max(1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
-    import pyarrow.compute  # noqa: F401
 
-    label = distinct.schema["l"].dataType.simpleString()
-    dealt = distinct.select("v", "n", "e", "l").mapInArrow(bucket, f"v long, n long, e array<double>, l {label}, b long")
-    got = saved(dealt.repartition("l", "b").sortWithinPartitions("l", F.size("e"), "b", "v").mapInArrow(links, "v long, links long, y long"), "links")
-    count = got.where("y IS NULL").groupBy("v").agg(F.sum("links").alias("links"))
-    copies = whole.where("ok").select("v", "h").join(distinct.select(F.col("v").alias("rep"), "h", "n"), "h")
-    edges = got.where("y IS NOT NULL").select(F.col("v").alias("x"), "y").union(copies.where("v <> rep").select(F.col("v").alias("x"), F.col("rep").alias("y")))
-    labels = components(saved(edges, "edges"))
-    per = copies.join(count.withColumnRenamed("v", "rep"), "rep", "left").groupBy("v", "h").agg(F.first(F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = whole.select("v", "h").join(per, ["v", "h"], "left").join(labels, "v", "left")
-    return out.select(F.col("v").cast(kind).alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.when(F.col("h").isNotNull(), F.col("component")), F.col("v")).alias("component_id")).withColumn("kept", F.col(id_col) == F.col("component_id"))
+def encode(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signs (n, dim) as booleans, factors, rotated coordinates in 8 bits and their step."""
+    turned = unit @ turn
+    step = np.abs(turned).max(1) / 127
+    return turned > 0, np.abs(turned).sum(1) / np.sqrt(unit.shape[1]), np.rint(turned / step[:, None]).astype(np.int8), step
 
 
-_TURNS: dict = {}
+def estimates(signs: np.ndarray, factor: np.ndarray, coords: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Inner products of coded vectors (rows) with rotated ones (columns), without bias."""
+    x = np.where(signs, np.float32(1), np.float32(-1)) @ coords.T.astype(np.float32)
+    return x * step[None, :] / (np.sqrt(signs.shape[1]) * factor[:, None])
 
 
-def turns_of(dim: int, count: int, seed: int) -> np.ndarray:
-    key = (dim, count, seed)
-    if key not in _TURNS:
-        _TURNS[key] = rotations(*key)
-    return _TURNS[key]
+def bound(factor: np.ndarray, step: np.ndarray, dim: int, least: float, error: float) -> np.ndarray:
+    """The estimate that a pair at ``least`` or above stays under with a probability of ``error`` at most: (coded, rotated)."""
+    spread = np.sqrt(2 * np.log(2 / error))
+    own = np.minimum(spread / np.sqrt(max(dim - 1, 1)), 1) * np.sqrt(1 - least**2) * np.sqrt(np.maximum(1 - factor**2, 0)) / factor
+    return least - own[:, None] - np.sqrt(dim) * step[None, :] / (2 * factor[:, None]) - 1e-6
 
 
-def codes(unit: np.ndarray, dim: int, band: int, bands: int, seed: int) -> np.ndarray:
+def bands_of(unit: np.ndarray, band: int, bands: int, seed: int) -> np.ndarray:
     """The bands of every vector, band bits each: (n, bands)."""
-    count = -(-band * bands // dim)
-    bits, _ = encode(unit, turns_of(dim, count, seed))
-    flat = bits.reshape(len(unit), -1)[:, : band * bands].reshape(len(unit), bands, band)
-    return flat @ (1 << np.arange(band, dtype=np.int64))
+    dim = unit.shape[1]
+    turned = np.einsum("nd,rde->nre", unit, turns_of(dim, -(-band * bands // dim), seed))
+    bits = (turned > 0).reshape(len(unit), -1)[:, : band * bands].reshape(len(unit), bands, band)
+    return (bits @ (1 << np.arange(band, dtype=np.int64))).astype("<u4")
+
+
+def open_pairs(signs, factor, coords, step, bands: np.ndarray, k: int, kin: np.ndarray, first: np.ndarray | None, least: float, error: float, block: int = 1_024):
+    """Pairs of a bucket of band k whose estimate is above the bound and that meet in no earlier band, block by block. kin: label and length; first: pairs of one side with the other only."""
+    one = np.arange(len(factor)) if first is None else np.flatnonzero(first)
+    two = one if first is None else np.flatnonzero(~first)
+    for a in range(0, len(one), block):
+        p = one[a : a + block]
+        for c in range(a if first is None else 0, len(two), block):
+            q = two[c : c + block]
+            i, j = np.nonzero((estimates(signs[p], factor[p], coords[q], step[q]) >= bound(factor[p], step[q], signs.shape[1], least, error)) & (kin[p][:, None] == kin[q][None, :]))
+            x, y = p[i], q[j]
+            if first is None:
+                x, y = x[x < y], y[x < y]
+            if k:
+                new = ~(bands[x, :k] == bands[y, :k]).any(1)
+                x, y = x[new], y[new]
+            if len(x):
+                yield x, y
 
 
 def spanning(p: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,5 +132,101 @@ def spanning(p: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return on, to[on]
 
 
+def _rows(column: pa.Array, kind) -> np.ndarray:
+    """A binary column of equal lengths as rows of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, least: float = 0.98,
+                 band: int = 16, bands: int = 40, error: float = 1e-9, seed: int = 7, block: int = 4_000) -> DataFrame:
+    """One row per vector: id, n_links, component_id, kept."""
+    ship(rows.sparkSession)
+    kind = rows.schema[id_col].dataType.simpleString()
+    named = rows.select(F.col(id_col).cast("long").alias("v"), F.col(vector_col).cast("array<double>").alias("e"), F.col(label_col).alias("l"))
+    fine = F.col("l").isNotNull() & F.coalesce(F.size("e") > 0, F.lit(False)) & F.coalesce(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("e", lambda x: x != 0), F.lit(False))
+    told = F.xxhash64(F.sha2(F.concat_ws(",", F.col("l").cast("string"), F.transform("e", lambda x: (x + F.lit(0.0)).cast("string"))), 256))
+    keyed = named.withColumn("key", F.when(F.coalesce(fine, F.lit(False)), told))
+    whole = saved(keyed.select("v", "key"), "vectors")
+
+    def code(batches):
+        for b in batches:
+            lens = pa.compute.list_value_length(b.column(4)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(lens).tolist():
+                some = b.take(pa.array(np.flatnonzero(lens == dim)))
+                e = some.column(4).flatten().to_numpy().reshape(-1, dim)
+                unit = units(e)
+                signs, factor, coords, step = encode(unit, turns_of(dim, 1, seed + 1)[0])
+                packed = np.packbits(signs, axis=1)
+                raw = lambda m: pa.array([x.tobytes() for x in m], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(4)), raw(e), raw(bands_of(unit, band, bands, seed)), raw(packed), pa.array(factor), raw(coords), pa.array(step)],
+                                                 names=["key", "rep", "n", "kin", "e", "bands", "signs", "factor", "coords", "step"])
+
+    def opened(t):
+        dims = np.array([len(x) for x in t.column("coords").to_pylist()])
+        bits = _rows(t.column("signs"), np.uint8)
+        return dims, np.unpackbits(bits, axis=1)[:, : dims[0]].astype(bool), t.column("factor").to_numpy(), _rows(t.column("coords"), np.int8), t.column("step").to_numpy(), _rows(t.column("bands"), "<u4")
+
+    def alike(t, first):
+        """A bucket's rows by vector length; buckets are told by a hash, so lengths could in principle be mixed."""
+        lens = pa.compute.binary_length(t.column("coords")).to_numpy()
+        for dim in np.unique(lens).tolist():
+            on = np.flatnonzero(lens == dim)
+            yield t.take(pa.array(on)), None if first is None else first[on]
+
+    def by_code(batches):
+        def close(t, first):
+            for some, side in alike(t, first):
+                _, signs, factor, coords, step, near = opened(some)
+                out = np.zeros(len(factor), bool)
+                for x, y in open_pairs(signs, factor, coords, step, near, int(some.column("band")[0].as_py()), some.column("kin").to_numpy(), side, least, error):
+                    out[x] = out[y] = True
+                yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in some.select(["g", "band", "key"]).filter(pa.array(out)).columns], names=["g", "band", "key"])
+
+        return per_block(batches, close)
+
+    def by_vector(batches):
+        def close(t, first):
+            for some, side in alike(t, first):
+                _, signs, factor, coords, step, near = opened(some)
+                key, n, unit = some.column("key").to_numpy(), some.column("n").to_numpy(), units(_rows(some.column("e"), "<f8"))
+                count, xs, ys = np.zeros(len(key), np.int64), [], []
+                for x, y in open_pairs(signs, factor, coords, step, near, int(some.column("band")[0].as_py()), some.column("kin").to_numpy(), side, least, error):
+                    yes = np.concatenate([np.einsum("nd,nd->n", unit[x[i : i + 65_536]], unit[y[i : i + 65_536]]) >= least for i in range(0, len(x), 65_536)])
+                    x, y = x[yes], y[yes]
+                    count += np.bincount(x, weights=n[y], minlength=len(key)).astype(np.int64) + np.bincount(y, weights=n[x], minlength=len(key)).astype(np.int64)
+                    x, y = spanning(x, y, len(key))
+                    xs.append(x)
+                    ys.append(y)
+                on = np.flatnonzero(count)
+                if len(on):
+                    x, y = spanning(np.concatenate(xs), np.concatenate(ys), len(key))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.append(key[on], key[x])), pa.array(np.append(count[on], np.zeros(len(x), np.int64))), pa.concat_arrays([pa.nulls(len(on), pa.int64()), pa.array(key[y])])], names=["key", "links", "y"])
+
+        return per_block(batches, close)
+
+    import pyarrow.compute  # noqa: F401
+
+    distinct = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min("v").alias("rep"), F.count("*").alias("n"), F.first(F.xxhash64("l", F.size("e"), F.lit(5))).alias("kin"), F.first("e").alias("e"))
+    coded = saved(distinct.mapInArrow(code, "key long, rep long, n long, kin long, e binary, bands binary, signs binary, factor double, coords binary, step double"), "coded")
+    number = F.expr(f"transform(sequence(0, {bands - 1}), k -> struct(k AS band, xxhash64(kin, k, substring(bands, 4 * k + 1, 4)) AS g))")
+    met = coded.select("key", "kin", F.explode(number).alias("at")).select("key", F.col("at.g").alias("g"), F.col("at.band").cast("long").alias("band"), F.lit(0).alias("s"))
+    shared = saved(met, "met")
+    several = shared.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    codes = dealt(shared.join(several, "g"), block, 1 << 60).join(coded.select("key", "kin", "bands", "signs", "factor", "coords", "step"), "key")
+    columns = ["g", "i", "j", "key", "band", "kin", "bands", "signs", "factor", "coords", "step", "first"]
+    near = saved(codes.select(columns).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(by_code, "g long, band long, key long").distinct(), "near")
+    drop(shared)
+    vectors = dealt(near.withColumn("s", F.lit(0)), block, 1 << 60).join(coded.drop("rep"), "key")
+    got = saved(vectors.select(*columns, "n", "e").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(by_vector, "key long, links long, y long"), "links")
+    drop(near)
+    count = got.where("y IS NULL").groupBy("key").agg(F.sum("links").alias("links"))
+    reached = components(got.where("y IS NOT NULL").select(F.col("key").alias("x"), "y"))
+    least_of = reached.join(coded.select(F.col("key").alias("v"), "rep"), "v").groupBy("component").agg(F.min("rep").alias("least"))
+    told_by = (coded.select("key", "rep", "n").join(count, "key", "left").join(reached.join(least_of, "component").select(F.col("v").alias("key"), "least"), "key", "left")
+               .select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("c")))
+    out = whole.join(told_by, "key", "left")
+    return out.select(F.col("v").cast(kind).alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("key").isNotNull(), F.col("c")).otherwise(F.col("v")).alias("component_id")).withColumn("kept", F.col(id_col) == F.col("component_id"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))

@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._blocks import dealt, per_block
 from ._spark import drop, saved, ship, table
 from ._text import Words, few, mix, runs
 from .components import components
@@ -269,36 +270,6 @@ def links_of(sets: list[np.ndarray], first: np.ndarray | None, similar: tuple[in
     return out
 
 
-def _dealt(members: DataFrame, block: int, weight: int) -> DataFrame:
-    """members: g, key, s (size of the set) and more. Each for every pair of blocks i <= j of its group that its own block is in (first: it is i). A block holds about ``block`` sets and ``weight`` elements."""
-    n = members.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("s") / weight)).cast("int").alias("k"))
-    own = members.join(n, "g").withColumn("own", F.expr("CAST(pmod(xxhash64(key, 17L), k) AS INT)"))
-    met = own.withColumn("with", F.explode(F.expr("sequence(0, k - 1)")))
-    return met.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with")).withColumn("first", F.col("own") == F.col("i")).drop("k", "own", "with")
-
-
-def _per_block(batches, close):
-    """Rows sorted by g, i, j; one pair of blocks is held at a time and given to ``close`` as a table and its ``first`` (None inside one block)."""
-    now, held = None, []
-
-    def end():
-        t = pa.Table.from_batches(held).combine_chunks()
-        yield from close(t, None if now[1] == now[2] else t.column("first").to_numpy())
-
-    for b in batches:
-        key = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
-        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            if hi > lo:
-                if held and tuple(key[lo]) != now:
-                    yield from end()
-                    held = []
-                now = tuple(key[lo])
-                held.append(b.slice(lo, hi - lo))
-    if held:
-        yield from end()
-
-
 def _groups(named: DataFrame, n: int, similar, seed: int, shards: int) -> DataFrame:
     """named: d, t, and p (array of group numbers) if groups are being divided. Rows: g (the hub, or the group's number if groups are divided), v."""
     divided = "p" in named.columns
@@ -385,7 +356,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             bits = t.column("sketch").to_pylist()
             yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in t.select(["g", "key"]).filter(pa.array(near_members(t.column("s").to_numpy(), bits, first, similar))).columns], names=["g", "key"])
 
-        return _per_block(batches, close)
+        return per_block(batches, close)
 
     def by_set(batches):
         def close(t, first):
@@ -397,7 +368,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 x, y = key[once][np.array(got).T]
                 yield pa.RecordBatch.from_arrays([_arr(x), _arr(y)], names=["x", "y"])
 
-        return _per_block(batches, close)
+        return per_block(batches, close)
 
     about = saved(named.mapInArrow(describe, "d long, s long, key long, sketch binary"), "sets")
     some = about.where("s > 0")
@@ -406,11 +377,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def linked(members: DataFrame) -> DataFrame:
         """members: g, key. Links inside groups."""
-        sized = _dealt(members.join(node.select("key", "s", "sketch"), "key"), block, 40 * weight).select("g", "i", "j", "key", "s", "sketch", "first")
+        sized = dealt(members.join(node.select("key", "s", "sketch"), "key"), block, 40 * weight).select("g", "i", "j", "key", "s", "sketch", "first")
         near = saved(sized.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(by_sketch, "g long, key long").distinct(), "near")
         used = near.select("key").distinct().join(node.select("key", "rep"), "key").select(F.col("rep").alias("d")).distinct()
         sets = saved(named.join(used, "d", "left_semi").mapInArrow(whole, "key long, set binary"), "whole")
-        both = _dealt(near.join(node.select("key", "s"), "key"), block, weight).join(sets, "key").select("g", "i", "j", "key", "set", "first")
+        both = dealt(near.join(node.select("key", "s"), "key"), block, weight).join(sets, "key").select("g", "i", "j", "key", "set", "first")
         out = saved(both.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(by_set, "x long, y long"), "links")
         drop(near, sets)
         return out

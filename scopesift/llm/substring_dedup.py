@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import saved, table
+from ._spark import saved, ship, table
 from ._text import Words, few, mix, runs
 
 NULL_ID = -(2**63)
@@ -208,6 +208,7 @@ def _sha(words: list[bytes]) -> str:
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, gram: int = 6) -> DataFrame:
     """One row per text with repeats: d (its id, NULL_ID for null), h (xxhash64 of the text), whole (sha256 of its words), gone (words removed), sha, kept (the words that stay, joined by one space)."""
+    ship(docs.sparkSession)
     named = docs.selectExpr(f"cast(`{id_col}` AS long) AS d", f"`{text_col}` AS t")
 
     def anchors(batches):
