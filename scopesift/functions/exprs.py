@@ -40,3 +40,22 @@ def severity_rank(x: Column) -> Column:
 def texts(*pairs: tuple[Column, Column]) -> Column:
     """Texts whose condition holds, in order."""
     return F.filter(F.array(*(F.when(yes(c), t) for c, t in pairs)), lambda x: x.isNotNull())
+
+
+def _accents() -> tuple[str, str]:
+    """Letters with accents (Latin, up to U+024F) and what they are without."""
+    import unicodedata
+
+    pairs = [(chr(i), unicodedata.normalize("NFKD", chr(i))[0]) for i in range(0xC0, 0x250)]
+    pairs = [(a, b) for a, b in pairs if b != a and b.isascii()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def fold(x: Column) -> Column:
+    """Lower case without accents: Latin letters up to U+024F and combining marks."""
+    return F.lower(F.regexp_replace(F.translate(x, *_accents()), "[\u0300-\u036f]", ""))
+
+
+def fold_words(x: Column) -> Column:
+    """Folded letters and digits, all else one space."""
+    return F.trim(F.regexp_replace(fold(x), "[^a-z0-9]+", " "))

@@ -11,6 +11,8 @@ NOW, NOW_LIVE, BEFORE = "2001-11-05 00:00:00", "2024-02-20 00:00:00", "2001-01-0
 #: Small tables of configuration.
 SOURCES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "UNUSED"]
 OVERRIDES = [("program:program-7", "HIGH"), ("Program 7", "LOW"), ("program 12", "CRITICAL"), ("Program 20", "MEDIUM")]
+#: no, key, aliases, verdict, fresh code index at the audit.
+AUDITED = [(1, "Program 7", ["Nobody"], "clean", 0.0), (2, "Brand#12", ["Brand-12"], "paid", 10.0), (3, "none such", ["Prográm 3"], "duplicate", 70.0), (4, "brand12", [], "late", 0.0)]
 LIVE_RULES = [{"address": "0x" + "7".rjust(40, "0")}, {"pattern": r"login1[0-9]\."}, {"pattern": r"program-3 .*api\."}]
 
 _RECORDS = """
@@ -35,7 +37,30 @@ SELECT o_custkey AS record_no, l_orderkey * 10 + l_linenumber AS ordinal, o_orde
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey {where}
 """
 
+_REPO = "lower(replace(p_brand, '#', '') || '/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR(20)))"
+_N = "CAST(c_custkey AS VARCHAR(20))"
+_ONE, _TWO = f"""'{{"type":"url","target":" https://a' || {_N} || '.example.org"}}'""", f"""'{{"asset_type":"API","endpoint":"api' || {_N} || '.example.org"}}'"""
+#: Landed feed pages in the shapes that feeds have; each page of a shape with an array holds one value that is no record.
+_FEEDS = f"""
+SELECT source_id, adapter, page_no, CASE page_no % 4 WHEN 0 THEN '{{"programs":[' || r || ']}}' WHEN 1 THEN '[' || r || ',7]' WHEN 2 THEN '{{"data":[' || r || ',"x",null]}}' ELSE '{{"items":{{"a":1}},"results":[' || r || ']}}' END AS payload FROM (
+SELECT c_mktsegment AS source_id, CASE WHEN c_custkey % 6 = 5 THEN 'projectdiscovery' ELSE 'generic' END AS adapter, c_custkey AS page_no,
+ '{{"id":' || {_N} || CASE WHEN c_custkey % 17 = 0 THEN ',"public":false' ELSE '' END || CASE c_custkey % 11 WHEN 0 THEN ',"name":" "' WHEN 1 THEN ',"program_name":"Program ' || {_N} || '"' WHEN 2 THEN ',"name":null,"title":"Program ' || {_N} || '"' ELSE ',"name":"Program ' || {_N} || '"' END
+ || CASE c_custkey % 7 WHEN 0 THEN ',"min_bounty":50,"max_bounty":1000.5' WHEN 1 THEN ',"max_bounty":{{"value":"$1,234.50","currency":"us$"}}' WHEN 2 THEN ',"maxPayout":"€ 2,000","currency":"€"' WHEN 3 THEN ',"rewards":{{"minimum":10,"maximum":{{"amount":900,"code":"gbp"}}}}'
+  WHEN 4 THEN ',"min_bounty":null,"max_payout":"none","currency_code":"DOLLARS"' WHEN 5 THEN ',"maxBounty":true,"currency":5' ELSE '' END
+ || CASE c_custkey % 6 WHEN 0 THEN ',"targets":{{"in_scope":[' || {_ONE} || ',' || {_TWO} || ']}}' WHEN 1 THEN ',"scope":{{"in_scope":[' || {_ONE} || ',"plain.example.org"]}}' WHEN 2 THEN ',"targets":{{"in_scope":null}},"in_scope":[' || {_TWO} || ',{{"type":"x"}}]'
+  WHEN 3 THEN ',"targets":[' || {_ONE} || ']' WHEN 4 THEN ',"targets":{{"web":[' || {_ONE} || '],"api":[' || {_TWO} || '],"note":"x"}}' ELSE ',"domains":["d' || {_N} || '.example.org","e.example.org"]' END || '}}' AS r FROM customer) x
+"""
+
 VIEWS = {
+    "fx_feeds": _FEEDS,
+    "fx_tree": f"""
+SELECT {_REPO} AS repo_key, CASE doc_id % 7 WHEN 0 THEN 'SECURITY.md' WHEN 1 THEN '.github/workflows/' || lang || '-CodeQL.yml' WHEN 2 THEN 'fuzz/' || CAST(doc_id AS VARCHAR(20)) WHEN 3 THEN 'src/' || lang || CAST(doc_id AS VARCHAR(20)) || '.go'
+ ELSE 'lib/pkg' || CAST(doc_id % 50 AS VARCHAR(20)) || '/deep/' || CAST(doc_id AS VARCHAR(20)) || '.rs' END AS path,
+ text || CASE WHEN doc_id % 19 = 0 THEN ' Semgrep and TRIVY' ELSE '' END || CASE WHEN doc_id % 23 = 0 THEN ' func FuzzParse(f)' ELSE '' END AS text, doc_id % 9 = 0 AS failed FROM documents JOIN part ON p_partkey = floor(doc_id / 4)""",
+    "fx_compare": f"""
+SELECT {_REPO} AS repo_key, 'src/' || CAST(l_suppkey AS VARCHAR(20)) || '.go' AS path, CASE l_linenumber % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' ELSE 'removed' END AS status FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type = 'ECONOMY'""",
+    "fx_advisories": f"""
+SELECT {_REPO} AS repo_key, CASE l_linenumber % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'published' WHEN 2 THEN 'closed' WHEN 3 THEN 'triage' ELSE 'Draft' END AS state, l_shipdate AS updated_at, 'Pkg' || CAST(l_suppkey % 50 AS VARCHAR(20)) AS package FROM lineitem JOIN part ON p_partkey = l_partkey""",
     "fx_records": _RECORDS.format(where=""),
     "fx_records_before": _RECORDS.format(where=f"WHERE o_orderdate < TIMESTAMP '{BEFORE}'"),
     "fx_targets": _TARGETS.format(where=""),

@@ -1 +1 @@
-"""Part of the opportunity-ranking library."""
+"""Structured Streaming jobs."""
