@@ -16,19 +16,22 @@ def diff_targets(now: DataFrame, before: DataFrame) -> DataFrame:
         F.count_if(F.col("b").isNull()).alias("added"), F.count_if(F.col("a").isNull()).alias("removed"))
 
 
-def classify_change(programs: DataFrame, before: DataFrame, diff: DataFrame) -> DataFrame:
-    """program_id, change_type, added, removed; the previous change stays (baseline) where nothing changed."""
-    old = before.select("merge_key", *(F.col(c).alias(f"old_{c}") for c in CORE), F.lit(True).alias("old"))
+def classify_change(programs: DataFrame, before: DataFrame, diff: DataFrame, baseline: bool = False) -> DataFrame:
+    """program_id, change_type, added, removed, is_new. Where nothing changed the previous change stays (change_type of before; a baseline where it has none).
+    baseline: a first import, whose programs are no news."""
+    if "change_type" not in before.columns:
+        before = before.withColumn("change_type", F.lit(None).cast("string"))
+    old = before.select("merge_key", *(F.col(c).alias(f"old_{c}") for c in CORE), F.col("change_type").alias("old_change"), F.lit(True).alias("old"))
     same = F.lit(True)
     for c in CORE:
         same = same & F.col(c).eqNullSafe(F.col(f"old_{c}"))
     zero = F.lit(0.0)
-    kind = (F.when(F.col("old").isNull(), "new_program").when(F.col("added") > 0, "new_target")
+    kind = (F.when(F.col("old").isNull(), "baseline" if baseline else "new_program").when(F.col("added") > 0, "new_target")
             .when(F.coalesce("max_reward", zero) > F.coalesce("old_max_reward", zero), "reward_up")
             .when((F.col("old_status") != "open") & (F.col("status") == "open"), "reactivated")
-            .when((F.col("removed") > 0) | ~same, "scope_updated").otherwise("baseline"))
+            .when((F.col("removed") > 0) | ~same, "scope_updated"))
     df = programs.join(old, "merge_key", "left").join(diff, "merge_key", "left").withColumns({"added": F.coalesce("added", F.lit(0)), "removed": F.coalesce("removed", F.lit(0))})
-    return df.select("program_id", "merge_key", kind.alias("change_type"), "added", "removed")
+    return df.select("program_id", "merge_key", F.coalesce(kind, "old_change", F.lit("baseline")).alias("change_type"), "added", "removed", F.coalesce(kind != "baseline", F.lit(False)).alias("is_new"))
 
 
 def missing_grace(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -38,5 +41,5 @@ def missing_grace(before: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def change_events(changes: DataFrame, now: str) -> DataFrame:
-    """One event for each new change."""
-    return changes.where("change_type <> 'baseline'").select(F.concat_ws(":", F.lit(now), "program_id", "change_type").alias("event_id"), "program_id", "change_type")
+    """One event for each new change; changes that are carried over give none."""
+    return changes.where("is_new").select(F.concat_ws(":", F.lit(now), "program_id", "change_type").alias("event_id"), "program_id", "change_type")

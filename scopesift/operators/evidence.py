@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .repo import FUZZ_PATH, SECURITY_FILE, WORKFLOW_PATH
+
 # Patterns of the repository scan.
 TEST_PATH = r"(?i)(^|/)(?:test|tests|spec|specs)(?:/|_|\.)|(?:^|/)[^/]+(?:_test\.[^/]+|\.(?:test|spec)\.[^/]+)$"
 KNOWN_FILE = r"(?i)(replay|exploit|poc|vuln|security[_-]?test)"
@@ -12,6 +14,8 @@ KNOWN_COMMENT = r"(?i)(?://|#|/\*|\*|<!--|--)\s*.{0,160}?(documents? the vulnera
 DISABLED_FLAG = r"(?i)(if\s*\(?\s*false\b|math\.MaxInt64|max_int64|feature.{0,40}(?:disabled|false)|fork.{0,40}(?:never|disabled|max))"
 SECURITY_CONTEXT = r"(?i)(security|secure|replay|exploit|vuln|attack|signature|auth)"
 HIGH_VALUE = r"(?i)(priority|signature|signer|security|auth|replay|exploit|vuln|attack|fork|feature|config|transactor|nonce)"
+TEXT_FILE = (r"(?i)(?:^|/)(?:[^/.]+|[^/]+\.(?:md|txt|rst|adoc|go|rs|c|cc|cpp|cxx|h|hh|hpp|hxx|js|jsx|mjs|cjs|ts|tsx|py|rb|php|java|kt|kts|scala|swift|sol|move|vy|sh|bash|zsh|fish|ps1|json|jsonc|toml|ya?ml|xml|ini|cfg|conf|"
+             r"properties|gradle|proto|graphql|gql|sql|dockerfile|mk|cmake))$")
 STOP_PARTS = ["tree", "blob", "commit", "commits", "issues", "pull", "pulls", "releases", "tags"]
 
 
@@ -57,29 +61,27 @@ def _name(path: Column) -> Column:
 
 def scan_priority(path: Column) -> Column:
     trap = path.rlike(TEST_PATH) & _name(path).rlike(KNOWN_FILE)
-    return F.when(trap, 0).when(path.rlike(HIGH_VALUE), 1).when(path.rlike(TEST_PATH), 2).otherwise(4)
+    return F.when(trap | path.rlike(WORKFLOW_PATH) | path.rlike(SECURITY_FILE) | path.rlike(FUZZ_PATH), 0).when(path.rlike(HIGH_VALUE), 1).when(path.rlike(TEST_PATH), 2).otherwise(4)
+
 
+def scannable(blobs: DataFrame, max_size: int = 500_000) -> DataFrame:
+    """Files that a scan may read: texts of known kinds up to a size."""
+    return blobs.where("type = 'blob' AND sha IS NOT NULL").where(F.col("size") <= max_size).where(F.col("path").rlike(TEXT_FILE))
 
-def scan_priority_pick(blobs: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
+
+def scan_priority_pick(blobs: DataFrame, max_files: int = 400, max_bytes: int = 8_000_000) -> DataFrame:
     """The files that a bounded scan reads, most telling first: repo_key, path, size.
 
-    A file that does not fit is skipped and smaller budgets go on, which inside one priority (sizes ascending) is a
-    prefix; so each priority is one window pass over what the earlier ones left.
+    A file that does not fit is skipped and smaller ones go on. Inside one priority sizes ascend, so what is picked is among its
+    first ``max_files`` files; Spark cuts groups to these before the shuffle, and a repository's rest is gone through in one array.
     """
-    left = blobs.where("type = 'blob' AND sha IS NOT NULL AND size <= 500000").select("repo_key", "path", "size", scan_priority(F.col("path")).alias("priority"))
-    picked = None
-    for p in (0, 1, 2, 4):
-        rows = left.where(F.col("priority") == p)
-        if picked is not None:
-            used = picked.groupBy("repo_key").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
-            rows = rows.join(used, "repo_key", "left").fillna(0, ["files", "bytes"])
-        else:
-            rows = rows.withColumns({"files": F.lit(0), "bytes": F.lit(0)})
-        w = Window.partitionBy("repo_key").orderBy("size", "path")
-        rows = rows.withColumns({"n": F.row_number().over(w), "total": F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-        rows = rows.where((F.col("files") + F.col("n") <= max_files) & (F.col("bytes") + F.col("total") <= max_bytes)).select("repo_key", "path", "size")
-        picked = rows if picked is None else picked.unionByName(rows)
-    return picked
+    rows = scannable(blobs).select("repo_key", "path", "size", scan_priority(F.col("path")).alias("priority"))
+    w = Window.partitionBy("repo_key", "priority").orderBy("size", "path")
+    some = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max_files)
+    files = some.groupBy("repo_key").agg(F.array_sort(F.collect_list(F.struct("priority", "size", "path"))).alias("files"))
+    fits = F.expr(f"""aggregate(files, named_struct('n', 0, 'b', 0L, 'got', cast(array() AS array<struct<path:string,size:bigint>>)),
+        (a, x) -> if(a.n < {max_files} AND a.b + x.size <= {max_bytes}, named_struct('n', a.n + 1, 'b', a.b + x.size, 'got', array_append(a.got, named_struct('path', x.path, 'size', x.size))), a), a -> a.got)""")
+    return files.select("repo_key", F.explode(fits).alias("f")).select("repo_key", "f.path", "f.size")
 
 
 def detect_traps(blobs: DataFrame) -> DataFrame:
@@ -103,16 +105,25 @@ def live_activity(tx: DataFrame, now: str) -> DataFrame:
     return tx.groupBy("address").agg(F.count_if(F.col("ts") >= at - F.expr("INTERVAL 30 DAYS")).alias("tx_30d"), F.max("ts").alias("last_activity"))
 
 
+def _code_points(x: Column, pattern: str, hexed) -> Column:
+    """x with every number that the pattern finds replaced by its character; hexed: the number's hexadecimal digits."""
+    def one(p: Column) -> Column:
+        char = F.decode(F.unhex(F.lpad(hexed(F.substring_index(p, "\u0002", 1)), 8, "0")), "UTF-32")
+        return F.when(p.contains("\u0002"), F.concat(char, F.substring_index(p, "\u0002", -1))).otherwise(p)
+
+    return F.array_join(F.transform(F.split(F.regexp_replace(x, pattern, "\u0001$1\u0002"), "\u0001"), one), "")
+
+
 def policy_text(pages: DataFrame) -> DataFrame:
     """html to plain text: scripts, styles and tags out, entities decoded, white space collapsed."""
     x = F.col("html")
     for tag in ("script", "style", "noscript"):
         x = F.regexp_replace(x, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
     x = F.regexp_replace(x, "<[^>]+>", " ")
-    parts = F.split(F.regexp_replace(x, r"&#(\d+);", "\u0001$1\u0002"), "\u0001")
-    point = lambda p: F.decode(F.unhex(F.lpad(F.hex(F.substring_index(p, "\u0002", 1).cast("long")), 8, "0")), "UTF-32")
-    x = F.array_join(F.transform(parts, lambda p: F.when(p.contains("\u0002"), F.concat(point(p), F.substring_index(p, "\u0002", -1))).otherwise(p)), "")
-    for name, char in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " ")):
+    # decimal, then hexadecimal codes, then names; & last, so that what it uncovers is not decoded again
+    x = _code_points(x, r"&#(\d+);", lambda p: F.hex(p.cast("long")))
+    x = _code_points(x, r"(?i)&#x([0-9a-f]+);", lambda p: p)
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&")):
         x = F.regexp_replace(x, f"(?i)&{name};", char)
     return pages.select("page_id", "url", F.substring(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")), 1, 1_500_000).alias("text"))
 
@@ -145,15 +156,22 @@ def policy_rewards(texts: DataFrame) -> DataFrame:
 def policy_restrictions(texts: DataFrame) -> DataFrame:
     """Flags and the number of resolved reports that a policy names."""
     t = F.col("text")
-    n = F.regexp_extract(t, r"(?i)([0-9][0-9,]*)\s+(?:resolved|triaged|valid)\s+reports?", 1)
+    before, after = F.regexp_extract(t, r"(?i)([0-9][0-9,]*)\s+(?:resolved|triaged|valid)\s+reports?", 1), F.regexp_extract(t, r"(?i)(?:resolved|triaged|valid)\s+reports?\D{0,12}([0-9][0-9,]*)", 1)
+    n = F.when(before != "", before).otherwise(after)
     bad = "(?:not eligible|ineligible|excluded|prohibited|cannot participate|not available)"
     return texts.select("url", t.rlike(r"(?i)\binvite[- ]only\b|\bprivate program\b|participation is by invitation").alias("policy_invite_only"),
                         t.rlike(r"(?i)(?:kyc|know your customer|identity verification).{0,80}(?:required|mandatory|must)|(?:required|mandatory|must).{0,80}(?:kyc|identity verification)").alias("policy_kyc"),
                         t.rlike(rf"(?i)(?:india|indian).{{0,100}}{bad}|{bad}.{{0,100}}(?:india|indian)").alias("excludes_in"),
+                        t.rlike(r"(?i)\bno safe harbou?r\b|safe harbou?r does not apply").alias("no_safe_harbor"),
                         F.when(n != "", F.replace(n, F.lit(","), F.lit("")).cast("long")).alias("policy_reports"))
 
 
-def policy_floor(rewards: DataFrame, minimum: float = 1000.0) -> DataFrame:
-    """The least severity whose amount reaches the minimum, per page that has one."""
+LOW_EXCLUDED = r"(?i)\blow\b.{0,100}(?:not eligible|no bounty|not rewarded|out of scope)|(?:not eligible|no bounty|not rewarded|out of scope).{0,100}\blow\b"
+
+
+def policy_floor(rewards: DataFrame, texts: DataFrame, minimum: float = 1000.0) -> DataFrame:
+    """The least severity whose amount reaches the minimum, else MEDIUM where low ones are excluded, and where that is from; per page that has a floor."""
     rank = F.when(F.col("severity") == "LOW", 1).when(F.col("severity") == "MEDIUM", 2).when(F.col("severity") == "HIGH", 3).otherwise(4)
-    return rewards.where(F.col("amount") >= minimum).groupBy("url").agg(F.min_by("severity", rank).alias("policy_floor"))
+    paid = rewards.where(F.col("amount") >= minimum).groupBy("url").agg(F.min_by("severity", rank).alias("floor"))
+    df = texts.select("url", F.col("text").rlike(LOW_EXCLUDED).alias("low")).join(paid, "url", "left").where("floor IS NOT NULL OR low")
+    return df.select("url", F.coalesce("floor", F.lit("MEDIUM")).alias("policy_floor"), F.when(F.col("floor").isNotNull(), "scraped-reward-table").otherwise("scraped-low-exclusion").alias("policy_floor_source"))

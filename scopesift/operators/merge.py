@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import fold
+
 # Target types by the first pattern that their text matches.
 TYPE_PATTERNS = [
     ("source-code", "(source|repository|github|gitlab)"),
@@ -41,7 +43,7 @@ def norm_status(records: DataFrame) -> DataFrame:
     """Adds merge_key, status and paid."""
     raw = F.trim(F.coalesce("raw_status", F.lit("open")))
     status = F.when(raw.rlike(CLOSED_WORDS), "closed").when(raw.rlike(OPEN_WORDS) | (raw == ""), "open").otherwise(F.lower(raw))
-    slug = F.substring(F.regexp_replace(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 96)
+    slug = F.substring(F.regexp_replace(F.regexp_replace(fold(F.col("name")), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 96)
     paid = (F.coalesce("max_reward", F.lit(0.0)) > 0) | (F.coalesce("min_reward", F.lit(0.0)) > 0)
     return records.withColumns({"merge_key": slug, "status": status, "paid": paid})
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LIVE = ["live-web", "live-api", "live-contract", "ai-agent"]
+from .value import LIVE
+
 FIELDS = ["workflow", "findable_class", "ceiling", "floor", "hardening_index", "fresh_code_index", "known_issue_risk", "p_findable", "p_payable", "p_first", "effective_reward", "ev_score", "exclude_reason", "reason"]
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .diff import CORE
+from .evidence import scannable
+from .value import HOSTED, LIVE
 
 
 def src_health(records: DataFrame, sources: DataFrame, least: int = 1) -> DataFrame:
@@ -23,7 +25,7 @@ def src_snapshot_fallback(now: DataFrame, before: DataFrame, least: int) -> Data
 
 def record_tags(records: DataFrame, targets: DataFrame) -> DataFrame:
     """Per record: counts of targets and repositories, and its distinct target types. records with none have 0 and no tags."""
-    got = targets.groupBy("record_no").agg(F.count("*").alias("t"), F.count_if(F.col("type") == "source-code").alias("r"), F.array_sort(F.collect_set("type")).alias("g"))
+    got = targets.groupBy("record_no").agg(F.count("*").alias("t"), F.count_if((F.col("type") == "source-code") | F.col("value").rlike(HOSTED)).alias("r"), F.array_sort(F.collect_set("type")).alias("g"))
     zero = F.lit(0).cast("long")
     return records.join(got, "record_no", "left").select("record_no", F.coalesce("t", zero).alias("target_count"), F.coalesce("r", zero).alias("repository_count"), (F.coalesce("r", zero) > 0).alias("source_code"),
                                                          F.coalesce("g", F.array().cast("array<string>")).alias("tags"))
@@ -119,7 +121,7 @@ def cache_upsert(cache: DataFrame, fresh: DataFrame, referenced: DataFrame) -> D
 
 def scan_coverage(blobs: DataFrame, picked: DataFrame, max_size: int = 500_000) -> DataFrame:
     """Per repository: files that could be read, files chosen, their bytes, and whether that is all."""
-    may = blobs.where(F.col("size") <= max_size).groupBy("repo_key").agg(F.count("*").alias("eligible"))
+    may = scannable(blobs, max_size).groupBy("repo_key").agg(F.count("*").alias("eligible"))
     got = picked.groupBy("repo_key").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
     df = may.join(got, "repo_key", "left").withColumns({"selected": F.coalesce("n", F.lit(0)).cast("long"), "bytes": F.coalesce("b", F.lit(0)).cast("long")})
     return df.select("repo_key", "eligible", "selected", "bytes", F.when(F.col("selected") == F.col("eligible"), "complete").otherwise("bounded").alias("status"))
@@ -180,15 +182,32 @@ def public_projection(evaluated: DataFrame, top: int = 16) -> DataFrame:
         "program_id", "position", "target_key", "type", "workflow", "ev_score", *(F.when(ok, F.col(c)).alias(c) for c in ("hardening_index", "stars", "commits_90d")))
 
 
-def browse(programs: DataFrame, platform: str | None = None, workflow: str | None = None, least: float = 0.0, words: str = "", reviewed: DataFrame | None = None) -> DataFrame:
-    df = programs.where(F.col("ev_score") >= least)
+def browse(programs: DataFrame, targets: DataFrame, tab: str = "top", platform: str | None = None, workflow: str | None = None, least: float = 0.0, words: str = "", reviewed: DataFrame | None = None, watchlist: DataFrame | None = None) -> DataFrame:
+    """Programs that are not excluded and worth something, by tab (top, live, fresh-source, watchlist), platform, workflow and value; words are looked for in the
+    program's fields, tags and target values (targets: program_id, value). reviewed: program_id, name; watchlist: program_id."""
+    df = programs.where("exclude_reason IS NULL AND ev_score > 0").where(F.col("ev_score") >= least)
+    if tab == "top":
+        df = df.where("workflow <> 'static-source-hardened'")
+    elif tab == "live":
+        df = df.where(F.col("workflow").isin(LIVE))
+    elif tab == "fresh-source":
+        df = df.where("workflow = 'static-source' AND fresh_code_index > 50")
+    elif tab == "watchlist":
+        df = df.join(watchlist.select("program_id"), "program_id", "left_semi")
     if platform:
         df = df.where(F.col("platform") == platform)
     if workflow:
         df = df.where(F.col("workflow") == workflow)
     if words:
-        df = df.where(F.contains(F.lower(F.concat_ws(" ", "name", "platform", "url", "workflow", "findable_class", "reason")), F.lit(words.lower())))
-    return df if reviewed is None else df.join(reviewed.select("program_id"), "program_id", "left_anti")
+        term = F.lit(words.strip().lower())
+        hit = targets.where(F.contains(F.lower("value"), term)).select("program_id", F.lit(True).alias("hit")).distinct()
+        tags = F.array_join("tags", " ") if "tags" in programs.columns else F.lit("")
+        df = df.join(hit, "program_id", "left").where(F.col("hit") | F.contains(F.lower(F.concat_ws(" ", "name", "platform", "workflow", "findable_class", "reason", tags)), term)).drop("hit")
+    if reviewed is not None:
+        plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+        df = df.join(reviewed.select("program_id"), "program_id", "left_anti")
+        df = df.withColumn("plain", plain("name")).join(reviewed.where("name IS NOT NULL").select(plain("name").alias("plain")).distinct(), "plain", "left_anti").drop("plain")
+    return df
 
 
 def browse_sort(programs: DataFrame, by: str = "ev", limit: int = 25) -> DataFrame:

@@ -17,6 +17,7 @@ AI = "(?i)(^|[^a-z])(ai|ml|llm|rag|mcp)([^a-z]|$)|agent|prompt[-_ ]?inject"
 CONTRACT = r"(?i)(solidity|defi|smart[-_ ]?contract|\bevm\b|vault)"
 PAYMENTS = "(?i)(payments?|checkout|billing|store|entitlement|subscription|invoice|cart)"
 UNTRUSTED_INPUT = "(?i)(network|packet|socket|upload|file|wire|request|remote|untrusted|p2p)"
+LIVE = ["live-web", "live-api", "live-contract", "ai-agent"]
 HOSTED = r"(?i)github\.com|gitlab\.com"
 
 # Class -> ceiling, fit, label.
@@ -91,15 +92,17 @@ def findable_class(df: DataFrame) -> DataFrame:
 
 def floor_resolve(df: DataFrame) -> DataFrame:
     """The program's floor: override, then policy, then MEDIUM, and where it came from."""
+    if "policy_floor_source" not in df.columns:
+        df = df.withColumn("policy_floor_source", F.lit(None).cast("string"))
     return df.withColumns({"floor": F.coalesce("override_floor", "policy_floor", F.lit("MEDIUM")),
-                           "floor_source": F.when(F.col("override_floor").isNotNull(), "override").when(F.col("policy_floor").isNotNull(), "scraped-reward-table").otherwise("conservative-default")})
+                           "floor_source": F.when(F.col("override_floor").isNotNull(), "override").when(F.col("policy_floor").isNotNull(), F.coalesce("policy_floor_source", F.lit("scraped-reward-table"))).otherwise("conservative-default")})
 
 
 def eligibility(df: DataFrame, country: str = "IN") -> DataFrame:
     """reasons: why the researcher could not be paid, in order; none is eligible."""
     return df.withColumn("reasons", texts(
         (~yes(F.col("paid")), F.lit("program is not confirmed paid")), (F.coalesce("status", F.lit("")) != "open", F.lit("program is not open")),
-        (yes(F.col("invite_only")) | yes(F.col("policy_invite_only")), F.lit("invite-only program")), (yes(F.col("kyc_required")) | yes(F.col("policy_kyc")), F.lit("KYC required")),
+        (yes(F.col("invite_only")) | yes(F.col("policy_invite_only")) | F.col("name").rlike(r"(?i)\b(?:invite[- ]only|invitational)\b"), F.lit("invite-only program")), (yes(F.col("kyc_required")) | yes(F.col("policy_kyc")), F.lit("KYC required")),
         (yes(F.col("excludes_in")) & F.lit(country == "IN"), F.lit(f"{country} researchers excluded"))))
 
 

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import diff, evidence, merge, rank, value
-from ..sources.fixtures import NOW, NOW_LIVE, view
+from ..operators import diff, evidence, merge, rank, state, value
+from ..sources.fixtures import NOW, NOW_LIVE, OVERRIDES, view
 
 
 def records(spark: SparkSession, sf: str, before: bool = False) -> DataFrame:
-    df = view(spark, sf, "fx_records_before" if before else "fx_records")
-    df = df if before else df.where("floor(record_no / 3) % 37 <> 0")
-    return merge.lead_rank(merge.norm_status(df))
+    return merge.lead_rank(merge.norm_status(view(spark, sf, "fx_records_before" if before else "fx_records")))
 
 
 def targets(spark: SparkSession, sf: str, before: bool = False) -> DataFrame:
@@ -26,8 +24,13 @@ def merged(spark: SparkSession, sf: str, before: bool = False) -> tuple[DataFram
     return merge.merge_programs(r, t), t
 
 
-def changes(spark: SparkSession, sf: str) -> DataFrame:
-    (p, t), (q, s) = merged(spark, sf), merged(spark, sf, True)
+def present(programs: DataFrame) -> DataFrame:
+    """The current snapshot without every 37th program, for what is asked about programs that went."""
+    return programs.where("CAST(substring(merge_key, 9) AS INT) % 37 <> 0")
+
+
+def changes(spark: SparkSession, sf: str, now: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    (p, t), (q, s) = now or merged(spark, sf), merged(spark, sf, True)
     return diff.classify_change(p, q, diff.diff_targets(t, s))
 
 
@@ -39,21 +42,30 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
     """One row per repository with commits."""
     commits = view(spark, sf, "fx_repo_commits")
     traps = evidence.trap_rollup(evidence.detect_traps(view(spark, sf, "fx_blobs")))
+    n = F.col("commits")
+    spoken = F.when(n % 4 == 0, F.array(F.lit("go"))).when(n % 4 == 1, F.array(F.lit("c"))).when(n % 4 == 2, F.array(F.lit("python"), F.lit("rust")))
     return (evidence.repo_activity(commits, NOW).join(evidence.repo_profile(commits, NOW), "repo_key").join(traps, "repo_key", "left")
-            .withColumns({"stars": F.col("commits") * 100, "sec_tooling": F.col("contributors") > 12, "advisories_resolved": F.lit(None).cast("long"),
-                          "files_added_90d": F.col("commits_90d"), "advisory_match": F.lit(False), "languages": F.lit(None).cast("array<string>"), "has": F.lit(True)}))
+            .withColumns({"stars": n * 100, "sec_tooling": F.col("contributors") > 12, "advisories_resolved": n % 5, "files_added_90d": F.col("commits_90d"), "advisory_match": n % 7 == 0, "languages": spoken, "has": F.lit(True)}))
 
 
 def joined(spark: SparkSession, sf: str) -> DataFrame:
-    """Targets with their program, change and evidence: the input of evaluate_targets."""
-    p, t = merged(spark, sf)
-    policy = evidence.policy_restrictions(texts(spark, sf)).join(evidence.policy_floor(evidence.policy_rewards(texts(spark, sf))), "url", "left")
+    """Targets with their program, change and evidence: the input of evaluate_targets. Programs without targets have their own address as one.
+
+    Most targets have no repository and no address; keys that are missing are made different from one another (``apart``), so that
+    rows without a partner spread over the tasks.
+    """
+    p, t = now = merged(spark, sf)
+    text = texts(spark, sf)
+    policy = evidence.policy_restrictions(text).join(evidence.policy_floor(evidence.policy_rewards(text), text), "url", "left")
     live = evidence.live_activity(view(spark, sf, "fx_live_tx"), NOW_LIVE)
-    df = t.join(p, "merge_key").join(changes(spark, sf).select("merge_key", "change_type"), "merge_key").join(policy, "url", "left")
+    floors = state.override_join(p, spark.createDataFrame(OVERRIDES, "key string, floor string"))
+    apart = lambda c: F.coalesce(c, F.concat(F.lit("\u0000"), "merge_key", "target_key"))
+    t = t.unionByName(state.fallback_target(p).withColumn("added_at", F.lit(None).cast(t.schema["added_at"].dataType)))
+    df = t.join(p, "merge_key").join(changes(spark, sf, now).select("merge_key", "change_type"), "merge_key").join(policy, "url", "left").join(floors, "program_id", "left")
     df = df.join(evidence.repo_resolve(t.where("type = 'source-code'").select("target_key", "value").distinct()), "target_key", "left")
-    df = df.join(signals(spark, sf), "repo_key", "left").join(live.withColumnRenamed("address", "value"), "value", "left")
-    return df.withColumns({"repo_status": F.when(F.col("has"), "ok").when(F.col("repo_key").isNotNull(), "pending"), "deployed": F.when(F.col("tx_30d").isNotNull(), True),
-                           "first_seen_at": F.col("added_at"), "override_floor": F.lit(None).cast("string")})
+    df = df.withColumn("repo_at", apart(F.col("repo_key"))).join(signals(spark, sf).withColumnRenamed("repo_key", "repo_at"), "repo_at", "left").drop("repo_at")
+    df = df.withColumn("address", apart(F.when(F.col("type") == "smart-contract", F.col("value")))).join(live, "address", "left").drop("address")
+    return df.withColumns({"repo_status": F.when(F.col("has"), "ok").when(F.col("repo_key").isNotNull(), "pending"), "deployed": F.when(F.col("tx_30d").isNotNull(), True), "first_seen_at": F.col("added_at")})
 
 
 def evaluated(spark: SparkSession, sf: str) -> DataFrame:

@@ -99,7 +99,8 @@ def _exports(s, d):
 def _stream(s, d):
     landed, to, at = (sinks.folder(s, x) for x in ("landed", "state", "stream"))
     for run, before in ((_RUN_BEFORE, True), (_RUN, False)):
-        flow.merged(s, d, before)[0].select("merge_key", "status", "max_reward").write.parquet(f"{landed}/run_ts={run}")
+        programs = flow.merged(s, d, before)[0]
+        (programs if before else flow.present(programs)).select("merge_key", "status", "max_reward").write.parquet(f"{landed}/run_ts={run}")
     reconcile.incremental_reconcile(s, landed, to, at)
     return sinks.read_state(s, to)
 
@@ -213,5 +214,5 @@ ORACLES = {k: chain(x) for k, x in {
     "trap_assertions": f"SELECT count(*) FILTER (WHERE s) AS sentinels, count(*) FILTER (WHERE m) AS managed, count(*) FILTER (WHERE s) = 0 OR count(*) FILTER (WHERE s AND repo_status = 'ok' AND contains(trap_tags, 'DEV_KNOWN')) > 0 AS sentinel_ok, count(*) FILTER (WHERE m AND NOT contains(trap_tags, 'DOS_CEILING')) = 0 AS ceiling_ok, sentinel_ok AND ceiling_ok AS ready FROM (SELECT *, coalesce(repo_key = {q(SENTINEL)}, false) AS s, findable_class = 'managed-parser-dos' AND floor IN ('MEDIUM', 'HIGH', 'CRITICAL') AS m FROM ev)",
     "sink_state": "SELECT program_id, name, status, max_reward FROM prog",
     "sink_exports": "SELECT name, platform, workflow, ev_score, max_reward, coalesce(max_reward > 50000, false) AS reward_capped, reason, url FROM best",
-    "incremental_reconcile": f"SELECT merge_key, CASE WHEN p.program_id IS NULL THEN 'stale' ELSE p.status END AS status, CASE WHEN p.program_id IS NULL THEN o.max_reward ELSE p.max_reward END AS max_reward, k AS change_type, CASE WHEN k = 'baseline' THEN '{_RUN_BEFORE}' ELSE '{_RUN}' END AS changed_at, CAST(CASE WHEN p.program_id IS NULL THEN 1 ELSE 0 END AS BIGINT) AS missing_count FROM (SELECT merge_key, p, o, CASE WHEN p IS NULL THEN 'baseline' WHEN o IS NULL THEN 'new_program' WHEN coalesce(p.max_reward, 0) > coalesce(o.max_reward, 0) THEN 'reward_up' WHEN o.status <> 'open' AND p.status = 'open' THEN 'reactivated' WHEN p.status IS DISTINCT FROM o.status OR p.max_reward IS DISTINCT FROM o.max_reward THEN 'scope_updated' ELSE 'baseline' END AS k FROM (SELECT merge_key, prog AS p FROM prog) FULL JOIN (SELECT merge_key, prog_before AS o FROM prog_before) USING (merge_key))",
+    "incremental_reconcile": f"SELECT merge_key, CASE WHEN p.program_id IS NULL THEN 'stale' ELSE p.status END AS status, CASE WHEN p.program_id IS NULL THEN o.max_reward ELSE p.max_reward END AS max_reward, k AS change_type, CASE WHEN k = 'baseline' THEN '{_RUN_BEFORE}' ELSE '{_RUN}' END AS changed_at, CAST(CASE WHEN p.program_id IS NULL THEN 1 ELSE 0 END AS BIGINT) AS missing_count FROM (SELECT merge_key, p, o, CASE WHEN p IS NULL THEN 'baseline' WHEN o IS NULL THEN 'new_program' WHEN coalesce(p.max_reward, 0) > coalesce(o.max_reward, 0) THEN 'reward_up' WHEN o.status <> 'open' AND p.status = 'open' THEN 'reactivated' WHEN p.status IS DISTINCT FROM o.status OR p.max_reward IS DISTINCT FROM o.max_reward THEN 'scope_updated' ELSE 'baseline' END AS k FROM (SELECT merge_key, prog AS p FROM prog WHERE CAST(substr(merge_key, 9) AS INTEGER) % 37 <> 0) FULL JOIN (SELECT merge_key, prog_before AS o FROM prog_before) USING (merge_key))",
 }.items()}

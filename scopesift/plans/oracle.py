@@ -48,7 +48,7 @@ CTES["norm_t"] = """SELECT *, substr(sha256(type || ':' || lower(regexp_replace(
     " ".join(f"WHEN {hit(chr(114) + 'eplace(lower(raw_type), ' + q('_') + ', ' + q('-') + ')', p)} THEN '{n}'" for n, p in m.TYPE_PATTERNS))
 CTES["dedupe_t"] = "SELECT record_no, target_key, ordinal, type, value, added_at FROM (SELECT *, row_number() OVER (PARTITION BY record_no, target_key ORDER BY ordinal DESC) AS n FROM norm_t{s}) WHERE n = 1"
 CTES["rec"] = f"""SELECT *, row_number() OVER (PARTITION BY merge_key ORDER BY source_priority, coalesce(max_reward, 0) DESC, record_no) AS lead_rank FROM
- (SELECT *, regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') AS merge_key, CASE WHEN {hit('raw_status', m.CLOSED_WORDS)} THEN 'closed' WHEN {hit('raw_status', m.OPEN_WORDS)} THEN 'open' ELSE lower(raw_status) END AS status,
+ (SELECT *, regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', '-', 'g') AS merge_key, CASE WHEN {hit('raw_status', m.CLOSED_WORDS)} THEN 'closed' WHEN {hit('raw_status', m.OPEN_WORDS)} THEN 'open' ELSE lower(raw_status) END AS status,
   coalesce(max_reward, 0) > 0 OR coalesce(min_reward, 0) > 0 AS paid FROM fx_records{{s}} {{w}})"""
 CTES["merged_t"] = "SELECT merge_key, target_key, type, value, added_at FROM (SELECT *, row_number() OVER (PARTITION BY merge_key, target_key ORDER BY lead_rank DESC, ordinal DESC) AS n FROM dedupe_t{s} JOIN (SELECT record_no, merge_key, lead_rank FROM rec{s}) USING (record_no)) WHERE n = 1"
 CTES["prog"] = """SELECT 'program:' || r.merge_key AS program_id, r.merge_key, l.name, l.source_id AS platform, l.url, CASE WHEN any_open THEN 'open' ELSE l.status END AS status,
@@ -59,7 +59,7 @@ CTES["prog"] = """SELECT 'program:' || r.merge_key AS program_id, r.merge_key, l
 for _k in ("norm_t", "dedupe_t", "rec", "merged_t", "prog"):
     _sql = CTES.pop(_k)
     CTES[_k + "_before"] = _sql.replace("{s}", "_before").replace("{w}", "")
-    CTES[_k] = _sql.replace("{s}", "").replace("{w}", "WHERE floor(record_no / 3) % 37 <> 0")
+    CTES[_k] = _sql.replace("{s}", "").replace("{w}", "")
 CTES["diff"] = "SELECT coalesce(a.merge_key, b.merge_key) AS merge_key, count(*) FILTER (WHERE b.target_key IS NULL) AS added, count(*) FILTER (WHERE a.target_key IS NULL) AS removed FROM merged_t a FULL JOIN merged_t_before b ON a.merge_key = b.merge_key AND a.target_key = b.target_key GROUP BY 1"
 CTES["chg"] = """SELECT p.program_id, p.merge_key, coalesce(d.added, 0) AS added, coalesce(d.removed, 0) AS removed, CASE WHEN o.merge_key IS NULL THEN 'new_program' WHEN d.added > 0 THEN 'new_target' WHEN coalesce(p.max_reward, 0) > coalesce(o.max_reward, 0) THEN 'reward_up'
  WHEN o.status <> 'open' AND p.status = 'open' THEN 'reactivated' WHEN d.removed > 0 OR (p.name, p.platform, p.url, p.status, p.paid, p.min_reward, p.max_reward, p.launched_at, p.resolved_reports, p.invite_only, p.kyc_required, p.source_ids, p.tags)
@@ -70,10 +70,10 @@ CTES["activity"] = "SELECT repo_key, " + ", ".join(f"count(*) FILTER (WHERE comm
 CTES["profile"] = f"SELECT repo_key, {up(days('min(committed_at)', AT) + ' / ' + D(365.25), 1)} AS age_y, count(DISTINCT author) AS contributors, count(*) AS commits FROM fx_repo_commits GROUP BY repo_key"
 _FILE = "regexp_extract(path, '[^/]*$')"
 _TEST = f"({hit('path', e.TEST_PATH)} AND {hit(_FILE, e.KNOWN_FILE)})"
-CTES["blob_p"] = f"SELECT *, CASE WHEN {_TEST} THEN 0 WHEN {hit('path', e.HIGH_VALUE)} THEN 1 WHEN {hit('path', e.TEST_PATH)} THEN 2 ELSE 4 END AS priority FROM fx_blobs WHERE size <= 500000"
+CTES["blob_p"] = f"SELECT *, CASE WHEN {_TEST} OR {hit('path', e.WORKFLOW_PATH)} OR {hit('path', e.SECURITY_FILE)} OR {hit('path', e.FUZZ_PATH)} THEN 0 WHEN {hit('path', e.HIGH_VALUE)} THEN 1 WHEN {hit('path', e.TEST_PATH)} THEN 2 ELSE 4 END AS priority FROM fx_blobs WHERE size <= 500000 AND {hit('path', e.TEXT_FILE)}"
 CTES["picked"] = """SELECT o.repo_key, o.path, o.size FROM (SELECT repo_key, list_reduce(list_prepend({'n': CAST(0 AS BIGINT), 'b': CAST(0 AS BIGINT), 'paths': CAST([] AS VARCHAR[]), 'path': '', 'size': CAST(0 AS BIGINT)},
  list({'n': CAST(0 AS BIGINT), 'b': CAST(0 AS BIGINT), 'paths': CAST([] AS VARCHAR[]), 'path': path, 'size': size} ORDER BY priority, size, path)),
- lambda a, x: CASE WHEN a.n < 2 AND a.b + x.size <= 8000 THEN {'n': a.n + 1, 'b': a.b + x.size, 'paths': list_append(a.paths, x.path), 'path': '', 'size': CAST(0 AS BIGINT)} ELSE a END) AS r FROM blob_p GROUP BY repo_key) g
+ lambda a, x: CASE WHEN a.n < 400 AND a.b + x.size <= 8000000 THEN {'n': a.n + 1, 'b': a.b + x.size, 'paths': list_append(a.paths, x.path), 'path': '', 'size': CAST(0 AS BIGINT)} ELSE a END) AS r FROM blob_p GROUP BY repo_key) g
  JOIN blob_p o ON o.repo_key = g.repo_key AND list_contains(g.r.paths, o.path)"""
 CTES["traps"] = f"""SELECT repo_key, path, 'test-filename' AS kind FROM fx_blobs WHERE {_TEST} UNION ALL SELECT repo_key, path, 'known-comment' FROM fx_blobs WHERE {hit('text', e.KNOWN_COMMENT)}
  UNION ALL SELECT repo_key, path, 'disabled-security-flag' FROM fx_blobs WHERE {hit('text', e.DISABLED_FLAG)} AND {hit('text', e.SECURITY_CONTEXT)}"""
@@ -83,40 +83,46 @@ for _t in ("script", "style", "noscript"):
     _strip = f"regexp_replace({_strip}, '(?is)<{_t}\\b[^>]*>.*?</{_t}>', ' ', 'g')"
 _strip = f"regexp_replace({_strip}, '<[^>]+>', ' ', 'g')"
 _strip = f"array_to_string(list_transform(string_split(regexp_replace({_strip}, '&#(\\d+);', chr(1) || '\\1' || chr(2), 'g'), chr(1)), lambda p: CASE WHEN contains(p, chr(2)) THEN chr(CAST(string_split(p, chr(2))[1] AS INTEGER)) || string_split(p, chr(2))[2] ELSE p END), '')"
-for _n, _c in (("amp", "'&'"), ("lt", "'<'"), ("gt", "'>'"), ("quot", "'\"'"), ("apos", "chr(39)"), ("nbsp", "' '")):
+_strip = f"array_to_string(list_transform(string_split(regexp_replace({_strip}, '(?i)&#x([0-9a-f]+);', chr(1) || '\\1' || chr(2), 'g'), chr(1)), lambda p: CASE WHEN contains(p, chr(2)) THEN chr(CAST('0x' || string_split(p, chr(2))[1] AS INTEGER)) || string_split(p, chr(2))[2] ELSE p END), '')"
+for _n, _c in (("lt", "'<'"), ("gt", "'>'"), ("quot", "'\"'"), ("apos", "chr(39)"), ("nbsp", "' '"), ("amp", "'&'")):
     _strip = f"regexp_replace({_strip}, '(?i)&{_n};', {_c}, 'g')"
 CTES["ptext"] = f"SELECT page_id, url, trim(regexp_replace({_strip}, '\\s+', ' ', 'g')) AS text FROM fx_policy"
 CTES["pparts"] = r"SELECT url, page_id, i, parts[i] AS part, parts FROM (SELECT url, page_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT url, page_id, string_split(regexp_replace(text, '(?i)\b(low|medium|high|critical)\b', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts FROM ptext))"
 CTES["rewards"] = f"""SELECT url, severity, max(CAST(regexp_extract(c, '^(\\d+(?:\\.\\d+)?)', 1) AS DOUBLE) * CASE WHEN c LIKE '%k' THEN {D(1000)} WHEN c LIKE '%m' THEN {D(1000000)} ELSE {D(1)} END) AS amount FROM
  (SELECT url, upper(string_split(part, chr(2))[1]) AS severity, lower(regexp_replace(CASE WHEN regexp_extract(left(string_split(part, chr(2))[2], 140), {q(e._MONEY)}, 1) <> '' THEN regexp_extract(left(string_split(part, chr(2))[2], 140), {q(e._MONEY)}, 1)
   ELSE regexp_extract_all(right(replace(array_to_string(parts[1:i-1], ''), chr(2), ''), 80), {q(e._MONEY)}, 1)[-1] END, '[,\\s]', '', 'g')) AS c FROM pparts WHERE contains(part, chr(2))) WHERE c IS NOT NULL AND c <> '' GROUP BY url, severity"""
-CTES["pfloor"] = "SELECT url, arg_min(severity, CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END) AS policy_floor FROM rewards WHERE amount >= 1000 GROUP BY url"
+CTES["pfloor"] = f"""SELECT x.url, coalesce(r.f, 'MEDIUM') AS policy_floor, CASE WHEN r.f IS NOT NULL THEN 'scraped-reward-table' ELSE 'scraped-low-exclusion' END AS policy_floor_source FROM ptext x
+ LEFT JOIN (SELECT url, arg_min(severity, CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END) AS f FROM rewards WHERE amount >= 1000 GROUP BY url) r ON r.url = x.url WHERE r.f IS NOT NULL OR {hit('x.text', e.LOW_EXCLUDED)}"""
 _BAD = "(?:not eligible|ineligible|excluded|prohibited|cannot participate|not available)"
 CTES["restrict"] = f"""SELECT url, {hit('text', r'(?i)\binvite[- ]only\b|\bprivate program\b|participation is by invitation')} AS policy_invite_only,
  {hit('text', '(?i)(?:kyc|know your customer|identity verification).{0,80}(?:required|mandatory|must)|(?:required|mandatory|must).{0,80}(?:kyc|identity verification)')} AS policy_kyc,
- {hit('text', f'(?i)(?:india|indian).{{0,100}}{_BAD}|{_BAD}.{{0,100}}(?:india|indian)')} AS excludes_in,
- CASE WHEN {hit('text', '(?i)([0-9][0-9,]*)' + chr(92) + 's+(?:resolved|triaged|valid)' + chr(92) + 's+reports?')} THEN CAST(replace(regexp_extract(text, '(?i)([0-9][0-9,]*)\\s+(?:resolved|triaged|valid)\\s+reports?', 1), ',', '') AS BIGINT) END AS policy_reports FROM ptext"""
+ {hit('text', f'(?i)(?:india|indian).{{0,100}}{_BAD}|{_BAD}.{{0,100}}(?:india|indian)')} AS excludes_in, {hit('text', '(?i)' + chr(92) + 'bno safe harbou?r' + chr(92) + 'b|safe harbou?r does not apply')} AS no_safe_harbor,
+ CASE WHEN {hit('text', '(?i)([0-9][0-9,]*)' + chr(92) + 's+(?:resolved|triaged|valid)' + chr(92) + 's+reports?')} THEN CAST(replace(regexp_extract(text, '(?i)([0-9][0-9,]*)\\s+(?:resolved|triaged|valid)\\s+reports?', 1), ',', '') AS BIGINT) ELSE TRY_CAST(replace(regexp_extract(text, '(?i)(?:resolved|triaged|valid)\\s+reports?\\D{{0,12}}([0-9][0-9,]*)', 1), ',', '') AS BIGINT) END AS policy_reports FROM ptext"""
 CTES["live"] = f"SELECT address, count(*) FILTER (WHERE ts >= {LIVE_AT} - INTERVAL 30 DAYS) AS tx_30d, max(ts) AS last_activity FROM fx_live_tx GROUP BY address"
-CTES["j"] = """SELECT t.target_key, t.type, t.value, t.added_at, p.*, c.change_type, x.repo_key, a.commits_90d, a.max_additions_90d, f.age_y, f.contributors, f.commits * 100 AS stars, f.contributors > 12 AS sec_tooling,
+CTES["over"] = "SELECT * FROM (VALUES {}) AS o(key, floor)".format(", ".join(f"('{a}', '{b}')" for a, b in OVERRIDES))
+CTES["ovr"] = "SELECT program_id, arg_min(floor, r) AS override_floor FROM (SELECT p.program_id, o.floor, CASE o.key WHEN p.program_id THEN 0 WHEN p.name THEN 1 ELSE 2 END AS r FROM prog p JOIN over o ON o.key IN (p.program_id, p.name, lower(p.name))) GROUP BY 1"
+CTES["fallback"] = "SELECT merge_key, substr(sha256(t || ':' || lower(url)), 1, 16) AS target_key, t AS type, url AS value FROM (SELECT *, CASE WHEN list_contains(tags, 'api') THEN 'api' ELSE 'web' END AS t FROM prog WHERE target_count = 0)"
+CTES["all_t"] = "SELECT merge_key, target_key, type, value, added_at FROM merged_t UNION ALL SELECT merge_key, target_key, type, value, NULL FROM fallback"
+CTES["j"] = """SELECT t.target_key, t.type, t.value, t.added_at, p.*, c.change_type, x.repo_key, a.commits_90d, a.max_additions_90d, f.age_y, f.contributors, f.commits * 100 AS stars, f.contributors > 12 AS sec_tooling, f.commits % 5 AS advisories_resolved, f.commits % 7 = 0 AS advisory_match, CASE f.commits % 4 WHEN 0 THEN ['go'] WHEN 1 THEN ['c'] WHEN 2 THEN ['python', 'rust'] ELSE [] END AS languages, ov.override_floor, o.policy_floor_source,
  coalesce(k.dev_known, false) AS dev_known, coalesce(k.security_fix_gated, false) AS security_fix_gated, l.tx_30d, l.tx_30d IS NOT NULL AS deployed, CASE WHEN a.repo_key IS NOT NULL THEN 'ok' WHEN x.repo_key IS NOT NULL THEN 'pending' END AS repo_status,
  coalesce(r.policy_invite_only, false) AS policy_invite_only, coalesce(r.policy_kyc, false) AS policy_kyc, coalesce(r.excludes_in, false) AS excludes_in, r.policy_reports, o.policy_floor,
  concat_ws(' ', p.name, t.type, t.value, array_to_string(p.tags, ' '), x.repo_key) AS text
- FROM merged_t t JOIN prog p USING (merge_key) JOIN chg c ON c.merge_key = t.merge_key LEFT JOIN restrict r ON r.url = p.url LEFT JOIN pfloor o ON o.url = p.url LEFT JOIN resolved x ON x.target_key = t.target_key AND t.type = 'source-code'
- LEFT JOIN activity a ON a.repo_key = x.repo_key LEFT JOIN profile f ON f.repo_key = x.repo_key LEFT JOIN trap_r k ON k.repo_key = x.repo_key AND a.repo_key IS NOT NULL LEFT JOIN live l ON l.address = t.value"""
-CTES["e1"] = f"""SELECT *, CASE WHEN repo_status = 'ok' THEN {up(clamp(f"least({D(30)}, CAST(stars AS DOUBLE) / {D(300)}) + CASE WHEN sec_tooling THEN 20 ELSE 0 END + CASE WHEN age_y > 4 THEN 15 ELSE 0 END + CASE WHEN contributors > 100 THEN 15 ELSE 0 END + CASE WHEN {hit('text', v.MATURE_CORE)} THEN 10 ELSE 0 END", 0, 100), 1)} END AS hardening_index,
+ FROM all_t t JOIN prog p USING (merge_key) LEFT JOIN ovr ov ON ov.program_id = p.program_id JOIN chg c ON c.merge_key = t.merge_key LEFT JOIN restrict r ON r.url = p.url LEFT JOIN pfloor o ON o.url = p.url LEFT JOIN resolved x ON x.target_key = t.target_key AND t.type = 'source-code'
+ LEFT JOIN activity a ON a.repo_key = x.repo_key LEFT JOIN profile f ON f.repo_key = x.repo_key LEFT JOIN trap_r k ON k.repo_key = x.repo_key AND a.repo_key IS NOT NULL LEFT JOIN live l ON l.address = t.value AND t.type = 'smart-contract'"""
+CTES["e1"] = f"""SELECT *, CASE WHEN repo_status = 'ok' THEN {up(clamp(f"least({D(30)}, CAST(stars AS DOUBLE) / {D(300)}) + CASE WHEN sec_tooling THEN 20 ELSE 0 END + CASE WHEN age_y > 4 THEN 15 ELSE 0 END + CASE WHEN contributors > 100 THEN 15 ELSE 0 END + CASE WHEN advisories_resolved >= 3 THEN 10 ELSE 0 END + CASE WHEN {hit('text', v.MATURE_CORE)} THEN 10 ELSE 0 END", 0, 100), 1)} END AS hardening_index,
  CASE change_type WHEN 'baseline' THEN false WHEN 'new_program' THEN true ELSE coalesce((change_type = 'new_target' AND added_at = {AT}) OR {days('added_at', AT)} < 45, false) END AS recent_scope,
- CASE WHEN dev_known THEN 40 ELSE 0 END + CASE WHEN security_fix_gated THEN 30 ELSE 0 END AS known_issue_risk, repo_status IS NOT NULL OR {hit('value', v.HOSTED)} AS repo FROM j"""
+ CASE WHEN dev_known THEN 40 ELSE 0 END + CASE WHEN advisory_match THEN 30 ELSE 0 END + CASE WHEN security_fix_gated THEN 30 ELSE 0 END AS known_issue_risk, repo_status IS NOT NULL OR {hit('value', v.HOSTED)} AS repo FROM j"""
 CTES["e2"] = f"""SELECT *, {up(clamp(f"CASE WHEN repo_status = 'ok' THEN least({D(35)}, CAST(commits_90d AS DOUBLE) / {D(2)}) + least({D(25)}, CAST(commits_90d AS DOUBLE) * {D(3)}) + CASE WHEN max_additions_90d > 800 THEN 20 ELSE 0 END ELSE 0 END + CASE WHEN recent_scope THEN 20 ELSE 0 END", 0, 100), 1)} AS fresh_code_index,
  CASE WHEN type = 'smart-contract' OR ({hit('text', v.CONTRACT)} AND deployed) THEN 'live-contract' WHEN NOT repo AND {hit('text', v.AI)} THEN 'ai-agent' WHEN NOT repo AND (type = 'api' OR {hit('value', '(?i)(^|[./_-])api([./_-]|$)')}) THEN 'live-api'
-  WHEN NOT repo AND type IN ('web', 'domain', 'url', 'mobile') THEN 'live-web' WHEN repo OR type IN ('source-code', 'firmware', 'hardware', 'executable', 'binary') THEN 'static-source' WHEN {hit('value', '(?i)^https?://')} THEN 'live-web'
+  WHEN NOT repo AND type IN ('web', 'domain', 'url', 'mobile') THEN 'live-web' WHEN repo OR type IN ('source-code', 'firmware', 'hardware', 'executable', 'binary') THEN 'static-source' WHEN {hit('value', '(?i)^https?://')} THEN 'live-web' WHEN {hit('value', '(?i)^(?:[*][.])?[a-z0-9-]+(?:[.][a-z0-9-]+)+(?::[0-9]+)?(?:/|$)')} THEN 'live-web'
   WHEN {hit('text', v.CONTRACT)} THEN 'live-contract' ELSE 'static-source' END AS base_workflow FROM e1"""
 _LIVE = "(base_workflow LIKE 'live-%' OR base_workflow = 'ai-agent')"
 CTES["e3"] = f"""SELECT *, CASE WHEN {_LIVE} AND {hit('text', v.AUTH)} THEN 'account-takeover' WHEN {_LIVE} AND {hit('text', v.AUTHZ)} THEN 'cross-tenant-authz' WHEN base_workflow = 'ai-agent' OR ({_LIVE} AND {hit('text', v.AI)}) THEN 'agent-sink-chain'
- WHEN base_workflow = 'live-contract' OR ({hit('text', v.CONTRACT)} AND deployed) THEN 'contract-loss' WHEN {_LIVE} AND {hit('text', v.PAYMENTS)} THEN 'business-logic' WHEN {hit('text', v.PARSER)} THEN 'parser-dos' WHEN {hit('text', v.CRYPTO)} THEN 'mature-crypto-core'
+ WHEN base_workflow = 'live-contract' OR ({hit('text', v.CONTRACT)} AND deployed) THEN 'contract-loss' WHEN {_LIVE} AND {hit('text', v.PAYMENTS)} THEN 'business-logic' WHEN {hit('text', v.PARSER)} AND list_has_any(languages, ['c', 'c++', 'cpp']) AND {hit('text', v.UNTRUSTED_INPUT)} THEN 'native-parser-memory' WHEN {hit('text', v.PARSER)} AND list_has_any(languages, ['go', 'rust']) THEN 'managed-parser-dos' WHEN {hit('text', v.PARSER)} THEN 'parser-dos' WHEN {hit('text', v.CRYPTO)} THEN 'mature-crypto-core'
  WHEN base_workflow = 'live-api' THEN 'api-authz' WHEN base_workflow = 'live-web' THEN 'web-business-logic' ELSE 'source-review' END AS findable_class FROM e2"""
 CTES["classes"] = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{a}', {D(b)}, '{c}')" for k, (a, b, c) in v.CLASSES.items()) + ") AS t(findable_class, ceiling, fit, label)"
-CTES["e4"] = f"""SELECT e3.*, ceiling, fit, label, CASE WHEN w = 'static-source' AND coalesce(hardening_index >= 55, false) AND fresh_code_index < 40 THEN 'static-source-hardened' ELSE w END AS workflow, coalesce(policy_floor, 'MEDIUM') AS floor_,
- CASE WHEN policy_floor IS NOT NULL THEN 'scraped-reward-table' ELSE 'conservative-default' END AS floor_source, greatest(0, coalesce(resolved_reports, policy_reports, 25)) AS reports, resolved_reports IS NULL AND policy_reports IS NULL AS reports_estimated,
+CTES["e4"] = f"""SELECT e3.*, ceiling, fit, label, CASE WHEN w = 'static-source' AND coalesce(hardening_index >= 55, false) AND fresh_code_index < 40 THEN 'static-source-hardened' ELSE w END AS workflow, coalesce(override_floor, policy_floor, 'MEDIUM') AS floor_,
+ CASE WHEN override_floor IS NOT NULL THEN 'override' WHEN policy_floor IS NOT NULL THEN policy_floor_source ELSE 'conservative-default' END AS floor_source, greatest(0, coalesce(resolved_reports, policy_reports, 25)) AS reports, resolved_reports IS NULL AND policy_reports IS NULL AS reports_estimated,
  {joined_texts(('NOT paid', q('program is not confirmed paid')), ("status <> 'open'", q('program is not open')), ('invite_only OR policy_invite_only', q('invite-only program')), ('kyc_required OR policy_kyc', q('KYC required')), ('excludes_in', q('IN researchers excluded')))} AS reasons
  FROM (SELECT e3.*, c.ceiling, c.fit, c.label, CASE e3.findable_class WHEN 'agent-sink-chain' THEN 'ai-agent' WHEN 'contract-loss' THEN 'live-contract' ELSE base_workflow END AS w FROM e3 JOIN classes c USING (findable_class)) e3""".replace("e3.*, ceiling, fit, label, CASE WHEN w", "e3.*, CASE WHEN w")
 CTES["e5"] = f"""SELECT *, {up(clamp(f"{D(0.2)} + {D(0.5)} * CASE WHEN {days('launched_at', AT)} < 90 THEN 1 ELSE 0 END + {D(0.3)} * CASE WHEN reports = 0 THEN {D(1)} ELSE least({D(1)}, {D(1)} / ln(CAST(1 + reports AS DOUBLE))) END"), 3)} AS p_first,
@@ -124,9 +130,9 @@ CTES["e5"] = f"""SELECT *, {up(clamp(f"{D(0.2)} + {D(0.5)} * CASE WHEN {days('la
  {up(f"CAST(CASE WHEN {rank_of('ceiling')} >= {rank_of('floor_')} THEN 1 ELSE 0 END AS DOUBLE) * ({D(1)} - CAST(known_issue_risk AS DOUBLE) / {D(100)}) * CASE WHEN reasons = '' THEN 1 ELSE 0 END", 3)} AS p_payable,
  workflow = 'live-contract' AND deployed AND coalesce(tx_30d = 0, false) AS dormant FROM e4"""
 CTES["e6"] = f"""SELECT *, nullif({joined_texts(
-    (f"{rank_of('ceiling')} < {rank_of('floor_')}", "ceiling || ' severity ceiling is below the ' || floor_ || ' program floor'"), ('hardening_index > 70 AND fresh_code_index < 25', q('mature hardened source with little fresh code')),
+    (f"findable_class = 'managed-parser-dos' AND {rank_of('floor_')} > 1", "ceiling || ' DoS ceiling is below the ' || floor_ || ' program floor'"), (f"NOT (findable_class = 'managed-parser-dos' AND {rank_of('floor_')} > 1) AND {rank_of('ceiling')} < {rank_of('floor_')}", "ceiling || ' severity ceiling is below the ' || floor_ || ' program floor'"), ('hardening_index > 70 AND fresh_code_index < 25', q('mature hardened source with little fresh code')),
     ('known_issue_risk >= 60', q('known-issue risk is 60 or higher')), ("reasons <> ''", 'reasons'), ('dormant', q('deployed contract surface has zero recent use or value')))}, '') AS exclude_reason,
- {joined_texts(('dev_known', q('DEV_KNOWN')), ('dormant', q('DORMANT')), sep=',')} AS trap_tags, least(greatest({D(0)}, coalesce(max_reward, 0)), {D(50000)}) AS effective_reward FROM e5"""
+ {joined_texts(('dev_known', q('DEV_KNOWN')), (f"findable_class = 'managed-parser-dos' AND {rank_of('floor_')} > 1", q('DOS_CEILING')), ('dormant', q('DORMANT')), sep=',')} AS trap_tags, least(greatest({D(0)}, coalesce(max_reward, 0)), {D(50000)}) AS effective_reward FROM e5"""
 CTES["ev"] = f"""SELECT *, floor_ AS floor, CASE WHEN exclude_reason IS NOT NULL THEN {D(0)} ELSE {up('effective_reward * p_findable * p_payable * p_first', 2)} END AS ev_score,
  array_to_string(list_filter([CASE WHEN fresh_code_index >= 50 THEN 'fresh code' WHEN recent_scope THEN 'fresh scope' END, replace(workflow, '-', ' '), label || ' ceiling ' || ceiling, CASE WHEN repo_status = 'ok' AND hardening_index < 35 THEN 'low hardening signal' WHEN repo_status = 'ok' AND hardening_index >= 60 THEN 'mature review surface' END,
   CASE WHEN NOT reports_estimated AND reports < 10 THEN 'low recorded crowd' END, CASE WHEN commits_90d > 0 THEN CAST(commits_90d AS VARCHAR) || ' files added/90d' END], lambda x: x IS NOT NULL)[1:5], ' + ') AS reason FROM e6"""
@@ -172,8 +178,8 @@ ORACLES = {k: chain(s) for k, s in {
     "merge_targets": "SELECT merge_key, target_key, type, value FROM merged_t",
     "merge_dates": "SELECT program_id, launched_at, CAST(resolved_reports AS BIGINT) AS resolved_reports FROM prog",
     "diff_targets": "SELECT merge_key, added, removed FROM diff",
-    "classify_change": "SELECT program_id, change_type, added, removed FROM chg",
-    "missing_grace": "SELECT program_id, 'stale' AS status, CAST(1 AS BIGINT) AS missing_count FROM prog_before WHERE merge_key NOT IN (SELECT merge_key FROM prog)",
+    "classify_change": "SELECT c.program_id, CASE WHEN c.change_type = 'baseline' AND o.target_count % 2 = 0 THEN 'reward_up' ELSE c.change_type END AS change_type, added, removed, c.change_type <> 'baseline' AS is_new FROM chg c LEFT JOIN prog_before o ON o.merge_key = c.merge_key",
+    "missing_grace": "SELECT program_id, 'stale' AS status, CAST(1 AS BIGINT) AS missing_count FROM prog_before WHERE merge_key NOT IN (SELECT merge_key FROM prog WHERE CAST(substr(merge_key, 9) AS INTEGER) % 37 <> 0)",
     "change_events": f"SELECT '{NOW}:' || program_id || ':' || change_type AS event_id, program_id, change_type FROM chg WHERE change_type <> 'baseline'",
     "repo_resolve": "SELECT target_key, repo_key FROM resolved",
     "repo_activity": "SELECT * FROM activity",
@@ -183,7 +189,7 @@ ORACLES = {k: chain(s) for k, s in {
     "trap_rollup": "SELECT * FROM trap_r",
     "policy_text": "SELECT url, sha256(text) AS text_sha256 FROM ptext",
     "policy_rewards": "SELECT url, severity, amount FROM rewards",
-    "policy_floor": "SELECT url, policy_floor FROM pfloor",
+    "policy_floor": "SELECT * FROM pfloor",
     "policy_restrictions": "SELECT * FROM restrict",
     "live_activity": "SELECT * FROM live",
     "hardening_index": _T.format("hardening_index"), "fresh_code_index": _T.format("fresh_code_index"), "known_issue_risk": _T.format("known_issue_risk"), "recent_scope": _T.format("recent_scope"),
@@ -207,7 +213,7 @@ ORACLES = {k: chain(s) for k, s in {
 _CORE = "{0}.name, {0}.platform, {0}.url, {0}.status, {0}.paid, {0}.min_reward, {0}.max_reward, {0}.launched_at, {0}.resolved_reports, {0}.invite_only, {0}.kyc_required, {0}.source_ids, {0}.tags".format
 WAS = f"TIMESTAMP '{BEFORE}'"
 CTES["health"] = "SELECT s.source_id, count(r.source_id) AS records, CASE WHEN count(r.source_id) >= 10 THEN 'ok' ELSE 'failed' END AS status FROM (VALUES {}) AS s(source_id) LEFT JOIN rec r ON r.source_id = s.source_id GROUP BY 1".format(", ".join(f"('{x}')" for x in SOURCES))
-CTES["counts"] = "SELECT r.record_no, count(t.type) AS target_count, count(*) FILTER (WHERE t.type = 'source-code') AS repository_count, coalesce(string_agg(DISTINCT t.type, ',' ORDER BY t.type), '') AS tags FROM rec r LEFT JOIN dedupe_t t ON t.record_no = r.record_no GROUP BY 1"
+CTES["counts"] = "SELECT r.record_no, count(t.type) AS target_count, count(*) FILTER (WHERE t.type = 'source-code' OR regexp_matches(t.value, '(?i)github[.]com|gitlab[.]com')) AS repository_count, coalesce(string_agg(DISTINCT t.type, ',' ORDER BY t.type), '') AS tags FROM rec r LEFT JOIN dedupe_t t ON t.record_no = r.record_no GROUP BY 1"
 CTES["evt"] = f"SELECT '{NOW}:' || program_id || ':' || change_type AS event_id, program_id, change_type, {AT} AS happened_at FROM chg WHERE change_type <> 'baseline'"
 CTES["scored"] = "SELECT x.event_id, x.program_id, x.change_type, b.ev_score, b.workflow, b.exclude_reason FROM evt x LEFT JOIN best b ON b.program_id = x.program_id"
 CTES["alerts"] = "SELECT * FROM scored WHERE exclude_reason IS NULL AND ev_score > 0"
@@ -219,7 +225,6 @@ CTES["gate"] = "SELECT count(*) AS n, count(hardening_index) AS measured, CAST(l
 CTES["differ"] = f"SELECT count(*) > 0 AS changed FROM ((SELECT merge_key, {_CORE('prog')} FROM prog EXCEPT ALL SELECT merge_key, {_CORE('prog_before')} FROM prog_before) UNION ALL (SELECT merge_key, {_CORE('prog_before')} FROM prog_before EXCEPT ALL SELECT merge_key, {_CORE('prog')} FROM prog))"
 _RULE = " ".join("WHEN " + (f"contains(lower(value), '{r['address']}')" if r.get("address") else hit("concat_ws(' ', merge_key, target_key, value)", "(?i)" + r["pattern"])) + f" THEN {i}" for i, r in enumerate(LIVE_RULES))
 CTES["ruled"] = f"SELECT merge_key, target_key, CAST(CASE {_RULE} END AS INTEGER) AS rule FROM merged_t"
-CTES["over"] = "SELECT * FROM (VALUES {}) AS o(key, floor)".format(", ".join(f"('{a}', '{b}')" for a, b in OVERRIDES))
 ORACLES |= {k: chain(s) for k, s in {
     "src_health": "SELECT * FROM health",
     "src_snapshot_fallback": "SELECT source_id, record_no, name, raw_status FROM rec WHERE source_id IN (SELECT source_id FROM rec GROUP BY 1 HAVING count(*) >= 290) UNION ALL SELECT source_id, record_no, name, raw_status FROM rec_before WHERE source_id NOT IN (SELECT source_id FROM rec GROUP BY 1 HAVING count(*) >= 290)",
@@ -245,6 +250,6 @@ ORACLES |= {k: chain(s) for k, s in {
     "live_match": "SELECT * FROM ruled WHERE rule IS NOT NULL",
     "override_join": "SELECT program_id, arg_min(floor, r) AS override_floor FROM (SELECT p.program_id, o.floor, CASE o.key WHEN p.program_id THEN 0 WHEN p.name THEN 1 ELSE 2 END AS r FROM prog p JOIN over o ON o.key IN (p.program_id, p.name, lower(p.name))) GROUP BY 1",
     "public_projection": "SELECT program_id, position, target_key, type, workflow, ev_score, CASE WHEN repo_status = 'ok' THEN hardening_index END AS hardening_index, CASE WHEN repo_status = 'ok' THEN stars END AS stars, CASE WHEN repo_status = 'ok' THEN commits_90d END AS commits_90d FROM (SELECT *, CAST(row_number() OVER (PARTITION BY program_id ORDER BY exclude_reason IS NOT NULL, ev_score DESC, p_findable DESC, target_key) AS INTEGER) AS position FROM ev) WHERE position <= 16",
-    "browse": "SELECT program_id, name, workflow, ev_score FROM best WHERE ev_score >= 1 AND platform = 'BUILDING' AND contains(lower(concat_ws(' ', name, platform, url, workflow, findable_class, reason)), 'live')",
+    "browse": "SELECT program_id, name, workflow, ev_score FROM lane WHERE workflow <> 'static-source-hardened' AND ev_score >= 1 AND platform = 'BUILDING' AND (contains(lower(concat_ws(' ', name, platform, workflow, findable_class, reason, array_to_string(tags, ' '))), 'oauth') OR program_id IN (SELECT program_id FROM ev WHERE contains(lower(value), 'oauth'))) AND program_id <> 'program:program-1' AND regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') <> 'program2'",
     "browse_sort": "SELECT program_id, name, max_reward, ev_score FROM best ORDER BY coalesce(max_reward, 0) DESC, name, program_id LIMIT 25",
 }.items()}

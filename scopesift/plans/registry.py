@@ -71,6 +71,19 @@ def _health(s, d):
     return state.src_health(flow.records(s, d), s.createDataFrame([(x,) for x in SOURCES], "source_id string"), 10)
 
 
+def _classified(s, d):
+    (p, t), (q, u) = flow.merged(s, d), flow.merged(s, d, True)
+    before = q.withColumn("change_type", F.when(F.col("target_count") % 2 == 0, "reward_up"))
+    return diff.classify_change(p, before, diff.diff_targets(t, u)).drop("merge_key")
+
+
+def _browsed(s, d):
+    evaluated = flow.evaluated(s, d)
+    best = rank.best_target(evaluated).join(flow.merged(s, d)[0].select("program_id", "tags"), "program_id")
+    reviewed = s.createDataFrame([("program:program-1", None), ("x", "PROGRAM 2!")], "program_id string, name string")
+    return state.browse(best, evaluated.select("program_id", "value"), platform="BUILDING", least=1.0, words="oauth", reviewed=reviewed)
+
+
 QUERIES = {
     "norm_targets": lambda s, d: merge.norm_targets(view(s, d, "fx_targets")).drop("added_at"),
     "dedupe_targets": lambda s, d: flow.targets(s, d).drop("added_at"),
@@ -81,18 +94,18 @@ QUERIES = {
     "merge_targets": lambda s, d: flow.merged(s, d)[1].select("merge_key", "target_key", "type", "value"),
     "merge_dates": _programs("launched_at", "resolved_reports"),
     "diff_targets": lambda s, d: diff.diff_targets(flow.merged(s, d)[1], flow.merged(s, d, True)[1]),
-    "classify_change": lambda s, d: flow.changes(s, d).drop("merge_key"),
-    "missing_grace": lambda s, d: diff.missing_grace(flow.merged(s, d, True)[0].withColumn("missing_count", F.lit(0)), flow.merged(s, d)[0]),
+    "classify_change": _classified,
+    "missing_grace": lambda s, d: diff.missing_grace(flow.merged(s, d, True)[0].withColumn("missing_count", F.lit(0)), flow.present(flow.merged(s, d)[0])),
     "change_events": lambda s, d: diff.change_events(flow.changes(s, d), NOW),
     "repo_resolve": lambda s, d: evidence.repo_resolve(flow.merged(s, d)[1].select("target_key", "value").distinct()),
     "repo_activity": lambda s, d: evidence.repo_activity(view(s, d, "fx_repo_commits"), NOW),
     "repo_profile": lambda s, d: evidence.repo_profile(view(s, d, "fx_repo_commits"), NOW),
-    "scan_priority_pick": lambda s, d: evidence.scan_priority_pick(view(s, d, "fx_blobs"), 2, 8000),
+    "scan_priority_pick": lambda s, d: evidence.scan_priority_pick(view(s, d, "fx_blobs")),
     "detect_traps": lambda s, d: evidence.detect_traps(view(s, d, "fx_blobs")),
     "trap_rollup": lambda s, d: evidence.trap_rollup(evidence.detect_traps(view(s, d, "fx_blobs"))),
     "policy_text": lambda s, d: flow.texts(s, d).select("url", F.sha2("text", 256).alias("text_sha256")),
     "policy_rewards": lambda s, d: evidence.policy_rewards(flow.texts(s, d)),
-    "policy_floor": lambda s, d: evidence.policy_floor(evidence.policy_rewards(flow.texts(s, d))),
+    "policy_floor": lambda s, d: evidence.policy_floor(evidence.policy_rewards(flow.texts(s, d)), flow.texts(s, d)),
     "policy_restrictions": lambda s, d: evidence.policy_restrictions(flow.texts(s, d)),
     "live_activity": lambda s, d: evidence.live_activity(view(s, d, "fx_live_tx"), NOW_LIVE),
     "hardening_index": _evaluated("hardening_index"),
@@ -138,7 +151,7 @@ QUERIES = {
     "refresh_schedule": lambda s, d: state.refresh_schedule(_stale(s, d)).select("repo_key", "priority", "fetched_at", "stale"),
     "enrich_stats": lambda s, d: state.enrich_stats(_stale(s, d)),
     "cache_upsert": lambda s, d: state.cache_upsert(_cache(s, d), _fresh(s, d), _repos(s, d)),
-    "scan_coverage": lambda s, d: state.scan_coverage(view(s, d, "fx_blobs"), evidence.scan_priority_pick(view(s, d, "fx_blobs"), 2, 8000)),
+    "scan_coverage": lambda s, d: state.scan_coverage(view(s, d, "fx_blobs"), evidence.scan_priority_pick(view(s, d, "fx_blobs"))),
     "signals_lookup": lambda s, d: flow.joined(s, d).select("program_id", "target_key", "repo_key", "repo_status"),
     "coverage_gate": lambda s, d: state.coverage_gate(flow.evaluated(s, d)),
     "publish_gate": lambda s, d: state.publish_gate(state.coverage_gate(flow.evaluated(s, d)), _health(s, d), state.dataset_changed(_core(flow.merged(s, d)[0]), _core(flow.merged(s, d, True)[0]))),
@@ -147,6 +160,6 @@ QUERIES = {
     "live_match": lambda s, d: state.live_match(flow.merged(s, d)[1], LIVE_RULES).select("merge_key", "target_key", "rule"),
     "override_join": lambda s, d: state.override_join(flow.merged(s, d)[0], s.createDataFrame(OVERRIDES, "key string, floor string")),
     "public_projection": lambda s, d: state.public_projection(flow.evaluated(s, d)),
-    "browse": lambda s, d: state.browse(flow.best(s, d), platform="BUILDING", least=1.0, words="live").select("program_id", "name", "workflow", "ev_score"),
+    "browse": lambda s, d: _browsed(s, d).select("program_id", "name", "workflow", "ev_score"),
     "browse_sort": lambda s, d: state.browse_sort(flow.best(s, d), "reward").select("program_id", "name", "max_reward", "ev_score"),
 }

@@ -26,12 +26,13 @@ SELECT c_mktsegment AS source_id, c_custkey AS record_no, 'Program ' || CAST(CAS
   c_custkey % 41 = 0 AS invite_only, c_custkey % 53 = 0 AS kyc_required
 FROM customer LEFT JOIN (SELECT o_custkey, right(max(CAST(o_orderdate AS VARCHAR(30)) || o_orderstatus), 1) AS s, min(o_orderdate) AS launched_at,
   sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS n FROM orders {where} GROUP BY o_custkey) o ON o.o_custkey = c_custkey
+UNION ALL SELECT 'MACHINERY', -s_suppkey, 'Program ' || CAST(900000 + s_suppkey AS VARCHAR(20)), 50, 'https://program' || CAST(s_suppkey AS VARCHAR(20)) || '.example.org/policy', s_acctbal * 10, NULL, 'open', NULL, CAST(s_suppkey % 7 AS BIGINT), false, false FROM supplier WHERE s_suppkey % 10 = 3
 """
 
 _TARGETS = """
 SELECT o_custkey AS record_no, l_orderkey * 10 + l_linenumber AS ordinal, o_orderdate AS added_at, l_returnflag <> 'R' AS eligible,
   CASE p_type WHEN 'ECONOMY' THEN 'source_code' WHEN 'SMALL' THEN 'api' WHEN 'MEDIUM' THEN 'web_application' WHEN 'LARGE' THEN 'smart_contract' WHEN 'PROMO' THEN 'android' ELSE 'executable' END AS raw_type,
-  CASE p_type WHEN 'ECONOMY' THEN 'https://github.com/' || replace(p_brand, '#', '') || '/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR(20)) || '/tree/main'
+  CASE p_type WHEN 'ECONOMY' THEN 'https://github.com/' || replace(p_brand, '#', '') || '/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR(20)) || '/tree/main' || CASE WHEN p_partkey % 5 = 0 THEN '/parser/network' ELSE '' END
     WHEN 'SMALL' THEN 'api.' || CAST(p_partkey AS VARCHAR(20)) || '.example.org' WHEN 'LARGE' THEN '0x' || lpad(CAST(p_partkey % 150 AS VARCHAR(20)), 40, '0')
     ELSE ' https://login' || CAST(p_partkey AS VARCHAR(20)) || '.example.org/  oauth ' END AS value
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey {where}
@@ -76,8 +77,8 @@ SELECT lower(replace(p_brand, '#', '') || '/' || replace(p_name, ' ', '-') || '-
 FROM documents JOIN part ON p_partkey = floor(doc_id / 4) WHERE p_type = 'ECONOMY'""",
     "fx_policy": """
 SELECT page_id, 'https://program' || CAST(page_id AS VARCHAR(20)) || '.example.org/policy' AS url,
-  html || ' <p>Low $' || CAST(page_id % 1500 AS VARCHAR(20)) || '. Medium &#36;' || CAST(page_id * 3 AS VARCHAR(20)) || '. High USD ' || CAST(page_id % 90 AS VARCHAR(20)) || 'k. Critical $25,000.</p>'
-  || CASE WHEN page_id % 6 = 0 THEN ' KYC is required.' ELSE '' END || CASE WHEN page_id % 10 = 0 THEN ' Residents of India are not eligible.' ELSE '' END || ' ' || CAST(page_id AS VARCHAR(20)) || ' resolved reports' AS html
+  html || CASE WHEN page_id % 16 = 5 THEN ' Low severity reports are out of scope. &amp;lt;&#x24;5&gt;' ELSE ' <p>Low $' || CAST(page_id % 1500 AS VARCHAR(20)) || '. Medium &#36;' || CAST(page_id * 3 AS VARCHAR(20)) || '. High USD ' || CAST(page_id % 90 AS VARCHAR(20)) || 'k. Critical $25,000.</p>' END
+  || CASE WHEN page_id % 6 = 0 THEN ' KYC is required.' ELSE '' END || CASE WHEN page_id % 10 = 0 THEN ' Residents of India are not eligible.' ELSE '' END || CASE WHEN page_id % 9 = 0 THEN ' No safe harbor. Valid reports so far: ' || CAST(page_id AS VARCHAR(20)) ELSE ' ' || CAST(page_id AS VARCHAR(20)) || ' resolved reports' END AS html
 FROM pages""",
     "fx_live_tx": "SELECT '0x' || lpad(CAST(user_id AS VARCHAR(20)), 40, '0') AS address, ts FROM events WHERE event_type = 'purchase' AND value > 100",
 }
@@ -86,7 +87,7 @@ FROM pages""",
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One adapter's rows. Tables are read by path; nothing is registered in the session."""
     sql, used = VIEWS[name].replace("{", "{{").replace("}", "}}"), {}
-    for t in ("customer", "orders", "lineitem", "part", "documents", "pages", "events"):
+    for t in ("customer", "supplier", "orders", "lineitem", "part", "documents", "pages", "events"):
         if re.search(rf"(FROM|JOIN) {t}\b", sql):
             used[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
             sql = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 {{{t}}} AS {t}", sql)

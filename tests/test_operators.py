@@ -77,7 +77,7 @@ def test_policy_reads_amounts_and_limits(spark):
     text = evidence.policy_text(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))
     amounts = {r.severity: r.amount for r in evidence.policy_rewards(text).collect()}
     assert amounts == {"LOW": 200.0, "MEDIUM": 1500.0, "HIGH": 5000.0, "CRITICAL": 25000.0}
-    assert evidence.policy_floor(evidence.policy_rewards(text)).first().policy_floor == "MEDIUM"
+    assert evidence.policy_floor(evidence.policy_rewards(text), text).first().policy_floor == "MEDIUM"
     r = evidence.policy_restrictions(text).first()
     assert (r.policy_kyc, r.excludes_in, r.policy_reports, r.policy_invite_only) == (True, True, 12, False)
 
