@@ -1,4 +1,8 @@
-"""The whole flow from feed records to ranked programs over the adapters' tables."""
+"""The whole flow from feed records to ranked programs over the adapters' tables.
+
+What several steps read is a state table: merged programs and targets of both snapshots, changes, policy and repository
+evidence, and the evaluated targets. Each is computed once a run and session.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diff, evidence, merge, rank, state, value
+from ..sources import sinks
 from ..sources.fixtures import NOW, NOW_LIVE, OVERRIDES, view
 
 
+_STATE: dict[tuple[str, str, str], tuple] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A state table of the run over ``sf``: built and written in the shared folder once a session, read by everything after it."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STATE:
+        df = build()
+        path = sinks.folder(spark, f"run-{name}")
+        df.write.parquet(path)
+        _STATE[key] = path, df.schema
+    path, schema = _STATE[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def records(spark: SparkSession, sf: str, before: bool = False) -> DataFrame:
     return merge.lead_rank(merge.norm_status(view(spark, sf, "fx_records_before" if before else "fx_records")))
 
@@ -19,9 +39,9 @@ def targets(spark: SparkSession, sf: str, before: bool = False) -> DataFrame:
 
 def merged(spark: SparkSession, sf: str, before: bool = False) -> tuple[DataFrame, DataFrame]:
     """programs, targets"""
-    r = records(spark, sf, before)
-    t = merge.merge_targets(r, targets(spark, sf, before))
-    return merge.merge_programs(r, t), t
+    when = "_before" if before else ""
+    t = stored(spark, sf, f"targets{when}", lambda: merge.merge_targets(records(spark, sf, before), targets(spark, sf, before)))
+    return stored(spark, sf, f"programs{when}", lambda: merge.merge_programs(records(spark, sf, before), t)), t
 
 
 def present(programs: DataFrame) -> DataFrame:
@@ -29,15 +49,24 @@ def present(programs: DataFrame) -> DataFrame:
     return programs.where("CAST(substring(merge_key, 9) AS INT) % 37 <> 0")
 
 
-def changes(spark: SparkSession, sf: str, now: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    (p, t), (q, s) = now or merged(spark, sf), merged(spark, sf, True)
-    return diff.classify_change(p, q, diff.diff_targets(t, s))
+def changes(spark: SparkSession, sf: str) -> DataFrame:
+    (p, t), (q, s) = merged(spark, sf), merged(spark, sf, True)
+    return stored(spark, sf, "changes", lambda: diff.classify_change(p, q, diff.diff_targets(t, s)))
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.policy_text(view(spark, sf, "fx_policy"))
 
 
+def policy(spark: SparkSession, sf: str) -> DataFrame:
+    """Limits and floor per policy address."""
+    def build() -> DataFrame:
+        text = texts(spark, sf)
+        return evidence.policy_restrictions(text).join(evidence.policy_floor(evidence.policy_rewards(text), text), "url", "left")
+
+    return stored(spark, sf, "policy", build)
+
+
 def signals(spark: SparkSession, sf: str) -> DataFrame:
     """One row per repository with commits."""
     commits = view(spark, sf, "fx_repo_commits")
@@ -45,7 +74,7 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("commits")
     spoken = F.when(n % 4 == 0, F.array(F.lit("go"))).when(n % 4 == 1, F.array(F.lit("c"))).when(n % 4 == 2, F.array(F.lit("python"), F.lit("rust")))
     return (evidence.repo_activity(commits, NOW).join(evidence.repo_profile(commits, NOW), "repo_key").join(traps, "repo_key", "left")
-            .withColumns({"stars": n * 100, "sec_tooling": F.col("contributors") > 12, "advisories_resolved": n % 5, "files_added_90d": F.col("commits_90d"), "advisory_match": n % 7 == 0, "languages": spoken, "has": F.lit(True)}))
+            .withColumns({"stars": n * 100, "sec_tooling": F.col("contributors") > 12, "advisories_resolved": n % 5, "files_added_90d": F.col("commits_90d") * 5, "advisory_match": n % 7 == 0, "languages": spoken, "has": F.lit(True)}))
 
 
 def joined(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,22 +83,20 @@ def joined(spark: SparkSession, sf: str) -> DataFrame:
     Most targets have no repository and no address; keys that are missing are made different from one another (``apart``), so that
     rows without a partner spread over the tasks.
     """
-    p, t = now = merged(spark, sf)
-    text = texts(spark, sf)
-    policy = evidence.policy_restrictions(text).join(evidence.policy_floor(evidence.policy_rewards(text), text), "url", "left")
+    p, t = merged(spark, sf)
     live = evidence.live_activity(view(spark, sf, "fx_live_tx"), NOW_LIVE)
     floors = state.override_join(p, spark.createDataFrame(OVERRIDES, "key string, floor string"))
     apart = lambda c: F.coalesce(c, F.concat(F.lit("\u0000"), "merge_key", "target_key"))
     t = t.unionByName(state.fallback_target(p).withColumn("added_at", F.lit(None).cast(t.schema["added_at"].dataType)))
-    df = t.join(p, "merge_key").join(changes(spark, sf, now).select("merge_key", "change_type"), "merge_key").join(policy, "url", "left").join(floors, "program_id", "left")
+    df = t.join(p, "merge_key").join(changes(spark, sf).select("merge_key", "change_type"), "merge_key").join(policy(spark, sf), "url", "left").join(floors, "program_id", "left")
     df = df.join(evidence.repo_resolve(t.where("type = 'source-code'").select("target_key", "value").distinct()), "target_key", "left")
-    df = df.withColumn("repo_at", apart(F.col("repo_key"))).join(signals(spark, sf).withColumnRenamed("repo_key", "repo_at"), "repo_at", "left").drop("repo_at")
+    df = df.withColumn("repo_at", apart(F.col("repo_key"))).join(stored(spark, sf, "signals", lambda: signals(spark, sf)).withColumnRenamed("repo_key", "repo_at"), "repo_at", "left").drop("repo_at")
     df = df.withColumn("address", apart(F.when(F.col("type") == "smart-contract", F.col("value")))).join(live, "address", "left").drop("address")
     return df.withColumns({"repo_status": F.when(F.col("has"), "ok").when(F.col("repo_key").isNotNull(), "pending"), "deployed": F.when(F.col("tx_30d").isNotNull(), True), "first_seen_at": F.col("added_at")})
 
 
 def evaluated(spark: SparkSession, sf: str) -> DataFrame:
-    return value.evaluate_targets(joined(spark, sf), NOW)
+    return stored(spark, sf, "evaluated", lambda: value.evaluate_targets(joined(spark, sf), NOW))
 
 
 def best(spark: SparkSession, sf: str) -> DataFrame:

@@ -112,7 +112,7 @@ CTES["j"] = """SELECT t.target_key, t.type, t.value, t.added_at, p.*, c.change_t
 CTES["e1"] = f"""SELECT *, CASE WHEN repo_status = 'ok' THEN {up(clamp(f"least({D(30)}, CAST(stars AS DOUBLE) / {D(300)}) + CASE WHEN sec_tooling THEN 20 ELSE 0 END + CASE WHEN age_y > 4 THEN 15 ELSE 0 END + CASE WHEN contributors > 100 THEN 15 ELSE 0 END + CASE WHEN advisories_resolved >= 3 THEN 10 ELSE 0 END + CASE WHEN {hit('text', v.MATURE_CORE)} THEN 10 ELSE 0 END", 0, 100), 1)} END AS hardening_index,
  CASE change_type WHEN 'baseline' THEN false WHEN 'new_program' THEN true ELSE coalesce((change_type = 'new_target' AND added_at = {AT}) OR {days('added_at', AT)} < 45, false) END AS recent_scope,
  CASE WHEN dev_known THEN 40 ELSE 0 END + CASE WHEN advisory_match THEN 30 ELSE 0 END + CASE WHEN security_fix_gated THEN 30 ELSE 0 END AS known_issue_risk, repo_status IS NOT NULL OR {hit('value', v.HOSTED)} AS repo FROM j"""
-CTES["e2"] = f"""SELECT *, {up(clamp(f"CASE WHEN repo_status = 'ok' THEN least({D(35)}, CAST(commits_90d AS DOUBLE) / {D(2)}) + least({D(25)}, CAST(commits_90d AS DOUBLE) * {D(3)}) + CASE WHEN max_additions_90d > 800 THEN 20 ELSE 0 END ELSE 0 END + CASE WHEN recent_scope THEN 20 ELSE 0 END", 0, 100), 1)} AS fresh_code_index,
+CTES["e2"] = f"""SELECT *, {up(clamp(f"CASE WHEN repo_status = 'ok' THEN least({D(35)}, CAST(commits_90d AS DOUBLE) / {D(2)}) + least({D(25)}, CAST(commits_90d * 5 AS DOUBLE) * {D(3)}) + CASE WHEN max_additions_90d > 800 THEN 20 ELSE 0 END ELSE 0 END + CASE WHEN recent_scope THEN 20 ELSE 0 END", 0, 100), 1)} AS fresh_code_index,
  CASE WHEN type = 'smart-contract' OR ({hit('text', v.CONTRACT)} AND deployed) THEN 'live-contract' WHEN NOT repo AND {hit('text', v.AI)} THEN 'ai-agent' WHEN NOT repo AND (type = 'api' OR {hit('value', '(?i)(^|[./_-])api([./_-]|$)')}) THEN 'live-api'
   WHEN NOT repo AND type IN ('web', 'domain', 'url', 'mobile') THEN 'live-web' WHEN repo OR type IN ('source-code', 'firmware', 'hardware', 'executable', 'binary') THEN 'static-source' WHEN {hit('value', '(?i)^https?://')} THEN 'live-web' WHEN {hit('value', '(?i)^(?:[*][.])?[a-z0-9-]+(?:[.][a-z0-9-]+)+(?::[0-9]+)?(?:/|$)')} THEN 'live-web'
   WHEN {hit('text', v.CONTRACT)} THEN 'live-contract' ELSE 'static-source' END AS base_workflow FROM e1"""
@@ -135,7 +135,7 @@ CTES["e6"] = f"""SELECT *, nullif({joined_texts(
  {joined_texts(('dev_known', q('DEV_KNOWN')), (f"findable_class = 'managed-parser-dos' AND {rank_of('floor_')} > 1", q('DOS_CEILING')), ('dormant', q('DORMANT')), sep=',')} AS trap_tags, least(greatest({D(0)}, coalesce(max_reward, 0)), {D(50000)}) AS effective_reward FROM e5"""
 CTES["ev"] = f"""SELECT *, floor_ AS floor, CASE WHEN exclude_reason IS NOT NULL THEN {D(0)} ELSE {up('effective_reward * p_findable * p_payable * p_first', 2)} END AS ev_score,
  array_to_string(list_filter([CASE WHEN fresh_code_index >= 50 THEN 'fresh code' WHEN recent_scope THEN 'fresh scope' END, replace(workflow, '-', ' '), label || ' ceiling ' || ceiling, CASE WHEN repo_status = 'ok' AND hardening_index < 35 THEN 'low hardening signal' WHEN repo_status = 'ok' AND hardening_index >= 60 THEN 'mature review surface' END,
-  CASE WHEN NOT reports_estimated AND reports < 10 THEN 'low recorded crowd' END, CASE WHEN commits_90d > 0 THEN CAST(commits_90d AS VARCHAR) || ' files added/90d' END], lambda x: x IS NOT NULL)[1:5], ' + ') AS reason FROM e6"""
+  CASE WHEN NOT reports_estimated AND reports < 10 THEN 'low recorded crowd' END, CASE WHEN commits_90d > 0 THEN CAST(commits_90d * 5 AS VARCHAR) || ' files added/90d' END], lambda x: x IS NOT NULL)[1:5], ' + ') AS reason FROM e6"""
 CTES["best"] = "SELECT *, count(*) OVER (PARTITION BY program_id) AS targets FROM ev QUALIFY row_number() OVER (PARTITION BY program_id ORDER BY exclude_reason IS NOT NULL, ev_score DESC, p_findable DESC, target_key) = 1"
 CTES["lane"] = "SELECT * FROM best WHERE exclude_reason IS NULL AND ev_score > 0"
 

@@ -5,7 +5,9 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from scopesift.functions.exprs import half_up
-from scopesift.operators import diff, evidence, merge, rank, value
+from scopesift.operators import cache, diff, evidence, feeds, merge, rank, value
+from scopesift.sources import sinks
+from scopesift.streaming import reconcile
 
 NOW = "2026-01-31 00:00:00"
 SCHEMA = """program_id string, name string, target_key string, type string, value string, tags array<string>, repo_key string, repo_status string, stars long, sec_tooling boolean,
@@ -116,3 +118,79 @@ def test_lanes(spark):
     df = spark.createDataFrame(rows, "program_id string, name string, workflow string, fresh_code_index double, ev_score double, exclude_reason string")
     names = lambda lane: [r.name for r in rank.shortlist(df, lane).collect()]
     assert (names("default"), names("live"), names("fresh-source")) == (["b", "a"], ["a"], ["b"])
+
+
+def test_entities_are_decoded_once(spark):
+    html = "<b>a</b> &amp;lt; &#x24;5 &#36;6 &LT;x&gt; &amp;#36; &unknown;"
+    text = evidence.policy_text(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).first().text
+    assert text == "a &lt; $5 $6 <x> &#36; &unknown;"
+
+
+def test_low_exclusion_gives_a_floor(spark):
+    text = evidence.policy_text(spark.createDataFrame([(1, "u", "Low is not rewarded."), (2, "v", "Nothing here")], "page_id long, url string, html string"))
+    assert [tuple(r) for r in evidence.policy_floor(evidence.policy_rewards(text), text).collect()] == [("u", "MEDIUM", "scraped-low-exclusion")]
+
+
+def test_changes_are_carried_over_and_a_first_import_is_no_news(spark):
+    cols = "program_id string, merge_key string, name string, platform string, url string, status string, paid boolean, min_reward double, max_reward double, launched_at timestamp, resolved_reports long, invite_only boolean, kyc_required boolean, source_ids array<string>, tags array<string>"
+    one = spark.createDataFrame([("p", "m", "n", "x", "u", "open", True, None, 5.0, None, None, False, False, ["s"], [])], cols)
+    none = spark.createDataFrame([], "merge_key string, target_key string")
+    same = diff.diff_targets(none, none)
+    kept = diff.classify_change(one, one.withColumn("change_type", F.lit("reward_up")), same)
+    assert [(r.change_type, r.is_new) for r in kept.collect()] == [("reward_up", False)] and diff.change_events(kept, NOW).count() == 0
+    assert [(r.change_type, r.is_new) for r in diff.classify_change(one, one.limit(0), same, baseline=True).collect()] == [("baseline", False)]
+
+
+def test_audits(spark):
+    targets = spark.createDataFrame([("program:alpha-beta", "Álpha Beta", "k1", "x", None, 10.0), ("program:alphabet", "Alphabet", "k2", "https://github.com/own/repo", "own/repo", 80.0), ("program:c", "C", "k3", "own repo", None, 0.0)],
+                                    "program_id string, name string, target_key string, value string, repo_key string, fresh_code_index double")
+    audited = spark.createDataFrame([(1, "alpha", ["other"], "clean", 0.0), (2, "Own/Repo", [], "paid", 20.0)], "no int, key string, aliases array<string>, verdict string, fresh_at_audit double")
+    got = {r.target_key: (r.audit_no, r.audit_reason) for r in cache.audit_excluded(cache.audit_match(targets, audited)).collect()}
+    assert got == {"k1": (1, "audited clean target: alpha"), "k2": (2, None), "k3": (None, None)}  # fresh again, and a value that is no repository
+
+
+def test_upsert_keeps_a_good_row(spark):
+    schema = "repo_key string, status string, fetched_at timestamp_ntz, last_error string, stars long"
+    import datetime
+
+    at = datetime.datetime(2026, 1, 1)
+    old = spark.createDataFrame([("good", "ok", at, None, 3), ("bad", "pending", None, "x", None), ("still", "ok", at, None, 1)], schema)
+    new = spark.createDataFrame([("good", "failed", "timeout", None), ("bad", "ok", None, 9), ("new", "failed", None, None)], "repo_key string, status string, error string, stars long")
+    got = {r.repo_key: (r.status, r.stars, r.last_error) for r in cache.upsert(old, new, "repo_key", NOW).collect()}
+    assert got == {"good": ("ok", 3, "timeout"), "bad": ("ok", 9, None), "still": ("ok", 1, None), "new": ("pending", None, "failed")}
+    assert tuple(cache.upsert_stats(cache.upsert(old, new, "repo_key", NOW), new).first()) == (3, 1, 2, 1)
+
+
+def test_feeds_in_all_shapes(spark):
+    rows = [('{"programs":[{"name":" A ","min_bounty":"free","targets":{"in_scope":["a.example.org",{"asset_type":"URL","uri":" u "}]}},{"name":""},3]}',), ('[{"title":"B","public":false}]',), ("broken",), (None,), ('{"data":{},"results":[{"company":"C","max_bounty":{"max":"1.5k"},"targets":{"x":[{"name":"n"}],"y":4}}]}',)]
+    df = spark.createDataFrame([("s", "generic", i, r[0]) for i, r in enumerate(rows)], "source_id string, adapter string, page_no int, payload string")
+    records = feeds.src_feeds(df)
+    assert sorted((r.page_no, r.ordinal, r.name) for r in records.collect()) == [(0, 0, "A"), (4, 0, "C")]
+    assert {(r.page_no, r.raw_type, r.value) for r in feeds.src_nested_targets(records).collect()} == {(0, None, "a.example.org"), (0, "URL", "u"), (4, None, "n")}
+    assert {r.page_no: (r.min_reward, r.max_reward) for r in feeds.norm_rewards(records).collect()} == {0: (0.0, None), 4: (None, 1.5)}
+
+
+def test_stream_takes_polls_in_order_and_again(spark):
+    landed, state_at, at = (sinks.folder(spark, x) for x in ("landed", "state", "stream"))
+    poll = lambda run, rows: spark.createDataFrame(rows, "merge_key string, status string, max_reward double").write.parquet(f"{landed}/run_ts={run}")
+    poll("2026-01-01", [("a", "open", 1.0), ("b", "open", 1.0), ("c", "closed", None)])
+    reconcile.incremental_reconcile(spark, landed, state_at, at)
+    assert {r.change_type for r in sinks.read_state(spark, state_at).collect()} == {"baseline"}
+    poll("2026-01-02", [("a", "open", 2.0), ("c", "open", None), ("d", "open", None)])
+    reconcile.incremental_reconcile(spark, landed, state_at, at)
+    got = {r.merge_key: (r.status, r.change_type, r.missing_count) for r in sinks.read_state(spark, state_at).collect()}
+    assert got == {"a": ("open", "reward_up", 0), "b": ("stale", "baseline", 1), "c": ("open", "reactivated", 0), "d": ("open", "new_program", 0)}
+    poll("2026-01-03", [("a", "open", 2.0)])
+    reconcile.incremental_reconcile(spark, landed, state_at, at)
+    got = {r.merge_key: (r.status, r.change_type, r.missing_count) for r in sinks.read_state(spark, state_at).collect()}
+    assert got["a"] == ("open", "reward_up", 0) and "b" not in got  # carried over; the second miss drops
+
+
+def test_export_quotes(spark):
+    row = {c: None for c in sinks.EXPORT} | {"name": 'say "hi", a', "max_reward": 60000.0, "ev_score": 1.0}
+    row.pop("reward_capped")
+    df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} {'double' if c in ('ev_score', 'max_reward') else 'string'}" for c in row))
+    to = sinks.folder(spark, "csv")
+    sinks.export_csv(df.coalesce(1), to)
+    head, line = (r.value for r in spark.read.text(to).collect())
+    assert head == ",".join(f'"{c}"' for c in sinks.EXPORT) and line.startswith('"1.0","say ""hi"", a",') and '"true"' in line
