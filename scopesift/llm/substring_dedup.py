@@ -9,7 +9,10 @@ are dropped by an aggregation before any words move; the words of the other
 segments are shipped once for each distinct segment, with the smallest
 document id that holds it.
 
-A shard is one partition. It joins its distinct segments to one sequence over
+Minimizers that stand in over ``hot`` texts are divided: their segments are sent
+as single windows, dealt by the window's first and last word too, which equal
+windows share. A shard is a run of whole minimizers of about ``most`` segments
+inside a partition; one is held at a time. It joins its distinct segments to one sequence over
 the alphabet of its words, sorts suffixes up to ``window`` words, and keeps the
 Burrows-Wheeler transform as a wavelet matrix. Every window is then searched
 backward, all at once, by rank queries; a search whose interval shrinks to its
@@ -134,17 +137,21 @@ def segments(words: Words, window: int, gram: int):
     first = np.flatnonzero(new)
     where = np.flatnonzero(inside)
     count = np.diff(np.append(np.searchsorted(where, first), len(where)))
-    # a segment's key: sums of its words' hashes times powers, twice
-    size = count + window - 1
+    k1, k2 = run_keys(h, first, count + window - 1)
+    return doc[first], place[first], count, best[first], k1, k2
+
+
+def run_keys(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """128 bits (two columns) for each run of words: sums of the words' hashes times powers, twice."""
     keys = []
     for mult in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
         m = np.uint64(mult)
         out = mix(size.astype(np.uint64) + m)
-        for j in range(int(size.max())):
+        for j in range(int(size.max()) if len(size) else 0):
             rows = np.flatnonzero(size > j)
             out[rows] = out[rows] * m + mix(h[first[rows] + j] ^ m)
         keys.append(mix(out))
-    return doc[first], place[first], count, best[first], keys[0], keys[1]
+    return keys
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -206,7 +213,7 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, gram: int = 6) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, gram: int = 6, hot: int = 5_000, most: int = 150_000) -> DataFrame:
     """One row per text with repeats: d (its id, NULL_ID for null), h (xxhash64 of the text), whole (sha256 of its words), gone (words removed), sha, kept (the words that stay, joined by one space)."""
     ship(docs.sparkSession)
     named = docs.selectExpr(f"cast(`{id_col}` AS long) AS d", f"`{text_col}` AS t")
@@ -229,8 +236,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         shared = batch.column(2)
         of = np.repeat(np.arange(len(shared), dtype=np.uint64), pa.compute.list_value_length(shared).to_numpy(zero_copy_only=False))
         mine = mix(shared.flatten().to_numpy(zero_copy_only=False).view(np.uint64) + mix(of))
-        on = np.isin(mix(a + mix(doc.astype(np.uint64))), mine)
-        return w, doc[on], at[on], n[on], a[on], k1[on], k2[on]
+        own = mix(a + mix(doc.astype(np.uint64)))
+        on = np.isin(own, mine)
+        many = batch.column(3)
+        of = np.repeat(np.arange(len(many), dtype=np.uint64), pa.compute.list_value_length(many).to_numpy(zero_copy_only=False))
+        much = on & np.isin(own, mix(many.flatten().to_numpy(zero_copy_only=False).view(np.uint64) + mix(of)))
+        if not much.any():
+            return w, doc[on], at[on], n[on], a[on], k1[on], k2[on]
+        rest, rows = np.flatnonzero(on & ~much), np.flatnonzero(much)
+        row = np.repeat(rows, n[rows])
+        place = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(n[rows]) - n[rows], n[rows])
+        first = w.first[doc[row]] + place
+        part = _short(mix(a[row] + mix(w.hashes[first]) + np.uint64(3) * mix(w.hashes[first + window - 1])))
+        p1, p2 = run_keys(w.hashes, first, np.full(len(row), window))
+        return (w, *(np.concatenate([x[rest], y]) for x, y in ((doc, doc[row]), (at, place), (n, np.ones(len(row), n.dtype)), (a, part), (k1, p1), (k2, p2))))
 
     def pieces(batches):
         for b in few(batches):
@@ -254,12 +273,26 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     def places(batches):
         for b in few(batches):
             _, doc, at, _, _, k1, k2 = found(b)
-            yield pa.RecordBatch.from_arrays([_long(k1), _long(k2), pa.array(_ids(b.column(0))[doc], pa.int64()), b.column(3).take(pa.array(doc, pa.int64())), pa.array(at, pa.int64())], names=["k1", "k2", "d", "h", "at"])
+            yield pa.RecordBatch.from_arrays([_long(k1), _long(k2), pa.array(_ids(b.column(0))[doc], pa.int64()), b.column(4).take(pa.array(doc, pa.int64())), pa.array(at, pa.int64())], names=["k1", "k2", "d", "h", "at"])
 
     def shard(batches):
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
+        """Rows arrive sorted by minimizer."""
+        held = []
+        for b in batches:
+            a = b.column(0).to_numpy()
+            new = np.flatnonzero(a[1:] != a[:-1]) + 1
+            if held and b.num_rows and a[0] != held[-1].column(0)[held[-1].num_rows - 1].as_py():
+                new = np.append(0, new)
+            if len(new) and sum(x.num_rows for x in held) + new[-1] >= most:
+                cut = int(new[-1])
+                yield from search([*held, b.slice(0, cut)])
+                held, b = [], b.slice(cut)
+            if b.num_rows:
+                held.append(b)
+        if held:
+            yield from search(held)
+
+    def search(rows):
         t = pa.Table.from_batches(rows)
         k1, k2, least = search_shard(*(t.column(i).to_numpy() for i in (1, 2, 3)), t.column(4).to_pylist(), window)
         for lo in range(0, len(k1), 20_000):
@@ -282,10 +315,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 
     import pyarrow.compute  # noqa: F401
 
-    shared = saved(named.mapInArrow(anchors, "a long, d long").groupBy("a").agg(F.min("d").alias("x"), F.max("d").alias("y")).filter("x < y").select("a"), "shared")
-    by_doc = named.mapInArrow(anchors, "a long, d long").join(shared, "a").groupBy("d").agg(F.collect_set("a").alias("a"))
-    candidates = saved(named.withColumn("d", F.coalesce("d", F.lit(NULL_ID))).join(by_doc, "d").select("d", "t", "a", F.xxhash64("t").alias("h")), "candidates")
-    least = candidates.mapInArrow(pieces, "a long, k1 long, k2 long, d long, words binary").repartition("a").mapInArrow(shard, "k1 long, k2 long, least array<long>")
+    shared = saved(named.mapInArrow(anchors, "a long, d long").groupBy("a").agg(F.min("d").alias("x"), F.max("d").alias("y"), F.count("*").alias("n")).filter("x < y").select("a", (F.col("n") > hot).alias("hot")), "shared")
+    by_doc = named.mapInArrow(anchors, "a long, d long").join(shared, "a").groupBy("d").agg(F.collect_set("a").alias("a"), F.collect_set(F.when(F.col("hot"), F.col("a"))).alias("many"))
+    candidates = saved(named.withColumn("d", F.coalesce("d", F.lit(NULL_ID))).join(by_doc, "d").select("d", "t", "a", "many", F.xxhash64("t").alias("h")), "candidates")
+    least = candidates.mapInArrow(pieces, "a long, k1 long, k2 long, d long, words binary").repartition("a").sortWithinPartitions("a").mapInArrow(shard, "k1 long, k2 long, least array<long>")
     hits = saved((candidates.mapInArrow(places, "k1 long, k2 long, d long, h long, at long").join(least, ["k1", "k2"])
             .selectExpr("d", "h", "filter(transform(least, (x, i) -> if(x < d, at + i, null)), x -> x IS NOT NULL) AS begin").filter("size(begin) > 0")
             .groupBy("d", "h").agg(F.flatten(F.collect_list("begin")).alias("begin"))), "hits")
@@ -293,7 +326,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
             .mapInArrow(strip, "d long, h long, whole string, gone long, sha string, kept string").dropDuplicates(["d", "h"]))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, gram: int = 6) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, gram: int = 6, **options) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by one space; null where none went)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -302,7 +335,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             words = [[] if x is None else x.encode().split() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([_sha(w) for w in words], pa.string())], names=["d", "n_words", "whole"])
 
-    stripped = repeats(docs, id_col, text_col, window=window, gram=gram).drop("h")
+    stripped = repeats(docs, id_col, text_col, window=window, gram=gram, **options).drop("h")
     named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("d"), F.col(text_col).alias("t"))
     return named.mapInArrow(plain, "d long, n_words long, whole string").join(stripped, ["d", "whole"], "left").select(
         F.when(F.col("d") != NULL_ID, F.col("d")).cast(kind).alias(id_col), "n_words", F.coalesce("gone", F.lit(0)).alias("n_removed"),

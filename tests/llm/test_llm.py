@@ -101,7 +101,8 @@ def words(t):
     return re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())
 
 
-def test_substring_dedup(spark):
+@pytest.mark.parametrize("options", [{}, {"hot": 3, "most": 40}])
+def test_substring_dedup(spark, options):
     rows = [(1, "a b c d e f g h i j k l m n o p"), (2, None), (3, ""), (4, "x " * 40), (5, "x " * 20 + "y"), (6, "a b c d e f g h i j k l m n o p"), (6, "q c d e f g h i j k l m n o p"), (7, "\xa0a b\x1cb " * 9), (7, "\xa0a b\x1cb " * 9), (0, "c d e f g h i j k l m n o p")]
     random.seed(1)
     pool = [" ".join(random.choice("abcde") for _ in range(60)) for _ in range(6)]
@@ -119,7 +120,7 @@ def test_substring_dedup(spark):
                 gone |= set(range(i, i + 13))
         want.append((d, len(w), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest()))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(tuple(r)[:4] for r in substring_dedup.remove_repeats(df).collect()) == sorted(want)
+    assert sorted(tuple(r)[:4] for r in substring_dedup.remove_repeats(df, **options).collect()) == sorted(want)
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
