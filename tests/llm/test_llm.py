@@ -91,12 +91,24 @@ def test_byte_bpe(spark, odd, texts):
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    some = {i: t for i, t in texts.items() if i < 40}
-    for docs, all_ in ((odd.where("doc_id IS NOT NULL"), dict(enumerate(ODD))), (spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40"), some)):
-        for r in bpe.encode(docs, known=200).collect():
+    for docs, all_, known in ((odd.where("doc_id IS NOT NULL"), dict(enumerate(ODD)), 20), (spark.read.parquet(f"{SF}/documents.parquet"), texts, 5_000)):
+        for r in bpe.encode(docs, known=known, slice_bytes=20_000).collect():
             assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(all_[r.doc_id] or "") and r.decoded.decode() == (all_[r.doc_id] or "")
 
 
+def test_byte_bpe_tokens_that_merges_do_not_reach(spark, tmp_path):
+    import base64
+
+    import tiktoken
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"bc": 256, b"ab": 257, b"abc": 258, b" ab": 259, "\u00e9t\u00e9".encode(): 260, b"abcd": 261, b"cd": 262}
+    (tmp_path / "r").write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % r for t, r in ranks.items()))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(i, t) for i, t in enumerate(["\u00e9t\u00e9", "\u00e9t\u00e9s abcd ab abc", "abcabcd  ab\n ab ", " ab'", "a", " "])]
+    for r in bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), ranks=str(tmp_path / "r"), buckets=7).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(rows[r.doc_id][1]) and r.decoded.decode() == rows[r.doc_id][1]
+
+
 def words(t):
     return re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())
 
