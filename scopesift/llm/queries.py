@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .alignment import op12_cross_tokenizer_alignment
 from .bpe import op3_byte_bpe
 from .embedding_dedup import op9_embedding_dedup
+from .exact_dedup import op11_exact_dedup
 from .ngram_join import op4_ngram_jaccard_join
 from .packing import op2_packing
+from .periodic_runs import op13_periodic_runs
 from .quality import RULES, STOP_WORDS, op10_quality_rules
 from .records import op5_token_id_output
 from .secret_scan import op6_secret_scan
@@ -15,7 +18,8 @@ from .toxicity import op8_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_packing, op3_byte_bpe, op4_ngram_jaccard_join, op5_token_id_output,
-    op6_secret_scan, op7_token_counts, op8_toxicity, op9_embedding_dedup, op10_quality_rules)}
+    op6_secret_scan, op7_token_counts, op8_toxicity, op9_embedding_dedup, op10_quality_rules,
+    op11_exact_dedup, op12_cross_tokenizer_alignment, op13_periodic_runs)}
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -75,4 +79,30 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(rules)} AS kept FROM b"""
 
 
-ORACLES = {"op1_substring_dedup": _OP1, "op4_ngram_jaccard_join": _OP4, "op9_embedding_dedup": _OP9, "op10_quality_rules": _op10()}
+_OP11 = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW same AS (PARTITION BY t)"""
+
+# crc32 bit by bit: a byte goes in, then eight shifts, of which the first is that byte's own step
+_CRC32 = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"""
+
+_OP13 = f"""
+WITH d AS (SELECT doc_id, {_CRC32} AS h, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+e AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+s AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(w[1:g % n], list_transform(range(g % n, n), lambda i: w[1 + g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8))])) ELSE w END AS w FROM e),
+x AS (SELECT doc_id, unnest(w) AS v, unnest(range(0, len(w))) AS i FROM s),
+y AS (SELECT a.doc_id, b.i - a.i AS q, a.i, a.i - row_number() OVER (PARTITION BY a.doc_id, b.i - a.i ORDER BY a.i) AS island FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.v = b.v AND a.i < b.i),
+z AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM y GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM z GROUP BY doc_id, start, length),
+f AS (SELECT doc_id, count(*) AS n_runs, first(struct_pack(start := start, length := length, period := period) ORDER BY length DESC, start, period) AS most,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told FROM r GROUP BY doc_id),
+g AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS p FROM r) GROUP BY doc_id)
+SELECT s.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(most.start AS BIGINT) AS start, CAST(most.length AS BIGINT) AS length, CAST(most.period AS BIGINT) AS period,
+  CAST(1000 * most.length // most.period AS BIGINT) AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i - 1)) END, ' '), '')) AS collapsed_sha256
+FROM s LEFT JOIN f USING (doc_id) LEFT JOIN g USING (doc_id)"""
+
+
+ORACLES = {"op1_substring_dedup": _OP1, "op4_ngram_jaccard_join": _OP4, "op9_embedding_dedup": _OP9, "op10_quality_rules": _op10(),
+           "op11_exact_dedup": _OP11, "op13_periodic_runs": _OP13}
