@@ -42,7 +42,8 @@ def _level(rows: DataFrame, width: int, hot_bytes: int, least: int) -> DataFrame
     # so many digits at most can have more than this share of the rows
     share = max(hot_bytes // (width + 64), 1)
     bound = max(rows.count() // share, least)
-    hot, cold = again.where(F.col("n") > bound), again.where(F.col("n") <= bound)
+    # the others are joined by a shuffle at every size
+    hot, cold = again.where(F.col("n") > bound), again.where(F.col("n") <= bound).hint("merge")
     if hot.isEmpty():
         joined = digits.join(cold, _KEY, "left")
     else:
