@@ -23,6 +23,9 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import re
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -34,26 +37,30 @@ from ._spark import saved, table
 from ._text import slices
 from .bpe import _parts
 
-SPECIAL = "<|endoftext|>"
 _MEMO: dict = {}
+#: All characters that Unicode or Python call white space.
+_WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class Models:
     """Ids of both models for the parts of texts between stable borders, each behind a space; one for each Python worker and setting. About ``limit`` parts are kept, then all are forgotten."""
 
+    #: Characters that every version of Unicode sorts alike.
+    PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+(\n[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)*")
+
     def __init__(self, path_a: str, path_b: str, limit: int):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
-        self.a, self.plain, self.b, self.limit = Tokenizer.from_file(path_a), Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b), limit
-        self.plain.encode_special_tokens = True
-        self.cut = self.a.token_to_id(SPECIAL)
+        self.a, self.b, self.limit = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b), limit
+        self.a.encode_special_tokens = True  # their strings are plain text
+        self.fast = _by_ranks(path_a, self.a)
         piece = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(y == "▁" != x for p in piece for x, y in zip(p, p[1:])):
             raise ValueError("a piece goes on behind a space: texts can't be divided there")
         self.bytes_a = token_bytes(self.a)
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(piece)]
-        self.width = [np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b)]
+        self.width = [np.fromiter(map(len, x), np.int32, len(x)) for x in (self.bytes_a, self.bytes_b)]
         self.forget()
 
     @classmethod
@@ -74,37 +81,41 @@ class Models:
         if self.parts and len(self.parts) + len(new) > self.limit:
             self.forget()
             new = parts
-        for i in range(0, len(new), 4_096):
-            some = new[i : i + 4_096]
-            self._add(some, self._first(some), self.b.encode(some, num_threads=1))
-
-    def _first(self, parts: list[str]) -> list[list[int]]:
-        """The first model's ids: one call for all parts, divided by the special token, which the library splits off before anything else."""
-        if any(SPECIAL in p for p in parts):
-            return [x.ids for x in self.plain.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        ids = np.asarray(self.a.encode_batch_fast([SPECIAL.join([" " + p for p in parts])], add_special_tokens=False)[0].ids, np.int64)
-        at = np.flatnonzero(ids == self.cut)
-        if len(at) != len(parts) - 1:
-            raise ValueError("a special token was not split off")
-        ids = ids.tolist()
-        return [ids[x:y] for x, y in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)])]
-
-    def _add(self, parts: list[str], *ids: list[list[int]]) -> None:
-        had, n = len(self.parts), len(parts)
+        # many parts are encoded as one text where a stable border lies between every two of them
+        plain = [p for p in new if self.PLAIN.fullmatch(p)] if self.fast else []
+        have = set(plain)
+        rest = [p for p in new if p not in have]
+        joint = [p for p in rest if p and not p[0].isspace() and not p[-1].isspace() and "▁" not in p]
+        for some, fast in ((plain, True), (joint, False)):
+            for i in range(0, len(some), 2_048):
+                self._encode(some[i : i + 2_048], fast)
+        if len(joint) < len(rest):
+            have = set(joint)
+            for p in rest:
+                if p not in have:
+                    self._encode([p], False)
+
+    def _encode(self, parts: list[str], fast: bool) -> None:
+        had, n, text = len(self.parts), len(parts), " ".join(parts)
         while had + n > len(self.good):
             self.good = np.append(self.good, np.zeros_like(self.good))
             self.start, self.size = (np.append(x, np.zeros_like(x), 1) for x in (self.start, self.size))
-        texts = [b" " + p.encode() for p in parts]
-        good = np.ones(n, bool)
-        for k, (lists, of) in enumerate(zip(ids, (self.bytes_a, self.bytes_b))):
-            good &= np.fromiter((b"".join([of[i] for i in x]) == t for x, t in zip(lists, texts)), bool, n)
-            size = np.fromiter(map(len, lists), np.int64, n)
-            more = np.fromiter((i for x in lists for i in x), np.uint16, int(size.sum()))
+        raw, good = b" " + text.encode(), True
+        end = np.cumsum(np.fromiter((len(p.encode()) for p in parts), np.int64, n) + 1)
+        ids_a = self.fast.encode_ordinary(" " + text) if fast else self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        both = ids_a, self.b.encode(text)
+        for k, (ids, of) in enumerate(zip(both, (self.bytes_a, self.bytes_b))):
+            good &= b"".join([of[i] for i in ids]) == raw
+            more = np.asarray(ids, np.uint16)
+            stop = np.searchsorted(np.cumsum(self.width[k][more]), end, "right") if good else np.full(n, len(more))
             while self.used[k] + len(more) > len(self.flat[k]):
                 self.flat[k] = np.append(self.flat[k], np.zeros_like(self.flat[k]))
             self.flat[k][self.used[k] : self.used[k] + len(more)] = more
-            self.size[k, had : had + n], self.start[k, had : had + n] = size, self.used[k] + np.cumsum(size) - size
+            self.size[k, had : had + n] = np.diff(stop, prepend=0)
+            self.start[k, had : had + n] = self.used[k] + stop - self.size[k, had : had + n]
             self.used[k] += len(more)
+            if n > 1 and not (good and (np.cumsum(self.width[k][more])[stop - 1] == end).all()):
+                raise ValueError("two parts were not divided by a model")
         self.good[had : had + n] = good
         self.parts.update(zip(parts, range(had, had + n)))
 
@@ -115,6 +126,19 @@ class Models:
         return self.flat[k][np.repeat(self.start[k][entry] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)], size
 
 
+def _by_ranks(path: str, tok):
+    """The same model for a faster library, where its merges are in the order of the ids that they give (else None)."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in json.load(f)["model"]["merges"]]
+    ids = [tok.token_to_id(m) for m in made]
+    if ids != [256 + k for k in range(len(ids))]:
+        return None
+    ranks = {t: i for i, t in enumerate(token_bytes(tok)) if t}
+    return tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def token_bytes(tok) -> list[bytes]:
     """Bytes of every id of a byte-level model: its entry's characters stand for bytes, printable ones for themselves, the others from U+0100 on in order."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -131,18 +155,20 @@ def parts_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     texts = texts.fill_null("")
     lists = pa.compute.split_pattern(texts, " ")
     coded = lists.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
+    words = coded.dictionary
     # a space is a stable border only between two characters that are no white space
-    odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words), bool, len(words))
-    first = lists.offsets.to_numpy().astype(np.int64)
-    first -= first[0]
+    edges = [pa.compute.utf8_slice_codeunits(words, 0, 1), pa.compute.utf8_slice_codeunits(words, -1, 1 << 30)]
+    odd = np.logical_or.reduce([np.asarray(pa.compute.equal(words, "")), *(np.asarray(pa.compute.match_substring_regex(x, _WHITE)) for x in edges)])
     if odd.any():
-        bad = np.add.reduceat(odd[coded.indices.to_numpy()], first[:-1]) > 0
-        again = [([] if not x else _parts(x)) if b else p for x, p, b in zip(texts.to_pylist(), lists.to_pylist(), bad.tolist())]
-        lists = pa.array(again, pa.list_(pa.string()))
-        coded, first = lists.flatten().dictionary_encode(), lists.offsets.to_numpy().astype(np.int64)
-        words = coded.dictionary.to_pylist()
-    return words, coded.indices.to_numpy(), first
+        first = lists.offsets.to_numpy().astype(np.int64)
+        bad = np.add.reduceat(odd[coded.indices.to_numpy()], first[:-1] - first[0]) > 0
+        again = pa.array([_parts(x) if x else [] for x in texts.filter(pa.array(bad)).to_pylist()], lists.type)
+        order = np.empty(len(bad), np.int64)
+        order[np.append(np.flatnonzero(~bad), np.flatnonzero(bad))] = np.arange(len(bad))
+        lists = pa.concat_arrays([lists.filter(pa.array(~bad)), again]).take(pa.array(order))
+        coded = lists.flatten().dictionary_encode()
+    first = lists.offsets.to_numpy().astype(np.int64)
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), first - first[0]
 
 
 def common_ends(a: np.ndarray, b: np.ndarray, lane_a: np.ndarray, lane_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,9 +190,10 @@ def common_ends(a: np.ndarray, b: np.ndarray, lane_a: np.ndarray, lane_b: np.nda
             rows = rows[whole & (run[rows] < most[rows])]
             width = min(width * 2, 1 << 10)
         run = np.minimum(run, most)
-        for end, z in zip(ends, (i, j)):
-            np.add.at(end, z, 1)
-            np.subtract.at(end, z + run, 1)
+        some = run > 0
+        for end, z in zip(ends, (i, j)):  # no two stretches begin or end at the same token
+            end[z[some]] += 1
+            end[(z + run)[some]] -= 1
         i, j = i + run, j + run
         # what is left begins with a group that isn't one to one
         left = i < stop_a
@@ -181,34 +208,42 @@ def common_ends(a: np.ndarray, b: np.ndarray, lane_a: np.ndarray, lane_b: np.nda
     return np.cumsum(ends[0][:-1]) > 0, np.cumsum(ends[1][:-1]) > 0
 
 
-_DIGITS = 5
-_POWERS = 10 ** np.arange(_DIGITS)
+def _decimals() -> tuple[np.ndarray, np.ndarray]:
+    """For every 16-bit integer its decimal digits as the first bytes of eight, and how many they are."""
+    n = np.arange(1 << 16, dtype=np.uint64)
+    size = np.char.str_len(n.astype("U5")).astype(np.uint64)
+    out = np.zeros(1 << 16, np.uint64)
+    for k in range(5):  # the k-th digit from the right
+        have = size > k
+        out[have] |= (n[have] // np.uint64(10**k) % np.uint64(10) + np.uint64(48)) << (np.uint64(8) * (size[have] - np.uint64(k + 1)))
+    return out, size
+
+
+_DECIMAL, _SIZE = _decimals()
+_FIRST = np.asarray([[k < n for k in range(8)] for n in range(8)])
 
 
 def group_texts(ids: tuple[np.ndarray, np.ndarray], end: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Groups of all documents in a row as `a1,a2|b1;` each: the bytes, and where each group ends in them."""
     a, b = ids
-    group_a, group_b = (np.cumsum(x) - x for x in end)
-    n = np.asarray([np.bincount(g, minlength=int(end[0].sum())) for g in (group_a, group_b)])
-    before = np.cumsum(n, 1) - n
+    stop_a, stop_b = (np.flatnonzero(x).astype(np.int32) + 1 for x in end)
+    n_a, n_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
     # a group's tokens of a, then those of b
-    order = np.empty(len(a) + len(b), np.int64)
-    order[np.arange(len(a)) + before[1][group_a]] = np.arange(len(a))
-    order[np.arange(len(b)) + (before[0] + n[0])[group_b]] = len(a) + np.arange(len(b))
-    every = np.append(a, b).astype(np.int64)[order]
-    mark = np.append(np.where(end[0], ord("|"), ord(",")), np.where(end[1], ord(";"), ord(","))).astype(np.uint8)[order]
-    digits = np.maximum(np.searchsorted(_POWERS, every, "right"), 1)
-    stop = np.cumsum(digits + 1)
-    out = np.empty(int(stop[-1]) if len(stop) else 0, np.uint8)
-    out[stop - 1] = mark
-    for k in range(_DIGITS):
-        have = digits > k
-        out[stop[have] - 2 - k] = 48 + every[have] // _POWERS[k] % 10
-    return out, stop[np.cumsum(n.sum(0)) - 1]
+    at_a = np.arange(len(a), dtype=np.int32) + np.repeat(stop_b - n_b, n_a)
+    at_b = np.arange(len(b), dtype=np.int32) + np.repeat(stop_a, n_b)
+    every, mark = np.empty(len(a) + len(b), np.uint16), np.full(len(a) + len(b), ord(","), np.uint64)
+    every[at_a], every[at_b] = a, b
+    last = at_b[end[1]]
+    mark[at_a[end[0]]], mark[last] = ord("|"), ord(";")
+    size = _SIZE[every]
+    mark <<= size * np.uint64(8)
+    mark |= _DECIMAL[every]
+    size += np.uint64(1)
+    return mark.view(np.uint8).reshape(-1, 8)[_FIRST[size]], np.cumsum(size.astype(np.int64))[last]
 
 
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model_a: str | None = None, model_b: str | None = None,
-          lane_parts: int = 48, memo: int = 400_000, slice_bytes: int = 4 << 20) -> DataFrame:
+          lane_parts: int = 48, memo: int = 300_000, slice_bytes: int = 2 << 20) -> DataFrame:
     """One row per text: id, n_a, n_b, n_groups, groups (`a1,a2|b1;a3|b2,b3`, decimal ids) and links: one unsigned 32-bit integer (a * 65536 + b, little-endian) for each two tokens that end together.
 
     model_a: a byte-level model of the tokenizers library; model_b: a sentencepiece model that puts a space before the text. lane_parts: parts of a text that are walked as one.

@@ -201,3 +201,17 @@ def test_new_queries_on_a_whole_table(spark):
     assert got == classes(texts)
     want = [(d, n, m, k, k, best, total, hashlib.sha256(g).hexdigest() if n else "") for d, n, m, k, g, best, total in by_hand(texts)]
     assert sorted((tuple(r) for r in queries.QUERIES["op12_cross_tokenizer_alignment"](spark, sf).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_both_libraries_encode_the_first_model_alike():
+    import public_tokenizers
+
+    m = alignment.Models(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), 10)
+    assert m.fast is not None
+    rng = random.Random(3)
+    letters = [c for c in map(chr, range(0x21, 0x100)) if m.PLAIN.fullmatch(c)]
+    words = [t.decode() for t in m.bytes_a if t.isascii()] + ["".join(rng.choice(letters[: rng.choice((90, 200))]) for _ in range(rng.randrange(1, 12))) for _ in range(20_000)]
+    words = [w for w in (x.strip() for x in words) if m.PLAIN.fullmatch(w)]
+    assert len(words) > 50_000
+    for w, x in zip(words, m.a.encode_batch([" " + w for w in words], add_special_tokens=False)):
+        assert m.fast.encode_ordinary(" " + w) == x.ids
