@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CORE = ["name", "platform", "url", "status", "paid", "min_reward", "max_reward", "launched_at", "resolved_reports", "invite_only", "kyc_required", "source_ids", "tags"]
+CORE = ["name", "platform", "url", "status", "paid", "currency", "min_reward", "max_reward", "safe_harbor", "disclosure_allowed", "launched_at", "resolved_reports", "invite_only", "kyc_required", "countries", "source_ids", "tags", "languages"]
 
 
 def diff_targets(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -16,12 +16,14 @@ def diff_targets(now: DataFrame, before: DataFrame) -> DataFrame:
         F.count_if(F.col("b").isNull()).alias("added"), F.count_if(F.col("a").isNull()).alias("removed"))
 
 
-def classify_change(programs: DataFrame, before: DataFrame, diff: DataFrame, baseline: bool = False) -> DataFrame:
-    """program_id, change_type, added, removed, is_new. Where nothing changed the previous change stays (change_type of before; a baseline where it has none).
-    baseline: a first import, whose programs are no news."""
-    if "change_type" not in before.columns:
-        before = before.withColumn("change_type", F.lit(None).cast("string"))
-    old = before.select("merge_key", *(F.col(c).alias(f"old_{c}") for c in CORE), F.col("change_type").alias("old_change"), F.lit(True).alias("old"))
+def classify_change(programs: DataFrame, before: DataFrame, diff: DataFrame, baseline: bool = False, now: str | None = None) -> DataFrame:
+    """program_id, merge_key, change_type, change_at, added, removed, is_new. Where nothing changed the previous change stays (change_type and change_at of before; a baseline where it has none).
+    baseline: a first import, whose programs are no news. now: when changes of this run are; null without it."""
+    for c, kind in (("change_type", "string"), ("change_at", "timestamp_ntz")):
+        if c not in before.columns:
+            before = before.withColumn(c, F.lit(None).cast(kind))
+    at = F.lit(now).cast("timestamp_ntz")
+    old = before.select("merge_key", *(F.col(c).alias(f"old_{c}") for c in CORE), F.col("change_type").alias("old_change"), F.col("change_at").alias("old_at"), F.lit(True).alias("old"))
     same = F.lit(True)
     for c in CORE:
         same = same & F.col(c).eqNullSafe(F.col(f"old_{c}"))
@@ -31,7 +33,7 @@ def classify_change(programs: DataFrame, before: DataFrame, diff: DataFrame, bas
             .when((F.col("old_status") != "open") & (F.col("status") == "open"), "reactivated")
             .when((F.col("removed") > 0) | ~same, "scope_updated"))
     df = programs.join(old, "merge_key", "left").join(diff, "merge_key", "left").withColumns({"added": F.coalesce("added", F.lit(0)), "removed": F.coalesce("removed", F.lit(0))})
-    return df.select("program_id", "merge_key", F.coalesce(kind, "old_change", F.lit("baseline")).alias("change_type"), "added", "removed", F.coalesce(kind != "baseline", F.lit(False)).alias("is_new"))
+    return df.select("program_id", "merge_key", F.coalesce(kind, "old_change", F.lit("baseline")).alias("change_type"), F.when(kind.isNull(), F.col("old_at")).otherwise(at).alias("change_at"), "added", "removed", F.coalesce(kind != "baseline", F.lit(False)).alias("is_new"))
 
 
 def missing_grace(before: DataFrame, now: DataFrame) -> DataFrame:

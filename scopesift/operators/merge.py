@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fold
+from . import facts, value
 
 # Target types by the first pattern that their text matches.
 TYPE_PATTERNS = [
@@ -30,12 +31,13 @@ def norm_targets(raw: DataFrame) -> DataFrame:
         kind = F.when(text.rlike(pattern), name).otherwise(kind)
     df = raw.withColumns({"value": F.regexp_replace(F.coalesce("value", F.lit("")), r"(?U)^\s+|\s+$", ""), "type": kind})
     key = F.substring(F.sha2(F.concat("type", F.lit(":"), F.lower(F.regexp_replace("value", r"(?U)\s+", " "))), 256), 1, 16)
-    return df.where("value <> ''").where(F.coalesce("eligible", F.lit(True))).select("record_no", "ordinal", key.alias("target_key"), "type", "value", "added_at")
+    more = [F.substring(c, 1, n).alias(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c, n in (("description", 600), ("impact", 120))]
+    return df.where("value <> ''").where(F.coalesce("eligible", F.lit(True))).select("record_no", "ordinal", key.alias("target_key"), "type", "value", "added_at", *more)
 
 
 def dedupe_targets(targets: DataFrame) -> DataFrame:
     """The last row of each key in a record."""
-    last = F.max_by(F.struct("ordinal", "type", "value", "added_at"), "ordinal").alias("t")
+    last = F.max_by(F.struct("ordinal", "type", "value", "added_at", "description", "impact"), "ordinal").alias("t")
     return targets.groupBy("record_no", "target_key").agg(last).select("record_no", "target_key", "t.*")
 
 
@@ -54,26 +56,46 @@ def lead_rank(records: DataFrame) -> DataFrame:
     return records.withColumn("lead_rank", F.row_number().over(w))
 
 
-def merge_programs(records: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per merge key. records: of lead_rank; targets: of merge_targets."""
+def merge_programs(records: DataFrame, targets: DataFrame, said: DataFrame) -> DataFrame:
+    """One row per merge key. records: of lead_rank; targets: of merge_targets; said: of facts.record_facts."""
     has = F.col("max_reward").isNotNull() | F.col("min_reward").isNotNull()
-    got = records.groupBy("merge_key").agg(
+    told = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("lead_rank"))).alias(c)  # noqa: E731  the first in lead order that has one
+    none = F.array().cast("array<string>")
+    got = records.join(said.select("record_no", "bits", "repository_count"), "record_no", "left").groupBy("merge_key").agg(
         F.min_by(F.struct("name", "source_id", "url", "status"), "lead_rank").alias("lead"),
         F.max(F.when(has, F.coalesce("max_reward", F.lit(0.0)))).alias("max_reward"),
         F.min(F.when(F.col("min_reward") > 0, F.col("min_reward"))).alias("min_reward"),
+        F.min_by(F.struct("currency"), F.when(has, F.struct(-F.coalesce("max_reward", F.lit(0.0)), F.col("lead_rank")))).alias("paying"),
         F.bool_or(F.col("status") == "open").alias("any_open"), F.bool_or("paid").alias("paid"),
-        F.bool_or("invite_only").alias("invite_only"), F.bool_or("kyc_required").alias("kyc_required"),
-        F.array_sort(F.collect_set("source_id")).alias("source_ids"),
+        F.bool_or("invite_only").alias("invite_only"), F.bool_or("kyc_required").alias("kyc_required"), told("safe_harbor"), told("disclosure_allowed"),
+        F.array_sort(F.collect_set("source_id")).alias("source_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("countries")))).alias("countries"),
+        F.bit_or("bits").alias("bits"), F.max("repository_count").alias("repository_count"),
         F.min("launched_at").alias("launched_at"), F.max("resolved_reports").alias("resolved_reports"))
-    tags = targets.groupBy("merge_key").agg(F.array_sort(F.collect_set("type")).alias("tags"), F.count("*").alias("target_count"))
-    return got.join(tags, "merge_key", "left").select(
+    types = targets.groupBy("merge_key").agg(F.collect_set("type").alias("types"), F.count("*").alias("target_count"))
+    tags = F.array_sort(F.array_distinct(F.concat(F.coalesce("types", none), facts.tag_names(F.col("bits")))))
+    text = merge_policy_text(records).select("merge_key", value.invites(F.col("policy_text")).alias("text_invites"), F.substring("policy_text", 1, 8).alias("text_head"))
+    df = got.join(types, "merge_key", "left").join(text, "merge_key", "left").select(
         F.concat(F.lit("program:"), "merge_key").alias("program_id"), "merge_key", "lead.name", F.col("lead.source_id").alias("platform"), "lead.url",
-        F.when(F.col("any_open"), "open").otherwise(F.col("lead.status")).alias("status"), "paid", "min_reward", "max_reward", "invite_only", "kyc_required",
-        "source_ids", "launched_at", "resolved_reports", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("target_count", F.lit(0)).cast("long").alias("target_count"))
+        F.when(F.col("any_open"), "open").otherwise(F.col("lead.status")).alias("status"), "paid", "paying.currency", "min_reward", "max_reward", "safe_harbor", "disclosure_allowed", "invite_only", "kyc_required",
+        "source_ids", "countries", "launched_at", "resolved_reports", tags.alias("tags"), F.array_sort(facts.language_names(F.col("bits"))).alias("languages"), facts.local_hint(F.col("bits")).alias("local_testing_hint"),
+        F.coalesce("repository_count", F.lit(0)).cast("long").alias("repository_count"), F.coalesce("target_count", F.lit(0)).cast("long").alias("target_count"), "text_invites", "text_head")
+    # what the evaluation of each target asks of the program's texts
+    return df.withColumns({"source_code": F.array_contains("tags", "source-code"),
+                           "invite_words": F.coalesce("text_invites", F.lit(False)) | value.invites(F.concat_ws(" ", "name", "text_head")),
+                           "name_flags": value.told(F.col("name")), "rest_flags": value.told(F.array_join(F.concat("tags", "languages"), " "))}).drop("text_invites", "text_head")
+
+
+def merge_policy_text(records: DataFrame, most: int = 150_000) -> DataFrame:
+    """merge_key, policy_text: the records' texts in lead order, joined by a space and cut at ``most`` characters. Texts that begin beyond the cut are not gathered, so a group is bounded."""
+    own = F.trim(F.coalesce("policy_text", F.lit("")))
+    w = Window.partitionBy("merge_key").orderBy("lead_rank").rowsBetween(Window.unboundedPreceding, -1)
+    rows = records.select("merge_key", "lead_rank", own.alias("t")).where("t <> ''").withColumn("before", F.coalesce(F.sum(F.length("t") + 1).over(w), F.lit(0)))
+    near = rows.where(F.col("before") < most).groupBy("merge_key").agg(F.array_sort(F.collect_list(F.struct("lead_rank", "t"))).alias("all"))
+    return near.select("merge_key", F.substring(F.array_join(F.transform("all", lambda x: x["t"]), " "), 1, most).alias("policy_text"))
 
 
 def merge_targets(records: DataFrame, targets: DataFrame) -> DataFrame:
-    """Targets of all records of a program; of equal keys the one of the last record in lead order stays."""
-    last = F.max_by(F.struct("type", "value", "added_at"), F.struct("lead_rank", "ordinal")).alias("t")
+    """Targets of all records of a program; of equal keys the one of the last record in lead order stays. target_flags: what its own texts say for routing."""
+    last = F.max_by(F.struct("type", "value", "added_at", "description", "impact"), F.struct("lead_rank", "ordinal")).alias("t")
     return (targets.join(records.select("record_no", "merge_key", "lead_rank"), "record_no").groupBy("merge_key", "target_key").agg(last)
-            .select("merge_key", "target_key", "t.*"))
+            .select("merge_key", "target_key", "t.*").withColumn("target_flags", value.target_told()))

@@ -23,14 +23,6 @@ def src_snapshot_fallback(now: DataFrame, before: DataFrame, least: int) -> Data
     return now.join(good, "source_id", "left_semi").unionByName(before.join(good, "source_id", "left_anti"))
 
 
-def record_tags(records: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per record: counts of targets and repositories, and its distinct target types. records with none have 0 and no tags."""
-    got = targets.groupBy("record_no").agg(F.count("*").alias("t"), F.count_if((F.col("type") == "source-code") | F.col("value").rlike(HOSTED)).alias("r"), F.array_sort(F.collect_set("type")).alias("g"))
-    zero = F.lit(0).cast("long")
-    return records.join(got, "record_no", "left").select("record_no", F.coalesce("t", zero).alias("target_count"), F.coalesce("r", zero).alias("repository_count"), (F.coalesce("r", zero) > 0).alias("source_code"),
-                                                         F.coalesce("g", F.array().cast("array<string>")).alias("tags"))
-
-
 def diff_fingerprint(programs: DataFrame, before: DataFrame, diff: DataFrame) -> DataFrame:
     """program_id, changed: a core field or the set of targets differs; programs of both snapshots."""
     old = before.select("merge_key", *(F.col(c).alias(f"old_{c}") for c in CORE))
@@ -55,17 +47,18 @@ def _at(now: str) -> Column:
 
 
 def program_lifecycle(changes: DataFrame, previous: DataFrame, now: str) -> DataFrame:
-    """First seen stays; last seen and last changed move on a change. previous: merge_key, first_seen_at, last_seen_at, last_changed_at."""
-    moved = (F.col("change_type") != "baseline") | F.col("last_seen_at").isNull()
-    df = changes.join(previous, "merge_key", "left")
-    return df.select("program_id", F.coalesce("first_seen_at", _at(now)).alias("first_seen_at"), F.when(moved, _at(now)).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
-                     F.when(F.col("change_type") != "baseline", _at(now)).otherwise(F.col("last_changed_at")).alias("last_changed_at"), F.lit(0).cast("long").alias("missing_count"))
+    """First seen stays; last seen and last changed move where the run has a new change or the program is new, not where an old change is carried over.
+    previous: merge_key, first_seen_at, last_seen_at, last_changed_at."""
+    df = changes.join(previous.withColumn("known", F.lit(True)), "merge_key", "left")
+    moved = F.col("is_new") | F.col("known").isNull()
+    return df.select("program_id", F.coalesce("first_seen_at", _at(now)).alias("first_seen_at"), *(F.when(moved, _at(now)).otherwise(F.coalesce(c, _at(now)) if c == "last_seen_at" else F.col(c)).alias(c) for c in ("last_seen_at", "last_changed_at")),
+                     F.lit(0).cast("long").alias("missing_count"))
 
 
-def target_lifecycle(targets: DataFrame, previous: DataFrame, changes: DataFrame, now: str) -> DataFrame:
-    """first_seen_at: as before, else the day it was added, else null for a baseline, else now."""
-    df = targets.join(previous.select("merge_key", "target_key", "first_seen_at"), ["merge_key", "target_key"], "left").join(changes.select("merge_key", "change_type"), "merge_key")
-    return df.select("merge_key", "target_key", F.coalesce("first_seen_at", "added_at", F.when(F.col("change_type") != "baseline", _at(now))).alias("first_seen_at"))
+def target_lifecycle(targets: DataFrame, previous: DataFrame, now: str, baseline: bool = False) -> DataFrame:
+    """first_seen_at: as before, else the day it was added, else now, or null in a first import."""
+    df = targets.join(previous.select("merge_key", "target_key", "first_seen_at"), ["merge_key", "target_key"], "left")
+    return df.select("merge_key", "target_key", F.coalesce("first_seen_at", "added_at", F.lit(None) if baseline else _at(now)).cast("timestamp_ntz").alias("first_seen_at"))
 
 
 def event_score_join(events: DataFrame, programs: DataFrame) -> DataFrame:
@@ -134,9 +127,11 @@ def coverage_gate(evaluated: DataFrame, floor: int = 400, ratio: float = 0.8) ->
     return df.select("n", "measured", "required", (F.col("measured") >= F.col("required")).alias("ready"), F.when(F.col("n") == 0, 1.0).otherwise(F.col("measured") / F.col("n")).alias("ratio"))
 
 
-def publish_gate(coverage: DataFrame, health: DataFrame, changed: DataFrame) -> DataFrame:
+def publish_gate(coverage: DataFrame, health: DataFrame, changed: DataFrame, checks: DataFrame | None = None) -> DataFrame:
+    """checks: of cache.trap_assertions; a run whose checks fail is not published."""
     healthy = health.agg((F.count_if(F.col("status") == "ok") > 0).alias("h")).scalar()
-    df = coverage.select("ready", healthy.alias("healthy"), changed.select("changed").scalar().alias("dataset_changed"))
+    ready = F.col("ready") if checks is None else F.col("ready") & checks.select("ready").scalar()
+    df = coverage.select(ready.alias("ready"), healthy.alias("healthy"), changed.select("changed").scalar().alias("dataset_changed"))
     return df.select(F.expr("ready AND healthy").alias("publish"), F.expr("ready AND healthy AND dataset_changed").alias("changed"))
 
 
@@ -149,7 +144,7 @@ def policy_lookup(programs: DataFrame, policy: DataFrame) -> DataFrame:
 def fallback_target(programs: DataFrame) -> DataFrame:
     """A program without targets gets one: its own address."""
     kind = F.when(F.array_contains("tags", "api"), "api").otherwise("web")
-    return programs.where("target_count = 0").select("merge_key", F.substring(F.sha2(F.concat(kind, F.lit(":"), F.lower("url")), 256), 1, 16).alias("target_key"), kind.alias("type"), F.col("url").alias("value"))
+    return programs.where("target_count = 0").select("merge_key", F.concat("program_id", F.lit(":policy")).alias("target_key"), kind.alias("type"), F.col("url").alias("value"))
 
 
 def live_match(targets: DataFrame, rules: list[dict]) -> DataFrame:
@@ -168,10 +163,11 @@ def live_match(targets: DataFrame, rules: list[dict]) -> DataFrame:
 
 
 def override_join(programs: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Overrides by id, then name, then lower-case name. overrides: key, floor."""
+    """Overrides by id, then name, then lower-case name: the first of these that has one, whole. overrides: key, floor and more; each column of the result begins with override_."""
+    fields = [c for c in overrides.columns if c != "key"]
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("rank"), k.alias("key")) for i, k in enumerate((F.col("program_id"), F.col("name"), F.lower("name"))))))
     df = programs.select("program_id", keys.alias("k")).select("program_id", "k.*").join(overrides, "key")
-    return df.groupBy("program_id").agg(F.min_by("floor", "rank").alias("override_floor"))
+    return df.groupBy("program_id").agg(F.min_by(F.struct(*fields), "rank").alias("o")).select("program_id", *(F.col(f"o.{c}").alias(f"override_{c}") for c in fields))
 
 
 def public_projection(evaluated: DataFrame, top: int = 16) -> DataFrame:

@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clamp, days, half_up, severity_rank, texts, yes
-
-# Patterns over a target's search text.
-MATURE_CORE = "(?i)(crypto|signing|mpc|consensus|kernel|tls|wallet[-_ ]?core)"
-PARSER = "(?i)(parser|serializer|codec|deseriali[sz]e|rlp|protobuf)"
-CRYPTO = "(?i)(crypto|signing|signature|mpc|nonce|keystore|hsm|consensus|wallet[-_ ]?core)"
-AUTH = "(?i)(oauth|oidc|saml|session|jwt|login|account[-_ ]?link|sso|authentication)"
-AUTHZ = "(?i)(idor|bola|multi[-_ ]?tenant|rbac|k8s[-_ ]?operator|operator|iam|authorization)"
-AI = "(?i)(^|[^a-z])(ai|ml|llm|rag|mcp)([^a-z]|$)|agent|prompt[-_ ]?inject"
-CONTRACT = r"(?i)(solidity|defi|smart[-_ ]?contract|\bevm\b|vault)"
-PAYMENTS = "(?i)(payments?|checkout|billing|store|entitlement|subscription|invoice|cart)"
-UNTRUSTED_INPUT = "(?i)(network|packet|socket|upload|file|wire|request|remote|untrusted|p2p)"
+from ..functions import flags
+from ..functions.exprs import clamp, days, half_up, severity_rank, yes
+
+# Patterns over a target's search text in lower case; behind each, texts of which every match holds one.
+ROUTING = {
+    "mature_core": (r"crypto|signing|mpc|consensus|kernel|tls|wallet[-_ ]?core", ["crypto", "signing", "mpc", "consensus", "kernel", "tls", "wallet"]),
+    "parser": (r"parser|serializer|codec|deseriali[sz]e|rlp|protobuf", ["parser", "serializer", "codec", "deseriali", "rlp", "protobuf"]),
+    "crypto": (r"crypto|signing|signature|mpc|nonce|keystore|hsm|consensus|wallet[-_ ]?core", ["crypto", "signing", "signature", "mpc", "nonce", "keystore", "hsm", "consensus", "wallet"]),
+    "auth": (r"oauth|oidc|saml|session|jwt|login|account[-_ ]?link|sso|authentication", ["oauth", "oidc", "saml", "session", "jwt", "login", "account", "sso", "authentication"]),
+    "authz": (r"idor|bola|multi[-_ ]?tenant|rbac|k8s[-_ ]?operator|operator|iam|authorization", ["idor", "bola", "tenant", "rbac", "operator", "iam", "authorization"]),
+    "ai": (r"(^|[^a-z])(ai|ml|llm|rag|mcp)([^a-z]|$)|agent|prompt[-_ ]?inject", ["ai", "ml", "llm", "rag", "mcp", "agent", "prompt"]),
+    "contract": (r"solidity|defi|smart[-_ ]?contract|\bevm\b|vault", ["solidity", "defi", "contract", "evm", "vault"]),
+    "payments": (r"payments?|checkout|billing|store|entitlement|subscription|invoice|cart", ["payment", "checkout", "billing", "store", "entitlement", "subscription", "invoice", "cart"]),
+    "untrusted_input": (r"network|packet|socket|upload|file|wire|request|remote|untrusted|p2p", ["network", "packet", "socket", "upload", "file", "wire", "request", "remote", "untrusted", "p2p"]),
+}
+#: Phrases of two words that these patterns may find across a space.
+PHRASES = {"mature_core": ["wallet core"], "crypto": ["wallet core"], "auth": ["account link"], "authz": ["multi tenant", "k8s operator"], "ai": ["prompt inject"], "contract": ["smart contract"]}
+INVITE_WORDS = (r"\b(?:invite[- ]only|invitational)\b", ["invite", "invitational"])
+
+_NAMES, _PATTERNS = list(ROUTING), list(ROUTING.values())
+_SPANNING = {_NAMES.index(k): v for k, v in PHRASES.items()}
+
 LIVE = ["live-web", "live-api", "live-contract", "ai-agent"]
 HOSTED = r"(?i)github\.com|gitlab\.com"
 
@@ -29,24 +39,64 @@ CLASSES = {
 }
 
 
-def search_text(df: DataFrame) -> DataFrame:
-    """Adds text: name, type, value, tags and repository name in one."""
-    return df.withColumn("text", F.concat_ws(" ", "name", "type", "value", F.array_join("tags", " "), "repo_key"))
+def told(text: Column) -> Column:
+    """Routing flags of one part of a search text."""
+    return flags.told(text, _PATTERNS)
+
+
+def target_told() -> Column:
+    """Routing flags of a target's own part: type, value, description and impact."""
+    return told(F.concat_ws(" ", *(F.when(F.col(c) != "", F.col(c)) for c in ("type", "value", "description", "impact"))))
+
+
+def repo_told() -> Column:
+    """Routing flags of a repository's part: name, branch, languages, top paths and added files. What is missing leaves no gap."""
+    some = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x != "")
+    one = lambda c: some(F.array(F.col(c)))
+    return told(F.array_join(F.concat(one("repo_key"), one("default_branch"), some("languages"), some("top_paths"), some("added_list")), " "))
+
+
+def invites(text: Column) -> Column:
+    return flags.fits(flags.plain(text), INVITE_WORDS)
+
+
+def search_flags(df: DataFrame) -> DataFrame:
+    """Adds marks, a bit for each pattern of ROUTING over name, type, value, description, impact, tags, languages and what is known of the repository, and
+    mature, the first one also with the repository's part twice in a row.
+
+    The parts' flags (name_flags, target_flags, rest_flags, repo_flags) come with their records; where a column is missing it is made here.
+    """
+    for c, kind in (("description", "string"), ("impact", "string"), ("default_branch", "string"), ("top_paths", "array<string>"), ("added_list", "array<string>"), ("spoken", "array<string>")):
+        if c not in df.columns and not {"name_flags", "target_flags", "rest_flags", "repo_flags"} <= set(df.columns):
+            df = df.withColumn(c, F.lit(None).cast(kind))
+    none = F.array().cast("array<string>")
+    made = {"name_flags": lambda: told(F.col("name")), "target_flags": target_told, "rest_flags": lambda: told(F.array_join(F.concat(F.coalesce("tags", none), F.coalesce("spoken", none)), " ")), "repo_flags": repo_told}
+    df = df.withColumns({c: f() for c, f in made.items() if c not in df.columns})
+    parts = [F.col(c) for c in ("name_flags", "target_flags", "rest_flags", "repo_flags")]
+    core = _NAMES.index("mature_core")
+    df = df.withColumn("marks", flags.joint(parts, _SPANNING))
+    return df.withColumn("mature", flags.has(F.col("marks"), core) | F.contains(F.concat_ws(" ", "repo_flags.ends", "repo_flags.ends"), F.lit(PHRASES["mature_core"][0])))
+
+
+def marked(name: str) -> Column:
+    return flags.has(F.col("marks"), _NAMES.index(name))
 
 
 def hardening_index(df: DataFrame) -> DataFrame:
     """0..100 to one decimal; null unless repository signals are ok."""
     score = (F.least(F.lit(30.0), F.greatest(F.lit(0.0), F.coalesce("stars", F.lit(0)) / 300.0)) + F.when(yes(F.col("sec_tooling")), 20).otherwise(0)
              + F.when(yes(F.col("age_y") > 4), 15).otherwise(0) + F.when(yes(F.col("contributors") > 100), 15).otherwise(0)
-             + F.when(yes(F.col("advisories_resolved") >= 3), 10).otherwise(0) + F.when(F.col("text").rlike(MATURE_CORE), 10).otherwise(0))
+             + F.when(yes(F.col("advisories_resolved") >= 3), 10).otherwise(0) + F.when(F.col("mature"), 10).otherwise(0))
     return df.withColumn("hardening_index", F.when(yes(F.col("repo_status") == "ok"), half_up(clamp(score, 0.0, 100.0), 1)))
 
 
 def recent_scope(df: DataFrame, now: str) -> DataFrame:
+    """A new program's scope, a target that was first seen at the program's last change, or one of less than 45 days. A baseline has none."""
     at = F.lit(now).cast("timestamp")
     age = days(F.coalesce("added_at", "first_seen_at"), at)
+    changed = F.col("change_at") if "change_at" in df.columns else F.lit(None)
     fresh = (F.when(F.col("change_type") == "baseline", False).when(F.col("change_type") == "new_program", True)
-             .when((F.col("change_type") == "new_target") & yes(F.col("first_seen_at").cast("timestamp") == at), True).otherwise(yes(age < 45)))
+             .when((F.col("change_type") == "new_target") & yes(F.col("first_seen_at").cast("timestamp") == changed.cast("timestamp")), True).otherwise(yes(age < 45)))
     return df.withColumn("recent_scope", fresh)
 
 
@@ -63,31 +113,33 @@ def known_issue_risk(df: DataFrame) -> DataFrame:
 
 def route(df: DataFrame) -> DataFrame:
     """base_workflow: the first of nine tests that holds."""
-    t, v = F.col("type"), F.coalesce("value", F.lit(""))
-    repo = F.col("repo_status").isNotNull() | v.rlike(HOSTED)
-    contract = F.col("text").rlike(CONTRACT)
+    t, v = F.col("type"), flags.lowered(F.coalesce("value", F.lit("")))
+    df = df.withColumns({"repo": F.col("repo_status").isNotNull() | v.rlike(HOSTED), "contract": marked("contract")})
+    repo, contract = F.col("repo"), F.col("contract")
     return df.withColumn("base_workflow", F.when((t == "smart-contract") | (contract & F.col("deployed").isNotNull()), "live-contract")
-                         .when(~repo & F.col("text").rlike(AI), "ai-agent").when(~repo & ((t == "api") | v.rlike("(?i)(^|[./_-])api([./_-]|$)")), "live-api")
+                         .when(~repo & marked("ai"), "ai-agent").when(~repo & ((t == "api") | v.rlike("(^|[./_-])api([./_-]|$)")), "live-api")
                          .when(~repo & t.isin("web", "domain", "url", "mobile"), "live-web")
                          .when(repo | t.isin("source-code", "firmware", "hardware", "executable", "binary"), "static-source")
-                         .when(v.rlike("(?i)^https?://"), "live-web").when(v.rlike(r"(?i)^(?:\*\.)?[a-z0-9-]+(?:\.[a-z0-9-]+)+(?::\d+)?(?:/|$)"), "live-web")
+                         .when(v.rlike("^https?://"), "live-web").when(v.rlike(r"^(?:\*\.)?[a-z0-9-]+(?:\.[a-z0-9-]+)+(?::\d+)?(?:/|$)"), "live-web")
                          .when(contract, "live-contract").otherwise("static-source"))
 
 
 def findable_class(df: DataFrame) -> DataFrame:
-    """findable_class with its ceiling, fit and label, and the workflow that the class may rewrite."""
-    w, x = F.col("base_workflow"), F.col("text")
+    """findable_class with its ceiling, fit and label, and the workflow that the class may rewrite. languages: of the repository, spoken: of the program."""
+    w = F.col("base_workflow")
     live = w.startswith("live-") | (w == "ai-agent")
-    lang = lambda *names: F.arrays_overlap(F.coalesce("languages", F.array().cast("array<string>")), F.array(*map(F.lit, names)))
-    kind = (F.when(live & x.rlike(AUTH), "account-takeover").when(live & x.rlike(AUTHZ), "cross-tenant-authz").when((w == "ai-agent") | (x.rlike(AI) & live), "agent-sink-chain")
-            .when((w == "live-contract") | (x.rlike(CONTRACT) & yes(F.col("deployed"))), "contract-loss").when(live & x.rlike(PAYMENTS), "business-logic")
-            .when(x.rlike(PARSER) & lang("c", "c++", "cpp") & x.rlike(UNTRUSTED_INPUT), "native-parser-memory").when(x.rlike(PARSER) & lang("go", "rust"), "managed-parser-dos")
-            .when(x.rlike(PARSER), "parser-dos").when(x.rlike(CRYPTO), "mature-crypto-core").when(w == "live-api", "api-authz").when(w == "live-web", "web-business-logic").otherwise("source-review"))
+    none = F.array().cast("array<string>")
+    every = F.concat(F.coalesce("languages", none), F.coalesce("spoken", none) if "spoken" in df.columns else none)
+    known = lambda *names: F.lower(F.concat(F.lit(","), F.array_join(every, ","), F.lit(","))).rlike(f",({'|'.join(names)}),")
+    kind = (F.when(live & marked("auth"), "account-takeover").when(live & marked("authz"), "cross-tenant-authz").when((w == "ai-agent") | (marked("ai") & live), "agent-sink-chain")
+            .when((w == "live-contract") | (F.col("contract") & yes(F.col("deployed"))), "contract-loss").when(live & marked("payments"), "business-logic")
+            .when(marked("parser"), F.when(marked("untrusted_input") & known("c", r"c\+\+", "cpp"), "native-parser-memory").when(known("go", "rust"), "managed-parser-dos").otherwise("parser-dos"))
+            .when(marked("crypto"), "mature-crypto-core").when(w == "live-api", "api-authz").when(w == "live-web", "web-business-logic").otherwise("source-review"))
     df = df.withColumn("findable_class", kind)
     pick = lambda i: F.coalesce(*(F.when(F.col("findable_class") == k, F.lit(v[i])) for k, v in CLASSES.items()))
     hard = yes(F.col("hardening_index") >= 55) & (F.col("fresh_code_index") < 40)
     df = df.withColumns({"ceiling": pick(0), "fit": pick(1), "label": pick(2), "class_workflow": F.when(F.col("findable_class") == "agent-sink-chain", "ai-agent").when(F.col("findable_class") == "contract-loss", "live-contract").otherwise(F.col("base_workflow"))})
-    return df.withColumn("workflow", F.when((F.col("class_workflow") == "static-source") & hard, "static-source-hardened").otherwise(F.col("class_workflow")))
+    return df.withColumn("workflow", F.when((F.col("class_workflow") == "static-source") & hard, "static-source-hardened").otherwise(F.col("class_workflow"))).drop("repo", "contract")
 
 
 def floor_resolve(df: DataFrame) -> DataFrame:
@@ -98,12 +150,26 @@ def floor_resolve(df: DataFrame) -> DataFrame:
                            "floor_source": F.when(F.col("override_floor").isNotNull(), "override").when(F.col("policy_floor").isNotNull(), F.coalesce("policy_floor_source", F.lit("scraped-reward-table"))).otherwise("conservative-default")})
 
 
+def _texts(*pairs: tuple[Column, Column], sep: str = "; ") -> Column:
+    """Texts whose condition holds, in order, as one text; empty where none does."""
+    return F.concat_ws(sep, *(F.when(yes(c), t) for c, t in pairs))
+
+
 def eligibility(df: DataFrame, country: str = "IN") -> DataFrame:
-    """reasons: why the researcher could not be paid, in order; none is eligible."""
-    return df.withColumn("reasons", texts(
+    """reasons: why the researcher could not be paid, in order, as one text; empty where eligible. Columns of overrides and of a record that are missing count as null."""
+    of = lambda c: yes(F.col(c)) if c in df.columns else F.lit(False)
+    banned = F.lit(False)
+    if "override_countries" in df.columns:
+        banned = yes(F.array_contains(F.transform("override_countries", F.upper), country.upper()))
+    barred = ~F.coalesce("override_eligible", F.lit(True)) if "override_eligible" in df.columns else F.lit(False)
+    why = F.coalesce("override_eligibility_reason", F.lit("program override marks researcher ineligible")) if "override_eligibility_reason" in df.columns else F.lit("program override marks researcher ineligible")
+    invites_ = of("invite_words") if "invite_words" in df.columns else invites(F.col("name"))
+    return df.withColumn("reasons", _texts(
         (~yes(F.col("paid")), F.lit("program is not confirmed paid")), (F.coalesce("status", F.lit("")) != "open", F.lit("program is not open")),
-        (yes(F.col("invite_only")) | yes(F.col("policy_invite_only")) | F.col("name").rlike(r"(?i)\b(?:invite[- ]only|invitational)\b"), F.lit("invite-only program")), (yes(F.col("kyc_required")) | yes(F.col("policy_kyc")), F.lit("KYC required")),
-        (yes(F.col("excludes_in")) & F.lit(country == "IN"), F.lit(f"{country} researchers excluded"))))
+        (~F.coalesce("eligible", F.lit(True)) if "eligible" in df.columns else F.lit(False), F.lit("target is not bounty eligible")), (barred, why),
+        (of("invite_only") | of("policy_invite_only") | of("override_invite_only") | invites_, F.lit("invite-only program")), (of("kyc_required") | of("policy_kyc") | of("override_kyc_required"), F.lit("KYC required")),
+        ((of("excludes_in") & F.lit(country.upper() == "IN")) | banned, F.lit(f"{country.upper()} researchers excluded")),
+        (of("override_safe_harbor_required") & (of("override_no_safe_harbor") | of("no_safe_harbor")) & (F.col("workflow") != "static-source"), F.lit("required safe harbor is absent"))))
 
 
 def p_first(df: DataFrame, now: str) -> DataFrame:
@@ -123,22 +189,24 @@ def p_findable(df: DataFrame) -> DataFrame:
 
 def p_payable(df: DataFrame) -> DataFrame:
     reaches = F.when(severity_rank(F.col("ceiling")) >= severity_rank(F.col("floor")), 1).otherwise(0)
-    return df.withColumn("p_payable", half_up(reaches * (1 - F.col("known_issue_risk") / 100) * F.when(F.size("reasons") == 0, 1).otherwise(0), 3))
+    return df.withColumn("p_payable", half_up(reaches * (1 - F.col("known_issue_risk") / 100) * F.when(F.col("reasons") == "", 1).otherwise(0), 3))
 
 
-def exclusions(df: DataFrame) -> DataFrame:
-    """dormant, exclude_reason and trap tags."""
-    dormant = (F.col("workflow") == "live-contract") & yes(F.col("deployed")) & yes(F.col("tx_30d") == 0)
-    only_dos = F.col("findable_class") == "managed-parser-dos"
+def exclusions(df: DataFrame, jump: float = 40.0) -> DataFrame:
+    """dormant, exclude_reason and trap tags. An audited target (columns of cache.audit_match) stays out unless its code has become fresher by more than ``jump``."""
+    dormant = (F.col("workflow") == "live-contract") & yes(F.col("deployed")) & (yes(F.col("tx_30d") == 0) | (yes(F.col("tvl") == 0) if "tvl" in df.columns else F.lit(False)))
     under = severity_rank(F.col("ceiling")) < severity_rank(F.col("floor"))
-    dos = only_dos & (severity_rank(F.col("floor")) > 1)
-    df = df.withColumn("dormant", dormant)
-    first = texts((dos, F.concat("ceiling", F.lit(" DoS ceiling is below the "), "floor", F.lit(" program floor"))), (~dos & under, F.concat("ceiling", F.lit(" severity ceiling is below the "), "floor", F.lit(" program floor"))),
-                  ((F.col("hardening_index") > 70) & (F.col("fresh_code_index") < 25), F.lit("mature hardened source with little fresh code")), (F.col("known_issue_risk") >= 60, F.lit("known-issue risk is 60 or higher")))
-    last = texts((F.col("dormant"), F.lit("deployed contract surface has zero recent use or value")))
-    every = F.array_distinct(F.concat(first, "reasons", last))
-    tags = F.array_distinct(texts((yes(F.col("dev_known")), F.lit("DEV_KNOWN")), (dos, F.lit("DOS_CEILING")), (F.col("dormant"), F.lit("DORMANT"))))
-    return df.withColumns({"exclude_reason": F.when(F.size(every) > 0, F.array_join(every, "; ")), "trap_tags": tags})
+    df = df.withColumns({"dormant": dormant, "dos": (F.col("findable_class") == "managed-parser-dos") & (severity_rank(F.col("floor")) > 1), "under": under})
+    dos = F.col("dos")
+    parts = [(dos, F.concat("ceiling", F.lit(" DoS ceiling is below the "), "floor", F.lit(" program floor"))), (~dos & F.col("under"), F.concat("ceiling", F.lit(" severity ceiling is below the "), "floor", F.lit(" program floor"))),
+             ((F.col("hardening_index") > 70) & (F.col("fresh_code_index") < 25), F.lit("mature hardened source with little fresh code")), (F.col("known_issue_risk") >= 60, F.lit("known-issue risk is 60 or higher")),
+             (F.col("reasons") != "", F.col("reasons")), (F.col("dormant"), F.lit("deployed contract surface has zero recent use or value"))]
+    if "audit_no" in df.columns:
+        still = F.col("audit_no").isNotNull() & (F.col("fresh_code_index") - F.coalesce("fresh_at_audit", F.lit(0.0)) <= jump)
+        parts.append((still, F.concat(F.lit("audited "), "verdict", F.lit(" target: "), "audit_key")))
+    every = _texts(*parts)
+    tags = _texts((yes(F.col("dev_known")) | yes(F.col("traps") > 0), F.lit("DEV_KNOWN")), (dos, F.lit("DOS_CEILING")), (F.col("dormant"), F.lit("DORMANT")), sep=",")
+    return df.withColumns({"exclude_reason": F.when(every != "", every), "trap_tags": F.when(tags != "", F.split(tags, ",")).otherwise(F.array().cast("array<string>"))}).drop("dos", "under")
 
 
 def ev_score(df: DataFrame, cap: float = 50_000.0) -> DataFrame:
@@ -147,16 +215,18 @@ def ev_score(df: DataFrame, cap: float = 50_000.0) -> DataFrame:
 
 
 def reason_text(df: DataFrame) -> DataFrame:
+    """At most five of six parts; the last is left out where all others hold."""
     ok = yes(F.col("repo_status") == "ok")
-    parts = texts((F.col("fresh_code_index") >= 50, F.lit("fresh code")), ((F.col("fresh_code_index") < 50) & F.col("recent_scope"), F.lit("fresh scope")), (F.lit(True), F.replace("workflow", F.lit("-"), F.lit(" "))),
-                  (F.lit(True), F.concat("label", F.lit(" ceiling "), "ceiling")), (ok & (F.col("hardening_index") < 35), F.lit("low hardening signal")), (ok & (F.col("hardening_index") >= 60), F.lit("mature review surface")),
-                  (~F.col("reports_estimated") & (F.col("reports") < 10), F.lit("low recorded crowd")), (F.col("files_added_90d") > 0, F.concat(F.col("files_added_90d").cast("string"), F.lit(" files added/90d"))))
-    return df.withColumn("reason", F.array_join(F.slice(parts, 1, 5), " + "))
+    fresh = F.when(F.col("fresh_code_index") >= 50, "fresh code").when(F.col("recent_scope"), "fresh scope")
+    hard = F.when(ok & (F.col("hardening_index") < 35), "low hardening signal").when(ok & (F.col("hardening_index") >= 60), "mature review surface")
+    crowd = F.when(~F.col("reports_estimated") & (F.col("reports") < 10), "low recorded crowd")
+    files = F.when((F.col("files_added_90d") > 0) & (fresh.isNull() | hard.isNull() | crowd.isNull()), F.concat(F.col("files_added_90d").cast("string"), F.lit(" files added/90d")))
+    return df.withColumn("reason", F.concat_ws(" + ", fresh, F.replace("workflow", F.lit("-"), F.lit(" ")), F.concat("label", F.lit(" ceiling "), "ceiling"), hard, crowd, files))
 
 
 def evaluate_targets(joined: DataFrame, now: str, cap: float = 50_000.0) -> DataFrame:
     """All of the above: one row per target in, one out; one projection chain, no shuffle."""
-    df = search_text(joined)
+    df = search_flags(joined)
     df = fresh_code_index(recent_scope(hardening_index(df), now))
     df = findable_class(route(known_issue_risk(df)))
     df = p_payable(p_findable(p_first(eligibility(floor_resolve(df)), now)))

@@ -9,17 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import diff, evidence, merge, rank, state, value
+from ..operators import cache, diff, evidence, facts, merge, rank, repo, state, value
 from ..sources import sinks
-from ..sources.fixtures import NOW, NOW_LIVE, OVERRIDES, view
+from ..sources.fixtures import AUDITED, BEFORE, NOW, NOW_LIVE, OVERRIDE_FIELDS, OVERRIDES, view
 
 
-_STATE: dict[tuple[str, str, str], tuple] = {}
+_STATE: dict[tuple, tuple] = {}
+
+
+def _version(spark: SparkSession, sf: str) -> tuple:
+    """What the input files are now: files that are rewritten in a session are read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
 
 
 def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     """A state table of the run over ``sf``: built and written in the shared folder once a session, read by everything after it."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, sf, name, _version(spark, sf))
     if key not in _STATE:
         df = build()
         path = sinks.folder(spark, f"run-{name}")
@@ -30,28 +37,32 @@ def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
 
 
 def records(spark: SparkSession, sf: str, before: bool = False) -> DataFrame:
-    return merge.lead_rank(merge.norm_status(view(spark, sf, "fx_records_before" if before else "fx_records")))
+    rows = view(spark, sf, "fx_records_before" if before else "fx_records")
+    listed = F.filter(F.split("countries", ","), lambda x: x != "")
+    return merge.lead_rank(merge.norm_status(rows.withColumn("countries", listed)))
 
 
 def targets(spark: SparkSession, sf: str, before: bool = False) -> DataFrame:
-    return merge.dedupe_targets(merge.norm_targets(view(spark, sf, "fx_targets_before" if before else "fx_targets")))
+    """Each record's targets; read by the merge and by what records say."""
+    when = "_before" if before else ""
+    return stored(spark, sf, f"own_targets{when}", lambda: merge.dedupe_targets(merge.norm_targets(view(spark, sf, f"fx_targets{when}"))))
+
+
+def said(spark: SparkSession, sf: str, before: bool = False) -> DataFrame:
+    """What each record's texts say."""
+    return facts.record_facts(records(spark, sf, before), targets(spark, sf, before))
 
 
 def merged(spark: SparkSession, sf: str, before: bool = False) -> tuple[DataFrame, DataFrame]:
     """programs, targets"""
     when = "_before" if before else ""
     t = stored(spark, sf, f"targets{when}", lambda: merge.merge_targets(records(spark, sf, before), targets(spark, sf, before)))
-    return stored(spark, sf, f"programs{when}", lambda: merge.merge_programs(records(spark, sf, before), t)), t
-
-
-def present(programs: DataFrame) -> DataFrame:
-    """The current snapshot without every 37th program, for what is asked about programs that went."""
-    return programs.where("CAST(substring(merge_key, 9) AS INT) % 37 <> 0")
+    return stored(spark, sf, f"programs{when}", lambda: merge.merge_programs(records(spark, sf, before), t, said(spark, sf, before))), t
 
 
 def changes(spark: SparkSession, sf: str) -> DataFrame:
     (p, t), (q, s) = merged(spark, sf), merged(spark, sf, True)
-    return stored(spark, sf, "changes", lambda: diff.classify_change(p, q, diff.diff_targets(t, s)))
+    return stored(spark, sf, "changes", lambda: diff.classify_change(p, q, diff.diff_targets(t, s), now=NOW))
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,13 +79,19 @@ def policy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per repository with commits."""
-    commits = view(spark, sf, "fx_repo_commits")
-    traps = evidence.trap_rollup(evidence.detect_traps(view(spark, sf, "fx_blobs")))
-    n = F.col("commits")
-    spoken = F.when(n % 4 == 0, F.array(F.lit("go"))).when(n % 4 == 1, F.array(F.lit("c"))).when(n % 4 == 2, F.array(F.lit("python"), F.lit("rust")))
-    return (evidence.repo_activity(commits, NOW).join(evidence.repo_profile(commits, NOW), "repo_key").join(traps, "repo_key", "left")
-            .withColumns({"stars": n * 100, "sec_tooling": F.col("contributors") > 12, "advisories_resolved": n % 5, "files_added_90d": F.col("commits_90d") * 5, "advisory_match": n % 7 == 0, "languages": spoken, "has": F.lit(True)}))
+    """One row per repository that is known: profile, activity, churn, tree, tooling, advisories and traps, and its flags for routing. Measures of pending ones are null."""
+    commits, tree = view(spark, sf, "fx_repo_commits"), view(spark, sf, "fx_tree")
+    parts = [evidence.repo_activity(commits, NOW), evidence.repo_profile(commits, NOW), evidence.trap_rollup(evidence.detect_traps(view(spark, sf, "fx_blobs"))),
+             repo.repo_file_churn(view(spark, sf, "fx_compare")).selectExpr("repo_key", "files_added AS files_added_90d", "added_list"),
+             repo.repo_tree_top2(tree.select("repo_key", "path")).selectExpr("repo_key", "paths AS top_paths"),
+             repo.detect_tooling(tree.select("repo_key", "path"), tree.where("NOT failed"), tree.where("failed").select("repo_key")).select("repo_key", "sec_tooling"),
+             repo.advisory_signals(view(spark, sf, "fx_advisories").withColumn("packages", F.array("package")), tree.select("repo_key", "path"), NOW).selectExpr("repo_key", "resolved AS advisories_resolved", "path_match AS advisory_match")]
+    df = view(spark, sf, "fx_repo_meta").withColumnRenamed("status", "repo_state").withColumn("languages", F.filter(F.split("languages", ","), lambda x: x != ""))
+    for p in parts:
+        df = df.join(p, "repo_key", "left")
+    known = F.col("repo_state") == "ok"
+    df = df.select("repo_key", "repo_state", *(F.when(known, F.col(c)).alias(c) for c in df.columns if c not in ("repo_key", "repo_state")))
+    return df.withColumn("repo_flags", value.repo_told()).drop("top_paths", "added_list")
 
 
 def joined(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,18 +102,27 @@ def joined(spark: SparkSession, sf: str) -> DataFrame:
     """
     p, t = merged(spark, sf)
     live = evidence.live_activity(view(spark, sf, "fx_live_tx"), NOW_LIVE)
-    floors = state.override_join(p, spark.createDataFrame(OVERRIDES, "key string, floor string"))
+    overrides = state.override_join(p, spark.createDataFrame(OVERRIDES, OVERRIDE_FIELDS))
+    before = merged(spark, sf, True)[1].withColumn("first_seen_at", F.lit(BEFORE).cast("timestamp_ntz"))
+    seen = state.target_lifecycle(t, before, NOW)
     apart = lambda c: F.coalesce(c, F.concat(F.lit("\u0000"), "merge_key", "target_key"))
-    t = t.unionByName(state.fallback_target(p).withColumn("added_at", F.lit(None).cast(t.schema["added_at"].dataType)))
-    df = t.join(p, "merge_key").join(changes(spark, sf).select("merge_key", "change_type"), "merge_key").join(policy(spark, sf), "url", "left").join(floors, "program_id", "left")
-    df = df.join(evidence.repo_resolve(t.where("type = 'source-code'").select("target_key", "value").distinct()), "target_key", "left")
+    own = state.fallback_target(p).withColumns({c: F.lit(None).cast("string") for c in ("description", "impact")} | {"added_at": F.lit(None).cast(t.schema["added_at"].dataType)})
+    t = t.join(seen, ["merge_key", "target_key"], "left").unionByName(own.withColumns({"target_flags": value.target_told(), "first_seen_at": F.lit(None).cast("timestamp_ntz")}))
+    df = t.join(p.withColumnRenamed("languages", "spoken"), "merge_key").join(changes(spark, sf).select("merge_key", "change_type", "change_at"), "merge_key").join(policy(spark, sf), "url", "left").join(overrides, "program_id", "left")
+    # a repository that nothing is known of yet is known by name
+    keys = evidence.repo_resolve(t.where("type = 'source-code'").select("target_key", "value").distinct()).withColumn("key_flags", value.told(F.col("repo_key")))
+    df = df.join(keys, "target_key", "left")
     df = df.withColumn("repo_at", apart(F.col("repo_key"))).join(stored(spark, sf, "signals", lambda: signals(spark, sf)).withColumnRenamed("repo_key", "repo_at"), "repo_at", "left").drop("repo_at")
     df = df.withColumn("address", apart(F.when(F.col("type") == "smart-contract", F.col("value")))).join(live, "address", "left").drop("address")
-    return df.withColumns({"repo_status": F.when(F.col("has"), "ok").when(F.col("repo_key").isNotNull(), "pending"), "deployed": F.when(F.col("tx_30d").isNotNull(), True), "first_seen_at": F.col("added_at")})
+    return df.withColumns({"repo_status": F.coalesce("repo_state", F.when(F.col("repo_key").isNotNull(), "pending")), "repo_flags": F.coalesce("repo_flags", "key_flags"), "deployed": F.when(F.col("tx_30d").isNotNull(), True)}).drop("repo_state", "key_flags")
 
 
 def evaluated(spark: SparkSession, sf: str) -> DataFrame:
-    return stored(spark, sf, "evaluated", lambda: value.evaluate_targets(joined(spark, sf), NOW))
+    def build() -> DataFrame:
+        audited = spark.createDataFrame(AUDITED, "no int, key string, aliases array<string>, verdict string, fresh_at_audit double")
+        return value.evaluate_targets(cache.audit_match(joined(spark, sf), audited), NOW)
+
+    return stored(spark, sf, "evaluated", build)
 
 
 def best(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import functions as F
 
 from ..operators import cache, evidence, feeds, repo, score, state
 from ..sources import sinks
-from ..sources.fixtures import AUDITED, BEFORE, NOW, NOW_LIVE, view
+from ..sources.fixtures import AUDITED, BEFORE, NOW, NOW_LIVE, present, view
 from ..streaming import reconcile
 from . import flow
-from .oracle import AT, CTES, LIVE_AT, D, chain, hit, q
-from ..operators.value import HOSTED
+from .oracle import AT, CTES, LIVE_AT, SENTINEL, D, chain, hit, q
 
 _RUN, _RUN_BEFORE = NOW[:10], BEFORE[:10]
-SENTINEL = "brand12/none"
 
 
 def _records(s, d):
@@ -23,12 +19,10 @@ def _records(s, d):
 
 
 def _scored(s, d):
-    programs, targets = flow.merged(s, d)
-    repos = targets.where("type = 'source-code'").groupBy("merge_key").agg(F.count("*").alias("repository_count"))
-    df = programs.join(flow.changes(s, d).select("merge_key", "change_type"), "merge_key").join(repos, "merge_key", "left")
-    n = F.col("target_count")
-    df = df.withColumns({"change_label": F.replace("change_type", F.lit("_"), F.lit(" ")), "change_at": F.lit(NOW).cast("timestamp_ntz") - F.make_dt_interval(days=(n % 9).cast("int")), "source_code": F.array_contains("tags", "source-code"),
-                         "local_testing_hint": n % 6 == 0, "languages": F.when(n % 4 == 0, F.array(F.lit("go"))).otherwise(F.array().cast("array<string>")), "safe_harbor": n % 3 == 0, "disclosure_allowed": n % 5 == 0})
+    programs = flow.merged(s, d)[0]
+    df = programs.join(flow.changes(s, d).select("merge_key", "change_type"), "merge_key")
+    age = F.make_dt_interval(days=(F.col("target_count") % 9).cast("int"))
+    df = df.drop("change_at").withColumns({"change_label": F.replace("change_type", F.lit("_"), F.lit(" ")), "change_at": F.lit(NOW).cast("timestamp_ntz") - age, "safe_harbor": F.col("safe_harbor").isNotNull()})
     return score.score_programs(df, NOW)
 
 
@@ -100,7 +94,7 @@ def _stream(s, d):
     landed, to, at = (sinks.folder(s, x) for x in ("landed", "state", "stream"))
     for run, before in ((_RUN_BEFORE, True), (_RUN, False)):
         programs = flow.merged(s, d, before)[0]
-        (programs if before else flow.present(programs)).select("merge_key", "status", "max_reward").write.parquet(f"{landed}/run_ts={run}")
+        (programs if before else present(programs)).select("merge_key", "status", "max_reward").write.parquet(f"{landed}/run_ts={run}")
     reconcile.incremental_reconcile(s, landed, to, at)
     return sinks.read_state(s, to)
 
@@ -159,16 +153,15 @@ _SUB_LOW, _SUB_HIGH = _sql_money("sub", "min_bounty", "minimum"), _sql_money("su
 CTES["feed_m"] = f"""SELECT source_id, page_no, ordinal, coalesce({_LOW[0]}, {_SUB_LOW[0]}) AS min_reward, coalesce({_HIGH[0]}, {_PAYOUT[0]}, {_SUB_HIGH[0]}) AS max_reward,
  coalesce({_LOW[1]}, {_HIGH[1]}, {_PAYOUT[1]}, {_SUB_LOW[1]}, {_SUB_HIGH[1]}, {_sql_told('raw', 'currency')}, {_sql_told('raw', 'currency_code')}) AS c FROM (SELECT *, CASE WHEN json_type(raw, '$.rewards') = 'OBJECT' THEN raw->'$.rewards' END AS sub FROM feed_n)"""
 CTES["feed_w"] = f"SELECT source_id, page_no, ordinal, min_reward, max_reward, CASE {' '.join(f'WHEN code = {q(k)} THEN {q(v)}' for k, v in feeds.CURRENCY_SIGNS.items())} WHEN length(code) = 3 THEN code END AS currency FROM (SELECT *, CASE WHEN json_type(c) = 'VARCHAR' THEN upper(trim(c->>'$')) END AS code FROM feed_m)"
-CTES["v1_in"] = f"""SELECT p.*, c.change_type, coalesce(r.n, 0) AS repos, greatest(0, p.target_count % 9) AS age, list_contains(p.tags, 'source-code') AS src, p.target_count AS tc FROM prog p JOIN chg c ON c.merge_key = p.merge_key
- LEFT JOIN (SELECT merge_key, count(*) AS n FROM merged_t WHERE type = 'source-code' GROUP BY 1) r ON r.merge_key = p.merge_key"""
+CTES["v1_in"] = "SELECT p.*, c.change_type, p.repository_count AS repos, p.target_count % 9 AS age, p.source_code AS src, p.target_count AS tc FROM prog p JOIN chg c ON c.merge_key = p.merge_key"
 CTES["v1_points"] = """SELECT *, greatest(2, CASE change_type WHEN 'new_target' THEN 32 WHEN 'new_program' THEN 27 WHEN 'reward_up' THEN 24 WHEN 'reactivated' THEN 22 WHEN 'scope_updated' THEN 18 ELSE 5 END - 3 * age) AS freshness,
  least(22, CASE WHEN m >= 100000 THEN 22 WHEN m >= 50000 THEN 20 WHEN m >= 25000 THEN 18 WHEN m >= 10000 THEN 15 WHEN m >= 5000 THEN 12 WHEN m >= 1000 THEN 8 WHEN m > 0 THEN 4 ELSE 0 END + CASE WHEN min_reward >= 1000 THEN 2 ELSE 0 END) AS reward,
- least(24, CASE WHEN src THEN 14 ELSE 0 END + least(6, 2 * repos) + CASE WHEN list_contains(tags, 'smart-contract') THEN 5 WHEN list_contains(tags, 'api') THEN 4 ELSE 0 END + CASE WHEN tc % 6 = 0 THEN 3 ELSE 0 END + CASE WHEN tc % 4 = 0 THEN 2 ELSE 0 END) AS inspectability,
- CASE WHEN paid THEN 6 ELSE 0 END + CASE WHEN status = 'open' THEN 4 ELSE 0 END + CASE WHEN tc % 3 = 0 THEN 3 ELSE 0 END + CASE WHEN tc % 5 = 0 THEN 1 ELSE 0 END AS "authorization",
+ least(24, CASE WHEN src THEN 14 ELSE 0 END + least(6, 2 * repos) + CASE WHEN list_contains(tags, 'smart-contract') THEN 5 WHEN list_contains(tags, 'api') THEN 4 ELSE 0 END + CASE WHEN local_testing_hint THEN 3 ELSE 0 END + CASE WHEN len(languages) > 0 THEN 2 ELSE 0 END) AS inspectability,
+ CASE WHEN paid THEN 6 ELSE 0 END + CASE WHEN status = 'open' THEN 4 ELSE 0 END + CASE WHEN safe_harbor IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN disclosure_allowed THEN 1 ELSE 0 END AS "authorization",
  least(8, CASE WHEN tc <= 3 THEN 5 WHEN tc <= 10 THEN 3 WHEN tc <= 25 THEN 1 ELSE 0 END + CASE WHEN max_reward IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN list_has_any(tags, ['source-code', 'api', 'smart-contract', 'firmware', 'hardware']) THEN 2 ELSE 0 END) AS friction FROM (SELECT *, coalesce(max_reward, 0) AS m FROM v1_in)"""
 CTES["v1"] = """SELECT program_id, name, CAST(freshness AS BIGINT) AS freshness, CAST(reward AS BIGINT) AS reward, CAST(inspectability AS BIGINT) AS inspectability, CAST("authorization" AS BIGINT) AS "authorization", CAST(friction AS BIGINT) AS friction, CAST(freshness + reward + inspectability + "authorization" + friction AS BIGINT) AS score,
- coalesce(nullif(array_to_string(list_filter([CASE WHEN change_type <> 'baseline' THEN replace(change_type, '_', ' ') END, CASE WHEN src THEN 'Inspectable source-code scope' WHEN list_contains(tags, 'api') THEN 'Structured API surface' END, CASE WHEN tc % 6 = 0 THEN 'Local, sandbox, or testnet testing language detected' END,
-  CASE WHEN m >= 1000 THEN 'Confirmed reward ceiling clears $1,000' END, CASE WHEN tc <= 5 THEN 'Small scope with ' || tc || ' tracked target' || CASE WHEN tc = 1 THEN '' ELSE 's' END END, CASE WHEN tc % 3 = 0 THEN 'Safe-harbor field is present, verify the official wording' END], lambda x: x IS NOT NULL)[1:5], '; '), ''), 'Paid public program with structured scope data') AS reasons,
+ coalesce(nullif(array_to_string(list_filter([CASE WHEN change_type <> 'baseline' THEN replace(change_type, '_', ' ') END, CASE WHEN src THEN 'Inspectable source-code scope' WHEN list_contains(tags, 'api') THEN 'Structured API surface' END, CASE WHEN local_testing_hint THEN 'Local, sandbox, or testnet testing language detected' END,
+  CASE WHEN m >= 1000 THEN 'Confirmed reward ceiling clears $1,000' END, CASE WHEN tc <= 5 THEN 'Small scope with ' || tc || ' tracked target' || CASE WHEN tc = 1 THEN '' ELSE 's' END END, CASE WHEN safe_harbor IS NOT NULL THEN 'Safe-harbor field is present, verify the official wording' END], lambda x: x IS NOT NULL)[1:5], '; '), ''), 'Paid public program with structured scope data') AS reasons,
  CASE WHEN freshness >= 26 AND inspectability >= 16 AND tc <= 10 THEN 'lower' WHEN freshness >= 18 THEN 'medium' ELSE 'unknown' END AS attention_pressure FROM v1_points"""
 _NONE = "CAST(NULL AS VARCHAR)"
 CTES["tool_n"] = f"""SELECT repo_key, lower(unnest(regexp_extract_all(x, '{repo.TOOLS}', 1))) AS tool FROM (SELECT repo_key, path AS x FROM fx_tree WHERE {hit('path', repo.WORKFLOW_PATH)} UNION ALL SELECT repo_key, text FROM fx_tree WHERE NOT failed)"""
@@ -183,19 +176,6 @@ CTES["presult"] = "SELECT program_id, CASE WHEN target_count % 2 = 0 THEN 'faile
 CTES["lcache"] = f"SELECT DISTINCT address, CASE WHEN address LIKE '%3' THEN 'pending' ELSE 'ok' END AS status, CASE WHEN address LIKE '%5' THEN {LIVE_AT} - INTERVAL 3 HOURS ELSE {LIVE_AT} - INTERVAL 10 HOURS END AS fetched_at FROM fx_live_tx WHERE right(address, 1) IN ('1', '5', '3')"
 CTES["lresult"] = f"SELECT l.address, l.tx_30d, CASE WHEN right(l.address, 1) IN ('1', '2') THEN 'failed' ELSE 'ok' END AS status FROM live l LEFT JOIN lcache c ON c.address = l.address WHERE c.address IS NULL OR c.fetched_at <= {LIVE_AT} - INTERVAL 6 HOURS"
 
-
-def _plain(x: str) -> str:
-    import re
-
-    return re.sub("[^a-z0-9]+", " ", "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower()).strip()
-
-
-_SQL_PLAIN = "trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', ' ', 'g'))".format
-CTES["aliased"] = "SELECT * FROM (VALUES " + ", ".join(f"({no}, {q(_plain(a))})" for no, key, more, *_ in AUDITED for a in [key, *more]) + ") AS t(no, alias)"
-CTES["audits"] = "SELECT * FROM (VALUES " + ", ".join(f"({no}, {q(key)}, {q(verdict)}, {D(at)})" for no, key, _, verdict, at in AUDITED) + ") AS t(no, key, verdict, fresh_at)"
-CTES["aud_in"] = f"SELECT program_id, target_key, fresh_code_index, {_SQL_PLAIN('substr(program_id, 9)')} AS a, {_SQL_PLAIN('name')} AS b, CASE WHEN repo_key IS NOT NULL OR {hit('value', HOSTED)} THEN {_SQL_PLAIN('value')} ELSE '' END AS c, {_SQL_PLAIN(chr(99) + 'oalesce(repo_key, ' + q('') + ')')} AS d FROM ev"
-CTES["aud"] = "SELECT program_id, target_key, any_value(fresh_code_index) AS f, min(no) AS no FROM aud_in LEFT JOIN aliased ON a = alias OR starts_with(a, alias || ' ') OR b = alias OR starts_with(b, alias || ' ') OR contains(c, alias) OR contains(d, alias) GROUP BY 1, 2"
-
 ORACLES = {k: chain(x) for k, x in {
     "src_feeds": "SELECT source_id, page_no, ordinal, name FROM feed_n",
     "src_nested_targets": "SELECT * FROM feed_t WHERE value <> ''",
@@ -210,8 +190,8 @@ ORACLES = {k: chain(x) for k, x in {
     "policy_refresh": "SELECT program_id, CASE WHEN inline THEN 'inline' WHEN fresh THEN 'keep' WHEN program_id IN (SELECT program_id FROM pdue) THEN 'fetch' ELSE 'wait' END AS action FROM pwork",
     "policy_upsert": f"SELECT program_id, CASE WHEN r.status IN ('ok', 'partial') THEN r.status WHEN r.status IS NULL OR c.status = 'ok' THEN c.status ELSE 'pending' END AS status, CASE WHEN r.status IN ('ok', 'partial') THEN {AT} WHEN r.status IS NULL OR c.status = 'ok' THEN c.fetched_at END AS fetched_at, CASE WHEN r.status = 'failed' THEN 'timeout' END AS last_error, CAST(CASE WHEN r.status IN ('ok', 'partial') THEN r.reports WHEN r.status IS NULL OR c.status = 'ok' THEN c.reports END AS BIGINT) AS reports FROM pcache c FULL JOIN presult r USING (program_id)",
     "live_upsert": f"SELECT address, CASE WHEN r.status = 'ok' THEN 'ok' WHEN r.status IS NULL OR c.status = 'ok' THEN c.status ELSE 'pending' END AS status, CASE WHEN r.status = 'ok' THEN {LIVE_AT} WHEN r.status IS NULL OR c.status = 'ok' THEN c.fetched_at END AS fetched_at, CASE WHEN r.status = 'failed' THEN 'no answer' END AS last_error, CASE WHEN r.status = 'ok' THEN right(address, 1) <> '3' WHEN r.status IS NULL OR c.status = 'ok' THEN true END AS deployed, CAST(CASE WHEN r.status = 'ok' THEN r.tx_30d WHEN r.status IS NULL OR c.status = 'ok' THEN 7 END AS BIGINT) AS tx_30d FROM lcache c FULL JOIN lresult r USING (address)",
-    "audit_match": "SELECT program_id, target_key, aud.no AS audit_no, CASE WHEN f - fresh_at <= 40 THEN 'audited ' || verdict || ' target: ' || key END AS audit_reason FROM aud LEFT JOIN audits ON audits.no = aud.no",
-    "trap_assertions": f"SELECT count(*) FILTER (WHERE s) AS sentinels, count(*) FILTER (WHERE m) AS managed, count(*) FILTER (WHERE s) = 0 OR count(*) FILTER (WHERE s AND repo_status = 'ok' AND contains(trap_tags, 'DEV_KNOWN')) > 0 AS sentinel_ok, count(*) FILTER (WHERE m AND NOT contains(trap_tags, 'DOS_CEILING')) = 0 AS ceiling_ok, sentinel_ok AND ceiling_ok AS ready FROM (SELECT *, coalesce(repo_key = {q(SENTINEL)}, false) AS s, findable_class = 'managed-parser-dos' AND floor IN ('MEDIUM', 'HIGH', 'CRITICAL') AS m FROM ev)",
+    "audit_match": "SELECT program_id, target_key, aud.no AS audit_no, CASE WHEN fresh_code_index - fresh_at <= 40 THEN 'audited ' || verdict || ' target: ' || key END AS audit_reason FROM aud JOIN ev USING (program_id, target_key) LEFT JOIN audits ON audits.no = aud.no",
+    "trap_assertions": "SELECT * FROM checks",
     "sink_state": "SELECT program_id, name, status, max_reward FROM prog",
     "sink_exports": "SELECT name, platform, workflow, ev_score, max_reward, coalesce(max_reward > 50000, false) AS reward_capped, reason, url FROM best",
     "incremental_reconcile": f"SELECT merge_key, CASE WHEN p.program_id IS NULL THEN 'stale' ELSE p.status END AS status, CASE WHEN p.program_id IS NULL THEN o.max_reward ELSE p.max_reward END AS max_reward, k AS change_type, CASE WHEN k = 'baseline' THEN '{_RUN_BEFORE}' ELSE '{_RUN}' END AS changed_at, CAST(CASE WHEN p.program_id IS NULL THEN 1 ELSE 0 END AS BIGINT) AS missing_count FROM (SELECT merge_key, p, o, CASE WHEN p IS NULL THEN 'baseline' WHEN o IS NULL THEN 'new_program' WHEN coalesce(p.max_reward, 0) > coalesce(o.max_reward, 0) THEN 'reward_up' WHEN o.status <> 'open' AND p.status = 'open' THEN 'reactivated' WHEN p.status IS DISTINCT FROM o.status OR p.max_reward IS DISTINCT FROM o.max_reward THEN 'scope_updated' ELSE 'baseline' END AS k FROM (SELECT merge_key, prog AS p FROM prog WHERE CAST(substr(merge_key, 9) AS INTEGER) % 37 <> 0) FULL JOIN (SELECT merge_key, prog_before AS o FROM prog_before) USING (merge_key))",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from ..operators import evidence as e
-from ..operators import merge as m
-from ..operators import value as v
-from ..sources.fixtures import BEFORE, LIVE_RULES, NOW, NOW_LIVE, OVERRIDES, SOURCES, VIEWS
+from ..sources.fixtures import AUDITED, BEFORE, LIVE_RULES, NOW, NOW_LIVE, OVERRIDES, SOURCES, VIEWS
 
 D = "CAST({} AS DOUBLE)".format
 
@@ -14,6 +15,12 @@ def q(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+def literal(x) -> str:
+    if isinstance(x, list):
+        return "[" + ", ".join(map(literal, x)) + "]"
+    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else q(x)
+
+
 def hit(x: str, pattern: str) -> str:
     return f"regexp_matches({x}, {q(pattern)})"
 
@@ -43,28 +50,72 @@ def rank_of(x: str) -> str:
 
 
 CTES: dict[str, str] = dict(VIEWS)
-CTES["norm_t"] = """SELECT *, substr(sha256(type || ':' || lower(regexp_replace(value, '\\s+', ' ', 'g'))), 1, 16) AS target_key FROM
- (SELECT record_no, ordinal, trim(value) AS value, added_at, eligible, CASE {} ELSE replace(lower(raw_type), '_', '-') END AS type FROM fx_targets{{s}}) WHERE value <> '' AND eligible""".format(
-    " ".join(f"WHEN {hit(chr(114) + 'eplace(lower(raw_type), ' + q('_') + ', ' + q('-') + ')', p)} THEN '{n}'" for n, p in m.TYPE_PATTERNS))
-CTES["dedupe_t"] = "SELECT record_no, target_key, ordinal, type, value, added_at FROM (SELECT *, row_number() OVER (PARTITION BY record_no, target_key ORDER BY ordinal DESC) AS n FROM norm_t{s}) WHERE n = 1"
-CTES["rec"] = f"""SELECT *, row_number() OVER (PARTITION BY merge_key ORDER BY source_priority, coalesce(max_reward, 0) DESC, record_no) AS lead_rank FROM
- (SELECT *, regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', '-', 'g') AS merge_key, CASE WHEN {hit('raw_status', m.CLOSED_WORDS)} THEN 'closed' WHEN {hit('raw_status', m.OPEN_WORDS)} THEN 'open' ELSE lower(raw_status) END AS status,
-  coalesce(max_reward, 0) > 0 OR coalesce(min_reward, 0) > 0 AS paid FROM fx_records{{s}} {{w}})"""
-CTES["merged_t"] = "SELECT merge_key, target_key, type, value, added_at FROM (SELECT *, row_number() OVER (PARTITION BY merge_key, target_key ORDER BY lead_rank DESC, ordinal DESC) AS n FROM dedupe_t{s} JOIN (SELECT record_no, merge_key, lead_rank FROM rec{s}) USING (record_no)) WHERE n = 1"
-CTES["prog"] = """SELECT 'program:' || r.merge_key AS program_id, r.merge_key, l.name, l.source_id AS platform, l.url, CASE WHEN any_open THEN 'open' ELSE l.status END AS status,
- r.paid, r.min_reward, r.max_reward, r.invite_only, r.kyc_required, r.source_ids, r.launched_at, r.resolved_reports, coalesce(t.tags, []) AS tags, coalesce(t.n, 0) AS target_count
- FROM (SELECT merge_key, max(CASE WHEN max_reward IS NOT NULL OR min_reward IS NOT NULL THEN coalesce(max_reward, 0) END) AS max_reward, min(CASE WHEN min_reward > 0 THEN min_reward END) AS min_reward, bool_or(status = 'open') AS any_open, bool_or(paid) AS paid,
-  bool_or(invite_only) AS invite_only, bool_or(kyc_required) AS kyc_required, list_sort(list(DISTINCT source_id)) AS source_ids, min(launched_at) AS launched_at, max(resolved_reports) AS resolved_reports FROM rec{s} GROUP BY merge_key) r
- JOIN rec{s} l ON l.merge_key = r.merge_key AND l.lead_rank = 1 LEFT JOIN (SELECT merge_key, list_sort(list(DISTINCT type)) AS tags, count(*) AS n FROM merged_t{s} GROUP BY merge_key) t ON t.merge_key = r.merge_key"""
-for _k in ("norm_t", "dedupe_t", "rec", "merged_t", "prog"):
+CTES["norm_t"] = r"""SELECT record_no, ordinal, added_at, description, impact, type, value, substr(sha256(type || ':' || lower(regexp_replace(value, '\s+', ' ', 'g'))), 1, 16) AS target_key FROM
+ (SELECT record_no, ordinal, trim(value) AS value, added_at, eligible, substr(description, 1, 600) AS description, substr(impact, 1, 120) AS impact,
+  CASE WHEN regexp_matches(x, '(source|repository|github|gitlab)') THEN 'source-code' WHEN regexp_matches(x, '(smart.?contract|blockchain-contract)') THEN 'smart-contract' WHEN regexp_matches(x, '(api|graphql)') THEN 'api'
+   WHEN regexp_matches(x, '(android|ios|mobile|apk)') THEN 'mobile' WHEN regexp_matches(x, '(firmware)') THEN 'firmware' WHEN regexp_matches(x, '(hardware|device|iot)') THEN 'hardware'
+   WHEN regexp_matches(x, '(executable|binary|desktop)') THEN 'executable' WHEN regexp_matches(x, '(domain|url|website|web-application|wildcard|cidr|ip-address)') THEN 'web' ELSE x END AS type
+  FROM (SELECT *, replace(lower(raw_type), '_', '-') AS x FROM fx_targets{s})) WHERE value <> '' AND eligible"""
+CTES["dedupe_t"] = "SELECT record_no, target_key, ordinal, type, value, added_at, description, impact FROM (SELECT *, row_number() OVER (PARTITION BY record_no, target_key ORDER BY ordinal DESC) AS n FROM norm_t{s}) WHERE n = 1"
+CTES["rec"] = """SELECT *, row_number() OVER (PARTITION BY merge_key ORDER BY source_priority, coalesce(max_reward, 0) DESC, record_no) AS lead_rank FROM
+ (SELECT * EXCLUDE (countries), list_filter(string_split(countries, ','), lambda x: x <> '') AS countries, regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', '-', 'g') AS merge_key,
+  CASE WHEN regexp_matches(raw_status, '(?i)(closed|disabled|paused|retired|ended|inactive)') THEN 'closed' WHEN regexp_matches(raw_status, '(?i)^(active|enabled|open|opened|public|accepting|live)$') THEN 'open' ELSE lower(raw_status) END AS status,
+  coalesce(max_reward, 0) > 0 OR coalesce(min_reward, 0) > 0 AS paid FROM fx_records{s} {w})"""
+# Words of a record's text and what they stand for.
+TAGS = {
+    "ai/ml": r"\bai\b|machine learning|llm",
+    "api": r"\bapi\b|graphql",
+    "blockchain": r"smart.?contract|blockchain|web3|testnet",
+    "firmware": r"firmware",
+    "security-tooling": r"security tool|scanner|sast|dependency",
+    "source-code": r"source[ -]?code|repository|\brepo\b|github\.com|gitlab\.com|open[ -]?source",
+}
+LANGUAGES = {
+    "solidity": r"\bsolidity\b",
+    "rust": r"\brust\b|\.rs\b",
+    "go": r"\bgolang\b|\bgo code\b|\.go\b",
+    "typescript": r"\btypescript\b|\.tsx?\b",
+    "javascript": r"\bjavascript\b|\.jsx?\b",
+    "python": r"\bpython\b|\.py\b",
+    "java": r"\bjava\b",
+    "kotlin": r"\bkotlin\b",
+    "swift": r"\bswift\b",
+    "c++": r"\bc\+\+\b|\.cpp\b",
+    "c": r"\bc language\b|\.c\b",
+    "php": r"\bphp\b",
+    "ruby": r"\bruby\b",
+}
+LOCAL = r"local(?:ly)?|testnet|sandbox|docker|self-host|researcher-owned|own account"
+
+
+def found(x: str, words: dict[str, str]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {hit(x, p)} THEN {q(n)} END" for n, p in words.items()) + "], lambda y: y IS NOT NULL)"
+
+
+CTES["texted"] = """SELECT r.record_no, r.merge_key, coalesce(t.n, 0) AS target_count, coalesce(t.repos, 0) AS repository_count, coalesce(t.types, []) AS types, lower(concat_ws(' ', nullif(r.policy_text, ''), t.x)) AS x FROM rec{s} r
+ LEFT JOIN (SELECT record_no, count(*) AS n, count(*) FILTER (WHERE type = 'source-code' OR regexp_matches(value, '(?i)github[.]com|gitlab[.]com')) AS repos, list(DISTINCT type) AS types,
+  string_agg(concat_ws(' ', nullif(value, ''), nullif(description, ''), nullif(impact, '')), ' ' ORDER BY target_key) AS x FROM dedupe_t{s} GROUP BY 1) t ON t.record_no = r.record_no"""
+CTES["facts"] = f"SELECT record_no, merge_key, target_count, repository_count, list_sort(list_distinct(list_concat(types, {found('x', TAGS)}))) AS tags, {found('x', LANGUAGES)} AS languages, {hit('x', LOCAL)} AS local_testing_hint FROM texted{{s}}"
+CTES["ptexts"] = "SELECT merge_key, left(string_agg(trim(policy_text), ' ' ORDER BY lead_rank), 150000) AS policy_text FROM rec{s} WHERE trim(coalesce(policy_text, '')) <> '' GROUP BY 1"
+CTES["merged_t"] = "SELECT merge_key, target_key, type, value, added_at, description, impact FROM (SELECT *, row_number() OVER (PARTITION BY merge_key, target_key ORDER BY lead_rank DESC, ordinal DESC) AS n FROM dedupe_t{s} JOIN (SELECT record_no, merge_key, lead_rank FROM rec{s}) USING (record_no)) WHERE n = 1"
+CTES["prog"] = """SELECT 'program:' || r.merge_key AS program_id, r.merge_key, l.name, l.source_id AS platform, l.url, CASE WHEN any_open THEN 'open' ELSE l.status END AS status, r.paid, r.currency, r.min_reward, r.max_reward, r.safe_harbor, r.disclosure_allowed,
+ r.invite_only, r.kyc_required, r.source_ids, r.countries, r.launched_at, r.resolved_reports, f.tags, f.languages, f.local_testing_hint, f.repository_count, list_contains(f.tags, 'source-code') AS source_code, coalesce(t.n, 0) AS target_count,
+ regexp_matches(lower(concat_ws(' ', l.name, x.policy_text)), '\\b(?:invite[- ]only|invitational)\\b') AS invite_words
+ FROM (SELECT merge_key, max(CASE WHEN max_reward IS NOT NULL OR min_reward IS NOT NULL THEN coalesce(max_reward, 0) END) AS max_reward, min(CASE WHEN min_reward > 0 THEN min_reward END) AS min_reward,
+  (list(currency ORDER BY coalesce(max_reward, 0) DESC, lead_rank) FILTER (WHERE max_reward IS NOT NULL OR min_reward IS NOT NULL))[1] AS currency, bool_or(status = 'open') AS any_open, bool_or(paid) AS paid,
+  (list(safe_harbor ORDER BY lead_rank) FILTER (WHERE safe_harbor IS NOT NULL))[1] AS safe_harbor, (list(disclosure_allowed ORDER BY lead_rank) FILTER (WHERE disclosure_allowed IS NOT NULL))[1] AS disclosure_allowed,
+  bool_or(invite_only) AS invite_only, bool_or(kyc_required) AS kyc_required, list_sort(list(DISTINCT source_id)) AS source_ids, list_sort(list_distinct(flatten(list(countries)))) AS countries, min(launched_at) AS launched_at, max(resolved_reports) AS resolved_reports FROM rec{s} GROUP BY merge_key) r
+ JOIN rec{s} l ON l.merge_key = r.merge_key AND l.lead_rank = 1 LEFT JOIN (SELECT merge_key, count(*) AS n FROM merged_t{s} GROUP BY merge_key) t ON t.merge_key = r.merge_key LEFT JOIN ptexts{s} x ON x.merge_key = r.merge_key
+ JOIN (SELECT merge_key, list_sort(list_distinct(flatten(list(tags)))) AS tags, list_sort(list_distinct(flatten(list(languages)))) AS languages, bool_or(local_testing_hint) AS local_testing_hint, max(repository_count) AS repository_count FROM facts{s} GROUP BY 1) f ON f.merge_key = r.merge_key"""
+for _k in ("norm_t", "dedupe_t", "rec", "texted", "facts", "ptexts", "merged_t", "prog"):
     _sql = CTES.pop(_k)
     CTES[_k + "_before"] = _sql.replace("{s}", "_before").replace("{w}", "")
     CTES[_k] = _sql.replace("{s}", "").replace("{w}", "")
 CTES["diff"] = "SELECT coalesce(a.merge_key, b.merge_key) AS merge_key, count(*) FILTER (WHERE b.target_key IS NULL) AS added, count(*) FILTER (WHERE a.target_key IS NULL) AS removed FROM merged_t a FULL JOIN merged_t_before b ON a.merge_key = b.merge_key AND a.target_key = b.target_key GROUP BY 1"
-CTES["chg"] = """SELECT p.program_id, p.merge_key, coalesce(d.added, 0) AS added, coalesce(d.removed, 0) AS removed, CASE WHEN o.merge_key IS NULL THEN 'new_program' WHEN d.added > 0 THEN 'new_target' WHEN coalesce(p.max_reward, 0) > coalesce(o.max_reward, 0) THEN 'reward_up'
- WHEN o.status <> 'open' AND p.status = 'open' THEN 'reactivated' WHEN d.removed > 0 OR (p.name, p.platform, p.url, p.status, p.paid, p.min_reward, p.max_reward, p.launched_at, p.resolved_reports, p.invite_only, p.kyc_required, p.source_ids, p.tags)
- IS DISTINCT FROM (o.name, o.platform, o.url, o.status, o.paid, o.min_reward, o.max_reward, o.launched_at, o.resolved_reports, o.invite_only, o.kyc_required, o.source_ids, o.tags) THEN 'scope_updated' ELSE 'baseline' END AS change_type
- FROM prog p LEFT JOIN prog_before o ON o.merge_key = p.merge_key LEFT JOIN diff d ON d.merge_key = p.merge_key"""
+CTES["chg"] = f"""SELECT *, CASE WHEN change_type <> 'baseline' THEN {AT} END AS change_at FROM (SELECT p.program_id, p.merge_key, coalesce(d.added, 0) AS added, coalesce(d.removed, 0) AS removed, CASE WHEN o.merge_key IS NULL THEN 'new_program' WHEN d.added > 0 THEN 'new_target' WHEN coalesce(p.max_reward, 0) > coalesce(o.max_reward, 0) THEN 'reward_up'
+ WHEN o.status <> 'open' AND p.status = 'open' THEN 'reactivated' WHEN d.removed > 0 OR (p.name, p.platform, p.url, p.status, p.paid, p.currency, p.min_reward, p.max_reward, p.safe_harbor, p.disclosure_allowed, p.launched_at, p.resolved_reports, p.invite_only, p.kyc_required, p.countries, p.source_ids, p.tags, p.languages)
+ IS DISTINCT FROM (o.name, o.platform, o.url, o.status, o.paid, o.currency, o.min_reward, o.max_reward, o.safe_harbor, o.disclosure_allowed, o.launched_at, o.resolved_reports, o.invite_only, o.kyc_required, o.countries, o.source_ids, o.tags, o.languages) THEN 'scope_updated' ELSE 'baseline' END AS change_type
+ FROM prog p LEFT JOIN prog_before o ON o.merge_key = p.merge_key LEFT JOIN diff d ON d.merge_key = p.merge_key)"""
 CTES["resolved"] = r"SELECT DISTINCT target_key, lower(regexp_extract(value, '(?i)^https?://github\.com/([a-z0-9._-]+/[a-z0-9._-]+)', 1)) AS repo_key FROM merged_t WHERE regexp_matches(value, '(?i)^https?://github\.com/[a-z0-9._-]+/[a-z0-9._-]+')"
 CTES["activity"] = "SELECT repo_key, " + ", ".join(f"count(*) FILTER (WHERE committed_at >= {AT} - INTERVAL {n} DAYS AND committed_at <= {AT}) AS commits_{n}d" for n in (7, 30, 90)) + f", max(additions) FILTER (WHERE committed_at >= {AT} - INTERVAL 90 DAYS AND committed_at <= {AT}) AS max_additions_90d FROM fx_repo_commits GROUP BY repo_key"
 CTES["profile"] = f"SELECT repo_key, {up(days('min(committed_at)', AT) + ' / ' + D(365.25), 1)} AS age_y, count(DISTINCT author) AS contributors, count(*) AS commits FROM fx_repo_commits GROUP BY repo_key"
@@ -93,57 +144,101 @@ CTES["rewards"] = f"""SELECT url, severity, max(CAST(regexp_extract(c, '^(\\d+(?
   ELSE regexp_extract_all(right(replace(array_to_string(parts[1:i-1], ''), chr(2), ''), 80), {q(e._MONEY)}, 1)[-1] END, '[,\\s]', '', 'g')) AS c FROM pparts WHERE contains(part, chr(2))) WHERE c IS NOT NULL AND c <> '' GROUP BY url, severity"""
 CTES["pfloor"] = f"""SELECT x.url, coalesce(r.f, 'MEDIUM') AS policy_floor, CASE WHEN r.f IS NOT NULL THEN 'scraped-reward-table' ELSE 'scraped-low-exclusion' END AS policy_floor_source FROM ptext x
  LEFT JOIN (SELECT url, arg_min(severity, CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END) AS f FROM rewards WHERE amount >= 1000 GROUP BY url) r ON r.url = x.url WHERE r.f IS NOT NULL OR {hit('x.text', e.LOW_EXCLUDED)}"""
-_BAD = "(?:not eligible|ineligible|excluded|prohibited|cannot participate|not available)"
-CTES["restrict"] = f"""SELECT url, {hit('text', r'(?i)\binvite[- ]only\b|\bprivate program\b|participation is by invitation')} AS policy_invite_only,
- {hit('text', '(?i)(?:kyc|know your customer|identity verification).{0,80}(?:required|mandatory|must)|(?:required|mandatory|must).{0,80}(?:kyc|identity verification)')} AS policy_kyc,
- {hit('text', f'(?i)(?:india|indian).{{0,100}}{_BAD}|{_BAD}.{{0,100}}(?:india|indian)')} AS excludes_in, {hit('text', '(?i)' + chr(92) + 'bno safe harbou?r' + chr(92) + 'b|safe harbou?r does not apply')} AS no_safe_harbor,
- CASE WHEN {hit('text', '(?i)([0-9][0-9,]*)' + chr(92) + 's+(?:resolved|triaged|valid)' + chr(92) + 's+reports?')} THEN CAST(replace(regexp_extract(text, '(?i)([0-9][0-9,]*)\\s+(?:resolved|triaged|valid)\\s+reports?', 1), ',', '') AS BIGINT) ELSE TRY_CAST(replace(regexp_extract(text, '(?i)(?:resolved|triaged|valid)\\s+reports?\\D{{0,12}}([0-9][0-9,]*)', 1), ',', '') AS BIGINT) END AS policy_reports FROM ptext"""
+CTES["restrict"] = r"""SELECT url, regexp_matches(text, '(?i)\binvite[- ]only\b|\bprivate program\b|participation is by invitation') AS policy_invite_only,
+ regexp_matches(text, '(?i)(?:kyc|know your customer|identity verification).{0,80}(?:required|mandatory|must)|(?:required|mandatory|must).{0,80}(?:kyc|identity verification)') AS policy_kyc,
+ regexp_matches(text, '(?i)(?:india|indian).{0,100}(?:not eligible|ineligible|excluded|prohibited|cannot participate|not available)|(?:not eligible|ineligible|excluded|prohibited|cannot participate|not available).{0,100}(?:india|indian)') AS excludes_in,
+ regexp_matches(text, '(?i)\bno safe harbou?r\b|safe harbou?r does not apply') AS no_safe_harbor,
+ CASE WHEN regexp_matches(text, '(?i)([0-9][0-9,]*)\s+(?:resolved|triaged|valid)\s+reports?') THEN CAST(replace(regexp_extract(text, '(?i)([0-9][0-9,]*)\s+(?:resolved|triaged|valid)\s+reports?', 1), ',', '') AS BIGINT)
+  ELSE TRY_CAST(replace(regexp_extract(text, '(?i)(?:resolved|triaged|valid)\s+reports?\D{0,12}([0-9][0-9,]*)', 1), ',', '') AS BIGINT) END AS policy_reports FROM ptext"""
 CTES["live"] = f"SELECT address, count(*) FILTER (WHERE ts >= {LIVE_AT} - INTERVAL 30 DAYS) AS tx_30d, max(ts) AS last_activity FROM fx_live_tx GROUP BY address"
-CTES["over"] = "SELECT * FROM (VALUES {}) AS o(key, floor)".format(", ".join(f"('{a}', '{b}')" for a, b in OVERRIDES))
-CTES["ovr"] = "SELECT program_id, arg_min(floor, r) AS override_floor FROM (SELECT p.program_id, o.floor, CASE o.key WHEN p.program_id THEN 0 WHEN p.name THEN 1 ELSE 2 END AS r FROM prog p JOIN over o ON o.key IN (p.program_id, p.name, lower(p.name))) GROUP BY 1"
-CTES["fallback"] = "SELECT merge_key, substr(sha256(t || ':' || lower(url)), 1, 16) AS target_key, t AS type, url AS value FROM (SELECT *, CASE WHEN list_contains(tags, 'api') THEN 'api' ELSE 'web' END AS t FROM prog WHERE target_count = 0)"
-CTES["all_t"] = "SELECT merge_key, target_key, type, value, added_at FROM merged_t UNION ALL SELECT merge_key, target_key, type, value, NULL FROM fallback"
-CTES["j"] = """SELECT t.target_key, t.type, t.value, t.added_at, p.*, c.change_type, x.repo_key, a.commits_90d, a.max_additions_90d, f.age_y, f.contributors, f.commits * 100 AS stars, f.contributors > 12 AS sec_tooling, f.commits % 5 AS advisories_resolved, f.commits % 7 = 0 AS advisory_match, CASE f.commits % 4 WHEN 0 THEN ['go'] WHEN 1 THEN ['c'] WHEN 2 THEN ['python', 'rust'] ELSE [] END AS languages, ov.override_floor, o.policy_floor_source,
- coalesce(k.dev_known, false) AS dev_known, coalesce(k.security_fix_gated, false) AS security_fix_gated, l.tx_30d, l.tx_30d IS NOT NULL AS deployed, CASE WHEN a.repo_key IS NOT NULL THEN 'ok' WHEN x.repo_key IS NOT NULL THEN 'pending' END AS repo_status,
- coalesce(r.policy_invite_only, false) AS policy_invite_only, coalesce(r.policy_kyc, false) AS policy_kyc, coalesce(r.excludes_in, false) AS excludes_in, r.policy_reports, o.policy_floor,
- concat_ws(' ', p.name, t.type, t.value, array_to_string(p.tags, ' '), x.repo_key) AS text
+CTES["over"] = "SELECT * FROM (VALUES {}) AS o(key, floor, eligible, eligibility_reason, invite_only, kyc_required, countries, no_safe_harbor, safe_harbor_required)".format(", ".join("(" + ", ".join(literal(x) for x in o) + ")" for o in OVERRIDES))
+CTES["ovr"] = "SELECT program_id, o.* EXCLUDE (key) FROM (SELECT program_id, arg_min(o, r) AS o FROM (SELECT p.program_id, o, CASE o.key WHEN p.program_id THEN 0 WHEN p.name THEN 1 ELSE 2 END AS r FROM prog p JOIN over o ON o.key IN (p.program_id, p.name, lower(p.name))) GROUP BY 1)"
+CTES["fallback"] = "SELECT merge_key, program_id || ':policy' AS target_key, CASE WHEN list_contains(tags, 'api') THEN 'api' ELSE 'web' END AS type, url AS value FROM prog WHERE target_count = 0"
+CTES["seen"] = f"SELECT t.merge_key, t.target_key, coalesce(CASE WHEN o.target_key IS NOT NULL THEN TIMESTAMP '{BEFORE}' END, t.added_at, {AT}) AS first_seen_at FROM merged_t t LEFT JOIN merged_t_before o ON o.merge_key = t.merge_key AND o.target_key = t.target_key"
+CTES["all_t"] = "SELECT merge_key, target_key, type, value, added_at, description, impact, first_seen_at FROM merged_t JOIN seen USING (merge_key, target_key) UNION ALL SELECT merge_key, target_key, type, value, NULL, NULL, NULL, NULL FROM fallback"
+CTES["churn"] = "SELECT repo_key, count(DISTINCT path) FILTER (WHERE status = 'added') AS files_added_90d, list_sort(list(DISTINCT path) FILTER (WHERE status = 'added'))[1:300] AS added_list FROM fx_compare GROUP BY 1"
+CTES["top2"] = "SELECT repo_key, list_sort(list(path))[1:2000] AS top_paths FROM fx_tree WHERE len(string_split(path, '/')) <= 2 GROUP BY 1"
+CTES["toolset"] = r"""SELECT repo_key, CASE WHEN bool_or(regexp_matches(path, '(?i)(^|/)security\.md$') OR regexp_matches(path, '(?i)(^|/)(oss-fuzz[^/]*|fuzz(?:ing|ers?)?)(/|$)|(^|/)[^/]*(?:_fuzz\.|fuzz[^/]*\.)')
+  OR (NOT failed AND regexp_matches(text, '\b(?:func\s+Fuzz[A-Za-z0-9_]*|Fuzz[A-Za-z0-9_]*\s*\(|LLVMFuzzerTestOneInput\s*\()')) OR (NOT failed AND regexp_matches(text, '(?i)(codeql|semgrep|snyk|trivy)'))
+  OR (regexp_matches(path, '(?i)^\.github/workflows/.*\.ya?ml$') AND regexp_matches(path, '(?i)(codeql|semgrep|snyk|trivy)'))) THEN true WHEN bool_or(failed) THEN NULL ELSE false END AS sec_tooling FROM fx_tree GROUP BY 1"""
+CTES["advised"] = f"""SELECT a.repo_key, count(*) FILTER (WHERE lower(state) IN ('published', 'closed')) AS resolved, coalesce(bool_or(lower(state) IN ('open', 'draft', 'triage') AND updated_at >= {AT} - INTERVAL 365 DAYS AND length(package) > 2
+  AND EXISTS (SELECT 1 FROM fx_tree t WHERE t.repo_key = a.repo_key AND contains(lower(t.path), lower(a.package)))), false) AS path_match FROM fx_advisories a GROUP BY 1"""
+CTES["signal"] = """SELECT m.repo_key, true AS known, m.status, CASE WHEN ok THEN m.stars END AS stars, CASE WHEN ok THEN m.default_branch END AS default_branch, CASE WHEN ok THEN m.spoken ELSE [] END AS languages, CASE WHEN ok THEN c.files_added_90d END AS files_added_90d,
+  CASE WHEN ok THEN coalesce(c.added_list, []) ELSE [] END AS added_list, CASE WHEN ok THEN coalesce(p.top_paths, []) ELSE [] END AS top_paths, ok AND coalesce(s.sec_tooling, false) AS sec_tooling, CASE WHEN ok THEN coalesce(d.resolved, 0) ELSE 0 END AS advisories_resolved,
+  ok AND coalesce(d.path_match, false) AS advisory_match, CASE WHEN ok THEN a.commits_90d END AS commits_90d, CASE WHEN ok THEN a.max_additions_90d END AS max_additions_90d, CASE WHEN ok THEN f.age_y END AS age_y, CASE WHEN ok THEN f.contributors END AS contributors,
+  ok AND coalesce(k.dev_known, false) AS dev_known, ok AND coalesce(k.security_fix_gated, false) AS security_fix_gated
+  FROM (SELECT *, status = 'ok' AS ok, list_filter(string_split(languages, ','), lambda x: x <> '') AS spoken FROM fx_repo_meta) m LEFT JOIN churn c ON c.repo_key = m.repo_key LEFT JOIN top2 p ON p.repo_key = m.repo_key LEFT JOIN toolset s ON s.repo_key = m.repo_key LEFT JOIN advised d ON d.repo_key = m.repo_key
+  LEFT JOIN activity a ON a.repo_key = m.repo_key LEFT JOIN profile f ON f.repo_key = m.repo_key LEFT JOIN trap_r k ON k.repo_key = m.repo_key"""
+CTES["j"] = """SELECT t.target_key, t.type, t.value, t.added_at, t.first_seen_at, p.* EXCLUDE (languages), p.languages AS spoken, c.change_type, c.change_at, x.repo_key, s.* EXCLUDE (repo_key, known, status, languages, sec_tooling, advisory_match, dev_known, security_fix_gated, advisories_resolved), coalesce(s.languages, []) AS languages,
+ coalesce(s.sec_tooling, false) AS sec_tooling, coalesce(s.advisory_match, false) AS advisory_match, coalesce(s.advisories_resolved, 0) AS advisories_resolved, coalesce(s.dev_known, false) AS dev_known, coalesce(s.security_fix_gated, false) AS security_fix_gated,
+ ov.* RENAME (program_id AS o_program, floor AS o_floor, eligible AS o_eligible, eligibility_reason AS o_reason, invite_only AS o_invite, kyc_required AS o_kyc, countries AS o_countries, no_safe_harbor AS o_no_harbor, safe_harbor_required AS o_harbor),
+ o.policy_floor_source, l.tx_30d, l.tx_30d IS NOT NULL AS deployed, coalesce(s.status, CASE WHEN x.repo_key IS NOT NULL THEN 'pending' END) AS repo_status,
+ coalesce(r.policy_invite_only, false) AS policy_invite_only, coalesce(r.policy_kyc, false) AS policy_kyc, coalesce(r.excludes_in, false) AS excludes_in, coalesce(r.no_safe_harbor, false) AS no_safe_harbor, r.policy_reports, o.policy_floor,
+ lower(array_to_string(list_filter(list_concat([x.repo_key, s.default_branch], coalesce(s.languages, []), coalesce(s.top_paths, []), coalesce(s.added_list, [])), lambda y: y <> ''), ' ')) AS repo_text,
+ lower(array_to_string(list_filter(list_concat([p.name, t.type, t.value, t.description, t.impact], p.tags, p.languages), lambda y: y <> ''), ' ')) AS own_text
  FROM all_t t JOIN prog p USING (merge_key) LEFT JOIN ovr ov ON ov.program_id = p.program_id JOIN chg c ON c.merge_key = t.merge_key LEFT JOIN restrict r ON r.url = p.url LEFT JOIN pfloor o ON o.url = p.url LEFT JOIN resolved x ON x.target_key = t.target_key AND t.type = 'source-code'
- LEFT JOIN activity a ON a.repo_key = x.repo_key LEFT JOIN profile f ON f.repo_key = x.repo_key LEFT JOIN trap_r k ON k.repo_key = x.repo_key AND a.repo_key IS NOT NULL LEFT JOIN live l ON l.address = t.value AND t.type = 'smart-contract'"""
-CTES["e1"] = f"""SELECT *, CASE WHEN repo_status = 'ok' THEN {up(clamp(f"least({D(30)}, CAST(stars AS DOUBLE) / {D(300)}) + CASE WHEN sec_tooling THEN 20 ELSE 0 END + CASE WHEN age_y > 4 THEN 15 ELSE 0 END + CASE WHEN contributors > 100 THEN 15 ELSE 0 END + CASE WHEN advisories_resolved >= 3 THEN 10 ELSE 0 END + CASE WHEN {hit('text', v.MATURE_CORE)} THEN 10 ELSE 0 END", 0, 100), 1)} END AS hardening_index,
- CASE change_type WHEN 'baseline' THEN false WHEN 'new_program' THEN true ELSE coalesce((change_type = 'new_target' AND added_at = {AT}) OR {days('added_at', AT)} < 45, false) END AS recent_scope,
- CASE WHEN dev_known THEN 40 ELSE 0 END + CASE WHEN advisory_match THEN 30 ELSE 0 END + CASE WHEN security_fix_gated THEN 30 ELSE 0 END AS known_issue_risk, repo_status IS NOT NULL OR {hit('value', v.HOSTED)} AS repo FROM j"""
-CTES["e2"] = f"""SELECT *, {up(clamp(f"CASE WHEN repo_status = 'ok' THEN least({D(35)}, CAST(commits_90d AS DOUBLE) / {D(2)}) + least({D(25)}, CAST(commits_90d * 5 AS DOUBLE) * {D(3)}) + CASE WHEN max_additions_90d > 800 THEN 20 ELSE 0 END ELSE 0 END + CASE WHEN recent_scope THEN 20 ELSE 0 END", 0, 100), 1)} AS fresh_code_index,
- CASE WHEN type = 'smart-contract' OR ({hit('text', v.CONTRACT)} AND deployed) THEN 'live-contract' WHEN NOT repo AND {hit('text', v.AI)} THEN 'ai-agent' WHEN NOT repo AND (type = 'api' OR {hit('value', '(?i)(^|[./_-])api([./_-]|$)')}) THEN 'live-api'
+ LEFT JOIN signal s ON s.repo_key = x.repo_key LEFT JOIN live l ON l.address = t.value AND t.type = 'smart-contract'"""
+# Patterns over a target's search text.
+WORDS = {
+    "mature_core": r"crypto|signing|mpc|consensus|kernel|tls|wallet[-_ ]?core",
+    "parser": r"parser|serializer|codec|deseriali[sz]e|rlp|protobuf",
+    "crypto": r"crypto|signing|signature|mpc|nonce|keystore|hsm|consensus|wallet[-_ ]?core",
+    "auth": r"oauth|oidc|saml|session|jwt|login|account[-_ ]?link|sso|authentication",
+    "authz": r"idor|bola|multi[-_ ]?tenant|rbac|k8s[-_ ]?operator|operator|iam|authorization",
+    "ai": r"(^|[^a-z])(ai|ml|llm|rag|mcp)([^a-z]|$)|agent|prompt[-_ ]?inject",
+    "contract": r"solidity|defi|smart[-_ ]?contract|\bevm\b|vault",
+    "payments": r"payments?|checkout|billing|store|entitlement|subscription|invoice|cart",
+    "untrusted": r"network|packet|socket|upload|file|wire|request|remote|untrusted|p2p",
+}
+twice = "concat_ws(' ', text, nullif(repo_text, ''))"
+CTES["marked"] = "SELECT *, " + ", ".join(f"{hit('text', p)} AS x_{n}" for n, p in WORDS.items()) + f", {hit(twice, WORDS['mature_core'])} AS x_mature, list_transform(list_concat(languages, spoken), lambda x: lower(x)) AS every FROM (SELECT *, concat_ws(' ', own_text, nullif(repo_text, '')) AS text FROM j)"
+CTES["e1"] = f"""SELECT *, CASE WHEN repo_status = 'ok' THEN {up(clamp(f"least({D(30)}, CAST(stars AS DOUBLE) / {D(300)}) + CASE WHEN sec_tooling THEN 20 ELSE 0 END + CASE WHEN age_y > 4 THEN 15 ELSE 0 END + CASE WHEN contributors > 100 THEN 15 ELSE 0 END + CASE WHEN advisories_resolved >= 3 THEN 10 ELSE 0 END + CASE WHEN x_mature THEN 10 ELSE 0 END", 0, 100), 1)} END AS hardening_index,
+ CASE change_type WHEN 'baseline' THEN false WHEN 'new_program' THEN true ELSE coalesce((change_type = 'new_target' AND first_seen_at = change_at) OR {days('coalesce(added_at, first_seen_at)', AT)} < 45, false) END AS recent_scope,
+ CASE WHEN dev_known THEN 40 ELSE 0 END + CASE WHEN advisory_match THEN 30 ELSE 0 END + CASE WHEN security_fix_gated THEN 30 ELSE 0 END AS known_issue_risk, repo_status IS NOT NULL OR regexp_matches(value, '(?i)github[.]com|gitlab[.]com') AS repo FROM marked"""
+CTES["e2"] = f"""SELECT *, {up(clamp(f"CASE WHEN repo_status = 'ok' THEN least({D(35)}, CAST(coalesce(commits_90d, 0) AS DOUBLE) / {D(2)}) + least({D(25)}, CAST(coalesce(files_added_90d, 0) AS DOUBLE) * {D(3)}) + CASE WHEN max_additions_90d > 800 THEN 20 ELSE 0 END ELSE 0 END + CASE WHEN recent_scope THEN 20 ELSE 0 END", 0, 100), 1)} AS fresh_code_index,
+ CASE WHEN type = 'smart-contract' OR (x_contract AND deployed) THEN 'live-contract' WHEN NOT repo AND x_ai THEN 'ai-agent' WHEN NOT repo AND (type = 'api' OR {hit('value', '(?i)(^|[./_-])api([./_-]|$)')}) THEN 'live-api'
   WHEN NOT repo AND type IN ('web', 'domain', 'url', 'mobile') THEN 'live-web' WHEN repo OR type IN ('source-code', 'firmware', 'hardware', 'executable', 'binary') THEN 'static-source' WHEN {hit('value', '(?i)^https?://')} THEN 'live-web' WHEN {hit('value', '(?i)^(?:[*][.])?[a-z0-9-]+(?:[.][a-z0-9-]+)+(?::[0-9]+)?(?:/|$)')} THEN 'live-web'
-  WHEN {hit('text', v.CONTRACT)} THEN 'live-contract' ELSE 'static-source' END AS base_workflow FROM e1"""
+  WHEN x_contract THEN 'live-contract' ELSE 'static-source' END AS base_workflow FROM e1"""
 _LIVE = "(base_workflow LIKE 'live-%' OR base_workflow = 'ai-agent')"
-CTES["e3"] = f"""SELECT *, CASE WHEN {_LIVE} AND {hit('text', v.AUTH)} THEN 'account-takeover' WHEN {_LIVE} AND {hit('text', v.AUTHZ)} THEN 'cross-tenant-authz' WHEN base_workflow = 'ai-agent' OR ({_LIVE} AND {hit('text', v.AI)}) THEN 'agent-sink-chain'
- WHEN base_workflow = 'live-contract' OR ({hit('text', v.CONTRACT)} AND deployed) THEN 'contract-loss' WHEN {_LIVE} AND {hit('text', v.PAYMENTS)} THEN 'business-logic' WHEN {hit('text', v.PARSER)} AND list_has_any(languages, ['c', 'c++', 'cpp']) AND {hit('text', v.UNTRUSTED_INPUT)} THEN 'native-parser-memory' WHEN {hit('text', v.PARSER)} AND list_has_any(languages, ['go', 'rust']) THEN 'managed-parser-dos' WHEN {hit('text', v.PARSER)} THEN 'parser-dos' WHEN {hit('text', v.CRYPTO)} THEN 'mature-crypto-core'
+CTES["e3"] = f"""SELECT *, CASE WHEN {_LIVE} AND x_auth THEN 'account-takeover' WHEN {_LIVE} AND x_authz THEN 'cross-tenant-authz' WHEN base_workflow = 'ai-agent' OR ({_LIVE} AND x_ai) THEN 'agent-sink-chain'
+ WHEN base_workflow = 'live-contract' OR (x_contract AND deployed) THEN 'contract-loss' WHEN {_LIVE} AND x_payments THEN 'business-logic' WHEN x_parser AND list_has_any(every, ['c', 'c++', 'cpp']) AND x_untrusted THEN 'native-parser-memory' WHEN x_parser AND list_has_any(every, ['go', 'rust']) THEN 'managed-parser-dos' WHEN x_parser THEN 'parser-dos' WHEN x_crypto THEN 'mature-crypto-core'
  WHEN base_workflow = 'live-api' THEN 'api-authz' WHEN base_workflow = 'live-web' THEN 'web-business-logic' ELSE 'source-review' END AS findable_class FROM e2"""
-CTES["classes"] = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{a}', {D(b)}, '{c}')" for k, (a, b, c) in v.CLASSES.items()) + ") AS t(findable_class, ceiling, fit, label)"
-CTES["e4"] = f"""SELECT e3.*, ceiling, fit, label, CASE WHEN w = 'static-source' AND coalesce(hardening_index >= 55, false) AND fresh_code_index < 40 THEN 'static-source-hardened' ELSE w END AS workflow, coalesce(override_floor, policy_floor, 'MEDIUM') AS floor_,
- CASE WHEN override_floor IS NOT NULL THEN 'override' WHEN policy_floor IS NOT NULL THEN policy_floor_source ELSE 'conservative-default' END AS floor_source, greatest(0, coalesce(resolved_reports, policy_reports, 25)) AS reports, resolved_reports IS NULL AND policy_reports IS NULL AS reports_estimated,
- {joined_texts(('NOT paid', q('program is not confirmed paid')), ("status <> 'open'", q('program is not open')), ('invite_only OR policy_invite_only', q('invite-only program')), ('kyc_required OR policy_kyc', q('KYC required')), ('excludes_in', q('IN researchers excluded')))} AS reasons
+CTES["classes"] = """SELECT findable_class, ceiling, CAST(fit AS DOUBLE) AS fit, label FROM (VALUES ('account-takeover', 'CRITICAL', 0.95, 'ATO'), ('cross-tenant-authz', 'CRITICAL', 0.90, 'cross-tenant'), ('agent-sink-chain', 'HIGH', 0.65, 'exfil/SSRF'),
+ ('contract-loss', 'CRITICAL', 0.55, 'contract loss'), ('business-logic', 'CRITICAL', 0.85, 'price/authz'), ('native-parser-memory', 'HIGH', 0.62, 'memory corruption'), ('managed-parser-dos', 'LOW', 0.90, 'DoS'), ('parser-dos', 'MEDIUM', 0.72, 'parser DoS'),
+ ('mature-crypto-core', 'CRITICAL', 0.08, 'crypto break'), ('api-authz', 'HIGH', 0.82, 'API authz'), ('web-business-logic', 'HIGH', 0.80, 'web authz'), ('source-review', 'MEDIUM', 0.38, 'source flaw')) AS t(findable_class, ceiling, fit, label)"""
+CTES["e4"] = f"""SELECT e3.*, ceiling, fit, label, CASE WHEN w = 'static-source' AND coalesce(hardening_index >= 55, false) AND fresh_code_index < 40 THEN 'static-source-hardened' ELSE w END AS workflow, coalesce(o_floor, policy_floor, 'MEDIUM') AS floor_,
+ CASE WHEN o_floor IS NOT NULL THEN 'override' WHEN policy_floor IS NOT NULL THEN policy_floor_source ELSE 'conservative-default' END AS floor_source, greatest(0, coalesce(resolved_reports, policy_reports, 25)) AS reports, resolved_reports IS NULL AND policy_reports IS NULL AS reports_estimated,
+ {joined_texts(('NOT paid', q('program is not confirmed paid')), ("status <> 'open'", q('program is not open')), ('o_eligible = false', "coalesce(o_reason, 'program override marks researcher ineligible')"), ('invite_only OR policy_invite_only OR coalesce(o_invite, false) OR invite_words', q('invite-only program')),
+  ('kyc_required OR policy_kyc OR coalesce(o_kyc, false)', q('KYC required')), ("excludes_in OR coalesce(list_contains(list_transform(o_countries, lambda x: upper(x)), 'IN'), false)", q('IN researchers excluded')),
+  ("coalesce(o_harbor, false) AND (coalesce(o_no_harbor, false) OR no_safe_harbor) AND NOT (w = 'static-source' AND NOT (coalesce(hardening_index >= 55, false) AND fresh_code_index < 40))", q('required safe harbor is absent')))} AS reasons
  FROM (SELECT e3.*, c.ceiling, c.fit, c.label, CASE e3.findable_class WHEN 'agent-sink-chain' THEN 'ai-agent' WHEN 'contract-loss' THEN 'live-contract' ELSE base_workflow END AS w FROM e3 JOIN classes c USING (findable_class)) e3""".replace("e3.*, ceiling, fit, label, CASE WHEN w", "e3.*, CASE WHEN w")
 CTES["e5"] = f"""SELECT *, {up(clamp(f"{D(0.2)} + {D(0.5)} * CASE WHEN {days('launched_at', AT)} < 90 THEN 1 ELSE 0 END + {D(0.3)} * CASE WHEN reports = 0 THEN {D(1)} ELSE least({D(1)}, {D(1)} / ln(CAST(1 + reports AS DOUBLE))) END"), 3)} AS p_first,
  {up(clamp(clamp(f"{D(0.15)} + {D(0.45)} * (fresh_code_index / {D(100)}) + coalesce({D(0.30)} * (({D(100)} - hardening_index) / {D(100)}), {D(0)}) + {D(0.10)} * fit") + f" * CASE WHEN findable_class = 'mature-crypto-core' THEN {D(0.2)} ELSE {D(1)} END * CASE WHEN workflow = 'static-source-hardened' THEN {D(0.45)} ELSE {D(1)} END * CASE WHEN workflow = 'static-source' AND fresh_code_index < 50 THEN CASE WHEN repo_status = 'ok' THEN {D(0.7)} ELSE {D(0.3)} END ELSE {D(1)} END"), 3)} AS p_findable,
  {up(f"CAST(CASE WHEN {rank_of('ceiling')} >= {rank_of('floor_')} THEN 1 ELSE 0 END AS DOUBLE) * ({D(1)} - CAST(known_issue_risk AS DOUBLE) / {D(100)}) * CASE WHEN reasons = '' THEN 1 ELSE 0 END", 3)} AS p_payable,
  workflow = 'live-contract' AND deployed AND coalesce(tx_30d = 0, false) AS dormant FROM e4"""
+def _plain(x: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower()).strip()
+
+
+_SQL_PLAIN = "trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', ' ', 'g'))".format
+CTES["aliased"] = "SELECT * FROM (VALUES " + ", ".join(f"({no}, {q(_plain(a))})" for no, key, more, *_ in AUDITED for a in [key, *more]) + ") AS t(no, alias)"
+CTES["audits"] = "SELECT * FROM (VALUES " + ", ".join(f"({no}, {q(key)}, {q(verdict)}, {D(at)})" for no, key, _, verdict, at in AUDITED) + ") AS t(no, key, verdict, fresh_at)"
+CTES["aud_in"] = f"""SELECT program_id, target_key, {_SQL_PLAIN('substr(program_id, 9)')} AS a, {_SQL_PLAIN('name')} AS b, CASE WHEN repo_key IS NOT NULL OR regexp_matches(value, '(?i)github[.]com|gitlab[.]com') THEN {_SQL_PLAIN('value')} ELSE '' END AS c,
+ {_SQL_PLAIN("coalesce(repo_key, '')")} AS d FROM j"""
+CTES["aud"] = "SELECT program_id, target_key, min(no) AS no FROM aud_in LEFT JOIN aliased ON a = alias OR starts_with(a, alias || ' ') OR b = alias OR starts_with(b, alias || ' ') OR contains(c, alias) OR contains(d, alias) GROUP BY 1, 2"
 CTES["e6"] = f"""SELECT *, nullif({joined_texts(
     (f"findable_class = 'managed-parser-dos' AND {rank_of('floor_')} > 1", "ceiling || ' DoS ceiling is below the ' || floor_ || ' program floor'"), (f"NOT (findable_class = 'managed-parser-dos' AND {rank_of('floor_')} > 1) AND {rank_of('ceiling')} < {rank_of('floor_')}", "ceiling || ' severity ceiling is below the ' || floor_ || ' program floor'"), ('hardening_index > 70 AND fresh_code_index < 25', q('mature hardened source with little fresh code')),
-    ('known_issue_risk >= 60', q('known-issue risk is 60 or higher')), ("reasons <> ''", 'reasons'), ('dormant', q('deployed contract surface has zero recent use or value')))}, '') AS exclude_reason,
- {joined_texts(('dev_known', q('DEV_KNOWN')), (f"findable_class = 'managed-parser-dos' AND {rank_of('floor_')} > 1", q('DOS_CEILING')), ('dormant', q('DORMANT')), sep=',')} AS trap_tags, least(greatest({D(0)}, coalesce(max_reward, 0)), {D(50000)}) AS effective_reward FROM e5"""
+    ('known_issue_risk >= 60', q('known-issue risk is 60 or higher')), ("reasons <> ''", 'reasons'), ('dormant', q('deployed contract surface has zero recent use or value')), ("aud_key IS NOT NULL AND fresh_code_index - aud_fresh <= 40", "'audited ' || aud_verdict || ' target: ' || aud_key"))}, '') AS exclude_reason,
+ {joined_texts(('dev_known', q('DEV_KNOWN')), (f"findable_class = 'managed-parser-dos' AND {rank_of('floor_')} > 1", q('DOS_CEILING')), ('dormant', q('DORMANT')), sep=',')} AS trap_tags, least(greatest({D(0)}, coalesce(max_reward, 0)), {D(50000)}) AS effective_reward FROM (SELECT e5.*, k.key AS aud_key, k.verdict AS aud_verdict, k.fresh_at AS aud_fresh FROM e5 LEFT JOIN aud ON aud.program_id = e5.program_id AND aud.target_key = e5.target_key LEFT JOIN audits k ON k.no = aud.no)"""
 CTES["ev"] = f"""SELECT *, floor_ AS floor, CASE WHEN exclude_reason IS NOT NULL THEN {D(0)} ELSE {up('effective_reward * p_findable * p_payable * p_first', 2)} END AS ev_score,
  array_to_string(list_filter([CASE WHEN fresh_code_index >= 50 THEN 'fresh code' WHEN recent_scope THEN 'fresh scope' END, replace(workflow, '-', ' '), label || ' ceiling ' || ceiling, CASE WHEN repo_status = 'ok' AND hardening_index < 35 THEN 'low hardening signal' WHEN repo_status = 'ok' AND hardening_index >= 60 THEN 'mature review surface' END,
-  CASE WHEN NOT reports_estimated AND reports < 10 THEN 'low recorded crowd' END, CASE WHEN commits_90d > 0 THEN CAST(commits_90d * 5 AS VARCHAR) || ' files added/90d' END], lambda x: x IS NOT NULL)[1:5], ' + ') AS reason FROM e6"""
+  CASE WHEN NOT reports_estimated AND reports < 10 THEN 'low recorded crowd' END, CASE WHEN files_added_90d > 0 THEN CAST(files_added_90d AS VARCHAR) || ' files added/90d' END], lambda x: x IS NOT NULL)[1:5], ' + ') AS reason FROM e6"""
 CTES["best"] = "SELECT *, count(*) OVER (PARTITION BY program_id) AS targets FROM ev QUALIFY row_number() OVER (PARTITION BY program_id ORDER BY exclude_reason IS NOT NULL, ev_score DESC, p_findable DESC, target_key) = 1"
 CTES["lane"] = "SELECT * FROM best WHERE exclude_reason IS NULL AND ev_score > 0"
 
 
 def chain(select: str) -> str:
     """select behind the expressions that it needs, found by name."""
-    import re
-
     need, todo = set(), [select]
     while todo:
         text = todo.pop()
@@ -166,19 +261,23 @@ def chain(select: str) -> str:
     return "WITH " + ",\n".join(f"{k} AS MATERIALIZED ({CTES[k]})" for k in order) + "\n" + select
 
 
+SENTINEL = "brand12/none"
+CTES["checks"] = f"SELECT count(*) FILTER (WHERE s) AS sentinels, count(*) FILTER (WHERE m) AS managed, count(*) FILTER (WHERE s) = 0 OR count(*) FILTER (WHERE s AND repo_status = 'ok' AND contains(trap_tags, 'DEV_KNOWN')) > 0 AS sentinel_ok, count(*) FILTER (WHERE m AND NOT contains(trap_tags, 'DOS_CEILING')) = 0 AS ceiling_ok, sentinel_ok AND ceiling_ok AS ready FROM (SELECT *, coalesce(repo_key = {q(SENTINEL)}, false) AS s, findable_class = 'managed-parser-dos' AND floor IN ('MEDIUM', 'HIGH', 'CRITICAL') AS m FROM ev)"
+
 _T = "SELECT program_id, target_key, {} FROM ev"
 _S = "SELECT program_id, name, workflow, ev_score, reason FROM lane WHERE {} ORDER BY ev_score DESC, name, program_id LIMIT 25"
 ORACLES = {k: chain(s) for k, s in {
-    "norm_targets": "SELECT record_no, ordinal, target_key, type, value FROM norm_t",
-    "dedupe_targets": "SELECT record_no, target_key, ordinal, type, value FROM dedupe_t",
+    "norm_targets": "SELECT record_no, ordinal, target_key, type, value, description, impact FROM norm_t",
+    "dedupe_targets": "SELECT record_no, target_key, ordinal, type, value, description, impact FROM dedupe_t",
     "merge_lead": "SELECT program_id, name, platform, url FROM prog",
-    "merge_rewards": "SELECT program_id, min_reward, max_reward FROM prog",
-    "merge_flags": "SELECT program_id, status, paid, invite_only, kyc_required FROM prog",
-    "merge_sets": "SELECT program_id, array_to_string(source_ids, ',') AS source_ids, array_to_string(tags, ',') AS tags, target_count FROM prog",
+    "merge_rewards": "SELECT program_id, min_reward, max_reward, currency FROM prog",
+    "merge_flags": "SELECT program_id, status, paid, invite_only, kyc_required, safe_harbor, disclosure_allowed, source_code, local_testing_hint, invite_words FROM prog",
+    "merge_sets": "SELECT program_id, array_to_string(source_ids, ',') AS source_ids, array_to_string(tags, ',') AS tags, array_to_string(languages, ',') AS languages, array_to_string(countries, ',') AS countries, repository_count, target_count FROM prog",
     "merge_targets": "SELECT merge_key, target_key, type, value FROM merged_t",
     "merge_dates": "SELECT program_id, launched_at, CAST(resolved_reports AS BIGINT) AS resolved_reports FROM prog",
+    "merge_policy_text": "SELECT merge_key, length(policy_text) AS length, sha256(policy_text) AS text_sha256 FROM ptexts",
     "diff_targets": "SELECT merge_key, added, removed FROM diff",
-    "classify_change": "SELECT c.program_id, CASE WHEN c.change_type = 'baseline' AND o.target_count % 2 = 0 THEN 'reward_up' ELSE c.change_type END AS change_type, added, removed, c.change_type <> 'baseline' AS is_new FROM chg c LEFT JOIN prog_before o ON o.merge_key = c.merge_key",
+    "classify_change": "SELECT c.program_id, CASE WHEN c.change_type = 'baseline' AND o.target_count % 2 = 0 THEN 'reward_up' ELSE c.change_type END AS change_type, CASE WHEN c.change_type <> 'baseline' THEN c.change_at WHEN o.merge_key IS NOT NULL THEN TIMESTAMP '" + BEFORE + "' END AS change_at, added, removed, c.change_type <> 'baseline' AS is_new FROM chg c LEFT JOIN prog_before o ON o.merge_key = c.merge_key",
     "missing_grace": "SELECT program_id, 'stale' AS status, CAST(1 AS BIGINT) AS missing_count FROM prog_before WHERE merge_key NOT IN (SELECT merge_key FROM prog WHERE CAST(substr(merge_key, 9) AS INTEGER) % 37 <> 0)",
     "change_events": f"SELECT '{NOW}:' || program_id || ':' || change_type AS event_id, program_id, change_type FROM chg WHERE change_type <> 'baseline'",
     "repo_resolve": "SELECT target_key, repo_key FROM resolved",
@@ -210,10 +309,9 @@ ORACLES = {k: chain(s) for k, s in {
     "run_meta": "SELECT count(*) AS programs, CAST(sum(targets) AS BIGINT) AS targets, count(*) FILTER (WHERE exclude_reason IS NULL) AS ranked, count(*) FILTER (WHERE exclude_reason IS NOT NULL) AS excluded FROM best",
 }.items()}
 
-_CORE = "{0}.name, {0}.platform, {0}.url, {0}.status, {0}.paid, {0}.min_reward, {0}.max_reward, {0}.launched_at, {0}.resolved_reports, {0}.invite_only, {0}.kyc_required, {0}.source_ids, {0}.tags".format
+_CORE = "{0}.name, {0}.platform, {0}.url, {0}.status, {0}.paid, {0}.currency, {0}.min_reward, {0}.max_reward, {0}.safe_harbor, {0}.disclosure_allowed, {0}.launched_at, {0}.resolved_reports, {0}.invite_only, {0}.kyc_required, {0}.countries, {0}.source_ids, {0}.tags, {0}.languages".format
 WAS = f"TIMESTAMP '{BEFORE}'"
 CTES["health"] = "SELECT s.source_id, count(r.source_id) AS records, CASE WHEN count(r.source_id) >= 10 THEN 'ok' ELSE 'failed' END AS status FROM (VALUES {}) AS s(source_id) LEFT JOIN rec r ON r.source_id = s.source_id GROUP BY 1".format(", ".join(f"('{x}')" for x in SOURCES))
-CTES["counts"] = "SELECT r.record_no, count(t.type) AS target_count, count(*) FILTER (WHERE t.type = 'source-code' OR regexp_matches(t.value, '(?i)github[.]com|gitlab[.]com')) AS repository_count, coalesce(string_agg(DISTINCT t.type, ',' ORDER BY t.type), '') AS tags FROM rec r LEFT JOIN dedupe_t t ON t.record_no = r.record_no GROUP BY 1"
 CTES["evt"] = f"SELECT '{NOW}:' || program_id || ':' || change_type AS event_id, program_id, change_type, {AT} AS happened_at FROM chg WHERE change_type <> 'baseline'"
 CTES["scored"] = "SELECT x.event_id, x.program_id, x.change_type, b.ev_score, b.workflow, b.exclude_reason FROM evt x LEFT JOIN best b ON b.program_id = x.program_id"
 CTES["alerts"] = "SELECT * FROM scored WHERE exclude_reason IS NULL AND ev_score > 0"
@@ -229,12 +327,12 @@ ORACLES |= {k: chain(s) for k, s in {
     "src_health": "SELECT * FROM health",
     "src_snapshot_fallback": "SELECT source_id, record_no, name, raw_status FROM rec WHERE source_id IN (SELECT source_id FROM rec GROUP BY 1 HAVING count(*) >= 290) UNION ALL SELECT source_id, record_no, name, raw_status FROM rec_before WHERE source_id NOT IN (SELECT source_id FROM rec GROUP BY 1 HAVING count(*) >= 290)",
     "norm_programs": "SELECT record_no, merge_key, url, status, paid FROM rec",
-    "norm_counts": "SELECT record_no, target_count, repository_count, repository_count > 0 AS source_code FROM counts",
-    "norm_tags": "SELECT record_no, tags FROM counts",
+    "norm_counts": "SELECT record_no, target_count, repository_count, list_contains(tags, 'source-code') AS source_code, local_testing_hint FROM facts",
+    "norm_tags": "SELECT record_no, array_to_string(tags, ',') AS tags, array_to_string(languages, ',') AS languages FROM facts",
     "diff_fingerprint": f"SELECT p.program_id, coalesce(d.added + d.removed, 0) > 0 OR ({_CORE('p')}) IS DISTINCT FROM ({_CORE('o')}) AS changed FROM prog p JOIN prog_before o ON o.merge_key = p.merge_key LEFT JOIN diff d ON d.merge_key = p.merge_key",
     "dataset_changed": "SELECT changed FROM differ",
     "program_lifecycle": f"SELECT c.program_id, CASE WHEN o.merge_key IS NULL THEN {AT} ELSE {WAS} END AS first_seen_at, CASE WHEN o.merge_key IS NULL OR change_type <> 'baseline' THEN {AT} ELSE {WAS} END AS last_seen_at, CASE WHEN change_type <> 'baseline' THEN {AT} ELSE {WAS} END AS last_changed_at, CAST(0 AS BIGINT) AS missing_count FROM chg c LEFT JOIN prog_before o ON o.merge_key = c.merge_key",
-    "target_lifecycle": f"SELECT t.merge_key, t.target_key, CASE WHEN b.target_key IS NOT NULL THEN {WAS} ELSE coalesce(t.added_at, CASE WHEN c.change_type <> 'baseline' THEN {AT} END) END AS first_seen_at FROM merged_t t JOIN chg c ON c.merge_key = t.merge_key LEFT JOIN merged_t_before b ON b.merge_key = t.merge_key AND b.target_key = t.target_key",
+    "target_lifecycle": f"SELECT t.merge_key, t.target_key, CASE WHEN b.target_key IS NOT NULL THEN {WAS} ELSE coalesce(t.added_at, {AT}) END AS first_seen_at FROM merged_t t LEFT JOIN merged_t_before b ON b.merge_key = t.merge_key AND b.target_key = t.target_key",
     "event_score_join": "SELECT * FROM scored",
     "event_log_roll": f"SELECT * FROM (SELECT event_id, program_id, change_type, happened_at FROM evt UNION ALL SELECT '{BEFORE}:' || program_id || ':new_program', program_id, 'new_program', {WAS} FROM prog_before) ORDER BY happened_at DESC, event_id LIMIT 700",
     "alert_digest": "SELECT event_id, program_id, change_type, ev_score, greatest(0, (SELECT count(*) FROM alerts) - 8) AS more FROM alerts ORDER BY ev_score DESC, event_id LIMIT 8",
@@ -244,11 +342,11 @@ ORACLES |= {k: chain(s) for k, s in {
     "scan_coverage": "SELECT repo_key, count(*) AS eligible, count(k.path) AS selected, CAST(coalesce(sum(k.size), 0) AS BIGINT) AS bytes, CASE WHEN count(k.path) = count(*) THEN 'complete' ELSE 'bounded' END AS status FROM blob_p p LEFT JOIN picked k USING (repo_key, path) GROUP BY 1",
     "signals_lookup": "SELECT program_id, target_key, repo_key, repo_status FROM j",
     "coverage_gate": "SELECT * FROM gate",
-    "publish_gate": "SELECT ready AND h AS publish, ready AND h AND changed AS changed FROM (SELECT ready, (SELECT count(*) > 0 FROM health WHERE status = 'ok') AS h, (SELECT changed FROM differ) AS changed FROM gate)",
+    "publish_gate": "SELECT ready AND h AS publish, ready AND h AND changed AS changed FROM (SELECT ready AND (SELECT ready FROM checks) AS ready, (SELECT count(*) > 0 FROM health WHERE status = 'ok') AS h, (SELECT changed FROM differ) AS changed FROM gate)",
     "policy_lookup": "SELECT p.program_id, coalesce(r.policy_invite_only, false) AS policy_invite_only, coalesce(r.policy_kyc, false) AS policy_kyc, coalesce(r.excludes_in, false) AS excludes_in, CAST(coalesce(p.resolved_reports, r.policy_reports) AS BIGINT) AS resolved_reports FROM prog p LEFT JOIN restrict r ON r.url = p.url",
-    "policy_fallback_target": "SELECT merge_key, substr(sha256(t || ':' || lower(url)), 1, 16) AS target_key, t AS type, url AS value FROM (SELECT *, CASE WHEN list_contains(tags, 'api') THEN 'api' ELSE 'web' END AS t FROM prog WHERE target_count = 0)",
+    "policy_fallback_target": "SELECT merge_key, 'program:' || merge_key || ':policy' AS target_key, type, value FROM fallback",
     "live_match": "SELECT * FROM ruled WHERE rule IS NOT NULL",
-    "override_join": "SELECT program_id, arg_min(floor, r) AS override_floor FROM (SELECT p.program_id, o.floor, CASE o.key WHEN p.program_id THEN 0 WHEN p.name THEN 1 ELSE 2 END AS r FROM prog p JOIN over o ON o.key IN (p.program_id, p.name, lower(p.name))) GROUP BY 1",
+    "override_join": "SELECT program_id, floor AS override_floor, eligible AS override_eligible, eligibility_reason AS override_eligibility_reason, invite_only AS override_invite_only, kyc_required AS override_kyc_required, array_to_string(countries, ',') AS override_countries, no_safe_harbor AS override_no_safe_harbor, safe_harbor_required AS override_safe_harbor_required FROM ovr",
     "public_projection": "SELECT program_id, position, target_key, type, workflow, ev_score, CASE WHEN repo_status = 'ok' THEN hardening_index END AS hardening_index, CASE WHEN repo_status = 'ok' THEN stars END AS stars, CASE WHEN repo_status = 'ok' THEN commits_90d END AS commits_90d FROM (SELECT *, CAST(row_number() OVER (PARTITION BY program_id ORDER BY exclude_reason IS NOT NULL, ev_score DESC, p_findable DESC, target_key) AS INTEGER) AS position FROM ev) WHERE position <= 16",
     "browse": "SELECT program_id, name, workflow, ev_score FROM lane WHERE workflow <> 'static-source-hardened' AND ev_score >= 1 AND platform = 'BUILDING' AND (contains(lower(concat_ws(' ', name, platform, workflow, findable_class, reason, array_to_string(tags, ' '))), 'oauth') OR program_id IN (SELECT program_id FROM ev WHERE contains(lower(value), 'oauth'))) AND program_id <> 'program:program-1' AND regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') <> 'program2'",
     "browse_sort": "SELECT program_id, name, max_reward, ev_score FROM best ORDER BY coalesce(max_reward, 0) DESC, name, program_id LIMIT 25",

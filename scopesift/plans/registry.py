@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import diff, evidence, merge, rank, state
-from ..sources.fixtures import BEFORE, LIVE_RULES, NOW, NOW_LIVE, OVERRIDES, SOURCES, view
+from ..operators import cache, diff, evidence, facts, merge, rank, state
+from ..sources.fixtures import BEFORE, LIVE_RULES, NOW, NOW_LIVE, OVERRIDE_FIELDS, OVERRIDES, SOURCES, present, view
 from . import flow
-from .oracle import ORACLES  # noqa: F401
+from .oracle import ORACLES, SENTINEL  # noqa: F401
 
 _ID = ["program_id", "target_key"]
 
@@ -73,8 +73,8 @@ def _health(s, d):
 
 def _classified(s, d):
     (p, t), (q, u) = flow.merged(s, d), flow.merged(s, d, True)
-    before = q.withColumn("change_type", F.when(F.col("target_count") % 2 == 0, "reward_up"))
-    return diff.classify_change(p, before, diff.diff_targets(t, u)).drop("merge_key")
+    before = q.withColumns({"change_type": F.when(F.col("target_count") % 2 == 0, "reward_up"), "change_at": F.lit(BEFORE).cast("timestamp_ntz")})
+    return diff.classify_change(p, before, diff.diff_targets(t, u), now=NOW).drop("merge_key")
 
 
 def _browsed(s, d):
@@ -88,14 +88,15 @@ QUERIES = {
     "norm_targets": lambda s, d: merge.norm_targets(view(s, d, "fx_targets")).drop("added_at"),
     "dedupe_targets": lambda s, d: flow.targets(s, d).drop("added_at"),
     "merge_lead": _programs("name", "platform", "url"),
-    "merge_rewards": _programs("min_reward", "max_reward"),
-    "merge_flags": _programs("status", "paid", "invite_only", "kyc_required"),
-    "merge_sets": lambda s, d: flow.merged(s, d)[0].select("program_id", F.array_join("source_ids", ",").alias("source_ids"), F.array_join("tags", ",").alias("tags"), "target_count"),
+    "merge_rewards": _programs("min_reward", "max_reward", "currency"),
+    "merge_flags": _programs("status", "paid", "invite_only", "kyc_required", "safe_harbor", "disclosure_allowed", "source_code", "local_testing_hint", "invite_words"),
+    "merge_sets": lambda s, d: flow.merged(s, d)[0].select("program_id", F.array_join("source_ids", ",").alias("source_ids"), F.array_join("tags", ",").alias("tags"), F.array_join("languages", ",").alias("languages"), F.array_join("countries", ",").alias("countries"), "repository_count", "target_count"),
     "merge_targets": lambda s, d: flow.merged(s, d)[1].select("merge_key", "target_key", "type", "value"),
     "merge_dates": _programs("launched_at", "resolved_reports"),
+    "merge_policy_text": lambda s, d: merge.merge_policy_text(flow.records(s, d)).select("merge_key", F.length("policy_text").cast("long").alias("length"), F.sha2("policy_text", 256).alias("text_sha256")),
     "diff_targets": lambda s, d: diff.diff_targets(flow.merged(s, d)[1], flow.merged(s, d, True)[1]),
     "classify_change": _classified,
-    "missing_grace": lambda s, d: diff.missing_grace(flow.merged(s, d, True)[0].withColumn("missing_count", F.lit(0)), flow.present(flow.merged(s, d)[0])),
+    "missing_grace": lambda s, d: diff.missing_grace(flow.merged(s, d, True)[0].withColumn("missing_count", F.lit(0)), present(flow.merged(s, d)[0])),
     "change_events": lambda s, d: diff.change_events(flow.changes(s, d), NOW),
     "repo_resolve": lambda s, d: evidence.repo_resolve(flow.merged(s, d)[1].select("target_key", "value").distinct()),
     "repo_activity": lambda s, d: evidence.repo_activity(view(s, d, "fx_repo_commits"), NOW),
@@ -115,7 +116,7 @@ QUERIES = {
     "workflow_route": _evaluated("base_workflow", "workflow"),
     "findable_class": _evaluated("findable_class", "ceiling", "label"),
     "policy_floor_resolve": _evaluated("floor", "floor_source"),
-    "eligibility": _evaluated("array_join(reasons, '; ') AS reasons"),
+    "eligibility": _evaluated("reasons"),
     "p_first": _evaluated("p_first", "reports_estimated"),
     "p_findable": _evaluated("p_findable"),
     "p_payable": _evaluated("p_payable"),
@@ -139,12 +140,12 @@ QUERIES = {
     "src_health": _health,
     "src_snapshot_fallback": lambda s, d: state.src_snapshot_fallback(flow.records(s, d), flow.records(s, d, True), 290).select("source_id", "record_no", "name", "raw_status"),
     "norm_programs": lambda s, d: flow.records(s, d).select("record_no", "merge_key", "url", "status", "paid"),
-    "norm_counts": lambda s, d: state.record_tags(flow.records(s, d), flow.targets(s, d)).drop("tags"),
-    "norm_tags": lambda s, d: state.record_tags(flow.records(s, d), flow.targets(s, d)).select("record_no", F.array_join("tags", ",").alias("tags")),
+    "norm_counts": lambda s, d: facts.record_tags(flow.said(s, d)).drop("tags", "languages"),
+    "norm_tags": lambda s, d: facts.record_tags(flow.said(s, d)).select("record_no", F.array_join("tags", ",").alias("tags"), F.array_join("languages", ",").alias("languages")),
     "diff_fingerprint": lambda s, d: state.diff_fingerprint(flow.merged(s, d)[0], flow.merged(s, d, True)[0], _diff(s, d)),
     "dataset_changed": lambda s, d: state.dataset_changed(_core(flow.merged(s, d)[0]), _core(flow.merged(s, d, True)[0])),
     "program_lifecycle": lambda s, d: state.program_lifecycle(flow.changes(s, d), _previous(s, d), NOW),
-    "target_lifecycle": lambda s, d: state.target_lifecycle(flow.merged(s, d)[1], flow.merged(s, d, True)[1].withColumn("first_seen_at", F.lit(BEFORE).cast("timestamp_ntz")), flow.changes(s, d), NOW),
+    "target_lifecycle": lambda s, d: state.target_lifecycle(flow.merged(s, d)[1], flow.merged(s, d, True)[1].withColumn("first_seen_at", F.lit(BEFORE).cast("timestamp_ntz")), NOW),
     "event_score_join": lambda s, d: _scored(s, d).select("event_id", "program_id", "change_type", "ev_score", "workflow", "exclude_reason"),
     "event_log_roll": lambda s, d: _log(s, d).select("event_id", "program_id", "change_type", "happened_at"),
     "alert_digest": lambda s, d: state.alert_digest(_scored(s, d)),
@@ -154,11 +155,11 @@ QUERIES = {
     "scan_coverage": lambda s, d: state.scan_coverage(view(s, d, "fx_blobs"), evidence.scan_priority_pick(view(s, d, "fx_blobs"))),
     "signals_lookup": lambda s, d: flow.joined(s, d).select("program_id", "target_key", "repo_key", "repo_status"),
     "coverage_gate": lambda s, d: state.coverage_gate(flow.evaluated(s, d)),
-    "publish_gate": lambda s, d: state.publish_gate(state.coverage_gate(flow.evaluated(s, d)), _health(s, d), state.dataset_changed(_core(flow.merged(s, d)[0]), _core(flow.merged(s, d, True)[0]))),
+    "publish_gate": lambda s, d: state.publish_gate(state.coverage_gate(flow.evaluated(s, d)), _health(s, d), state.dataset_changed(_core(flow.merged(s, d)[0]), _core(flow.merged(s, d, True)[0])), cache.trap_assertions(flow.evaluated(s, d), SENTINEL)),
     "policy_lookup": lambda s, d: state.policy_lookup(flow.merged(s, d)[0], evidence.policy_restrictions(flow.texts(s, d))),
     "policy_fallback_target": lambda s, d: state.fallback_target(flow.merged(s, d)[0]),
     "live_match": lambda s, d: state.live_match(flow.merged(s, d)[1], LIVE_RULES).select("merge_key", "target_key", "rule"),
-    "override_join": lambda s, d: state.override_join(flow.merged(s, d)[0], s.createDataFrame(OVERRIDES, "key string, floor string")),
+    "override_join": lambda s, d: state.override_join(flow.merged(s, d)[0], s.createDataFrame(OVERRIDES, OVERRIDE_FIELDS)).withColumn("override_countries", F.array_join("override_countries", ",")),
     "public_projection": lambda s, d: state.public_projection(flow.evaluated(s, d)),
     "browse": lambda s, d: _browsed(s, d).select("program_id", "name", "workflow", "ev_score"),
     "browse_sort": lambda s, d: state.browse_sort(flow.best(s, d), "reward").select("program_id", "name", "max_reward", "ev_score"),

@@ -10,7 +10,10 @@ NOW, NOW_LIVE, BEFORE = "2001-11-05 00:00:00", "2024-02-20 00:00:00", "2001-01-0
 
 #: Small tables of configuration.
 SOURCES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "UNUSED"]
-OVERRIDES = [("program:program-7", "HIGH"), ("Program 7", "LOW"), ("program 12", "CRITICAL"), ("Program 20", "MEDIUM")]
+OVERRIDES = [("program:program-7", "HIGH", None, None, False, False, ["us"], False, False), ("Program 7", "LOW", None, None, None, None, None, None, None), ("program 12", "CRITICAL", None, None, None, None, ["in", "FR"], None, None),
+             ("Program 20", "MEDIUM", False, "not open to us", None, None, None, None, None), ("Program 23", None, False, None, None, None, None, None, None), ("Program 26", None, True, None, True, None, None, None, None),
+             ("Program 27", None, None, None, None, True, None, None, None), ("Program 31", "LOW", None, None, None, None, None, True, True), ("Program 18", None, None, None, None, None, None, None, True), ("Program 32", None, None, None, None, None, None, None, True)]
+OVERRIDE_FIELDS = "key string, floor string, eligible boolean, eligibility_reason string, invite_only boolean, kyc_required boolean, countries array<string>, no_safe_harbor boolean, safe_harbor_required boolean"
 #: no, key, aliases, verdict, fresh code index at the audit.
 AUDITED = [(1, "Program 7", ["Nobody"], "clean", 0.0), (2, "Brand#12", ["Brand-12"], "paid", 10.0), (3, "none such", ["Prográm 3"], "duplicate", 70.0), (4, "brand12", [], "late", 0.0)]
 LIVE_RULES = [{"address": "0x" + "7".rjust(40, "0")}, {"pattern": r"login1[0-9]\."}, {"pattern": r"program-3 .*api\."}]
@@ -23,10 +26,15 @@ SELECT c_mktsegment AS source_id, c_custkey AS record_no, 'Program ' || CAST(CAS
   CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_acctbal < 0 THEN CAST(0 AS DOUBLE) ELSE CAST(floor(c_acctbal / 10) AS DOUBLE) END AS min_reward,
   CASE coalesce(o.s, 'O') WHEN 'F' THEN 'closed' WHEN 'O' THEN 'open' ELSE 'live' END AS raw_status, o.launched_at,
   CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE coalesce(o.n, 0) END AS resolved_reports,
-  c_custkey % 41 = 0 AS invite_only, c_custkey % 53 = 0 AS kyc_required
+  c_custkey % 41 = 0 AS invite_only, c_custkey % 53 = 0 AS kyc_required, CASE c_custkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN NULL ELSE 'GBP' END AS currency,
+  CASE c_custkey % 6 WHEN 0 THEN 'program-defined' WHEN 1 THEN 'full' ELSE NULL END AS safe_harbor, CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END AS disclosure_allowed,
+  CASE c_custkey % 31 WHEN 0 THEN 'IN,US' WHEN 1 THEN 'FR' ELSE '' END AS countries,
+  CASE c_custkey % 29 WHEN 0 THEN 'Solidity on a web3 testnet, see the Open' WHEN 1 THEN 'Written in Rust: lib.rs and main.go' WHEN 2 THEN 'An API in TypeScript and app.tsx, runs in Docker' WHEN 3 THEN 'Python service.py for machine learning' WHEN 4 THEN 'C language core.c and parts.cpp'
+   WHEN 5 THEN 'Kotlin, Swift and Java apps with firmware' WHEN 6 THEN 'A dependency scanner in PHP and Ruby' WHEN 7 THEN 'Open source JavaScript, your own account' WHEN 8 THEN '' WHEN 9 THEN ' Golang, AI and an LLM ' WHEN 10 THEN 'Invite-only for now' WHEN 11 THEN 'only by mail; our smart'
+   WHEN 12 THEN 'the repo is on a GraphQL host; use go' WHEN 13 THEN 'said aid apis capital scanned javas' ELSE NULL END AS policy_text
 FROM customer LEFT JOIN (SELECT o_custkey, right(max(CAST(o_orderdate AS VARCHAR(30)) || o_orderstatus), 1) AS s, min(o_orderdate) AS launched_at,
   sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS n FROM orders {where} GROUP BY o_custkey) o ON o.o_custkey = c_custkey
-UNION ALL SELECT 'MACHINERY', -s_suppkey, 'Program ' || CAST(900000 + s_suppkey AS VARCHAR(20)), 50, 'https://program' || CAST(s_suppkey AS VARCHAR(20)) || '.example.org/policy', s_acctbal * 10, NULL, 'open', NULL, CAST(s_suppkey % 7 AS BIGINT), false, false FROM supplier WHERE s_suppkey % 10 = 3
+UNION ALL SELECT 'MACHINERY', -s_suppkey, 'Program ' || CAST(900000 + s_suppkey AS VARCHAR(20)), 50, 'https://program' || CAST(s_suppkey AS VARCHAR(20)) || '.example.org/policy', s_acctbal * 10, NULL, 'open', NULL, CAST(s_suppkey % 7 AS BIGINT), false, false, NULL, NULL, NULL, '', NULL FROM supplier WHERE s_suppkey % 10 = 3
 """
 
 _TARGETS = """
@@ -34,7 +42,9 @@ SELECT o_custkey AS record_no, l_orderkey * 10 + l_linenumber AS ordinal, o_orde
   CASE p_type WHEN 'ECONOMY' THEN 'source_code' WHEN 'SMALL' THEN 'api' WHEN 'MEDIUM' THEN 'web_application' WHEN 'LARGE' THEN 'smart_contract' WHEN 'PROMO' THEN 'android' ELSE 'executable' END AS raw_type,
   CASE p_type WHEN 'ECONOMY' THEN 'https://github.com/' || replace(p_brand, '#', '') || '/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR(20)) || '/tree/main' || CASE WHEN p_partkey % 5 = 0 THEN '/parser/network' ELSE '' END
     WHEN 'SMALL' THEN 'api.' || CAST(p_partkey AS VARCHAR(20)) || '.example.org' WHEN 'LARGE' THEN '0x' || lpad(CAST(p_partkey % 150 AS VARCHAR(20)), 40, '0')
-    ELSE ' https://login' || CAST(p_partkey AS VARCHAR(20)) || '.example.org/  oauth ' END AS value
+    ELSE ' https://login' || CAST(p_partkey AS VARCHAR(20)) || '.example.org/  oauth ' END AS value,
+  CASE p_partkey % 17 WHEN 0 THEN 'Multi-tenant console with RBAC' WHEN 1 THEN 'Agent that reads mail' WHEN 2 THEN 'Checkout and billing' WHEN 3 THEN 'the wallet' WHEN 4 THEN 'Signing service' WHEN 5 THEN 'a multi' WHEN 6 THEN 'contract for upgrades' WHEN 7 THEN 'code by hand' WHEN 8 THEN 'language models' WHEN 9 THEN 'protobuf codec over the network' ELSE NULL END AS description,
+  CASE p_partkey % 17 WHEN 3 THEN 'core keys' WHEN 5 THEN 'tenant data' WHEN 9 THEN 'Critical' WHEN 12 THEN '' ELSE NULL END AS impact
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey {where}
 """
 
@@ -60,6 +70,9 @@ SELECT {_REPO} AS repo_key, CASE doc_id % 7 WHEN 0 THEN 'SECURITY.md' WHEN 1 THE
  text || CASE WHEN doc_id % 19 = 0 THEN ' Semgrep and TRIVY' ELSE '' END || CASE WHEN doc_id % 23 = 0 THEN ' func FuzzParse(f)' ELSE '' END AS text, doc_id % 9 = 0 AS failed FROM documents JOIN part ON p_partkey = floor(doc_id / 4)""",
     "fx_compare": f"""
 SELECT {_REPO} AS repo_key, 'src/' || CAST(l_suppkey AS VARCHAR(20)) || '.go' AS path, CASE l_linenumber % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' ELSE 'removed' END AS status FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type = 'ECONOMY'""",
+    "fx_repo_meta": f"""
+SELECT {_REPO} AS repo_key, CASE WHEN p_partkey % 11 = 0 THEN 'pending' ELSE 'ok' END AS status, p_partkey % 97 * 100 AS stars, CASE p_partkey % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'master' ELSE 'consensus' END AS default_branch,
+ CASE p_partkey % 4 WHEN 0 THEN 'Go' WHEN 1 THEN 'C,Python' WHEN 2 THEN 'Python,Rust' ELSE '' END AS languages FROM part WHERE p_type = 'ECONOMY'""",
     "fx_advisories": f"""
 SELECT {_REPO} AS repo_key, CASE l_linenumber % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'published' WHEN 2 THEN 'closed' WHEN 3 THEN 'triage' ELSE 'Draft' END AS state, l_shipdate AS updated_at, 'Pkg' || CAST(l_suppkey % 50 AS VARCHAR(20)) AS package FROM lineitem JOIN part ON p_partkey = l_partkey""",
     "fx_records": _RECORDS.format(where=""),
@@ -84,6 +97,11 @@ FROM pages""",
 }
 
 
+def present(programs: DataFrame) -> DataFrame:
+    """The current snapshot without every 37th program, for what is asked about programs that went."""
+    return programs.where("CAST(substring(merge_key, 9) AS INT) % 37 <> 0")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One adapter's rows. Tables are read by path; nothing is registered in the session."""
     sql, used = VIEWS[name].replace("{", "{{").replace("}", "}}"), {}

@@ -91,7 +91,7 @@ def test_scan_skips_what_does_not_fit(spark):
 
 
 def test_changes_and_grace(spark):
-    cols = "program_id string, merge_key string, name string, platform string, url string, status string, paid boolean, min_reward double, max_reward double, launched_at timestamp, resolved_reports long, invite_only boolean, kyc_required boolean, source_ids array<string>, tags array<string>"
+    cols = "program_id string, merge_key string, name string, platform string, url string, status string, paid boolean, min_reward double, max_reward double, launched_at timestamp, resolved_reports long, invite_only boolean, kyc_required boolean, source_ids array<string>, tags array<string>, currency string, safe_harbor string, disclosure_allowed boolean, countries array<string>, languages array<string>"
     mk = lambda k, **kw: tuple((dict(program_id="program:" + k, merge_key=k, name=k, platform="p", url="u", status="open", paid=True, source_ids=["s"], tags=[]) | kw).get(c.split()[0]) for c in cols.split(", "))
     now = spark.createDataFrame([mk("same"), mk("new"), mk("up", max_reward=9.0), mk("back"), mk("other", url="v"), mk("target")], cols)
     old = spark.createDataFrame([mk("same"), mk("up", max_reward=1.0), mk("back", status="closed"), mk("other"), mk("target"), mk("gone")], cols)
@@ -132,8 +132,8 @@ def test_low_exclusion_gives_a_floor(spark):
 
 
 def test_changes_are_carried_over_and_a_first_import_is_no_news(spark):
-    cols = "program_id string, merge_key string, name string, platform string, url string, status string, paid boolean, min_reward double, max_reward double, launched_at timestamp, resolved_reports long, invite_only boolean, kyc_required boolean, source_ids array<string>, tags array<string>"
-    one = spark.createDataFrame([("p", "m", "n", "x", "u", "open", True, None, 5.0, None, None, False, False, ["s"], [])], cols)
+    cols = "program_id string, merge_key string, name string, platform string, url string, status string, paid boolean, min_reward double, max_reward double, launched_at timestamp, resolved_reports long, invite_only boolean, kyc_required boolean, source_ids array<string>, tags array<string>, currency string, safe_harbor string, disclosure_allowed boolean, countries array<string>, languages array<string>"
+    one = spark.createDataFrame([("p", "m", "n", "x", "u", "open", True, None, 5.0, None, None, False, False, ["s"], [], None, None, None, [], [])], cols)
     none = spark.createDataFrame([], "merge_key string, target_key string")
     same = diff.diff_targets(none, none)
     kept = diff.classify_change(one, one.withColumn("change_type", F.lit("reward_up")), same)
