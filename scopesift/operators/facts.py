@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +38,9 @@ LOCAL_WORDS = (r"local(?:ly)?|testnet|sandbox|docker|self-host|researcher-owned|
 
 NAMES = [*TAG_WORDS, *LANGUAGE_WORDS, "local"]
 PATTERNS = [*TAG_WORDS.values(), *LANGUAGE_WORDS.values(), LOCAL_WORDS]
-# phrases of two words: pattern, first word, second word
-_PHRASES = [("blockchain", "smart", "contract"), ("ai/ml", "machine", "learning"), ("security-tooling", "security", "tool"), ("source-code", "source", "code"),
-            ("source-code", "open", "source"), ("go", "go", "code"), ("c", "c", "language"), ("local", "own", "account")]
+# phrases of two words that a pattern may find across a space: name, first word, second word, pattern
+_PHRASES = [("blockchain", "smart", "contract", "smart contract"), ("ai/ml", "machine", "learning", "machine learning"), ("security-tooling", "security", "tool", "security tool"), ("source-code", "source", "code", "source code"),
+            ("source-code", "open", "source", "open source"), ("go", "go", "code", r"\bgo code\b"), ("c", "c", "language", r"\bc language\b"), ("local", "own", "account", "own account")]
 
 
 def _named(bits: Column, names) -> Column:
@@ -67,8 +69,8 @@ def record_facts(records: DataFrame, targets: DataFrame) -> DataFrame:
     nothing = lambda c: F.when(F.col(c) != "", F.col(c))
     own = records.select("record_no", flags.told(F.col("policy_text"), PATTERNS).alias("t"))
     each = targets.select("record_no", "target_key", "type", "value", flags.told(F.concat_ws(" ", nothing("value"), nothing("description"), nothing("impact")), PATTERNS).alias("t"))
-    first = flags.bits(F.col("t.ends"), [(f"{a}$", [a]) for _, a, _ in _PHRASES])
-    second = flags.bits(F.col("t.ends"), [(f"^{b}", [b]) for _, _, b in _PHRASES])
+    first = flags.bits(F.col("t.ends"), [(f"{a}$", [a]) for _, a, _, _ in _PHRASES])
+    second = flags.bits(F.col("t.ends"), [(f"^{b}", [b]) for _, _, b, _ in _PHRASES])
     zero = F.lit(0)
     got = each.groupBy("record_no").agg(
         F.count("*").alias("target_count"), F.count_if((F.col("type") == "source-code") | F.col("value").rlike(HOSTED)).alias("repository_count"),
@@ -78,7 +80,8 @@ def record_facts(records: DataFrame, targets: DataFrame) -> DataFrame:
     near = df.where(seam).select("record_no")
     rows = own.withColumn("target_key", F.lit("")).select("record_no", "target_key", "t").unionByName(each.select("record_no", "target_key", "t")).join(near, "record_no", "left_semi").where("t.ends IS NOT NULL")
     pair = F.concat_ws(" ", "t.ends", F.lead("t.ends").over(Window.partitionBy("record_no").orderBy("target_key")))
-    across = rows.select("record_no", flags.bits(pair, PATTERNS).alias("b")).groupBy("record_no").agg(F.bit_or("b").alias("across"))
+    found = reduce(Column.bitwiseOR, (F.when(pair.rlike(p), 1 << NAMES.index(n)).otherwise(0) for n, _, _, p in _PHRASES))
+    across = rows.select("record_no", found.alias("b")).groupBy("record_no").agg(F.bit_or("b").alias("across"))
     df = df.join(across, "record_no", "left")
     every = F.col("own_bits").bitwiseOR(F.coalesce("bits", zero)).bitwiseOR(F.coalesce("across", zero))
     none = F.array().cast("array<string>")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cache, evidence, feeds, repo, score, state
+from ..operators import cache, diff, evidence, feeds, repo, score, state
 from ..sources import sinks
 from ..sources.fixtures import AUDITED, BEFORE, NOW, NOW_LIVE, present, view
 from ..streaming import reconcile
@@ -78,9 +78,11 @@ def _union(s, d):
 def _state(s, d):
     to = sinks.folder(s, "state")
     columns = ["program_id", "name", "status", "max_reward"]
-    sinks.write_state(flow.merged(s, d, True)[0].select(columns), to, _RUN_BEFORE)
-    sinks.write_state(flow.merged(s, d)[0].select(columns), to, _RUN)
-    return sinks.read_state(s, to)
+    for run, before in ((_RUN_BEFORE, True), (_RUN, False), (_RUN, False)):  # the last run is repeated
+        programs, targets = flow.merged(s, d, before)
+        sinks.write_state({"programs": programs.select(columns), "targets": targets.select("merge_key", "target_key")}, to, run)
+    n = sinks.read_state(s, to, "targets").groupBy(F.concat(F.lit("program:"), "merge_key").alias("program_id")).agg(F.count("*").alias("targets"))
+    return sinks.read_state(s, to, "programs").join(n, "program_id", "left")
 
 
 def _exports(s, d):
@@ -90,13 +92,26 @@ def _exports(s, d):
     return got.select("name", "platform", "workflow", F.col("ev_score").cast("double"), F.col("max_reward").cast("double"), F.col("reward_capped").cast("boolean"), "reason", "url")
 
 
-def _stream(s, d):
+def _polled(s, d) -> str:
+    """Both snapshots landed and taken in; where the state is."""
     landed, to, at = (sinks.folder(s, x) for x in ("landed", "state", "stream"))
     for run, before in ((_RUN_BEFORE, True), (_RUN, False)):
-        programs = flow.merged(s, d, before)[0]
-        (programs if before else present(programs)).select("merge_key", "status", "max_reward").write.parquet(f"{landed}/run_ts={run}")
-    reconcile.incremental_reconcile(s, landed, to, at)
-    return sinks.read_state(s, to)
+        programs, targets = flow.merged(s, d, before)
+        programs = (programs if before else present(programs)).select("program_id", "merge_key", *diff.CORE)
+        targets = targets.select("merge_key", "target_key", "type", "value", "added_at").join(programs.select("merge_key"), "merge_key", "left_semi")
+        targets.write.parquet(f"{landed}/targets/run_ts={run}")
+        programs.write.parquet(f"{landed}/programs/run_ts={run}")
+    reconcile.incremental_reconcile(s, landed, to, at, programs.schema, targets.schema)
+    return to
+
+
+def _stream(s, d):
+    seen = ("first_seen_at", "last_seen_at", "last_changed_at")
+    return sinks.read_state(s, _polled(s, d), "programs").select("merge_key", "status", "max_reward", "currency", "change_type", "change_at", *seen, "missing_count")
+
+
+def _stream_targets(s, d):
+    return sinks.read_state(s, _polled(s, d), "targets").select("merge_key", "target_key", "first_seen_at")
 
 
 QUERIES = {
@@ -118,6 +133,7 @@ QUERIES = {
     "sink_state": _state,
     "sink_exports": _exports,
     "incremental_reconcile": _stream,
+    "incremental_targets": _stream_targets,
 }
 
 # --- SQL ---
@@ -176,6 +192,9 @@ CTES["presult"] = "SELECT program_id, CASE WHEN target_count % 2 = 0 THEN 'faile
 CTES["lcache"] = f"SELECT DISTINCT address, CASE WHEN address LIKE '%3' THEN 'pending' ELSE 'ok' END AS status, CASE WHEN address LIKE '%5' THEN {LIVE_AT} - INTERVAL 3 HOURS ELSE {LIVE_AT} - INTERVAL 10 HOURS END AS fetched_at FROM fx_live_tx WHERE right(address, 1) IN ('1', '5', '3')"
 CTES["lresult"] = f"SELECT l.address, l.tx_30d, CASE WHEN right(l.address, 1) IN ('1', '2') THEN 'failed' ELSE 'ok' END AS status FROM live l LEFT JOIN lcache c ON c.address = l.address WHERE c.address IS NULL OR c.fetched_at <= {LIVE_AT} - INTERVAL 6 HOURS"
 
+_WAS = f"TIMESTAMP '{BEFORE}'"
+CTES["here"] = "SELECT * FROM prog WHERE CAST(substr(merge_key, 9) AS INTEGER) % 37 <> 0"
+
 ORACLES = {k: chain(x) for k, x in {
     "src_feeds": "SELECT source_id, page_no, ordinal, name FROM feed_n",
     "src_nested_targets": "SELECT * FROM feed_t WHERE value <> ''",
@@ -192,7 +211,12 @@ ORACLES = {k: chain(x) for k, x in {
     "live_upsert": f"SELECT address, CASE WHEN r.status = 'ok' THEN 'ok' WHEN r.status IS NULL OR c.status = 'ok' THEN c.status ELSE 'pending' END AS status, CASE WHEN r.status = 'ok' THEN {LIVE_AT} WHEN r.status IS NULL OR c.status = 'ok' THEN c.fetched_at END AS fetched_at, CASE WHEN r.status = 'failed' THEN 'no answer' END AS last_error, CASE WHEN r.status = 'ok' THEN right(address, 1) <> '3' WHEN r.status IS NULL OR c.status = 'ok' THEN true END AS deployed, CAST(CASE WHEN r.status = 'ok' THEN r.tx_30d WHEN r.status IS NULL OR c.status = 'ok' THEN 7 END AS BIGINT) AS tx_30d FROM lcache c FULL JOIN lresult r USING (address)",
     "audit_match": "SELECT program_id, target_key, aud.no AS audit_no, CASE WHEN fresh_code_index - fresh_at <= 40 THEN 'audited ' || verdict || ' target: ' || key END AS audit_reason FROM aud JOIN ev USING (program_id, target_key) LEFT JOIN audits ON audits.no = aud.no",
     "trap_assertions": "SELECT * FROM checks",
-    "sink_state": "SELECT program_id, name, status, max_reward FROM prog",
+    "sink_state": "SELECT program_id, name, status, max_reward, CASE WHEN target_count > 0 THEN target_count END AS targets FROM prog",
     "sink_exports": "SELECT name, platform, workflow, ev_score, max_reward, coalesce(max_reward > 50000, false) AS reward_capped, reason, url FROM best",
-    "incremental_reconcile": f"SELECT merge_key, CASE WHEN p.program_id IS NULL THEN 'stale' ELSE p.status END AS status, CASE WHEN p.program_id IS NULL THEN o.max_reward ELSE p.max_reward END AS max_reward, k AS change_type, CASE WHEN k = 'baseline' THEN '{_RUN_BEFORE}' ELSE '{_RUN}' END AS changed_at, CAST(CASE WHEN p.program_id IS NULL THEN 1 ELSE 0 END AS BIGINT) AS missing_count FROM (SELECT merge_key, p, o, CASE WHEN p IS NULL THEN 'baseline' WHEN o IS NULL THEN 'new_program' WHEN coalesce(p.max_reward, 0) > coalesce(o.max_reward, 0) THEN 'reward_up' WHEN o.status <> 'open' AND p.status = 'open' THEN 'reactivated' WHEN p.status IS DISTINCT FROM o.status OR p.max_reward IS DISTINCT FROM o.max_reward THEN 'scope_updated' ELSE 'baseline' END AS k FROM (SELECT merge_key, prog AS p FROM prog WHERE CAST(substr(merge_key, 9) AS INTEGER) % 37 <> 0) FULL JOIN (SELECT merge_key, prog_before AS o FROM prog_before) USING (merge_key))",
+    "incremental_reconcile": f"""SELECT merge_key, CASE WHEN p.merge_key IS NULL THEN 'stale' ELSE p.status END AS status, CASE WHEN p.merge_key IS NULL THEN o.max_reward ELSE p.max_reward END AS max_reward, CASE WHEN p.merge_key IS NULL THEN o.currency ELSE p.currency END AS currency,
+ coalesce(c.change_type, 'baseline') AS change_type, CASE WHEN c.change_type <> 'baseline' THEN {AT} ELSE {_WAS} END AS change_at, CASE WHEN o.merge_key IS NULL THEN {AT} ELSE {_WAS} END AS first_seen_at,
+ CASE WHEN c.change_type <> 'baseline' THEN {AT} ELSE {_WAS} END AS last_seen_at, CASE WHEN c.change_type <> 'baseline' THEN {AT} ELSE {_WAS} END AS last_changed_at, CAST(CASE WHEN p.merge_key IS NULL THEN 1 ELSE 0 END AS BIGINT) AS missing_count
+ FROM here p FULL JOIN prog_before o USING (merge_key) LEFT JOIN (SELECT c.* FROM chg c JOIN here USING (merge_key)) c USING (merge_key)""",
+    "incremental_targets": f"""SELECT merge_key, target_key, coalesce(b.added_at, t.added_at, {AT}) AS first_seen_at FROM (SELECT t.* FROM merged_t t JOIN here USING (merge_key)) t FULL JOIN merged_t_before b USING (merge_key, target_key)
+ WHERE t.target_key IS NOT NULL OR merge_key NOT IN (SELECT merge_key FROM here)""",
 }.items()}

@@ -49,7 +49,7 @@ def rank_of(x: str) -> str:
     return f"CASE {x} WHEN 'INFORMATIVE' THEN 0 WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END"
 
 
-CTES: dict[str, str] = dict(VIEWS)
+CTES: dict[str, str] = {k: x.replace("TIMESTAMP_NTZ", "TIMESTAMP") for k, x in VIEWS.items()}
 CTES["norm_t"] = r"""SELECT record_no, ordinal, added_at, description, impact, type, value, substr(sha256(type || ':' || lower(regexp_replace(value, '\s+', ' ', 'g'))), 1, 16) AS target_key FROM
  (SELECT record_no, ordinal, trim(value) AS value, added_at, eligible, substr(description, 1, 600) AS description, substr(impact, 1, 120) AS impact,
   CASE WHEN regexp_matches(x, '(source|repository|github|gitlab)') THEN 'source-code' WHEN regexp_matches(x, '(smart.?contract|blockchain-contract)') THEN 'smart-contract' WHEN regexp_matches(x, '(api|graphql)') THEN 'api'

@@ -81,7 +81,7 @@ SELECT {_REPO} AS repo_key, CASE l_linenumber % 5 WHEN 0 THEN 'open' WHEN 1 THEN
     "fx_targets_before": _TARGETS.format(where=f"WHERE o_orderdate < TIMESTAMP '{BEFORE}'"),
     "fx_repo_commits": """
 SELECT lower(replace(p_brand, '#', '') || '/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR(20))) AS repo_key, l_orderkey AS sha, l_suppkey AS author,
-  l_shipdate AS committed_at, l_quantity * 40 AS additions FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type = 'ECONOMY'""",
+  CASE WHEN p_partkey % 23 = 0 THEN CAST('2001-10-20 00:00:00' AS TIMESTAMP_NTZ) ELSE l_shipdate END AS committed_at, l_quantity * 40 AS additions FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type = 'ECONOMY'""",
     "fx_blobs": """
 SELECT lower(replace(p_brand, '#', '') || '/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR(20))) AS repo_key,
   CASE WHEN doc_id % 2 = 0 THEN 'test/' ELSE 'src/' END || lang || '/' || CAST(doc_id AS VARCHAR(20)) || CASE WHEN doc_id % 13 = 0 THEN '_exploit' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN '_test' ELSE '' END || '.go' AS path,

@@ -5,7 +5,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from scopesift.functions.exprs import half_up
-from scopesift.operators import cache, diff, evidence, feeds, merge, rank, value
+from scopesift.operators import cache, diff, evidence, feeds, merge, rank, state, value
 from scopesift.sources import sinks
 from scopesift.streaming import reconcile
 
@@ -170,20 +170,119 @@ def test_feeds_in_all_shapes(spark):
     assert {r.page_no: (r.min_reward, r.max_reward) for r in feeds.norm_rewards(records).collect()} == {0: (0.0, None), 4: (None, 1.5)}
 
 
+PROGRAM = "program_id string, merge_key string, name string, platform string, url string, status string, paid boolean, currency string, min_reward double, max_reward double, safe_harbor string, disclosure_allowed boolean, launched_at timestamp_ntz, resolved_reports long, invite_only boolean, kyc_required boolean, countries array<string>, source_ids array<string>, tags array<string>, languages array<string>"
+TARGET = "merge_key string, target_key string, added_at timestamp_ntz"
+
+
+def programs_of(spark, rows):
+    own = {"platform": "p", "url": "u", "paid": True, "countries": [], "source_ids": ["s"], "tags": [], "languages": []}
+    names = [c.split()[0] for c in PROGRAM.split(", ")]
+    return spark.createDataFrame([tuple(({"program_id": f"program:{k}", "merge_key": k, "name": k, "status": status, "max_reward": reward} | own).get(n) for n in names) for k, status, reward in rows], PROGRAM)
+
+
 def test_stream_takes_polls_in_order_and_again(spark):
-    landed, state_at, at = (sinks.folder(spark, x) for x in ("landed", "state", "stream"))
-    poll = lambda run, rows: spark.createDataFrame(rows, "merge_key string, status string, max_reward double").write.parquet(f"{landed}/run_ts={run}")
-    poll("2026-01-01", [("a", "open", 1.0), ("b", "open", 1.0), ("c", "closed", None)])
-    reconcile.incremental_reconcile(spark, landed, state_at, at)
-    assert {r.change_type for r in sinks.read_state(spark, state_at).collect()} == {"baseline"}
-    poll("2026-01-02", [("a", "open", 2.0), ("c", "open", None), ("d", "open", None)])
-    reconcile.incremental_reconcile(spark, landed, state_at, at)
-    got = {r.merge_key: (r.status, r.change_type, r.missing_count) for r in sinks.read_state(spark, state_at).collect()}
-    assert got == {"a": ("open", "reward_up", 0), "b": ("stale", "baseline", 1), "c": ("open", "reactivated", 0), "d": ("open", "new_program", 0)}
-    poll("2026-01-03", [("a", "open", 2.0)])
-    reconcile.incremental_reconcile(spark, landed, state_at, at)
-    got = {r.merge_key: (r.status, r.change_type, r.missing_count) for r in sinks.read_state(spark, state_at).collect()}
-    assert got["a"] == ("open", "reward_up", 0) and "b" not in got  # carried over; the second miss drops
+    landed, to, at = (sinks.folder(spark, x) for x in ("landed", "state", "stream"))
+
+    def poll(run, rows, targets):
+        spark.createDataFrame([(*t, None) for t in targets], TARGET).write.parquet(f"{landed}/targets/run_ts={run}")
+        programs_of(spark, rows).write.parquet(f"{landed}/programs/run_ts={run}")
+        reconcile.incremental_reconcile(spark, landed, to, at, programs_of(spark, []).schema, spark.createDataFrame([], TARGET).schema)
+        return {r.merge_key: (r.status, r.change_type, str(r.change_at)[:10], str(r.first_seen_at)[:10], str(r.last_seen_at)[:10], str(r.last_changed_at)[:10], r.missing_count) for r in sinks.read_state(spark, to, "programs").collect()}
+
+    one, two, three, four = (f"2026-01-0{i}" for i in range(1, 5))
+    got = poll(one, [("a", "open", 1.0), ("b", "open", 1.0), ("c", "closed", None), ("t", "open", 1.0)], [("a", "k1"), ("b", "k2"), ("t", "k3")])
+    assert set(got.values()) == {("open", "baseline", one, one, one, one, 0), ("closed", "baseline", one, one, one, one, 0)} and sinks.read_state(spark, to, "events").count() == 0
+    got = poll(two, [("a", "open", 2.0), ("c", "open", None), ("d", "open", None), ("t", "open", 1.0)], [("a", "k1"), ("t", "k3"), ("t", "k4")])
+    assert got == {"a": ("open", "reward_up", two, one, two, two, 0), "b": ("stale", "baseline", one, one, one, one, 1), "c": ("open", "reactivated", two, one, two, two, 0),
+                   "d": ("open", "new_program", two, two, two, two, 0), "t": ("open", "new_target", two, one, two, two, 0)}
+    assert {(r.merge_key, r.target_key, str(r.first_seen_at)[:10]) for r in sinks.read_state(spark, to, "targets").collect()} == {("a", "k1", two), ("b", "k2", "None"), ("t", "k3", two), ("t", "k4", two)}
+    assert sinks.read_state(spark, to, "events").count() == 4
+    got = poll(three, [("a", "open", 2.0), ("t", "open", 1.0)], [("a", "k1"), ("t", "k4")])
+    assert got == {"a": ("open", "reward_up", two, one, two, two, 0), "t": ("open", "scope_updated", three, one, three, three, 0), "c": ("stale", "reactivated", two, one, two, two, 1), "d": ("stale", "new_program", two, two, two, two, 1)}
+    # an unchanged poll carries everything over, without news; a program's second miss drops it
+    got = poll(four, [("a", "open", 2.0), ("t", "open", 1.0), ("b", "open", 1.0)], [("a", "k1"), ("t", "k4")])
+    assert got == {"a": ("open", "reward_up", two, one, two, two, 0), "t": ("open", "scope_updated", three, one, three, three, 0), "b": ("open", "new_program", four, four, four, four, 0)}
+    assert [r.program_id for r in sinks.read_state(spark, to, "events").collect()] == ["program:b"] and sinks.versions(spark, to) == [one, two, three, four]
+
+
+def test_state_is_published_whole(spark, monkeypatch):
+    to = sinks.folder(spark, "state")
+    table = lambda n: spark.range(n)
+    seen = lambda: tuple(sinks.read_state(spark, to, t).count() for t in ("a", "b"))
+    sinks.write_state({"a": table(1), "b": table(2)}, to, "1")
+    broken = table(3).selectExpr("raise_error('lost') AS id")
+    with pytest.raises(Exception, match="lost"):  # between the two tables
+        sinks.write_state({"a": table(5), "b": broken}, to, "2")
+    assert seen() == (1, 2) and sinks.versions(spark, to) == ["1"]
+    sinks.write_state({"a": table(5), "b": table(6)}, to, "2")
+    reader = sinks.read_state(spark, to, "a", "2")
+    sinks.write_state({"a": table(7), "b": table(8)}, to, "2")  # repeated: who reads the attempt before goes on
+    assert seen() == (7, 8) and reader.count() == 5 and sinks.read_state(spark, to, "b", "1").count() == 2
+    sinks.expire_state(spark, to, keep=1)
+    assert seen() == (7, 8) and sinks.versions(spark, to) == ["2"]
+
+
+def test_lifecycles_do_not_move_on_carried_changes(spark):
+    changes = spark.createDataFrame([("p", "m", "reward_up", False), ("q", "n", "reward_up", True), ("r", "o", "baseline", False)], "program_id string, merge_key string, change_type string, is_new boolean")
+    old = spark.createDataFrame([("m",), ("n",)], "merge_key string").selectExpr("merge_key", *(f"TIMESTAMP_NTZ '2026-01-01 00:00:00' AS {c}" for c in reconcile.SEEN))
+    got = {r.program_id: (r.first_seen_at.day, r.last_seen_at.day, r.last_changed_at.day) for r in state.program_lifecycle(changes, old, NOW).collect()}
+    assert got == {"p": (1, 1, 1), "q": (1, 31, 31), "r": (31, 31, 31)}
+
+
+def test_flags_across_seams(spark):
+    """Flags of parts, joined, are those of the whole text, for every pattern and phrase."""
+    import itertools
+    import re
+
+    from scopesift.operators import value
+
+    words = ["wallet", "core", "Account", "LINK", "multi", "tenant", "k8s", "operator", "prompt", "inject", "smart", "contract", "ai", "mosaic", "rag", "evm", "éevm", "x" * 30, "", "aid", "wallet-core"]
+    rows = [(a, b, c, d) for (a, b), (c, d) in zip(itertools.product(words, words), itertools.cycle(itertools.product(words[::-1], words[3:])))]
+    df = spark.createDataFrame([(i, a, b, "", [c] if c else [], [d] if d else []) for i, (a, b, c, d) in enumerate(rows)], "i int, name string, type string, value string, tags array<string>, spoken array<string>")
+    df = df.selectExpr("*", "cast(null AS string) AS repo_key", "cast(null AS array<string>) AS languages")
+    for r in value.search_flags(df).collect():
+        text = " ".join(x for x in rows[r.i] if x)
+        want = [bool(re.search(p, text, re.I | re.A)) for p, _ in value.ROUTING.values()]
+        assert [bool(r.marks >> k & 1) for k in range(len(want))] == want, text
+
+
+def test_needles_stand_in_every_match():
+    """Each pattern's texts: no match is without one of them."""
+    import random
+    import re
+
+    from scopesift.operators import facts, value
+
+    rng = random.Random(7)
+    for p, needles in [*value.ROUTING.values(), *facts.TAG_WORDS.values(), *facts.LANGUAGE_WORDS.values(), facts.LOCAL_WORDS, value.INVITE_WORDS]:
+        bits = [w for w in re.split(r"[^a-z0-9+.]+", p.replace("\\b", " ").replace("\\", "")) if w] + needles + [" ", "-", "_", "x", "."]
+        for _ in range(3_000):
+            text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 5)))
+            assert not re.search(p, text) or any(n in text for n in needles), (p, text)
+
+
+def test_record_facts_of_whole_texts(spark):
+    """Tags, languages and hints of a record's joined text, with phrases across its texts."""
+    import re
+
+    from scopesift.operators import facts
+
+    rng_texts = ["smart", "contract", "machine", "learning now", "go", "code", "C", "language", "open", "Source", "own", "account", "security", "tools", "app.tsx", "Go code", "éapi", "api", "", "main.go,", "javascript"]
+    own = [(i, rng_texts[i % len(rng_texts)]) for i in range(60)]
+    targets = [(i, f"k{j}", "web", rng_texts[(i * 7 + j * 3 + 1) % len(rng_texts)] or "v", rng_texts[(i + j * 5) % len(rng_texts)], rng_texts[(i * 3 + j) % len(rng_texts)]) for i in range(60) for j in range(i % 4)]
+    got = facts.record_tags(facts.record_facts(spark.createDataFrame(own, "record_no long, policy_text string"), spark.createDataFrame(targets, "record_no long, target_key string, type string, value string, description string, impact string"))).collect()
+    assert len(got) == 60
+    for r in got:
+        text = " ".join(x for x in [own[r.record_no][1], *(x for t in sorted(t for t in targets if t[0] == r.record_no) for x in t[3:])] if x)
+        fit = lambda words: {n for n, (p, _) in words.items() if re.search(p, text, re.I | re.A)}
+        assert set(r.tags) - {"web"} == fit(facts.TAG_WORDS), text
+        assert set(r.languages) == fit(facts.LANGUAGE_WORDS) and r.local_testing_hint == bool(re.search(facts.LOCAL_WORDS[0], text, re.I))
+
+
+def test_policy_texts_in_lead_order(spark):
+    rows = [("m", 2, "second " * 30_000), ("m", 1, " first "), ("m", 3, "never"), ("n", 1, None), ("n", 2, " x"), ("o", 1, "")]
+    got = {r.merge_key: r.policy_text for r in merge.merge_policy_text(spark.createDataFrame(rows, "merge_key string, lead_rank int, policy_text string")).collect()}
+    assert got == {"m": ("first " + "second " * 30_000)[:150_000], "n": "x"}
 
 
 def test_export_quotes(spark):
