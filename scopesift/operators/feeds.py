@@ -38,8 +38,8 @@ def src_feeds(feeds: DataFrame) -> DataFrame:
     return df.where("name <> ''").select("source_id", "adapter", "page_no", "ordinal", "name", "raw")
 
 
-def src_nested_targets(records: DataFrame) -> DataFrame:
-    """One row per target of a record of src_feeds: the first array or object among TARGET_PATHS; an object's arrays follow one
+def target_values(records: DataFrame) -> DataFrame:
+    """One row per target of a record of src_feeds as t, a VARIANT: the first array or object among TARGET_PATHS; an object's arrays follow one
     another by key. The domain adapter has plain domains."""
     raw = F.col("raw")
 
@@ -49,11 +49,15 @@ def src_nested_targets(records: DataFrame) -> DataFrame:
 
     chosen = F.coalesce(*(F.when(F.schema_of_variant(v).rlike("^(ARRAY|OBJECT)"), v) for v in (_told(raw, p) for p in TARGET_PATHS)))
     domains = F.col("adapter") == "projectdiscovery"
-    df = records.select("source_id", "page_no", "ordinal", domains.alias("plain"), F.posexplode(F.when(domains, items(_told(raw, "domains"))).otherwise(items(chosen))).alias("target_no", "t"))
+    return records.select("source_id", "page_no", "ordinal", domains.alias("plain"), F.posexplode(F.when(domains, items(_told(raw, "domains"))).otherwise(items(chosen))).alias("target_no", "t"))
+
+
+def src_nested_targets(records: DataFrame) -> DataFrame:
+    """The targets' types and values as they stand."""
     t = F.col("t")
     value = F.trim(F.coalesce(F.when(F.schema_of_variant(t) == "STRING", F.try_variant_get(t, "$", "string")), _first_text(t, TARGET_VALUES)))
     kind = F.when(F.col("plain"), F.lit("domain")).otherwise(_first_text(t, TARGET_TYPES))
-    return df.select("source_id", "page_no", "ordinal", "target_no", kind.alias("raw_type"), value.alias("value")).where("value <> ''")
+    return target_values(records).select("source_id", "page_no", "ordinal", "target_no", kind.alias("raw_type"), value.alias("value")).where("value <> ''")
 
 
 def _number(v: Column) -> Column:

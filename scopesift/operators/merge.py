@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fold
@@ -23,13 +23,23 @@ OPEN_WORDS = "(?i)^(active|enabled|open|opened|public|accepting|live)$"
 CLOSED_WORDS = "(?i)(closed|disabled|paused|retired|ended|inactive)"
 
 
-def norm_targets(raw: DataFrame) -> DataFrame:
-    """Trimmed values with a type and a key; blank and ineligible ones go (unknown counts as eligible)."""
-    text = F.replace(F.lower(F.coalesce("raw_type", F.lit("other"))), F.lit("_"), F.lit("-"))
+def target_type(raw: Column) -> Column:
+    """The type of the first pattern that fits, else the text itself."""
+    text = F.replace(F.lower(F.coalesce(raw, F.lit("other"))), F.lit("_"), F.lit("-"))
     kind = F.when(text == "", "other").otherwise(text)
     for name, pattern in reversed(TYPE_PATTERNS):
         kind = F.when(text.rlike(pattern), name).otherwise(kind)
-    df = raw.withColumns({"value": F.regexp_replace(F.coalesce("value", F.lit("")), r"(?U)^\s+|\s+$", ""), "type": kind})
+    return kind
+
+
+def merge_slug(name: Column) -> Column:
+    """The key by which records are one program: folded letters and digits, all else one dash."""
+    return F.substring(F.regexp_replace(F.regexp_replace(fold(name), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 96)
+
+
+def norm_targets(raw: DataFrame) -> DataFrame:
+    """Trimmed values with a type and a key; blank and ineligible ones go (unknown counts as eligible)."""
+    df = raw.withColumns({"value": F.regexp_replace(F.coalesce("value", F.lit("")), r"(?U)^\s+|\s+$", ""), "type": target_type(F.col("raw_type"))})
     key = F.substring(F.sha2(F.concat("type", F.lit(":"), F.lower(F.regexp_replace("value", r"(?U)\s+", " "))), 256), 1, 16)
     more = [F.substring(c, 1, n).alias(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c, n in (("description", 600), ("impact", 120))]
     return df.where("value <> ''").where(F.coalesce("eligible", F.lit(True))).select("record_no", "ordinal", key.alias("target_key"), "type", "value", "added_at", *more)
@@ -45,9 +55,8 @@ def norm_status(records: DataFrame) -> DataFrame:
     """Adds merge_key, status and paid."""
     raw = F.trim(F.coalesce("raw_status", F.lit("open")))
     status = F.when(raw.rlike(CLOSED_WORDS), "closed").when(raw.rlike(OPEN_WORDS) | (raw == ""), "open").otherwise(F.lower(raw))
-    slug = F.substring(F.regexp_replace(F.regexp_replace(fold(F.col("name")), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 96)
     paid = (F.coalesce("max_reward", F.lit(0.0)) > 0) | (F.coalesce("min_reward", F.lit(0.0)) > 0)
-    return records.withColumns({"merge_key": slug, "status": status, "paid": paid})
+    return records.withColumns({"merge_key": merge_slug(F.col("name")), "status": status, "paid": paid})
 
 
 def lead_rank(records: DataFrame) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cache, diff, evidence, feeds, repo, score, state
+from ..operators import cache, diff, evidence, feeds, normal, repo, score, state
 from ..sources import sinks
-from ..sources.fixtures import AUDITED, BEFORE, NOW, NOW_LIVE, present, view
+from ..sources.fixtures import AUDITED, BEFORE, FEEDS, NOW, NOW_LIVE, present, view
 from ..streaming import reconcile
 from . import flow
-from .oracle import AT, CTES, LIVE_AT, SENTINEL, D, chain, hit, q
+from .oracle import AT, CTES, LIVE_AT, SENTINEL, D, chain, hit, literal, q
 
 _RUN, _RUN_BEFORE = NOW[:10], BEFORE[:10]
 
@@ -114,9 +114,16 @@ def _stream_targets(s, d):
     return sinks.read_state(s, _polled(s, d), "targets").select("merge_key", "target_key", "first_seen_at")
 
 
+def _feed_programs(s, d):
+    got = normal.norm_programs(_records(s, d), s.createDataFrame(FEEDS, "source_id string, homepage string, url_template string, paid_only boolean, priority int"))
+    return got.withColumn("countries", F.array_join("countries", ","))
+
+
 QUERIES = {
     "src_feeds": lambda s, d: _records(s, d).select("source_id", "page_no", "ordinal", "name"),
     "src_nested_targets": lambda s, d: feeds.src_nested_targets(_records(s, d)),
+    "norm_feed_programs": _feed_programs,
+    "norm_feed_targets": lambda s, d: normal.norm_targets(_records(s, d)),
     "norm_rewards": lambda s, d: feeds.norm_rewards(_records(s, d)),
     "src_union": _union,
     "score_programs": lambda s, d: _scored(s, d).select("program_id", "freshness", "reward", "inspectability", "authorization", "friction", "score", F.array_join("reasons", "; ").alias("reasons"), "attention_pressure"),
@@ -169,6 +176,52 @@ _SUB_LOW, _SUB_HIGH = _sql_money("sub", "min_bounty", "minimum"), _sql_money("su
 CTES["feed_m"] = f"""SELECT source_id, page_no, ordinal, coalesce({_LOW[0]}, {_SUB_LOW[0]}) AS min_reward, coalesce({_HIGH[0]}, {_PAYOUT[0]}, {_SUB_HIGH[0]}) AS max_reward,
  coalesce({_LOW[1]}, {_HIGH[1]}, {_PAYOUT[1]}, {_SUB_LOW[1]}, {_SUB_HIGH[1]}, {_sql_told('raw', 'currency')}, {_sql_told('raw', 'currency_code')}) AS c FROM (SELECT *, CASE WHEN json_type(raw, '$.rewards') = 'OBJECT' THEN raw->'$.rewards' END AS sub FROM feed_n)"""
 CTES["feed_w"] = f"SELECT source_id, page_no, ordinal, min_reward, max_reward, CASE {' '.join(f'WHEN code = {q(k)} THEN {q(v)}' for k, v in feeds.CURRENCY_SIGNS.items())} WHEN length(code) = 3 THEN code END AS currency FROM (SELECT *, CASE WHEN json_type(c) = 'VARCHAR' THEN upper(trim(c->>'$')) END AS code FROM feed_m)"
+
+
+def _sql_first(x: str, *keys: str) -> str:
+    return "coalesce(" + ", ".join(_sql_told(x, k) for k in keys) + ")"
+
+
+def _sql_truth(v: str) -> str:
+    return f"coalesce(CASE WHEN json_type({v}) = 'BOOLEAN' THEN {v}->>'$' = 'true' WHEN json_type({v}) = 'VARCHAR' THEN {v}->>'$' <> '' WHEN json_type({v}) IN ('ARRAY', 'OBJECT') THEN true WHEN json_type({v}) <> 'NULL' THEN TRY_CAST({v}->>'$' AS DOUBLE) <> 0 END, false)"
+
+
+def _sql_text(v: str) -> str:
+    return f"CASE WHEN json_type({v}) = 'OBJECT' THEN '[object Object]' WHEN json_type({v}) = 'ARRAY' THEN array_to_string({v}->>'$[*]', ',') ELSE {v}->>'$' END"
+
+
+def _sql_is(v: str, kind: str) -> str:
+    return f"CASE WHEN json_type({v}) = '{kind}' THEN {v}->>'$' END"
+
+
+def _sql_moment(v: str) -> str:
+    return f"CASE WHEN json_type({v}) = 'VARCHAR' THEN TRY_CAST(replace(replace({v}->>'$', 'T', ' '), 'Z', '') AS TIMESTAMP) WHEN json_type({v}) IN ('UBIGINT', 'BIGINT') THEN make_timestamp(TRY_CAST({v}->>'$' AS BIGINT) * 1000) END"
+
+
+def _sql_number(v: str) -> str:
+    return f"CASE WHEN json_type({v}) = 'VARCHAR' THEN TRY_CAST(regexp_replace({v}->>'$', '[^0-9.-]+', '', 'g') AS DOUBLE) WHEN json_type({v}) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN TRY_CAST({v}->>'$' AS DOUBLE) END"
+
+
+CTES["feeding"] = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(str(x) if isinstance(x, int) and not isinstance(x, bool) else literal(x) for x in f) + ")" for f in FEEDS) + ") AS f(source_id, homepage, url_template, paid_only, priority)"
+CTES["feed_f"] = f"""SELECT *, {_sql_first('raw', 'submission_state', 'status', 'state', 'program_status')} AS a_status, {_sql_first('raw', 'safe_harbor', 'safeHarbor')} AS a_harbor, {_sql_first('raw', 'allows_disclosure', 'disclosure_allowed', 'disclosureAllowed')} AS a_disclosure,
+ {_sql_first('raw', 'url', 'program_url', 'policy_url', 'link')} AS a_url, {_sql_first('raw', 'handle', 'slug', 'id')} AS a_id, {_sql_first('raw', 'offers_bounties', 'offers_awards', 'bounty', 'paid', 'rewarded')} AS a_paid, {_sql_first('raw', 'launched_at', 'started_at', 'created_at', 'createdAt')} AS a_launched,
+ {_sql_first('raw', 'resolved_reports', 'reports_resolved', 'resolvedReports', 'valid_reports')} AS a_reports, {_sql_first('raw', 'invite_only', 'inviteOnly', 'private')} AS a_invite, {_sql_first('raw', 'kyc_required', 'kycRequired')} AS a_kyc FROM feed_n"""
+_ENCODED = f"url_encode({_sql_text('a_id')})"
+for _a, _b in (("+", "%20"), ("%21", "!"), ("%27", "''"), ("%28", "("), ("%29", ")"), ("%2A", "*"), ("%7E", "~")):
+    _ENCODED = f"replace({_ENCODED}, '{_a}', '{_b}')"
+_POLICY = ", ".join("CASE WHEN " + _sql_truth(f"(raw->'$.{k}')") + " THEN " + _sql_text(f"(raw->'$.{k}')") + " END" for k in ("description", "policy", "rules", "notes", "eligibility"))
+CTES["feed_p"] = f"""SELECT source_id, page_no, ordinal, trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', '-', 'g'), '-') AS merge_key, name,
+ CASE WHEN regexp_matches({_sql_is('a_url', 'VARCHAR')}, '(?i)^https?://') THEN a_url->>'$' WHEN url_template IS NOT NULL AND {_sql_truth('a_id')} THEN replace(url_template, '{{id}}', {_ENCODED}) ELSE homepage END AS url,
+ CASE WHEN raw->>'$.disabled' = 'true' OR raw->>'$.closed' = 'true' OR regexp_matches(st, '(?i)(closed|disabled|paused|retired|ended|inactive)') THEN 'closed' WHEN st = '' OR regexp_matches(st, '(?i)^(active|enabled|open|opened|public|accepting|live)$') THEN 'open' ELSE lower(st) END AS status,
+ CASE WHEN json_type(a_paid) = 'BOOLEAN' THEN a_paid->>'$' = 'true' WHEN coalesce(max_reward, 0) > 0 OR coalesce(min_reward, 0) > 0 THEN true WHEN adapter = 'projectdiscovery' THEN {_sql_truth("(raw->'$.bounty')")} ELSE false END AS paid, currency, min_reward, max_reward,
+ CASE WHEN json_type(a_harbor) = 'BOOLEAN' AND a_harbor->>'$' = 'true' THEN 'program-defined' ELSE nullif(lower(trim({_sql_is('a_harbor', 'VARCHAR')})), '') END AS safe_harbor, {_sql_is('a_disclosure', 'BOOLEAN')} = 'true' AS disclosure_allowed, {_sql_moment('a_launched')} AS launched_at, {_sql_number('a_reports')} AS resolved_reports,
+ {_sql_truth('a_invite')} AS invite_only, {_sql_truth('a_kyc')} AS kyc_required, CASE WHEN json_type(raw, '$.excluded_countries') = 'ARRAY' THEN array_to_string(raw->>'$.excluded_countries[*]', ',') ELSE '' END AS countries,
+ left(concat_ws(' ', {_POLICY}), 100000) AS policy_text, coalesce(priority, 100) AS source_priority, paid_only
+ FROM (SELECT *, trim(coalesce({_sql_text('a_status')}, 'open')) AS st FROM feed_f) JOIN feed_w USING (source_id, page_no, ordinal) JOIN feeding USING (source_id)"""
+CTES["feed_x"] = f"""SELECT *, {_sql_first('t', 'eligible_for_bounty', 'eligible', 'bounty_eligible')} AS a_may, {_sql_first('t', 'description', 'instructions', 'notes')} AS a_said, {_sql_first('t', 'impact', 'tier', 'severity')} AS a_hurt, {_sql_first('t', 'added_at', 'created_at', 'first_seen_at', 'addedAt')} AS a_added,
+ {_sql_first('t', 'asset_type', 'type', 'target_type', 'category')} AS a_type, {_sql_first('t', 'asset_identifier', 'identifier', 'target', 'endpoint', 'uri', 'url', 'name')} AS a_value FROM (SELECT *, unnest(l) AS t, generate_subscripts(l, 1) AS target_no FROM feed_l)"""
+CTES["feed_y"] = f"""SELECT source_id, page_no, ordinal, target_no, value, description, impact, added_at, CASE WHEN x IN ('url', 'domain') THEN 'web' ELSE x END AS type FROM (SELECT *, trim(CASE WHEN json_type(t) = 'VARCHAR' THEN t->>'$' ELSE {_sql_text('a_value')} END) AS value,
+ CASE WHEN {_sql_truth('a_said')} THEN left({_sql_text('a_said')}, 600) END AS description, CASE WHEN {_sql_truth('a_hurt')} THEN left({_sql_text('a_hurt')}, 120) END AS impact, {_sql_moment('a_added')} AS added_at, CASE WHEN plain THEN 'domain' ELSE coalesce(nullif(lower({_sql_text('a_type')}), ''), 'other') END AS x FROM feed_x WHERE a_may IS NULL OR {_sql_truth('a_may')}) WHERE value <> ''"""
 CTES["v1_in"] = "SELECT p.*, c.change_type, p.repository_count AS repos, p.target_count % 9 AS age, p.source_code AS src, p.target_count AS tc FROM prog p JOIN chg c ON c.merge_key = p.merge_key"
 CTES["v1_points"] = """SELECT *, greatest(2, CASE change_type WHEN 'new_target' THEN 32 WHEN 'new_program' THEN 27 WHEN 'reward_up' THEN 24 WHEN 'reactivated' THEN 22 WHEN 'scope_updated' THEN 18 ELSE 5 END - 3 * age) AS freshness,
  least(22, CASE WHEN m >= 100000 THEN 22 WHEN m >= 50000 THEN 20 WHEN m >= 25000 THEN 18 WHEN m >= 10000 THEN 15 WHEN m >= 5000 THEN 12 WHEN m >= 1000 THEN 8 WHEN m > 0 THEN 4 ELSE 0 END + CASE WHEN min_reward >= 1000 THEN 2 ELSE 0 END) AS reward,
@@ -179,7 +232,6 @@ CTES["v1"] = """SELECT program_id, name, CAST(freshness AS BIGINT) AS freshness,
  coalesce(nullif(array_to_string(list_filter([CASE WHEN change_type <> 'baseline' THEN replace(change_type, '_', ' ') END, CASE WHEN src THEN 'Inspectable source-code scope' WHEN list_contains(tags, 'api') THEN 'Structured API surface' END, CASE WHEN local_testing_hint THEN 'Local, sandbox, or testnet testing language detected' END,
   CASE WHEN m >= 1000 THEN 'Confirmed reward ceiling clears $1,000' END, CASE WHEN tc <= 5 THEN 'Small scope with ' || tc || ' tracked target' || CASE WHEN tc = 1 THEN '' ELSE 's' END END, CASE WHEN safe_harbor IS NOT NULL THEN 'Safe-harbor field is present, verify the official wording' END], lambda x: x IS NOT NULL)[1:5], '; '), ''), 'Paid public program with structured scope data') AS reasons,
  CASE WHEN freshness >= 26 AND inspectability >= 16 AND tc <= 10 THEN 'lower' WHEN freshness >= 18 THEN 'medium' ELSE 'unknown' END AS attention_pressure FROM v1_points"""
-_NONE = "CAST(NULL AS VARCHAR)"
 CTES["tool_n"] = f"""SELECT repo_key, lower(unnest(regexp_extract_all(x, '{repo.TOOLS}', 1))) AS tool FROM (SELECT repo_key, path AS x FROM fx_tree WHERE {hit('path', repo.WORKFLOW_PATH)} UNION ALL SELECT repo_key, text FROM fx_tree WHERE NOT failed)"""
 CTES["tool_r"] = f"""SELECT repo_key, bool_or({hit('path', repo.SECURITY_FILE)}) AS security_md, bool_or({hit('path', repo.FUZZ_PATH)}) AS fuzz_path, bool_or(NOT failed AND {hit('text', repo.FUZZ_FUNCTION)}) AS fuzz_function, count(*) FILTER (WHERE {hit('path', repo.WORKFLOW_PATH)}) AS workflows, bool_or(failed) AS bad FROM fx_tree GROUP BY 1"""
 CTES["tooled"] = "SELECT r.*, coalesce(t.tools, '') AS tools FROM tool_r r LEFT JOIN (SELECT repo_key, string_agg(DISTINCT tool, ',' ORDER BY tool) AS tools FROM tool_n GROUP BY 1) t ON t.repo_key = r.repo_key"
@@ -199,6 +251,8 @@ ORACLES = {k: chain(x) for k, x in {
     "src_feeds": "SELECT source_id, page_no, ordinal, name FROM feed_n",
     "src_nested_targets": "SELECT * FROM feed_t WHERE value <> ''",
     "norm_rewards": "SELECT * FROM feed_w",
+    "norm_feed_programs": "SELECT * EXCLUDE (paid_only) FROM feed_p WHERE paid OR paid_only = false",
+    "norm_feed_targets": r"SELECT source_id, page_no, ordinal, target_key, type, value, description, impact, added_at FROM (SELECT *, substr(sha256(type || ':' || lower(regexp_replace(value, '\s+', ' ', 'g'))), 1, 16) AS target_key FROM feed_y) QUALIFY row_number() OVER (PARTITION BY source_id, page_no, ordinal, target_key ORDER BY target_no DESC) = 1",
     "src_union": "SELECT source_id, record_no, name, source_priority, max_reward FROM fx_records UNION ALL SELECT 'manual', -1, 'By hand', 5, NULL UNION ALL SELECT 'manual', -2, 'Also by hand', 5, NULL",
     "score_programs": "SELECT * EXCLUDE (name) FROM v1",
     "rank_v1": "SELECT program_id, name, score FROM v1",

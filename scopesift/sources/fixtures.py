@@ -14,6 +14,9 @@ OVERRIDES = [("program:program-7", "HIGH", None, None, False, False, ["us"], Fal
              ("Program 20", "MEDIUM", False, "not open to us", None, None, None, None, None), ("Program 23", None, False, None, None, None, None, None, None), ("Program 26", None, True, None, True, None, None, None, None),
              ("Program 27", None, None, None, None, True, None, None, None), ("Program 31", "LOW", None, None, None, None, None, True, True), ("Program 18", None, None, None, None, None, None, None, True), ("Program 32", None, None, None, None, None, None, None, True)]
 OVERRIDE_FIELDS = "key string, floor string, eligible boolean, eligibility_reason string, invite_only boolean, kyc_required boolean, countries array<string>, no_safe_harbor boolean, safe_harbor_required boolean"
+#: source_id, homepage, url_template, paid_only, priority.
+FEEDS = [("AUTOMOBILE", "https://auto.example.org", "https://auto.example.org/{id}/policy", True, 10), ("BUILDING", "https://build.example.org", None, None, 20), ("FURNITURE", "https://f.example.org", "https://f.example.org?p={id}", False, None),
+         ("HOUSEHOLD", "https://h.example.org", "https://h.example.org/{id}", False, 40), ("MACHINERY", "https://m.example.org", "https://m.example.org/{id}", True, 50)]
 #: no, key, aliases, verdict, fresh code index at the audit.
 AUDITED = [(1, "Program 7", ["Nobody"], "clean", 0.0), (2, "Brand#12", ["Brand-12"], "paid", 10.0), (3, "none such", ["Prográm 3"], "duplicate", 70.0), (4, "brand12", [], "late", 0.0)]
 LIVE_RULES = [{"address": "0x" + "7".rjust(40, "0")}, {"pattern": r"login1[0-9]\."}, {"pattern": r"program-3 .*api\."}]
@@ -50,7 +53,17 @@ FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_
 
 _REPO = "lower(replace(p_brand, '#', '') || '/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR(20)))"
 _N = "CAST(c_custkey AS VARCHAR(20))"
-_ONE, _TWO = f"""'{{"type":"url","target":" https://a' || {_N} || '.example.org"}}'""", f"""'{{"asset_type":"API","endpoint":"api' || {_N} || '.example.org"}}'"""
+# what a target may say beside its value
+_ALSO = f"""CASE c_custkey % 8 WHEN 0 THEN '' WHEN 1 THEN ',"eligible_for_bounty":false' WHEN 2 THEN ',"eligible":null,"instructions":"do","tier":2' WHEN 3 THEN ',"bounty_eligible":0' WHEN 4 THEN ',"description":"","notes":"n","severity":"high"'
+ WHEN 5 THEN ',"description":"dd","impact":["a",1],"created_at":"2001-01-02T00:00:00Z"' WHEN 6 THEN ',"first_seen_at":981173106000,"notes":"nn"' ELSE ',"addedAt":"bad","eligible":"no"' END"""
+_KEY = "CASE c_custkey % 5 WHEN 0 THEN 'endpoint' WHEN 1 THEN 'asset_identifier' WHEN 2 THEN 'identifier' WHEN 3 THEN 'uri' ELSE 'url' END"
+_ONE, _TWO = f"""'{{"type":"url","target":" https://a' || {_N} || '.example.org"' || {_ALSO} || '}}'""", f"""'{{"asset_type":"API","' || {_KEY} || '":"api' || {_N} || '.example.org","added_at":"2001-03-04"}}'"""
+# what a record may say beside its name, reward and targets
+_TOO = f"""CASE c_custkey % 19 WHEN 0 THEN ',"disabled":true,"state":"open"' WHEN 1 THEN ',"closed":true' WHEN 2 THEN ',"submission_state":"paused"' WHEN 3 THEN ',"status":" Accepting "' WHEN 4 THEN ',"state":"Triage","handle":"a b/c!~*(x)é"'
+ WHEN 5 THEN ',"program_status":"","slug":"s-' || {_N} || '"' WHEN 6 THEN ',"url":"https://direct.example.org/' || {_N} || '"' WHEN 7 THEN ',"program_url":"HTTP://P.example.org","url":null' WHEN 8 THEN ',"policy_url":"ftp://no","handle":0' WHEN 9 THEN ',"link":"https://l.example.org"'
+ WHEN 10 THEN ',"safe_harbor":true,"allows_disclosure":false' WHEN 11 THEN ',"safeHarbor":" Full ","disclosure_allowed":true' WHEN 12 THEN ',"safe_harbor":1,"disclosureAllowed":"yes"' WHEN 13 THEN ',"offers_bounties":true,"launched_at":"2001-02-03T04:05:06Z"' WHEN 14 THEN ',"offers_awards":false,"started_at":981173106000'
+ WHEN 15 THEN ',"bounty":"yes","created_at":"2001-02-03"' WHEN 16 THEN ',"paid":1,"createdAt":"no date"' WHEN 17 THEN ',"rewarded":true,"resolved_reports":"1,204","invite_only":1,"kyc_required":"","excluded_countries":["IN",7]' ELSE ',"reports_resolved":12,"inviteOnly":true,"kycRequired":true,"excluded_countries":"IN"' END
+ || CASE c_custkey % 4 WHEN 0 THEN ',"description":"d ' || {_N} || '","policy":"p","eligibility":"e"' WHEN 1 THEN ',"rules":"r","notes":""' WHEN 2 THEN ',"valid_reports":3,"private":0,"policy":5' ELSE ',"resolvedReports":null' END"""
 #: Landed feed pages in the shapes that feeds have; each page of a shape with an array holds one value that is no record.
 _FEEDS = f"""
 SELECT source_id, adapter, page_no, CASE page_no % 4 WHEN 0 THEN '{{"programs":[' || r || ']}}' WHEN 1 THEN '[' || r || ',7]' WHEN 2 THEN '{{"data":[' || r || ',"x",null]}}' ELSE '{{"items":{{"a":1}},"results":[' || r || ']}}' END AS payload FROM (
@@ -59,7 +72,7 @@ SELECT c_mktsegment AS source_id, CASE WHEN c_custkey % 6 = 5 THEN 'projectdisco
  || CASE c_custkey % 7 WHEN 0 THEN ',"min_bounty":50,"max_bounty":1000.5' WHEN 1 THEN ',"max_bounty":{{"value":"$1,234.50","currency":"us$"}}' WHEN 2 THEN ',"maxPayout":"€ 2,000","currency":"€"' WHEN 3 THEN ',"rewards":{{"minimum":10,"maximum":{{"amount":900,"code":"gbp"}}}}'
   WHEN 4 THEN ',"min_bounty":null,"max_payout":"none","currency_code":"DOLLARS"' WHEN 5 THEN ',"maxBounty":true,"currency":5' ELSE '' END
  || CASE c_custkey % 6 WHEN 0 THEN ',"targets":{{"in_scope":[' || {_ONE} || ',' || {_TWO} || ']}}' WHEN 1 THEN ',"scope":{{"in_scope":[' || {_ONE} || ',"plain.example.org"]}}' WHEN 2 THEN ',"targets":{{"in_scope":null}},"in_scope":[' || {_TWO} || ',{{"type":"x"}}]'
-  WHEN 3 THEN ',"targets":[' || {_ONE} || ']' WHEN 4 THEN ',"targets":{{"web":[' || {_ONE} || '],"api":[' || {_TWO} || '],"note":"x"}}' ELSE ',"domains":["d' || {_N} || '.example.org","e.example.org"]' END || '}}' AS r FROM customer) x
+  WHEN 3 THEN ',"targets":[' || {_ONE} || ']' WHEN 4 THEN ',"targets":{{"web":[' || {_ONE} || '],"api":[' || {_TWO} || '],"note":"x"}}' ELSE ',"domains":["d' || {_N} || '.example.org","e.example.org"]' END || {_TOO} || '}}' AS r FROM customer) x
 """
 
 VIEWS = {
