@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import variants as v
-from . import feeds
+from . import facts, feeds, merge
 from .merge import CLOSED_WORDS, OPEN_WORDS, merge_slug, target_type
 
 # The names under which feeds give a record's and a target's fields; the first that is given counts.
@@ -47,7 +47,7 @@ def norm_programs(records: DataFrame, sources: DataFrame) -> DataFrame:
     df = df.select("source_id", "page_no", "ordinal", merge_slug(F.col("name")).alias("merge_key"), "name", url.alias("url"), status.alias("status"), paid.alias("paid"), "currency", "min_reward", "max_reward",
                    F.when(v.boolean(F.col("harbor")), "program-defined").when(F.col("harbor_text") != "", F.col("harbor_text")).alias("safe_harbor"), v.boolean(F.col("disclosure")).alias("disclosure_allowed"),
                    v.moment(F.col("launched")).alias("launched_at"), v.number(F.col("reports")).alias("resolved_reports"), v.truth(F.col("invite")).alias("invite_only"), v.truth(F.col("kyc")).alias("kyc_required"),
-                   countries.alias("countries"), F.substring(F.concat_ws(" ", *(f"text_{k}" for k in POLICY)), 1, 100_000).alias("policy_text"), F.coalesce("priority", F.lit(100)).alias("source_priority"), "paid_only")
+                   countries.alias("countries"), F.substring(F.concat_ws(" ", *(f"text_{k}" for k in POLICY)), 1, 100_000).alias("policy_text"), F.concat_ws(" ", *(f"text_{k}" for k in POLICY[:-1])).alias("own_text"), F.coalesce("priority", F.lit(100)).alias("source_priority"), "paid_only")
     return df.where("paid OR paid_only = false").drop("paid_only")
 
 
@@ -64,3 +64,18 @@ def norm_targets(records: DataFrame) -> DataFrame:
     key = F.substring(F.sha2(F.concat("type", F.lit(":"), F.lower(F.regexp_replace("value", r"(?U)\s+", " "))), 256), 1, 16)
     fields = ["type", "value", "description", "impact", "added_at"]
     return df.withColumn("target_key", key).groupBy("source_id", "page_no", "ordinal", "target_key").agg(F.max_by(F.struct(*fields), "target_no").alias("t")).select("source_id", "page_no", "ordinal", "target_key", "t.*")
+
+
+def feed_rows(records: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Normalised programs in lead order and their targets, by record_no. Both are read several times by a merge: write them first."""
+    own = F.concat_ws(":", "source_id", F.col("page_no").cast("string"), F.col("ordinal").cast("string")).alias("record_no")
+    rows = merge.lead_rank(norm_programs(records, sources).select(own, "*"))
+    return rows, norm_targets(records).select(own, "target_key", F.lit(0).alias("ordinal"), "type", "value", "added_at", "description", "impact")
+
+
+def feed_merge(rows: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Merged programs and targets of feed_rows: tagged by their whole texts, merged by entity in the order of their sources' priority. Targets of records that went do too."""
+    targets = targets.join(rows.select("record_no"), "record_no", "left_semi")
+    merged = merge.merge_targets(rows, targets)
+    said = facts.record_facts(rows.select("record_no", F.col("own_text").alias("policy_text")), targets)
+    return merge.merge_programs(rows, merged, said), merged

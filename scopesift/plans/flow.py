@@ -36,6 +36,11 @@ def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def forget() -> None:
+    """State tables are built anew from here on."""
+    _STATE.clear()
+
+
 def records(spark: SparkSession, sf: str, before: bool = False) -> DataFrame:
     rows = view(spark, sf, "fx_records_before" if before else "fx_records")
     listed = F.filter(F.split("countries", ","), lambda x: x != "")

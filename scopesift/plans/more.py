@@ -9,7 +9,7 @@ from ..sources import sinks
 from ..sources.fixtures import AUDITED, BEFORE, FEEDS, NOW, NOW_LIVE, present, view
 from ..streaming import reconcile
 from . import flow
-from .oracle import AT, CTES, LIVE_AT, SENTINEL, D, chain, hit, literal, q
+from .oracle import AT, CTES, LIVE_AT, SENTINEL, SNAPSHOT, D, chain, hit, literal, q
 
 _RUN, _RUN_BEFORE = NOW[:10], BEFORE[:10]
 
@@ -114,15 +114,31 @@ def _stream_targets(s, d):
     return sinks.read_state(s, _polled(s, d), "targets").select("merge_key", "target_key", "first_seen_at")
 
 
+def _sources(s):
+    return s.createDataFrame(FEEDS, "source_id string, homepage string, url_template string, paid_only boolean, priority int")
+
+
 def _feed_programs(s, d):
-    got = normal.norm_programs(_records(s, d), s.createDataFrame(FEEDS, "source_id string, homepage string, url_template string, paid_only boolean, priority int"))
-    return got.withColumn("countries", F.array_join("countries", ","))
+    return normal.norm_programs(_records(s, d), _sources(s)).withColumn("countries", F.array_join("countries", ",")).drop("own_text")
+
+
+def _fed(s, d):
+    made = lambda i: lambda: normal.feed_rows(_records(s, d), _sources(s))[i]
+    return normal.feed_merge(flow.stored(s, d, "feed_rows", made(0)), flow.stored(s, d, "feed_targets", made(1)))
+
+
+def _feed_merge(s, d):
+    programs = _fed(s, d)[0]
+    return programs.select("program_id", "name", "platform", "url", "status", "paid", "currency", "min_reward", "max_reward", "safe_harbor", "disclosure_allowed", "invite_only", "kyc_required", F.array_join("source_ids", ",").alias("source_ids"), F.array_join("countries", ",").alias("countries"),
+                           "launched_at", "resolved_reports", F.array_join("tags", ",").alias("tags"), F.array_join("languages", ",").alias("languages"), "local_testing_hint", "source_code", "repository_count", "target_count", "invite_words")
 
 
 QUERIES = {
     "src_feeds": lambda s, d: _records(s, d).select("source_id", "page_no", "ordinal", "name"),
     "src_nested_targets": lambda s, d: feeds.src_nested_targets(_records(s, d)),
     "norm_feed_programs": _feed_programs,
+    "feed_merge": _feed_merge,
+    "feed_merge_targets": lambda s, d: _fed(s, d)[1].select("merge_key", "target_key", "type", "value", "description"),
     "norm_feed_targets": lambda s, d: normal.norm_targets(_records(s, d)),
     "norm_rewards": lambda s, d: feeds.norm_rewards(_records(s, d)),
     "src_union": _union,
@@ -210,18 +226,24 @@ _ENCODED = f"url_encode({_sql_text('a_id')})"
 for _a, _b in (("+", "%20"), ("%21", "!"), ("%27", "''"), ("%28", "("), ("%29", ")"), ("%2A", "*"), ("%7E", "~")):
     _ENCODED = f"replace({_ENCODED}, '{_a}', '{_b}')"
 _POLICY = ", ".join("CASE WHEN " + _sql_truth(f"(raw->'$.{k}')") + " THEN " + _sql_text(f"(raw->'$.{k}')") + " END" for k in ("description", "policy", "rules", "notes", "eligibility"))
+_OWN = _POLICY.rpartition(", CASE WHEN coalesce(")[0]
 CTES["feed_p"] = f"""SELECT source_id, page_no, ordinal, trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', '-', 'g'), '-') AS merge_key, name,
  CASE WHEN regexp_matches({_sql_is('a_url', 'VARCHAR')}, '(?i)^https?://') THEN a_url->>'$' WHEN url_template IS NOT NULL AND {_sql_truth('a_id')} THEN replace(url_template, '{{id}}', {_ENCODED}) ELSE homepage END AS url,
  CASE WHEN raw->>'$.disabled' = 'true' OR raw->>'$.closed' = 'true' OR regexp_matches(st, '(?i)(closed|disabled|paused|retired|ended|inactive)') THEN 'closed' WHEN st = '' OR regexp_matches(st, '(?i)^(active|enabled|open|opened|public|accepting|live)$') THEN 'open' ELSE lower(st) END AS status,
  CASE WHEN json_type(a_paid) = 'BOOLEAN' THEN a_paid->>'$' = 'true' WHEN coalesce(max_reward, 0) > 0 OR coalesce(min_reward, 0) > 0 THEN true WHEN adapter = 'projectdiscovery' THEN {_sql_truth("(raw->'$.bounty')")} ELSE false END AS paid, currency, min_reward, max_reward,
  CASE WHEN json_type(a_harbor) = 'BOOLEAN' AND a_harbor->>'$' = 'true' THEN 'program-defined' ELSE nullif(lower(trim({_sql_is('a_harbor', 'VARCHAR')})), '') END AS safe_harbor, {_sql_is('a_disclosure', 'BOOLEAN')} = 'true' AS disclosure_allowed, {_sql_moment('a_launched')} AS launched_at, {_sql_number('a_reports')} AS resolved_reports,
  {_sql_truth('a_invite')} AS invite_only, {_sql_truth('a_kyc')} AS kyc_required, CASE WHEN json_type(raw, '$.excluded_countries') = 'ARRAY' THEN array_to_string(raw->>'$.excluded_countries[*]', ',') ELSE '' END AS countries,
- left(concat_ws(' ', {_POLICY}), 100000) AS policy_text, coalesce(priority, 100) AS source_priority, paid_only
+ left(concat_ws(' ', {_POLICY}), 100000) AS policy_text, coalesce(priority, 100) AS source_priority, paid_only, concat_ws(' ', {_OWN}) AS own_text, CASE WHEN json_type(raw, '$.excluded_countries') = 'ARRAY' THEN raw->>'$.excluded_countries[*]' ELSE [] END AS listed
  FROM (SELECT *, trim(coalesce({_sql_text('a_status')}, 'open')) AS st FROM feed_f) JOIN feed_w USING (source_id, page_no, ordinal) JOIN feeding USING (source_id)"""
 CTES["feed_x"] = f"""SELECT *, {_sql_first('t', 'eligible_for_bounty', 'eligible', 'bounty_eligible')} AS a_may, {_sql_first('t', 'description', 'instructions', 'notes')} AS a_said, {_sql_first('t', 'impact', 'tier', 'severity')} AS a_hurt, {_sql_first('t', 'added_at', 'created_at', 'first_seen_at', 'addedAt')} AS a_added,
  {_sql_first('t', 'asset_type', 'type', 'target_type', 'category')} AS a_type, {_sql_first('t', 'asset_identifier', 'identifier', 'target', 'endpoint', 'uri', 'url', 'name')} AS a_value FROM (SELECT *, unnest(l) AS t, generate_subscripts(l, 1) AS target_no FROM feed_l)"""
 CTES["feed_y"] = f"""SELECT source_id, page_no, ordinal, target_no, value, description, impact, added_at, CASE WHEN x IN ('url', 'domain') THEN 'web' ELSE x END AS type FROM (SELECT *, trim(CASE WHEN json_type(t) = 'VARCHAR' THEN t->>'$' ELSE {_sql_text('a_value')} END) AS value,
  CASE WHEN {_sql_truth('a_said')} THEN left({_sql_text('a_said')}, 600) END AS description, CASE WHEN {_sql_truth('a_hurt')} THEN left({_sql_text('a_hurt')}, 120) END AS impact, {_sql_moment('a_added')} AS added_at, CASE WHEN plain THEN 'domain' ELSE coalesce(nullif(lower({_sql_text('a_type')}), ''), 'other') END AS x FROM feed_x WHERE a_may IS NULL OR {_sql_truth('a_may')}) WHERE value <> ''"""
+_KEYED = """SELECT *, substr(sha256(type || ':' || lower(regexp_replace(value, '\\s+', ' ', 'g'))), 1, 16) AS target_key FROM feed_y"""
+CTES["rec_feed"] = """SELECT *, row_number() OVER (PARTITION BY merge_key ORDER BY source_priority, coalesce(max_reward, 0) DESC, record_no) AS lead_rank FROM (SELECT * EXCLUDE (countries), listed AS countries, source_id || ':' || page_no || ':' || ordinal AS record_no FROM feed_p WHERE paid OR paid_only = false)"""
+CTES["dedupe_t_feed"] = f"SELECT source_id || ':' || page_no || ':' || ordinal AS record_no, target_key, 0 AS ordinal, type, value, added_at, description, impact FROM ({_KEYED}) WHERE source_id || ':' || page_no || ':' || ordinal IN (SELECT record_no FROM rec_feed) QUALIFY row_number() OVER (PARTITION BY source_id, page_no, feed_y.ordinal, target_key ORDER BY target_no DESC) = 1".replace("feed_y.ordinal, target_key ORDER", "record_no, target_key ORDER")
+for _k, _sql in SNAPSHOT.items():
+    CTES[f"{_k}_feed"] = _sql.replace("{s}", "_feed").replace("r.policy_text", "r.own_text") if _k == "texted" else _sql.replace("{s}", "_feed")
 CTES["v1_in"] = "SELECT p.*, c.change_type, p.repository_count AS repos, p.target_count % 9 AS age, p.source_code AS src, p.target_count AS tc FROM prog p JOIN chg c ON c.merge_key = p.merge_key"
 CTES["v1_points"] = """SELECT *, greatest(2, CASE change_type WHEN 'new_target' THEN 32 WHEN 'new_program' THEN 27 WHEN 'reward_up' THEN 24 WHEN 'reactivated' THEN 22 WHEN 'scope_updated' THEN 18 ELSE 5 END - 3 * age) AS freshness,
  least(22, CASE WHEN m >= 100000 THEN 22 WHEN m >= 50000 THEN 20 WHEN m >= 25000 THEN 18 WHEN m >= 10000 THEN 15 WHEN m >= 5000 THEN 12 WHEN m >= 1000 THEN 8 WHEN m > 0 THEN 4 ELSE 0 END + CASE WHEN min_reward >= 1000 THEN 2 ELSE 0 END) AS reward,
@@ -251,7 +273,9 @@ ORACLES = {k: chain(x) for k, x in {
     "src_feeds": "SELECT source_id, page_no, ordinal, name FROM feed_n",
     "src_nested_targets": "SELECT * FROM feed_t WHERE value <> ''",
     "norm_rewards": "SELECT * FROM feed_w",
-    "norm_feed_programs": "SELECT * EXCLUDE (paid_only) FROM feed_p WHERE paid OR paid_only = false",
+    "norm_feed_programs": "SELECT * EXCLUDE (paid_only, own_text, listed) FROM feed_p WHERE paid OR paid_only = false",
+    "feed_merge": "SELECT program_id, name, platform, url, status, paid, currency, min_reward, max_reward, safe_harbor, disclosure_allowed, invite_only, kyc_required, array_to_string(source_ids, ',') AS source_ids, array_to_string(countries, ',') AS countries, launched_at, resolved_reports, array_to_string(tags, ',') AS tags, array_to_string(languages, ',') AS languages, local_testing_hint, source_code, repository_count, target_count, invite_words FROM prog_feed",
+    "feed_merge_targets": "SELECT merge_key, target_key, type, value, description FROM merged_t_feed",
     "norm_feed_targets": r"SELECT source_id, page_no, ordinal, target_key, type, value, description, impact, added_at FROM (SELECT *, substr(sha256(type || ':' || lower(regexp_replace(value, '\s+', ' ', 'g'))), 1, 16) AS target_key FROM feed_y) QUALIFY row_number() OVER (PARTITION BY source_id, page_no, ordinal, target_key ORDER BY target_no DESC) = 1",
     "src_union": "SELECT source_id, record_no, name, source_priority, max_reward FROM fx_records UNION ALL SELECT 'manual', -1, 'By hand', 5, NULL UNION ALL SELECT 'manual', -2, 'Also by hand', 5, NULL",
     "score_programs": "SELECT * EXCLUDE (name) FROM v1",

@@ -107,6 +107,8 @@ CTES["prog"] = """SELECT 'program:' || r.merge_key AS program_id, r.merge_key, l
   bool_or(invite_only) AS invite_only, bool_or(kyc_required) AS kyc_required, list_sort(list(DISTINCT source_id)) AS source_ids, list_sort(list_distinct(flatten(list(countries)))) AS countries, min(launched_at) AS launched_at, max(resolved_reports) AS resolved_reports FROM rec{s} GROUP BY merge_key) r
  JOIN rec{s} l ON l.merge_key = r.merge_key AND l.lead_rank = 1 LEFT JOIN (SELECT merge_key, count(*) AS n FROM merged_t{s} GROUP BY merge_key) t ON t.merge_key = r.merge_key LEFT JOIN ptexts{s} x ON x.merge_key = r.merge_key
  JOIN (SELECT merge_key, list_sort(list_distinct(flatten(list(tags)))) AS tags, list_sort(list_distinct(flatten(list(languages)))) AS languages, bool_or(local_testing_hint) AS local_testing_hint, max(repository_count) AS repository_count FROM facts{s} GROUP BY 1) f ON f.merge_key = r.merge_key"""
+#: The chain of one snapshot: {s} is the snapshot's suffix.
+SNAPSHOT = {k: CTES[k] for k in ("texted", "facts", "ptexts", "merged_t", "prog")}
 for _k in ("norm_t", "dedupe_t", "rec", "texted", "facts", "ptexts", "merged_t", "prog"):
     _sql = CTES.pop(_k)
     CTES[_k + "_before"] = _sql.replace("{s}", "_before").replace("{w}", "")

@@ -52,7 +52,7 @@ FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_
 """
 
 _REPO = "lower(replace(p_brand, '#', '') || '/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR(20)))"
-_N = "CAST(c_custkey AS VARCHAR(20))"
+_N, _P = "CAST(c_custkey AS VARCHAR(20))", "CAST(CAST(floor(c_custkey / 3) AS BIGINT) AS VARCHAR(20))"
 # what a target may say beside its value
 _ALSO = f"""CASE c_custkey % 8 WHEN 0 THEN '' WHEN 1 THEN ',"eligible_for_bounty":false' WHEN 2 THEN ',"eligible":null,"instructions":"do","tier":2' WHEN 3 THEN ',"bounty_eligible":0' WHEN 4 THEN ',"description":"","notes":"n","severity":"high"'
  WHEN 5 THEN ',"description":"dd","impact":["a",1],"created_at":"2001-01-02T00:00:00Z"' WHEN 6 THEN ',"first_seen_at":981173106000,"notes":"nn"' ELSE ',"addedAt":"bad","eligible":"no"' END"""
@@ -68,7 +68,7 @@ _TOO = f"""CASE c_custkey % 19 WHEN 0 THEN ',"disabled":true,"state":"open"' WHE
 _FEEDS = f"""
 SELECT source_id, adapter, page_no, CASE page_no % 4 WHEN 0 THEN '{{"programs":[' || r || ']}}' WHEN 1 THEN '[' || r || ',7]' WHEN 2 THEN '{{"data":[' || r || ',"x",null]}}' ELSE '{{"items":{{"a":1}},"results":[' || r || ']}}' END AS payload FROM (
 SELECT c_mktsegment AS source_id, CASE WHEN c_custkey % 6 = 5 THEN 'projectdiscovery' ELSE 'generic' END AS adapter, c_custkey AS page_no,
- '{{"id":' || {_N} || CASE WHEN c_custkey % 17 = 0 THEN ',"public":false' ELSE '' END || CASE c_custkey % 11 WHEN 0 THEN ',"name":" "' WHEN 1 THEN ',"program_name":"Program ' || {_N} || '"' WHEN 2 THEN ',"name":null,"title":"Program ' || {_N} || '"' ELSE ',"name":"Program ' || {_N} || '"' END
+ '{{"id":' || {_N} || CASE WHEN c_custkey % 17 = 0 THEN ',"public":false' ELSE '' END || CASE c_custkey % 11 WHEN 0 THEN ',"name":" "' WHEN 1 THEN ',"program_name":"Program ' || {_P} || '"' WHEN 2 THEN ',"name":null,"title":"Program ' || {_P} || '"' ELSE ',"name":"Program ' || {_P} || '"' END
  || CASE c_custkey % 7 WHEN 0 THEN ',"min_bounty":50,"max_bounty":1000.5' WHEN 1 THEN ',"max_bounty":{{"value":"$1,234.50","currency":"us$"}}' WHEN 2 THEN ',"maxPayout":"€ 2,000","currency":"€"' WHEN 3 THEN ',"rewards":{{"minimum":10,"maximum":{{"amount":900,"code":"gbp"}}}}'
   WHEN 4 THEN ',"min_bounty":null,"max_payout":"none","currency_code":"DOLLARS"' WHEN 5 THEN ',"maxBounty":true,"currency":5' ELSE '' END
  || CASE c_custkey % 6 WHEN 0 THEN ',"targets":{{"in_scope":[' || {_ONE} || ',' || {_TWO} || ']}}' WHEN 1 THEN ',"scope":{{"in_scope":[' || {_ONE} || ',"plain.example.org"]}}' WHEN 2 THEN ',"targets":{{"in_scope":null}},"in_scope":[' || {_TWO} || ',{{"type":"x"}}]'

@@ -293,3 +293,28 @@ def test_export_quotes(spark):
     sinks.export_csv(df.coalesce(1), to)
     head, line = (r.value for r in spark.read.text(to).collect())
     assert head == ",".join(f'"{c}"' for c in sinks.EXPORT) and line.startswith('"1.0","say ""hi"", a",') and '"true"' in line
+
+
+def test_variants_are_read_as_javascript_reads_them(spark):
+    from scopesift.functions import variants as v
+
+    rows = [("true", True, "true"), ("false", False, "false"), ("0", False, "0"), ("1.5", True, "1.5"), ('""', False, ""), ('"x"', True, "x"), ("[]", True, ""), ('["a",1]', True, "a,1"), ("{}", True, "[object Object]"), ("null", False, None)]
+    df = spark.createDataFrame([(i, f'{{"a":{r[0]}}}') for i, r in enumerate(rows)], "i int, j string").withColumn("x", F.try_parse_json("j"))
+    got = df.select("i", v.truth(v.first(F.col("x"), "none", "a")).alias("t"), v.text(v.first(F.col("x"), "none", "a")).alias("s")).collect()
+    assert [(r.t, r.s) for r in sorted(got)] == [r[1:] for r in rows]
+    when = [('"2001-02-03"', "2001-02-03 00:00:00"), ('"2001-02-03T04:05:06Z"', "2001-02-03 04:05:06"), ('"2001-02-03T04:05:06+02:00"', "2001-02-03 02:05:06"), ("981173106000", "2001-02-03 04:05:06"), ('"soon"', "None"), ("0", "None"), ("true", "None")]
+    df = spark.createDataFrame([(i, f'{{"a":{r[0]}}}') for i, r in enumerate(when)], "i int, j string")
+    assert [str(r.m) for r in df.orderBy("i").select(v.moment(v.first(F.try_parse_json("j"), "a")).alias("m")).collect()] == [r[1] for r in when]
+    assert spark.range(1).select(v.uri_component(F.lit("a b/c!~*'(x)é+")).alias("u")).first().u == "a%20b%2Fc!~*'(x)%C3%A9%2B"
+
+
+def test_overrides_and_audits_decide(spark):
+    more = "override_eligible boolean, override_eligibility_reason string, override_countries array<string>, override_safe_harbor_required boolean, no_safe_harbor boolean, invite_words boolean, audit_no int, audit_key string, verdict string, fresh_at_audit double"
+    audit = dict(audit_no=1, audit_key="k", verdict="clean")
+    cases = [({}, None), (dict(override_eligible=False), "program override marks researcher ineligible"), (dict(override_eligible=False, override_eligibility_reason="no"), "no"),
+             (dict(override_countries=["in"]), "IN researchers excluded"), (dict(override_countries=["FR"]), None), (dict(override_safe_harbor_required=True, no_safe_harbor=True), "required safe harbor is absent"),
+             (dict(override_safe_harbor_required=True, no_safe_harbor=False), None), (dict(invite_words=True), "invite-only program"), (audit | dict(fresh_at_audit=0.0), "audited clean target: k"), (audit | dict(fresh_at_audit=-41.0), None)]
+    names = [f.name for f in spark.createDataFrame([], f"{SCHEMA}, {more}").schema]
+    rows = [tuple((BASE | dict(type="web", value="https://a.example.org", target_key=str(i)) | c).get(n) for n in names) for i, (c, _) in enumerate(cases)]
+    got = value.evaluate_targets(spark.createDataFrame(rows, f"{SCHEMA}, {more}"), NOW).collect()
+    assert [r.exclude_reason for r in sorted(got, key=lambda r: int(r.target_key))] == [x for _, x in cases]
