@@ -46,8 +46,8 @@ def norm_targets(raw: DataFrame) -> DataFrame:
 
 
 def dedupe_targets(targets: DataFrame) -> DataFrame:
-    """The last row of each key in a record."""
-    last = F.max_by(F.struct("ordinal", "type", "value", "added_at", "description", "impact"), "ordinal").alias("t")
+    """The last row of each key in a record; of rows with the same number the one with the greater texts."""
+    last = F.max_by(F.struct("ordinal", "type", "value", "added_at", "description", "impact"), F.struct("ordinal", F.coalesce("description", F.lit("")), F.coalesce("impact", F.lit("")))).alias("t")
     return targets.groupBy("record_no", "target_key").agg(last).select("record_no", "target_key", "t.*")
 
 

@@ -56,7 +56,7 @@ CTES["norm_t"] = r"""SELECT record_no, ordinal, added_at, description, impact, t
    WHEN regexp_matches(x, '(android|ios|mobile|apk)') THEN 'mobile' WHEN regexp_matches(x, '(firmware)') THEN 'firmware' WHEN regexp_matches(x, '(hardware|device|iot)') THEN 'hardware'
    WHEN regexp_matches(x, '(executable|binary|desktop)') THEN 'executable' WHEN regexp_matches(x, '(domain|url|website|web-application|wildcard|cidr|ip-address)') THEN 'web' ELSE x END AS type
   FROM (SELECT *, replace(lower(raw_type), '_', '-') AS x FROM fx_targets{s})) WHERE value <> '' AND eligible"""
-CTES["dedupe_t"] = "SELECT record_no, target_key, ordinal, type, value, added_at, description, impact FROM (SELECT *, row_number() OVER (PARTITION BY record_no, target_key ORDER BY ordinal DESC) AS n FROM norm_t{s}) WHERE n = 1"
+CTES["dedupe_t"] = "SELECT record_no, target_key, ordinal, type, value, added_at, description, impact FROM (SELECT *, row_number() OVER (PARTITION BY record_no, target_key ORDER BY ordinal DESC, coalesce(description, '') DESC, coalesce(impact, '') DESC) AS n FROM norm_t{s}) WHERE n = 1"
 CTES["rec"] = """SELECT *, row_number() OVER (PARTITION BY merge_key ORDER BY source_priority, coalesce(max_reward, 0) DESC, record_no) AS lead_rank FROM
  (SELECT * EXCLUDE (countries), list_filter(string_split(countries, ','), lambda x: x <> '') AS countries, regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', '-', 'g') AS merge_key,
   CASE WHEN regexp_matches(raw_status, '(?i)(closed|disabled|paused|retired|ended|inactive)') THEN 'closed' WHEN regexp_matches(raw_status, '(?i)^(active|enabled|open|opened|public|accepting|live)$') THEN 'open' ELSE lower(raw_status) END AS status,
