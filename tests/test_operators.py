@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from scopesift.functions.exprs import half_up
+from scopesift.functions.exprs import fold_words, half_up
 from scopesift.operators import cache, diff, evidence, feeds, merge, rank, state, value
 from scopesift.sources import sinks
 from scopesift.streaming import reconcile
@@ -149,6 +149,18 @@ def test_audits(spark):
     assert got == {"k1": (1, "audited clean target: alpha"), "k2": (2, None), "k3": (None, None)}  # fresh again, and a value that is no repository
 
 
+def test_audited_names_anywhere_in_a_repository(spark):
+    """Short names, names inside words and of several words, against a look at every pair."""
+    names = ["ab", "x", "wn re", "github", "own-repo", "zebra", "Réпo", "repo two"]
+    values = [("https://github.com/own/repo-two", "own/repo-two"), ("https://github.com/ab", None), ("https://gitlab.com/g/x.y", "gitlab.com/g/x.y"), ("https://github.com/q/REPO", "q/repo"), ("ab own repo", None)]
+    targets = spark.createDataFrame([(f"program:p{i}", f"P{i}", f"k{i}", v, r, 0.0) for i, (v, r) in enumerate(values)], "program_id string, name string, target_key string, value string, repo_key string, fresh_code_index double")
+    audited = spark.createDataFrame([(i, n, [], "clean", 0.0) for i, n in enumerate(names)], "no int, key string, aliases array<string>, verdict string, fresh_at_audit double")
+    folded = {r.n: r.f for r in spark.createDataFrame([(x,) for x in {*names, *(y for v in values for y in v if y)}], "n string").select("n", fold_words(F.col("n")).alias("f")).collect()}
+    want = {f"k{i}": min((k for k, n in enumerate(names) if (r or "git" in v) and any(folded[n] in folded[y] for y in (v, r) if y)), default=None) for i, (v, r) in enumerate(values)}
+    assert {r.target_key: r.audit_no for r in cache.audit_match(targets, audited).collect()} == want and set(want.values()) > {None, 0}
+    assert cache.audit_match(targets, audited.limit(0)).where("audit_no IS NOT NULL").count() == 0
+
+
 def test_upsert_keeps_a_good_row(spark):
     schema = "repo_key string, status string, fetched_at timestamp_ntz, last_error string, stars long"
     import datetime
