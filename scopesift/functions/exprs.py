@@ -51,6 +51,16 @@ def _accents() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def _one_letter(x: str) -> bool:
+    import unicodedata
+
+    return len([c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)]) == 1
+
+
+#: Names whose characters ``fold`` folds as a full decomposition would: ASCII, and accented letters that become one ASCII letter.
+FOLDED = "^[\\x00-\\x7f" + "".join(a for a in _accents()[0] if _one_letter(a)) + "]*$"
+
+
 def fold(x: Column) -> Column:
     """Lower case without accents: Latin letters up to U+024F and combining marks."""
     return F.lower(F.regexp_replace(F.translate(x, *_accents()), "[\u0300-\u036f]", ""))

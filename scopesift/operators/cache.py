@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import fold_words, yes
+from .evidence import policy_useful
 from .value import HOSTED
 
 
@@ -18,15 +19,23 @@ def _fresh(now: str, hours: int) -> Column:
 
 
 def policy_refresh(programs: DataFrame, cache: DataFrame, now: str, budget: int = 80, ttl_hours: int = 168) -> DataFrame:
-    """What to do with each program's policy: ``inline`` (its text's hash differs from the cached one), ``fetch`` (stale and within the budget, by priority of
-    the change), ``wait`` (stale, beyond it) or ``keep``. programs: program_id, change_type, policy_text; cache: program_id, status, fetched_at, inline_hash."""
+    """What to do with each program's policy, and whether its own text is read anew (``reread``: the text's hash differs from the cached one).
+
+    ``inline``: the text that is read anew yields something; that will do. ``keep``: a good row is fresh. Of all others, those whose text yields
+    nothing included, ``fetch`` goes to ``budget`` ones and ``wait`` to the rest: rows that were fresh before their text changed come last, then by
+    priority of the change. programs: program_id, change_type, policy_text; cache: program_id, status, fetched_at, inline_hash.
+
+    Texts are taken apart only where their hash differs, so an unchanged corpus costs a join of hashes.
+    """
     text = F.trim(F.coalesce("policy_text", F.lit("")))
-    df = programs.join(cache, "program_id", "left").withColumns({"fresh": _fresh(now, ttl_hours), "new_hash": F.when(text != "", F.sha2(text, 256))})
-    df = df.withColumn("inline", F.col("new_hash").isNotNull() & ~F.col("new_hash").eqNullSafe(F.col("inline_hash")))
+    df = programs.join(cache, "program_id", "left").withColumns({"fresh": _fresh(now, ttl_hours), "new_hash": F.when(text != "", F.sha2(text, 256)), "own": text})
+    df = df.withColumn("reread", F.col("new_hash").isNotNull() & ~F.col("new_hash").eqNullSafe(F.col("inline_hash")))
+    useful = policy_useful(df.where("reread").select(F.col("program_id").alias("page_id"), F.col("program_id").alias("url"), F.col("own").alias("text"))).withColumnRenamed("url", "program_id")
     rank = F.when(F.col("change_type") == "new_target", 3).when(F.col("change_type") == "new_program", 2).when(F.col("change_type") == "scope_updated", 1).otherwise(0)
-    stale = df.where("NOT fresh AND NOT inline").select("program_id", rank.alias("rank"))
-    due = stale.orderBy(F.desc("rank"), "program_id").limit(budget).select("program_id", F.lit(True).alias("due"))
-    return df.join(due, "program_id", "left").select("program_id", F.when(F.col("inline"), "inline").when(F.col("fresh"), "keep").when(F.col("due"), "fetch").otherwise("wait").alias("action"))
+    df = df.select("program_id", "fresh", "reread", rank.alias("rank")).join(useful, "program_id", "left")
+    df = df.withColumn("action", F.when(F.col("reread") & F.col("useful"), "inline").when(~F.col("reread") & F.col("fresh"), "keep"))
+    due = df.where("action IS NULL").orderBy("fresh", F.desc("rank"), "program_id").limit(budget).select("program_id", F.lit("fetch").alias("due"))
+    return df.join(due, "program_id", "left").select("program_id", "reread", F.coalesce("action", "due", F.lit("wait")).alias("action"))
 
 
 def upsert(cache: DataFrame, results: DataFrame, key: str, now: str) -> DataFrame:

@@ -22,13 +22,17 @@ STOP_PARTS = ["tree", "blob", "commit", "commits", "issues", "pull", "pulls", "r
 def repo_resolve(targets: DataFrame) -> DataFrame:
     """target_key, repo_key: owner and name of a hosted repository in the target's value; other targets go.
 
-    The two hosts, with or without a scheme or www; query, fragment and trailing slashes cut; a ``-`` part and
-    all from the first stop word on are left out; ``.git`` goes; parts of other characters give none.
+    The two hosts, as ``git@host:path`` or as an address with or without a scheme, user, port or www; query, fragment and trailing
+    slashes cut; ``%xx`` decoded in addresses (a value that can't be gives none); a ``-`` part and all from the first stop word on
+    are left out; ``.git`` goes; parts of other characters give none.
     """
-    raw = F.regexp_replace(F.regexp_replace("value", r"[?#].*$", ""), r"/+$", "")
-    host = F.lower(F.regexp_extract(raw, r"(?i)^(?:https?://)?(?:www\.)?(github\.com|gitlab\.com)/", 1))
-    path = F.regexp_extract(raw, r"(?i)^(?:https?://)?(?:www\.)?(?:github\.com|gitlab\.com)/(.*)$", 1)
-    df = targets.select("target_key", host.alias("host"), F.filter(F.split(path, "/"), lambda x: x != "").alias("p")).where("host <> ''")
+    raw = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", r"(?U)^\s+|\s+$", ""), r"[?#].*$", ""), r"/+$", "")
+    by_name, by_url = r"(?i)^git@(github\.com|gitlab\.com):(.+?)(?:\.git)?$", r"(?i)^(?:https?://)?(?:[^/@]*@)?(?:www\.)?(github\.com|gitlab\.com)(?::\d*)?/(.*)$"
+    named = raw.rlike(by_name)
+    host = F.lower(F.when(named, F.regexp_extract(raw, by_name, 1)).otherwise(F.regexp_extract(raw, by_url, 1)))
+    decoded = F.try_url_decode(F.replace(F.regexp_extract(raw, by_url, 2), F.lit("+"), F.lit("%2B")))
+    path = F.when(named, F.regexp_extract(raw, by_name, 2)).otherwise(decoded)
+    df = targets.select("target_key", host.alias("host"), F.filter(F.split(path, "/"), lambda x: x != "").alias("p")).where("host <> '' AND p IS NOT NULL")
     stops = F.transform("p", lambda x: (x == "-") | F.lower(x).isin(STOP_PARTS))
     end = F.coalesce(F.array_position(stops, True), F.lit(0)).cast("int")
     df = df.withColumn("p", F.when(end > 0, F.slice("p", 1, F.greatest(end - 1, F.lit(0)))).otherwise(F.col("p")))
@@ -39,20 +43,35 @@ def repo_resolve(targets: DataFrame) -> DataFrame:
     return df.where(fine).select("target_key", F.when(F.col("host") == "github.com", name).otherwise(F.concat(F.lit("gitlab.com/"), name)).alias("repo_key")).distinct()
 
 
-def repo_activity(commits: DataFrame, now: str) -> DataFrame:
-    """Commits in 7, 30 and 90 days and the largest additions in 90, per repository."""
+def repo_activity(commits: DataFrame, pulls: DataFrame, now: str) -> DataFrame:
+    """Commits in 7, 30 and 90 days, pull requests merged in 90 and the largest additions of one (0 without any), per repository.
+
+    commits: repo_key, committed_at; pulls: repo_key, merged_at (null: not merged), additions. Both are counted in one aggregation.
+    """
     age = F.lit(now).cast("timestamp")
-    recent = lambda n: (F.col("committed_at") >= age - F.expr(f"INTERVAL {n} DAYS")) & (F.col("committed_at") <= age)
-    return commits.groupBy("repo_key").agg(*(F.count_if(recent(n)).alias(f"commits_{n}d") for n in (7, 30, 90)),
-                                           F.max(F.when(recent(90), F.col("additions"))).alias("max_additions_90d"))
+    none = F.lit(None).cast("double")
+    rows = commits.select("repo_key", F.col("committed_at").alias("at"), none.alias("additions"), F.lit(False).alias("pull"))
+    rows = rows.unionByName(pulls.where("merged_at IS NOT NULL").select("repo_key", F.col("merged_at").alias("at"), F.col("additions").cast("double").alias("additions"), F.lit(True).alias("pull")))
+    since = lambda n: F.col("at") >= age - F.expr(f"INTERVAL {n} DAYS")
+    merged = F.col("pull") & since(90)
+    return rows.groupBy("repo_key").agg(*(F.count_if(~F.col("pull") & since(n) & (F.col("at") <= age)).alias(f"commits_{n}d") for n in (7, 30, 90)),
+                                        F.count_if(merged).alias("merged_prs_90d"), F.coalesce(F.max(F.when(merged, F.col("additions"))), F.lit(0.0)).alias("max_additions_90d"))
 
 
-def repo_profile(commits: DataFrame, now: str) -> DataFrame:
-    """Age in years (one decimal), contributors and commits in all."""
+def repo_profile(meta: DataFrame, commits: DataFrame, now: str) -> DataFrame:
+    """Age in years (one decimal), contributors, commits, stars, forks, releases and a map of language sizes under lower-case names; of names that are then the same the last one stays.
+
+    meta: repo_key, stars, forks, releases, languages (``name:size`` texts); commits: repo_key, committed_at, author.
+    """
     from ..functions.exprs import days, half_up
 
-    return commits.groupBy("repo_key").agg(F.min("committed_at").alias("first"), F.count_distinct("author").alias("contributors"), F.count("*").alias("commits")).select(
-        "repo_key", half_up(days(F.col("first"), F.lit(now).cast("timestamp")) / 365.25, 1).alias("age_y"), "contributors", "commits")
+    got = commits.groupBy("repo_key").agg(F.min("committed_at").alias("first"), F.count_distinct("author").alias("contributors"), F.count("*").alias("commits"))
+    pairs = F.transform("languages", lambda x: F.struct(F.lower(F.substring_index(x, ":", 1)).alias("k"), F.substring_index(x, ":", -1).try_cast("long").alias("v")))
+    names = F.array_distinct(F.transform(pairs, lambda x: x["k"]))
+    sizes = F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter(pairs, lambda x: x["k"] == k), -1)["v"]))
+    return meta.join(got, "repo_key", "left").select(
+        "repo_key", half_up(days(F.col("first"), F.lit(now).cast("timestamp")) / 365.25, 1).alias("age_y"), F.coalesce("contributors", F.lit(0)).cast("long").alias("contributors"),
+        F.coalesce("commits", F.lit(0)).cast("long").alias("commits"), *(F.col(c).cast("long").alias(c) for c in ("stars", "forks", "releases")), sizes.alias("languages"))
 
 
 def _name(path: Column) -> Column:
@@ -84,19 +103,39 @@ def scan_priority_pick(blobs: DataFrame, max_files: int = 400, max_bytes: int =
     return files.select("repo_key", F.explode(fits).alias("f")).select("repo_key", "f.path", "f.size")
 
 
-def detect_traps(blobs: DataFrame) -> DataFrame:
-    """Signs that a weakness is known already: repo_key, path, kind. Texts are read in the scan and go no further."""
-    test = F.col("path").rlike(TEST_PATH) & _name(F.col("path")).rlike(KNOWN_FILE)
-    kinds = F.array(F.when(test, "test-filename"), F.when(F.col("text").rlike(KNOWN_COMMENT), "known-comment"),
-                    F.when(F.col("text").rlike(DISABLED_FLAG) & F.col("text").rlike(SECURITY_CONTEXT), "disabled-security-flag"))
-    return blobs.select("repo_key", "path", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("kind"))
+def _first_hit(text: Column, pattern: str) -> Column:
+    """Line and text (180 characters, white space collapsed) of a pattern's first match; null without one. Read only where the pattern occurs."""
+    whole = r"(?s)\A(.*?)((?-s)" + pattern + ")"
+    before, match = F.regexp_extract(text, whole, 1), F.regexp_extract(text, whole, 2)
+    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+    return F.when(text.rlike(pattern), F.struct(line.cast("int").alias("line"), F.substring(F.trim(F.regexp_replace(match, r"(?U)\s+", " ")), 1, 180).alias("match")))
 
 
-def trap_rollup(traps: DataFrame) -> DataFrame:
-    """Per repository: traps (20 at most), dev_known and security_fix_gated."""
+def detect_traps(blobs: DataFrame, tree: DataFrame | None = None, most: int = 500_000) -> DataFrame:
+    """Signs that a weakness is known already: repo_key, path, kind, line, match; one row per path and kind. Texts are read in the scan and go no further.
+
+    blobs: repo_key, path, text of scanned files, of which the first 500,000 characters are read (a rule of the scan); tree: repo_key, path of all
+    files, whose names alone can tell a test of a weakness. Names have no line.
+    """
+    test = lambda: F.when(F.col("path").rlike(TEST_PATH) & _name(F.col("path")).rlike(KNOWN_FILE), F.struct(F.lit(None).cast("int").alias("line"), _name(F.col("path")).alias("match")))
+    text = F.substring("text", 1, most)
+    hits = F.array(*(F.struct(F.lit(k).alias("kind"), h.alias("hit")) for k, h in (
+        ("test-filename", test()), ("known-comment", _first_hit(text, KNOWN_COMMENT)), ("disabled-security-flag", F.when(text.rlike(SECURITY_CONTEXT), _first_hit(text, DISABLED_FLAG))))))
+    found = blobs.select("repo_key", "path", F.explode(F.filter(hits, lambda x: x["hit"].isNotNull())).alias("h")).select("repo_key", "path", "h.kind", "h.hit.line", "h.hit.match")
+    if tree is not None:
+        named = tree.select("repo_key", "path", F.lit("test-filename").alias("kind"), test().alias("hit")).where("hit IS NOT NULL")
+        found = found.unionByName(named.select("repo_key", "path", "kind", "hit.line", "hit.match"))
+    # the same file scanned twice: its first match
+    return found.groupBy("repo_key", "path", "kind").agg(F.min(F.struct("line", "match")).alias("h")).select("repo_key", "path", "kind", "h.line", "h.match")
+
+
+def trap_rollup(traps: DataFrame, most: int = 20) -> DataFrame:
+    """Per repository: traps and trap_hits (20 at most, by kind and path), dev_known and security_fix_gated. Spark cuts groups before the shuffle; the flag is of all traps."""
     w = Window.partitionBy("repo_key").orderBy("kind", "path")
-    some = traps.distinct().withColumn("n", F.row_number().over(w))
-    return some.groupBy("repo_key").agg(F.count_if(F.col("n") <= 20).alias("traps"), F.lit(True).alias("dev_known"), F.bool_or(F.col("kind") == "disabled-security-flag").alias("security_fix_gated"))
+    some = traps.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+    hits = some.groupBy("repo_key").agg(F.count("*").alias("traps"), F.array_sort(F.collect_list(F.struct("kind", "path", "line", "match"))).alias("trap_hits"))
+    gated = traps.groupBy("repo_key").agg(F.bool_or(F.col("kind") == "disabled-security-flag").alias("security_fix_gated"))
+    return hits.join(gated, "repo_key").select("repo_key", "traps", F.lit(True).alias("dev_known"), "security_fix_gated", "trap_hits")
 
 
 def live_activity(tx: DataFrame, now: str) -> DataFrame:
@@ -175,3 +214,10 @@ def policy_floor(rewards: DataFrame, texts: DataFrame, minimum: float = 1000.0)
     paid = rewards.where(F.col("amount") >= minimum).groupBy("url").agg(F.min_by("severity", rank).alias("floor"))
     df = texts.select("url", F.col("text").rlike(LOW_EXCLUDED).alias("low")).join(paid, "url", "left").where("floor IS NOT NULL OR low")
     return df.select("url", F.coalesce("floor", F.lit("MEDIUM")).alias("policy_floor"), F.when(F.col("floor").isNotNull(), "scraped-reward-table").otherwise("scraped-low-exclusion").alias("policy_floor_source"))
+
+
+def policy_useful(texts: DataFrame) -> DataFrame:
+    """url, useful: whether the text of a policy names an amount for a severity, excludes low ones or tells how many reports there were. texts: page_id, url, text."""
+    paid = policy_rewards(texts).select("url").distinct().withColumn("paid", F.lit(True))
+    told = policy_restrictions(texts.withColumn("url", F.struct("url", F.col("text").rlike(LOW_EXCLUDED).alias("low")))).select("url.url", (F.col("policy_reports").isNotNull() | F.col("url.low")).alias("told"))
+    return told.join(paid, "url", "left").select("url", (F.coalesce("paid", F.lit(False)) | F.coalesce("told", F.lit(False))).alias("useful"))

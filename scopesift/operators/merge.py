@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import fold
+from ..functions.exprs import FOLDED, fold
 from . import facts, value
 
 # Target types by the first pattern that their text matches.
@@ -37,6 +40,21 @@ def merge_slug(name: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(fold(name), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 96)
 
 
+def merge_keys(names: DataFrame) -> DataFrame:
+    """name, merge_key of the distinct names: decomposed with compatibility (NFKD), without combining marks, lower case, letters and digits with one dash between, 96 characters.
+
+    Names of letters that ``fold`` knows need no Python. All others, once each, go to tasks as Arrow batches.
+    """
+    @F.pandas_udf("string")
+    def decomposed(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: unicodedata.normalize("NFKD", v), na_action="ignore")
+
+    each = names.select("name").where("name IS NOT NULL").distinct()
+    plain = F.col("name").rlike(FOLDED)
+    rest = each.where(~plain).select("name", merge_slug(decomposed("name")).alias("merge_key"))
+    return each.where(plain).select("name", merge_slug(F.col("name")).alias("merge_key")).unionByName(rest)
+
+
 def norm_targets(raw: DataFrame) -> DataFrame:
     """Trimmed values with a type and a key; blank and ineligible ones go (unknown counts as eligible)."""
     df = raw.withColumns({"value": F.regexp_replace(F.coalesce("value", F.lit("")), r"(?U)^\s+|\s+$", ""), "type": target_type(F.col("raw_type"))})

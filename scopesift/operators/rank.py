@@ -11,13 +11,14 @@ FIELDS = ["workflow", "findable_class", "ceiling", "floor", "hardening_index", "
 
 
 def best_target(evaluated: DataFrame) -> DataFrame:
-    """One row per program: its best target that is not excluded, else its first.
+    """One row per program: its best target that is not excluded, else its first; with the number of its targets.
 
-    An aggregation with partial results, so a program with very many targets needs no sort of them in one task.
+    A window limited to its first row: each task keeps one row per program before the shuffle, so a program with very many targets
+    sends one row a task. They are counted by hash from the ids alone.
     """
-    order = F.struct(F.col("exclude_reason").isNotNull(), -F.col("ev_score"), -F.col("p_findable"), F.col("target_key"))
-    best = F.min_by(F.struct("target_key", "name", "platform", "url", "max_reward", "resolved_reports", *FIELDS), order).alias("b")
-    return evaluated.groupBy("program_id").agg(best, F.count("*").alias("targets")).select("program_id", "targets", "b.*")
+    w = Window.partitionBy("program_id").orderBy(F.col("exclude_reason").isNotNull(), F.desc("ev_score"), F.desc("p_findable"), "target_key")
+    best = evaluated.select("program_id", "target_key", "name", "platform", "url", "max_reward", "resolved_reports", *FIELDS).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    return evaluated.groupBy("program_id").agg(F.count("*").alias("targets")).join(best, "program_id")
 
 
 def program_traps(evaluated: DataFrame) -> DataFrame:
@@ -56,5 +57,14 @@ def summary_metrics(programs: DataFrame, evaluated: DataFrame) -> DataFrame:
     return a.crossJoin(evaluated.where("repo_status = 'ok'").agg(F.count_distinct("repo_key").alias("enriched_repos")))
 
 
-def run_meta(programs: DataFrame) -> DataFrame:
-    return programs.agg(F.count("*").alias("programs"), F.sum("targets").alias("targets"), F.count_if(F.col("exclude_reason").isNull()).alias("ranked"), F.count_if(F.col("exclude_reason").isNotNull()).alias("excluded"))
+def run_meta(programs: DataFrame, events: DataFrame, health: DataFrame, coverage: DataFrame, checks: DataFrame) -> DataFrame:
+    """One row about a run: counts of programs (ranked: neither excluded nor worth nothing), events and sources, the coverage gate and the checks of traps.
+
+    programs: of best_target; events: of change_events; health: of src_health; coverage: of coverage_gate; checks: of trap_assertions. Each is reduced to one row where it is.
+    """
+    out = F.col("exclude_reason").isNotNull()
+    df = programs.agg(F.count("*").alias("programs"), F.coalesce(F.sum("targets"), F.lit(0)).alias("targets"), F.count_if(~out & (F.col("ev_score") > 0)).alias("ranked"), F.count_if(out).alias("excluded"))
+    one = {"events": events.agg(F.count("*")), "sources": health.agg(F.count("*")), "healthy_sources": health.agg(F.count_if(F.col("status") == "ok")),
+           **{f"coverage_{c}": coverage.select(c) for c in ("n", "measured", "required", "ready")}, "coverage_ratio": coverage.select(F.round("ratio", 3)),
+           **{f"checks_{c}": checks.select(c) for c in ("sentinels", "managed", "sentinel_ok", "ceiling_ok", "ready")}}
+    return df.select("*", *(q.scalar().alias(name) for name, q in one.items()))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .diff import CORE
+from .evidence import repo_resolve as resolved
 from .evidence import scannable
 from .value import HOSTED, LIVE
 
@@ -97,9 +98,17 @@ def refresh_schedule(stale: DataFrame, limit: int = 250) -> DataFrame:
     return stale.orderBy(F.desc("stale"), F.desc("priority"), F.asc_nulls_first("fetched_at"), "repo_key").limit(limit)
 
 
-def enrich_stats(stale: DataFrame, limit: int = 250) -> DataFrame:
-    n = F.count_if("stale")
-    return stale.agg(F.count("*").alias("discovered"), n.alias("stale"), F.least(n, F.lit(limit)).cast("long").alias("scheduled"), F.greatest(n - limit, F.lit(0)).cast("long").alias("deferred"))
+def enrich_stats(stale: DataFrame, results: DataFrame, cache: DataFrame, limit: int = 250) -> DataFrame:
+    """One row about a refresh of repositories: found, stale, scheduled and deferred ones, tried, updated and failed ones, those without a good row after it, and how many each host has.
+
+    stale: of staleness; results: repo_key, status of the tried ones; cache: of cache_upsert.
+    """
+    n, tried = F.count_if("stale"), F.col("result").isNotNull()
+    df = stale.join(results.select("repo_key", F.col("status").alias("result")), "repo_key", "left").join(cache.select("repo_key", F.col("status").alias("after")), "repo_key", "left")
+    lab = F.startswith("repo_key", F.lit("gitlab.com/"))
+    return df.agg(F.count("*").alias("discovered"), n.alias("stale"), F.least(n, F.lit(limit)).cast("long").alias("scheduled"), F.greatest(n - limit, F.lit(0)).cast("long").alias("deferred"),
+                  F.count_if(tried).alias("attempted"), F.count_if(tried & (F.col("result") == "ok")).alias("updated"), F.count_if(tried & (F.col("result") != "ok")).alias("failed"),
+                  F.count_if(~F.col("after").eqNullSafe(F.lit("ok"))).alias("pending"), F.count_if(~lab).alias("github"), F.count_if(lab).alias("gitlab"))
 
 
 def cache_upsert(cache: DataFrame, fresh: DataFrame, referenced: DataFrame) -> DataFrame:
@@ -148,7 +157,8 @@ def fallback_target(programs: DataFrame) -> DataFrame:
 
 
 def live_match(targets: DataFrame, rules: list[dict]) -> DataFrame:
-    """The number of the first rule that fits, compiled into one expression: the same key, an address in the value, or a pattern. No join."""
+    """The number of the first rule that fits, compiled into one expression: the same key, an address in the value, or a pattern over
+    the program's id and name, the key and the value. No join. targets: program_id, name, target_key, value."""
     out = F.lit(None).cast("int")
     for i, r in reversed(list(enumerate(rules))):
         fits = F.lit(False)
@@ -157,7 +167,7 @@ def live_match(targets: DataFrame, rules: list[dict]) -> DataFrame:
         if r.get("address"):
             fits = fits | F.contains(F.lower("value"), F.lit(r["address"].lower()))
         if r.get("pattern"):
-            fits = fits | F.concat_ws(" ", "merge_key", "target_key", "value").rlike("(?i)" + r["pattern"])
+            fits = fits | F.concat_ws(" ", "program_id", "name", "target_key", "value").rlike("(?i)" + r["pattern"])
         out = F.when(fits, F.lit(i)).otherwise(out)
     return targets.withColumn("rule", out).where("rule IS NOT NULL")
 
@@ -170,12 +180,49 @@ def override_join(programs: DataFrame, overrides: DataFrame) -> DataFrame:
     return df.groupBy("program_id").agg(F.min_by(F.struct(*fields), "rank").alias("o")).select("program_id", *(F.col(f"o.{c}").alias(f"override_{c}") for c in fields))
 
 
-def public_projection(evaluated: DataFrame, top: int = 16) -> DataFrame:
-    """The best targets of each program; signals are null, not zero, where they were not measured. Spark limits groups before the shuffle too."""
-    w = Window.partitionBy("program_id").orderBy(F.col("exclude_reason").isNotNull(), F.desc("ev_score"), F.desc("p_findable"), "target_key")
-    ok = F.coalesce(F.col("repo_status") == "ok", F.lit(False))
-    return evaluated.withColumn("position", F.row_number().over(w)).where(F.col("position") <= top).select(
-        "program_id", "position", "target_key", "type", "workflow", "ev_score", *(F.when(ok, F.col(c)).alias(c) for c in ("hardening_index", "stars", "commits_90d")))
+def signals_lookup(targets: DataFrame, signals: DataFrame) -> DataFrame:
+    """target_key, repo_key and the signals of each target's repository: those under its key, else those under the older form ``host:owner/name``, else a pending row; null for other targets.
+
+    targets: target_key, value; signals: repo_key (either form), status and more. Both forms are looked up in one join over distinct repositories, and the better one stays.
+    """
+    fields = [c for c in signals.columns if c != "repo_key"]
+    keys = resolved(targets)
+    lab = F.startswith("repo_key", F.lit("gitlab.com/"))
+    full = F.when(lab, F.substring("repo_key", len("gitlab.com/") + 1, 2**31 - 1)).otherwise(F.col("repo_key"))
+    provider = F.when(lab, "gitlab").otherwise("github")
+    repos = keys.select("repo_key").distinct().withColumns({"provider": provider, "full_name": full})
+    forms = F.explode(F.array(F.struct(F.lit(0).alias("rank"), F.col("repo_key").alias("form")), F.struct(F.lit(1).alias("rank"), F.concat_ws(":", "provider", "full_name").alias("form"))))
+    found = repos.select("repo_key", forms.alias("f")).select("repo_key", "f.*").join(signals.withColumnRenamed("repo_key", "form"), "form")
+    got = found.groupBy("repo_key").agg(F.min_by(F.struct(*fields), "rank").alias("s"))
+    known = repos.join(got, "repo_key", "left").select("repo_key", "provider", "full_name", *(F.coalesce("s.status", F.lit("pending")).alias(c) if c == "status" else F.col(f"s.{c}").alias(c) for c in fields))
+    return targets.select("target_key").distinct().join(keys.join(known, "repo_key"), "target_key", "left").select("target_key", "repo_key", "provider", "full_name", *fields)
+
+
+#: Signals that are published as they are; all others only of repositories that were measured.
+_ALWAYS = ["status", "provider", "full_name", "url", "age_y", "default_branch", "languages", "files_added_90d_list", "files_90d_truncated", "security_workflows", "advisory_coverage", "trap_hits", "scan_coverage"]
+
+
+def compact_signals(signals: DataFrame, added: int = 40, hits: int = 10) -> DataFrame:
+    """repo_key and one struct: what is published of a repository. A measure is null, not zero, where the repository was not measured; lists are cut."""
+    fields = [c for c in signals.columns if c != "repo_key"]
+    ok = F.col("status") == "ok"
+    cut = {"files_added_90d_list": F.slice(F.coalesce("files_added_90d_list", F.array().cast("array<string>")), 1, added), "trap_hits": F.slice("trap_hits", 1, hits)}
+    cut = {c: x for c, x in cut.items() if c in fields}
+    return signals.select("repo_key", F.struct(*(cut.get(c, F.col(c)).alias(c) if c in _ALWAYS else F.when(ok, F.col(c)).alias(c) for c in fields)).alias("repo_signals"))
+
+
+def public_projection(evaluated: DataFrame, best: DataFrame, signals: DataFrame, top: int = 16) -> DataFrame:
+    """One row per program: ``targets``, an array of its best target and the ones of the greatest value behind it, each with the published signals of its repository (null without one).
+
+    evaluated: of evaluate_targets; best: program_id, target_key; signals: of compact_signals. Groups are cut to ``top`` before the shuffle, and only what is left is joined with signals.
+    """
+    first = best.select("program_id", F.col("target_key").alias("best_key"))
+    rows = evaluated.select("program_id", "target_key", "type", "value", "repo_key", "workflow", "findable_class", "ceiling", "hardening_index", "fresh_code_index", "p_findable", "ev_score", "exclude_reason")
+    rows = rows.join(first, "program_id").withColumn("is_best", F.col("target_key") == F.col("best_key"))
+    w = Window.partitionBy("program_id").orderBy(F.desc("is_best"), F.desc("ev_score"), "target_key")
+    rows = rows.withColumn("position", F.row_number().over(w)).where(F.col("position") <= top).drop("best_key")
+    one = F.struct("position", "target_key", "type", "value", "is_best", "workflow", "findable_class", "ceiling", "hardening_index", "fresh_code_index", "p_findable", "ev_score", "exclude_reason", "repo_signals")
+    return rows.join(signals, "repo_key", "left").groupBy("program_id").agg(F.collect_list(one).alias("targets")).select("program_id", F.array_sort("targets", lambda a, b: a["position"] - b["position"]).alias("targets"))
 
 
 def browse(programs: DataFrame, targets: DataFrame, tab: str = "top", platform: str | None = None, workflow: str | None = None, least: float = 0.0, words: str = "", reviewed: DataFrame | None = None, watchlist: DataFrame | None = None) -> DataFrame:

@@ -83,22 +83,54 @@ def policy(spark: SparkSession, sf: str) -> DataFrame:
     return stored(spark, sf, "policy", build)
 
 
+def traps(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.trap_rollup(evidence.detect_traps(view(spark, sf, "fx_blobs"), view(spark, sf, "fx_tree").select("repo_key", "path")))
+
+
+def repo_meta(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "fx_repo_meta").withColumn("languages", F.filter(F.split("languages", ","), lambda x: x != ""))
+
+
+def measured(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per repository that is known: profile, activity, churn, tree, tooling, advisories, scan and traps."""
+    def build() -> DataFrame:
+        commits, tree, blobs = view(spark, sf, "fx_repo_commits"), view(spark, sf, "fx_tree"), view(spark, sf, "fx_blobs")
+        advisories = repo.advisory_signals(view(spark, sf, "fx_advisories").withColumn("packages", F.array("package")), tree.select("repo_key", "path"), NOW)
+        scanned = state.scan_coverage(blobs, evidence.scan_priority_pick(blobs))
+        parts = [evidence.repo_activity(commits, view(spark, sf, "fx_repo_pulls"), NOW), evidence.repo_profile(repo_meta(spark, sf), commits, NOW), traps(spark, sf),
+                 repo.repo_file_churn(view(spark, sf, "fx_compare")).selectExpr("repo_key", "files_touched AS files_touched_90d", "files_added AS files_added_90d", "added_list", "truncated AS files_90d_truncated"),
+                 repo.repo_tree_top2(tree.select("repo_key", "path")).selectExpr("repo_key", "paths AS top_paths"),
+                 repo.detect_tooling(tree.select("repo_key", "path"), tree.where("NOT failed"), tree.where("failed").select("repo_key")).drop("workflows"),
+                 advisories.selectExpr("repo_key", "named_struct('open', open, 'resolved', resolved, 'total', total) AS advisories", "path_match AS advisory_match"),
+                 scanned.selectExpr("repo_key", "named_struct('eligible', eligible, 'selected', selected, 'bytes', bytes) AS scan_coverage", "status AS scan_status")]
+        df = view(spark, sf, "fx_repo_meta").selectExpr("repo_key", "status AS repo_state", "default_branch")
+        for p in parts:
+            df = df.join(p, "repo_key", "left")
+        return df
+
+    return stored(spark, sf, "measured", build)
+
+
 def signals(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per repository that is known: profile, activity, churn, tree, tooling, advisories and traps, and its flags for routing. Measures of pending ones are null."""
-    commits, tree = view(spark, sf, "fx_repo_commits"), view(spark, sf, "fx_tree")
-    parts = [evidence.repo_activity(commits, NOW), evidence.repo_profile(commits, NOW), evidence.trap_rollup(evidence.detect_traps(view(spark, sf, "fx_blobs"))),
-             repo.repo_file_churn(view(spark, sf, "fx_compare")).selectExpr("repo_key", "files_added AS files_added_90d", "added_list"),
-             repo.repo_tree_top2(tree.select("repo_key", "path")).selectExpr("repo_key", "paths AS top_paths"),
-             repo.detect_tooling(tree.select("repo_key", "path"), tree.where("NOT failed"), tree.where("failed").select("repo_key")).select("repo_key", "sec_tooling"),
-             repo.advisory_signals(view(spark, sf, "fx_advisories").withColumn("packages", F.array("package")), tree.select("repo_key", "path"), NOW).selectExpr("repo_key", "resolved AS advisories_resolved", "path_match AS advisory_match")]
-    df = view(spark, sf, "fx_repo_meta").withColumnRenamed("status", "repo_state").withColumn("languages", F.filter(F.split("languages", ","), lambda x: x != ""))
-    for p in parts:
-        df = df.join(p, "repo_key", "left")
-    known = F.col("repo_state") == "ok"
-    df = df.select("repo_key", "repo_state", *(F.when(known, F.col(c)).alias(c) for c in df.columns if c not in ("repo_key", "repo_state")))
+    """What the evaluation reads of each repository, and its flags for routing. Measures of pending ones are null."""
+    df = measured(spark, sf).withColumns({"advisories_resolved": F.col("advisories.resolved"), "languages": F.map_keys("languages")})
+    wanted = ["stars", "default_branch", "languages", "age_y", "contributors", "commits_90d", "max_additions_90d", "files_added_90d", "added_list", "top_paths", "sec_tooling", "advisories_resolved", "advisory_match", "traps", "dev_known", "security_fix_gated"]
+    df = df.select("repo_key", "repo_state", *(F.when(F.col("repo_state") == "ok", F.col(c)).alias(c) for c in wanted))
     return df.withColumn("repo_flags", value.repo_told()).drop("top_paths", "added_list")
 
 
+def published_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """What is published of each repository."""
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)  # noqa: E731  what was not found is not there
+    n = lambda c, to=None: F.coalesce(c, F.lit(0)).cast("long").alias(to or c)
+    df = measured(spark, sf).select(
+        "repo_key", F.col("repo_state").alias("status"), F.lit("github").alias("provider"), F.col("repo_key").alias("full_name"), F.concat(F.lit("https://github.com/"), "repo_key").alias("url"), "age_y", "stars", "forks", "contributors", "releases", "default_branch", "languages",
+        n("commits_7d"), n("commits_30d"), n("commits_90d"), n("files_touched_90d"), n("files_added_90d"), F.col("added_list").alias("files_added_90d_list"), no("files_90d_truncated"), n("merged_prs_90d"), n("max_additions_90d", "max_merged_pr_additions_90d"),
+        no("sec_tooling"), no("security_md"), no("fuzz_path"), no("fuzz_function"), F.coalesce("tools", F.array().cast("array<string>")).alias("security_workflows"), "advisories",
+        F.when(F.col("advisories").isNull(), "unavailable").otherwise("repository-advisories").alias("advisory_coverage"), "trap_hits", no("dev_known"), no("security_fix_gated"), no("advisory_match"), "scan_coverage", F.coalesce("scan_status", F.lit("unknown")).alias("trap_scan_status"))
+    return state.compact_signals(df)
+
+
 def joined(spark: SparkSession, sf: str) -> DataFrame:
     """Targets with their program, change and evidence: the input of evaluate_targets. Programs without targets have their own address as one.
 

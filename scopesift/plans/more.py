@@ -43,7 +43,7 @@ def _policy_cache(s, d):
 
 
 def _policy_refresh(s, d):
-    texted = flow.changes(s, d).withColumn("policy_text", F.when(F.col("added") % 3 == 0, F.concat(F.lit(" policy "), "merge_key")))
+    texted = flow.changes(s, d).withColumn("policy_text", F.when(F.col("added") % 3 == 0, F.concat(F.lit(" policy "), "merge_key", F.when(F.col("added") % 4 == 0, " pays $2,000 at most for a critical one").when(F.col("added") % 4 == 1, ": 1,204 resolved reports").when(F.col("removed") % 2 == 1, ", low ones are out of scope").otherwise(""))))
     return cache.policy_refresh(texted, _policy_cache(s, d), NOW)
 
 
@@ -133,7 +133,17 @@ def _feed_merge(s, d):
                            "launched_at", "resolved_reports", F.array_join("tags", ",").alias("tags"), F.array_join("languages", ",").alias("languages"), "local_testing_hint", "source_code", "repository_count", "target_count", "invite_words")
 
 
+def _public(s, d):
+    df = state.public_projection(flow.evaluated(s, d), flow.best(s, d), flow.published_signals(s, d))
+    t = df.select("program_id", F.explode("targets").alias("t")).select("program_id", "t.*")
+    plain = [c for c in t.schema["repo_signals"].dataType.names if c not in ("languages", "files_added_90d_list", "security_workflows", "advisories", "trap_hits", "scan_coverage")]
+    of = lambda c: F.col(f"repo_signals.{c}")
+    return t.select("program_id", "position", "target_key", "is_best", "workflow", "ev_score", *(of(c).alias(c) for c in plain), F.array_join(F.array_sort(F.map_keys(of("languages"))), ",").alias("languages"), *(F.array_join(of(c), ",").alias(c) for c in ("files_added_90d_list", "security_workflows")),
+                    *(of(f"advisories.{c}").alias(f"advisories_{c}") for c in ("open", "resolved", "total")), F.array_join(F.transform(of("trap_hits"), lambda h: F.concat_ws(":", h["kind"], h["path"], h["line"], h["match"])), ";").alias("trap_hits"), *(of(f"scan_coverage.{c}").alias(f"scan_{c}") for c in ("eligible", "selected", "bytes")))
+
+
 QUERIES = {
+    "public_projection": _public,
     "src_feeds": lambda s, d: _records(s, d).select("source_id", "page_no", "ordinal", "name"),
     "src_nested_targets": lambda s, d: feeds.src_nested_targets(_records(s, d)),
     "norm_feed_programs": _feed_programs,
@@ -259,9 +269,20 @@ CTES["tool_r"] = f"""SELECT repo_key, bool_or({hit('path', repo.SECURITY_FILE)})
 CTES["tooled"] = "SELECT r.*, coalesce(t.tools, '') AS tools FROM tool_r r LEFT JOIN (SELECT repo_key, string_agg(DISTINCT tool, ',' ORDER BY tool) AS tools FROM tool_n GROUP BY 1) t ON t.repo_key = r.repo_key"
 CTES["adv"] = f"SELECT *, lower(state) IN ('open', 'draft', 'triage') AS o, lower(state) IN ('open', 'draft', 'triage') AND updated_at >= {AT} - INTERVAL 365 DAYS AS recent FROM fx_advisories"
 CTES["adv_hit"] = "SELECT DISTINCT t.repo_key FROM fx_tree t JOIN adv a ON a.repo_key = t.repo_key WHERE a.recent AND length(a.package) > 2 AND contains(lower(t.path), lower(a.package))"
+CTES["churned"] = "SELECT repo_key, count(DISTINCT path) AS touched, count(DISTINCT path) FILTER (WHERE status = 'added') AS added, coalesce(array_to_string(list_sort(list(DISTINCT path) FILTER (WHERE status = 'added'))[1:40], ','), '') AS forty FROM fx_compare GROUP BY 1"
+CTES["advises"] = "SELECT repo_key, count(*) FILTER (WHERE o) AS n_open, count(*) FILTER (WHERE lower(state) IN ('published', 'closed')) AS n_resolved, count(*) AS n_total, repo_key IN (SELECT repo_key FROM adv_hit) AS path_match FROM adv GROUP BY 1"
+# a column of a repository that was measured, null for others
+_IF = lambda x, name: f"CASE WHEN m.status = 'ok' THEN {x} END AS {name}"
+CTES["pub"] = "SELECT m.repo_key, m.status, 'github' AS provider, m.repo_key AS full_name, 'https://github.com/' || m.repo_key AS url, f.age_y, m.default_branch, coalesce(c.touched, 0) >= 300 AS files_90d_truncated, CASE WHEN v.repo_key IS NULL THEN 'unavailable' ELSE 'repository-advisories' END AS advisory_coverage, k.ten_hits AS trap_hits, coalesce(c.forty, '') AS files_added_90d_list, coalesce(t.tools, '') AS security_workflows, array_to_string(list_sort(list_distinct(list_transform(list_filter(string_split(m.languages, ','), lambda x: x <> ''), lambda x: lower(string_split(x, ':')[1])))), ',') AS languages, s.eligible AS scan_eligible, s.selected AS scan_selected, s.bytes AS scan_bytes, " + ", ".join(_IF(x, n) for n, x in {
+    "stars": "m.stars", "forks": "m.forks", "contributors": "f.contributors", "releases": "m.releases", "commits_7d": "coalesce(a.commits_7d, 0)", "commits_30d": "coalesce(a.commits_30d, 0)", "commits_90d": "coalesce(a.commits_90d, 0)", "files_touched_90d": "coalesce(c.touched, 0)", "files_added_90d": "coalesce(c.added, 0)",
+    "merged_prs_90d": "coalesce(a.merged_prs_90d, 0)", "max_merged_pr_additions_90d": "CAST(coalesce(a.max_additions_90d, 0) AS BIGINT)", "security_md": "coalesce(t.security_md, false)", "fuzz_path": "coalesce(t.fuzz_path, false)", "fuzz_function": "coalesce(t.fuzz_function, false)",
+    "sec_tooling": "coalesce(t.security_md OR t.fuzz_path OR t.fuzz_function OR t.tools <> '', false)", "advisories_open": "v.n_open", "advisories_resolved": "v.n_resolved", "advisories_total": "v.n_total", "dev_known": "coalesce(k.dev_known, false)", "security_fix_gated": "coalesce(k.security_fix_gated, false)",
+    "advisory_match": "coalesce(v.path_match, false)", "trap_scan_status": "coalesce(s.status, 'unknown')"}.items()) + " FROM fx_repo_meta m LEFT JOIN activity a ON a.repo_key = m.repo_key LEFT JOIN profile f ON f.repo_key = m.repo_key LEFT JOIN churned c ON c.repo_key = m.repo_key LEFT JOIN tooled t ON t.repo_key = m.repo_key LEFT JOIN advises v ON v.repo_key = m.repo_key LEFT JOIN trap_r k ON k.repo_key = m.repo_key LEFT JOIN scanned s ON s.repo_key = m.repo_key"
+CTES["pub_t"] = "SELECT e.program_id, e.target_key, e.target_key = b.target_key AS is_best, e.workflow, e.ev_score, e.repo_key AS home, CAST(row_number() OVER (PARTITION BY e.program_id ORDER BY e.target_key = b.target_key DESC, e.ev_score DESC, e.target_key) AS INTEGER) AS position FROM ev e JOIN best b ON b.program_id = e.program_id"
 CTES["pcache"] = f"SELECT program_id, CASE WHEN target_count % 4 = 0 THEN 'failed' ELSE 'ok' END AS status, {AT} - to_days(CAST(target_count % 14 AS INTEGER)) AS fetched_at, CASE WHEN target_count % 2 = 0 THEN sha256('policy ' || merge_key) END AS inline_hash, target_count AS reports FROM prog_before"
-CTES["pwork"] = f"""SELECT c.program_id, c.change_type, coalesce(k.status = 'ok' AND k.fetched_at > {AT} - INTERVAL 168 HOURS, false) AS fresh, c.added % 3 = 0 AND k.inline_hash IS DISTINCT FROM sha256('policy ' || c.merge_key) AS inline FROM chg c LEFT JOIN pcache k ON k.program_id = c.program_id"""
-CTES["pdue"] = "SELECT program_id FROM pwork WHERE NOT fresh AND NOT inline ORDER BY CASE change_type WHEN 'new_target' THEN 3 WHEN 'new_program' THEN 2 WHEN 'scope_updated' THEN 1 ELSE 0 END DESC, program_id LIMIT 80"
+CTES["pwork"] = f"""SELECT c.program_id, c.change_type, coalesce(k.status = 'ok' AND k.fetched_at > {AT} - INTERVAL 168 HOURS, false) AS fresh, coalesce(x.text IS NOT NULL AND k.inline_hash IS DISTINCT FROM sha256(x.text), false) AS reread, coalesce(x.useful, false) AS useful FROM chg c LEFT JOIN pcache k ON k.program_id = c.program_id LEFT JOIN pown x ON x.program_id = c.program_id"""
+CTES["pown"] = "SELECT program_id, 'policy ' || merge_key || CASE WHEN added % 4 = 0 THEN ' pays $2,000 at most for a critical one' WHEN added % 4 = 1 THEN ': 1,204 resolved reports' WHEN removed % 2 = 1 THEN ', low ones are out of scope' ELSE '' END AS text, added % 4 IN (0, 1) OR removed % 2 = 1 AS useful FROM chg WHERE added % 3 = 0"
+CTES["pdue"] = "SELECT program_id FROM pwork WHERE NOT (reread AND useful) AND NOT (fresh AND NOT reread) ORDER BY fresh, CASE change_type WHEN 'new_target' THEN 3 WHEN 'new_program' THEN 2 WHEN 'scope_updated' THEN 1 ELSE 0 END DESC, program_id LIMIT 80"
 CTES["presult"] = "SELECT program_id, CASE WHEN target_count % 2 = 0 THEN 'failed' WHEN target_count % 9 = 0 THEN 'partial' ELSE 'ok' END AS status, target_count + 1 AS reports FROM prog WHERE target_count % 3 = 0"
 CTES["lcache"] = f"SELECT DISTINCT address, CASE WHEN address LIKE '%3' THEN 'pending' ELSE 'ok' END AS status, CASE WHEN address LIKE '%5' THEN {LIVE_AT} - INTERVAL 3 HOURS ELSE {LIVE_AT} - INTERVAL 10 HOURS END AS fetched_at FROM fx_live_tx WHERE right(address, 1) IN ('1', '5', '3')"
 CTES["lresult"] = f"SELECT l.address, l.tx_30d, CASE WHEN right(l.address, 1) IN ('1', '2') THEN 'failed' ELSE 'ok' END AS status FROM live l LEFT JOIN lcache c ON c.address = l.address WHERE c.address IS NULL OR c.fetched_at <= {LIVE_AT} - INTERVAL 6 HOURS"
@@ -273,6 +294,7 @@ ORACLES = {k: chain(x) for k, x in {
     "src_feeds": "SELECT source_id, page_no, ordinal, name FROM feed_n",
     "src_nested_targets": "SELECT * FROM feed_t WHERE value <> ''",
     "norm_rewards": "SELECT * FROM feed_w",
+    "public_projection": "SELECT t.* EXCLUDE (home), p.* EXCLUDE (repo_key) FROM pub_t t LEFT JOIN pub p ON p.repo_key = t.home WHERE position <= 16",
     "norm_feed_programs": "SELECT * EXCLUDE (paid_only, own_text, listed) FROM feed_p WHERE paid OR paid_only = false",
     "feed_merge": "SELECT program_id, name, platform, url, status, paid, currency, min_reward, max_reward, safe_harbor, disclosure_allowed, invite_only, kyc_required, array_to_string(source_ids, ',') AS source_ids, array_to_string(countries, ',') AS countries, launched_at, resolved_reports, array_to_string(tags, ',') AS tags, array_to_string(languages, ',') AS languages, local_testing_hint, source_code, repository_count, target_count, invite_words FROM prog_feed",
     "feed_merge_targets": "SELECT merge_key, target_key, type, value, description FROM merged_t_feed",
@@ -284,7 +306,7 @@ ORACLES = {k: chain(x) for k, x in {
     "repo_tree_top2": "SELECT repo_key, array_to_string(list_sort(list(path))[1:2000], ',') AS paths, count(*) > 2000 AS truncated FROM fx_tree WHERE len(string_split(path, '/')) <= 2 GROUP BY 1",
     "detect_tooling": "SELECT repo_key, security_md, fuzz_path, fuzz_function, workflows, tools, CASE WHEN security_md OR fuzz_path OR fuzz_function OR tools <> '' THEN true WHEN bad THEN NULL ELSE false END AS sec_tooling FROM tooled",
     "advisory_signals": "SELECT repo_key, count(*) FILTER (WHERE o) AS open, count(*) FILTER (WHERE lower(state) IN ('published', 'closed')) AS resolved, count(*) AS total, count(*) FILTER (WHERE recent) AS recent, repo_key IN (SELECT repo_key FROM adv_hit) AS path_match FROM adv GROUP BY 1",
-    "policy_refresh": "SELECT program_id, CASE WHEN inline THEN 'inline' WHEN fresh THEN 'keep' WHEN program_id IN (SELECT program_id FROM pdue) THEN 'fetch' ELSE 'wait' END AS action FROM pwork",
+    "policy_refresh": "SELECT program_id, reread, CASE WHEN reread AND useful THEN 'inline' WHEN fresh AND NOT reread THEN 'keep' WHEN program_id IN (SELECT program_id FROM pdue) THEN 'fetch' ELSE 'wait' END AS action FROM pwork",
     "policy_upsert": f"SELECT program_id, CASE WHEN r.status IN ('ok', 'partial') THEN r.status WHEN r.status IS NULL OR c.status = 'ok' THEN c.status ELSE 'pending' END AS status, CASE WHEN r.status IN ('ok', 'partial') THEN {AT} WHEN r.status IS NULL OR c.status = 'ok' THEN c.fetched_at END AS fetched_at, CASE WHEN r.status = 'failed' THEN 'timeout' END AS last_error, CAST(CASE WHEN r.status IN ('ok', 'partial') THEN r.reports WHEN r.status IS NULL OR c.status = 'ok' THEN c.reports END AS BIGINT) AS reports FROM pcache c FULL JOIN presult r USING (program_id)",
     "live_upsert": f"SELECT address, CASE WHEN r.status = 'ok' THEN 'ok' WHEN r.status IS NULL OR c.status = 'ok' THEN c.status ELSE 'pending' END AS status, CASE WHEN r.status = 'ok' THEN {LIVE_AT} WHEN r.status IS NULL OR c.status = 'ok' THEN c.fetched_at END AS fetched_at, CASE WHEN r.status = 'failed' THEN 'no answer' END AS last_error, CASE WHEN r.status = 'ok' THEN right(address, 1) <> '3' WHEN r.status IS NULL OR c.status = 'ok' THEN true END AS deployed, CAST(CASE WHEN r.status = 'ok' THEN r.tx_30d WHEN r.status IS NULL OR c.status = 'ok' THEN 7 END AS BIGINT) AS tx_30d FROM lcache c FULL JOIN lresult r USING (address)",
     "audit_match": "SELECT program_id, target_key, aud.no AS audit_no, CASE WHEN fresh_code_index - fresh_at <= 40 THEN 'audited ' || verdict || ' target: ' || key END AS audit_reason FROM aud JOIN ev USING (program_id, target_key) LEFT JOIN audits ON audits.no = aud.no",

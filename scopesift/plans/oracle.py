@@ -118,9 +118,16 @@ CTES["chg"] = f"""SELECT *, CASE WHEN change_type <> 'baseline' THEN {AT} END AS
  WHEN o.status <> 'open' AND p.status = 'open' THEN 'reactivated' WHEN d.removed > 0 OR (p.name, p.platform, p.url, p.status, p.paid, p.currency, p.min_reward, p.max_reward, p.safe_harbor, p.disclosure_allowed, p.launched_at, p.resolved_reports, p.invite_only, p.kyc_required, p.countries, p.source_ids, p.tags, p.languages)
  IS DISTINCT FROM (o.name, o.platform, o.url, o.status, o.paid, o.currency, o.min_reward, o.max_reward, o.safe_harbor, o.disclosure_allowed, o.launched_at, o.resolved_reports, o.invite_only, o.kyc_required, o.countries, o.source_ids, o.tags, o.languages) THEN 'scope_updated' ELSE 'baseline' END AS change_type
  FROM prog p LEFT JOIN prog_before o ON o.merge_key = p.merge_key LEFT JOIN diff d ON d.merge_key = p.merge_key)"""
-CTES["resolved"] = r"SELECT DISTINCT target_key, lower(regexp_extract(value, '(?i)^https?://github\.com/([a-z0-9._-]+/[a-z0-9._-]+)', 1)) AS repo_key FROM merged_t WHERE regexp_matches(value, '(?i)^https?://github\.com/[a-z0-9._-]+/[a-z0-9._-]+')"
-CTES["activity"] = "SELECT repo_key, " + ", ".join(f"count(*) FILTER (WHERE committed_at >= {AT} - INTERVAL {n} DAYS AND committed_at <= {AT}) AS commits_{n}d" for n in (7, 30, 90)) + f", max(additions) FILTER (WHERE committed_at >= {AT} - INTERVAL 90 DAYS AND committed_at <= {AT}) AS max_additions_90d FROM fx_repo_commits GROUP BY repo_key"
-CTES["profile"] = f"SELECT repo_key, {up(days('min(committed_at)', AT) + ' / ' + D(365.25), 1)} AS age_y, count(DISTINCT author) AS contributors, count(*) AS commits FROM fx_repo_commits GROUP BY repo_key"
+CTES["hosted"] = r"""SELECT target_key, lower(CASE WHEN named THEN regexp_extract(raw, '(?i)^git@(github\.com|gitlab\.com):', 1) ELSE regexp_extract(raw, '(?i)^(?:https?://)?(?:[^/@]*@)?(?:www\.)?(github\.com|gitlab\.com)(?::\d*)?/', 1) END) AS host,
+ list_filter(string_split(CASE WHEN named THEN regexp_extract(raw, '(?i)^git@[a-z.]*:(.+?)(?:\.git)?$', 1) ELSE url_decode(regexp_extract(raw, '(?i)^(?:https?://)?(?:[^/@]*@)?(?:www\.)?(?:github\.com|gitlab\.com)(?::\d*)?/(.*)$', 1)) END, '/'), lambda x: x <> '') AS parts
+ FROM (SELECT *, regexp_matches(raw, '(?i)^git@(github\.com|gitlab\.com):.') AS named FROM (SELECT DISTINCT target_key, regexp_replace(regexp_replace(trim(value), '[?#].*$', ''), '/+$', '') AS raw FROM merged_t))"""
+CTES["hosted_p"] = """SELECT target_key, host, CASE WHEN host = 'github.com' THEN kept[1:2] ELSE kept END AS p FROM (SELECT *, parts[1:coalesce(list_position(list_transform(parts, lambda x: x = '-' OR list_contains(['tree', 'blob', 'commit', 'commits', 'issues', 'pull', 'pulls', 'releases', 'tags'], lower(x))), true) - 1, 1000)] AS kept FROM hosted WHERE host <> '') WHERE len(kept) >= 2"""
+CTES["resolved"] = r"""SELECT DISTINCT target_key, CASE WHEN host = 'github.com' THEN '' ELSE 'gitlab.com/' END || lower(array_to_string(q, '/')) AS repo_key FROM (SELECT *, list_append(p[1:len(p) - 1], regexp_replace(p[-1], '(?i)\.git$', '')) AS q FROM hosted_p)
+ WHERE len(list_filter(q, lambda x: NOT regexp_full_match(x, '(?i)[a-z0-9._-]+') OR NOT regexp_matches(x, '(?i)[a-z0-9]'))) = 0"""
+CTES["activity"] = "SELECT coalesce(c.repo_key, p.repo_key) AS repo_key, coalesce(commits_7d, 0) AS commits_7d, coalesce(commits_30d, 0) AS commits_30d, coalesce(commits_90d, 0) AS commits_90d, coalesce(merged, 0) AS merged_prs_90d, coalesce(largest, 0) AS max_additions_90d FROM (SELECT repo_key, " + ", ".join(f"count(*) FILTER (WHERE committed_at >= {AT} - INTERVAL {n} DAYS AND committed_at <= {AT}) AS commits_{n}d" for n in (7, 30, 90)) + f""" FROM fx_repo_commits GROUP BY repo_key) c
+ FULL JOIN (SELECT repo_key, count(*) FILTER (WHERE merged_at >= {AT} - INTERVAL 90 DAYS) AS merged, max(CAST(additions AS DOUBLE)) FILTER (WHERE merged_at >= {AT} - INTERVAL 90 DAYS) AS largest FROM fx_repo_pulls WHERE merged_at IS NOT NULL GROUP BY repo_key) p ON p.repo_key = c.repo_key"""
+CTES["profile"] = f"""SELECT m.repo_key, age_y, coalesce(contributors, 0) AS contributors, coalesce(commits, 0) AS commits, m.stars, m.forks, m.releases, array_to_string(list_transform(list_sort(list_filter(list_transform(string_split(m.languages, ','), lambda x: lower(x)), lambda x: x <> '' AND x <> 'python:7')), lambda x: x), ',') AS languages FROM fx_repo_meta m
+ LEFT JOIN (SELECT repo_key, {up(days('min(committed_at)', AT) + ' / ' + D(365.25), 1)} AS age_y, count(DISTINCT author) AS contributors, count(*) AS commits FROM fx_repo_commits GROUP BY repo_key) c ON c.repo_key = m.repo_key"""
 _FILE = "regexp_extract(path, '[^/]*$')"
 _TEST = f"({hit('path', e.TEST_PATH)} AND {hit(_FILE, e.KNOWN_FILE)})"
 CTES["blob_p"] = f"SELECT *, CASE WHEN {_TEST} OR {hit('path', e.WORKFLOW_PATH)} OR {hit('path', e.SECURITY_FILE)} OR {hit('path', e.FUZZ_PATH)} THEN 0 WHEN {hit('path', e.HIGH_VALUE)} THEN 1 WHEN {hit('path', e.TEST_PATH)} THEN 2 ELSE 4 END AS priority FROM fx_blobs WHERE size <= 500000 AND {hit('path', e.TEXT_FILE)}"
@@ -128,9 +135,22 @@ CTES["picked"] = """SELECT o.repo_key, o.path, o.size FROM (SELECT repo_key, lis
  list({'n': CAST(0 AS BIGINT), 'b': CAST(0 AS BIGINT), 'paths': CAST([] AS VARCHAR[]), 'path': path, 'size': size} ORDER BY priority, size, path)),
  lambda a, x: CASE WHEN a.n < 400 AND a.b + x.size <= 8000000 THEN {'n': a.n + 1, 'b': a.b + x.size, 'paths': list_append(a.paths, x.path), 'path': '', 'size': CAST(0 AS BIGINT)} ELSE a END) AS r FROM blob_p GROUP BY repo_key) g
  JOIN blob_p o ON o.repo_key = g.repo_key AND list_contains(g.r.paths, o.path)"""
-CTES["traps"] = f"""SELECT repo_key, path, 'test-filename' AS kind FROM fx_blobs WHERE {_TEST} UNION ALL SELECT repo_key, path, 'known-comment' FROM fx_blobs WHERE {hit('text', e.KNOWN_COMMENT)}
- UNION ALL SELECT repo_key, path, 'disabled-security-flag' FROM fx_blobs WHERE {hit('text', e.DISABLED_FLAG)} AND {hit('text', e.SECURITY_CONTEXT)}"""
-CTES["trap_r"] = "SELECT repo_key, least(count(*), 20) AS traps, true AS dev_known, bool_or(kind = 'disabled-security-flag') AS security_fix_gated FROM (SELECT DISTINCT * FROM traps) GROUP BY repo_key"
+def first_hit(pattern: str) -> tuple[str, str]:
+    """Line and text of a pattern's first match in t."""
+    before, match = (f"regexp_extract(t, {q('(?s)^(.*?)((?-s)' + pattern + ')')}, {n})" for n in (1, 2))
+    return f"CAST(length({before}) - length(replace({before}, chr(10), '')) + 1 AS INTEGER)", f"left(trim(regexp_replace({match}, '\\s+', ' ', 'g')), 180)"
+
+
+# What a scan looks for in a text.
+COMMENT = r"(?i)(?://|#|/\*|\*|<!--|--)\s*.{0,160}?(documents? the vulnerability|known issue|do not use in production|not.{0,10}secure)"
+DISABLED = r"(?i)(if\s*\(?\s*false\b|math\.MaxInt64|max_int64|feature.{0,40}(?:disabled|false)|fork.{0,40}(?:never|disabled|max))"
+ABOUT_SECURITY = r"(?i)(security|secure|replay|exploit|vuln|attack|signature|auth)"
+CTES["scan_t"] = "SELECT repo_key, path, left(text, 500000) AS t FROM fx_blobs"
+_ROW = "SELECT repo_key, path, '{}' AS kind, {} AS line, {} AS match FROM {} WHERE {}".format
+CTES["traps"] = " UNION ".join((_ROW("test-filename", "CAST(NULL AS INTEGER)", _FILE, "fx_blobs", _TEST), _ROW("test-filename", "CAST(NULL AS INTEGER)", _FILE, "fx_tree", _TEST),
+                                _ROW("known-comment", *first_hit(COMMENT), "scan_t", hit("t", COMMENT)), _ROW("disabled-security-flag", *first_hit(DISABLED), "scan_t", hit("t", DISABLED) + " AND " + hit("t", ABOUT_SECURITY))))
+CTES["trap_r"] = """SELECT repo_key, least(count(*), 20) AS traps, true AS dev_known, bool_or(kind = 'disabled-security-flag') AS security_fix_gated,
+ array_to_string((list(concat_ws(':', kind, path, CAST(line AS VARCHAR), match) ORDER BY kind, path))[1:20], ';') AS trap_hits, array_to_string((list(concat_ws(':', kind, path, CAST(line AS VARCHAR), match) ORDER BY kind, path))[1:10], ';') AS ten_hits FROM traps GROUP BY repo_key"""
 _strip = "html"
 for _t in ("script", "style", "noscript"):
     _strip = f"regexp_replace({_strip}, '(?is)<{_t}\\b[^>]*>.*?</{_t}>', ' ', 'g')"
@@ -169,7 +189,7 @@ CTES["signal"] = """SELECT m.repo_key, true AS known, m.status, CASE WHEN ok THE
   CASE WHEN ok THEN coalesce(c.added_list, []) ELSE [] END AS added_list, CASE WHEN ok THEN coalesce(p.top_paths, []) ELSE [] END AS top_paths, ok AND coalesce(s.sec_tooling, false) AS sec_tooling, CASE WHEN ok THEN coalesce(d.resolved, 0) ELSE 0 END AS advisories_resolved,
   ok AND coalesce(d.path_match, false) AS advisory_match, CASE WHEN ok THEN a.commits_90d END AS commits_90d, CASE WHEN ok THEN a.max_additions_90d END AS max_additions_90d, CASE WHEN ok THEN f.age_y END AS age_y, CASE WHEN ok THEN f.contributors END AS contributors,
   ok AND coalesce(k.dev_known, false) AS dev_known, ok AND coalesce(k.security_fix_gated, false) AS security_fix_gated
-  FROM (SELECT *, status = 'ok' AS ok, list_filter(string_split(languages, ','), lambda x: x <> '') AS spoken FROM fx_repo_meta) m LEFT JOIN churn c ON c.repo_key = m.repo_key LEFT JOIN top2 p ON p.repo_key = m.repo_key LEFT JOIN toolset s ON s.repo_key = m.repo_key LEFT JOIN advised d ON d.repo_key = m.repo_key
+  FROM (SELECT *, status = 'ok' AS ok, list_distinct(list_transform(list_filter(string_split(languages, ','), lambda x: x <> ''), lambda x: lower(string_split(x, ':')[1]))) AS spoken FROM fx_repo_meta) m LEFT JOIN churn c ON c.repo_key = m.repo_key LEFT JOIN top2 p ON p.repo_key = m.repo_key LEFT JOIN toolset s ON s.repo_key = m.repo_key LEFT JOIN advised d ON d.repo_key = m.repo_key
   LEFT JOIN activity a ON a.repo_key = m.repo_key LEFT JOIN profile f ON f.repo_key = m.repo_key LEFT JOIN trap_r k ON k.repo_key = m.repo_key"""
 CTES["j"] = """SELECT t.target_key, t.type, t.value, t.added_at, t.first_seen_at, p.* EXCLUDE (languages), p.languages AS spoken, c.change_type, c.change_at, x.repo_key, s.* EXCLUDE (repo_key, known, status, languages, sec_tooling, advisory_match, dev_known, security_fix_gated, advisories_resolved), coalesce(s.languages, []) AS languages,
  coalesce(s.sec_tooling, false) AS sec_tooling, coalesce(s.advisory_match, false) AS advisory_match, coalesce(s.advisories_resolved, 0) AS advisories_resolved, coalesce(s.dev_known, false) AS dev_known, coalesce(s.security_fix_gated, false) AS security_fix_gated,
@@ -287,7 +307,7 @@ ORACLES = {k: chain(s) for k, s in {
     "repo_profile": "SELECT * FROM profile",
     "scan_priority_pick": "SELECT * FROM picked",
     "detect_traps": "SELECT * FROM traps",
-    "trap_rollup": "SELECT * FROM trap_r",
+    "trap_rollup": "SELECT * EXCLUDE (ten_hits) FROM trap_r",
     "policy_text": "SELECT url, sha256(text) AS text_sha256 FROM ptext",
     "policy_rewards": "SELECT url, severity, amount FROM rewards",
     "policy_floor": "SELECT * FROM pfloor",
@@ -308,7 +328,6 @@ ORACLES = {k: chain(s) for k, s in {
     "facet_platforms": "SELECT DISTINCT platform FROM prog",
     "summary_metrics": "SELECT a.*, b.* FROM (SELECT count(*) FILTER (WHERE exclude_reason IS NULL AND workflow IN ('live-web', 'live-api', 'live-contract', 'ai-agent')) AS live, count(*) FILTER (WHERE exclude_reason IS NULL AND workflow = 'static-source' AND fresh_code_index > 50) AS fresh_source FROM best) a, (SELECT count(DISTINCT repo_key) FILTER (WHERE repo_status = 'ok') AS enriched_repos FROM ev) b",
     "ev_tier": "SELECT CASE WHEN ev_score >= 5000 THEN 'High' WHEN ev_score >= 1500 THEN 'Strong' WHEN ev_score >= 500 THEN 'Plausible' ELSE 'Thin' END AS tier, count(*) AS programs FROM best GROUP BY 1",
-    "run_meta": "SELECT count(*) AS programs, CAST(sum(targets) AS BIGINT) AS targets, count(*) FILTER (WHERE exclude_reason IS NULL) AS ranked, count(*) FILTER (WHERE exclude_reason IS NOT NULL) AS excluded FROM best",
 }.items()}
 
 _CORE = "{0}.name, {0}.platform, {0}.url, {0}.status, {0}.paid, {0}.currency, {0}.min_reward, {0}.max_reward, {0}.safe_harbor, {0}.disclosure_allowed, {0}.launched_at, {0}.resolved_reports, {0}.invite_only, {0}.kyc_required, {0}.countries, {0}.source_ids, {0}.tags, {0}.languages".format
@@ -323,8 +342,12 @@ CTES["prio"] = "SELECT x.repo_key, max(CASE c.change_type WHEN 'new_target' THEN
 CTES["staled"] = f"SELECT p.repo_key, p.priority, k.fetched_at, coalesce(k.status <> 'ok', true) OR coalesce(k.fetched_at <= {AT} - INTERVAL 168 HOURS, true) AS stale FROM prio p LEFT JOIN cached k ON k.repo_key = p.repo_key"
 CTES["gate"] = "SELECT count(*) AS n, count(hardening_index) AS measured, CAST(least(400, ceil(count(*) * CAST(0.8 AS DOUBLE))) AS BIGINT) AS required, count(hardening_index) >= least(400, ceil(count(*) * CAST(0.8 AS DOUBLE))) AS ready, CASE WHEN count(*) = 0 THEN CAST(1 AS DOUBLE) ELSE count(hardening_index) / CAST(count(*) AS DOUBLE) END AS ratio FROM ev WHERE repo_status IS NOT NULL"
 CTES["differ"] = f"SELECT count(*) > 0 AS changed FROM ((SELECT merge_key, {_CORE('prog')} FROM prog EXCEPT ALL SELECT merge_key, {_CORE('prog_before')} FROM prog_before) UNION ALL (SELECT merge_key, {_CORE('prog_before')} FROM prog_before EXCEPT ALL SELECT merge_key, {_CORE('prog')} FROM prog))"
-_RULE = " ".join("WHEN " + (f"contains(lower(value), '{r['address']}')" if r.get("address") else hit("concat_ws(' ', merge_key, target_key, value)", "(?i)" + r["pattern"])) + f" THEN {i}" for i, r in enumerate(LIVE_RULES))
-CTES["ruled"] = f"SELECT merge_key, target_key, CAST(CASE {_RULE} END AS INTEGER) AS rule FROM merged_t"
+_RULE = " ".join("WHEN " + (f"contains(lower(value), '{r['address']}')" if r.get("address") else hit("concat_ws(' ', program_id, name, target_key, value)", "(?i)" + r["pattern"])) + f" THEN {i}" for i, r in enumerate(LIVE_RULES))
+CTES["ruled"] = f"SELECT merge_key, target_key, CAST(CASE {_RULE} END AS INTEGER) AS rule FROM merged_t JOIN (SELECT merge_key, program_id, name FROM prog) p USING (merge_key)"
+CTES["stats"] = "SELECT s.*, f.status AS result, CASE WHEN f.status = 'ok' OR c.status = 'ok' THEN 'ok' END AS after FROM staled s LEFT JOIN fetched f ON f.repo_key = s.repo_key LEFT JOIN cached c ON c.repo_key = s.repo_key"
+CTES["scanned"] = "SELECT repo_key, count(*) AS eligible, count(k.path) AS selected, CAST(coalesce(sum(k.size), 0) AS BIGINT) AS bytes, CASE WHEN count(k.path) = count(*) THEN 'complete' ELSE 'bounded' END AS status FROM blob_p p LEFT JOIN picked k USING (repo_key, path) GROUP BY 1"
+CTES["old_form"] = "SELECT DISTINCT repo_key, CASE WHEN starts_with(repo_key, 'gitlab.com/') THEN 'gitlab' ELSE 'github' END AS provider, CASE WHEN starts_with(repo_key, 'gitlab.com/') THEN substr(repo_key, 12) ELSE repo_key END AS full_name FROM resolved"
+CTES["looked"] = "SELECT o.*, coalesce(a.status, b.status, 'pending') AS status, CASE WHEN a.repo_key IS NOT NULL THEN a.stars ELSE b.stars END AS stars FROM old_form o LEFT JOIN fx_signals_old a ON a.repo_key = o.repo_key LEFT JOIN fx_signals_old b ON b.repo_key = o.provider || ':' || o.full_name"
 ORACLES |= {k: chain(s) for k, s in {
     "src_health": "SELECT * FROM health",
     "src_snapshot_fallback": "SELECT source_id, record_no, name, raw_status FROM rec WHERE source_id IN (SELECT source_id FROM rec GROUP BY 1 HAVING count(*) >= 290) UNION ALL SELECT source_id, record_no, name, raw_status FROM rec_before WHERE source_id NOT IN (SELECT source_id FROM rec GROUP BY 1 HAVING count(*) >= 290)",
@@ -339,17 +362,19 @@ ORACLES |= {k: chain(s) for k, s in {
     "event_log_roll": f"SELECT * FROM (SELECT event_id, program_id, change_type, happened_at FROM evt UNION ALL SELECT '{BEFORE}:' || program_id || ':new_program', program_id, 'new_program', {WAS} FROM prog_before) ORDER BY happened_at DESC, event_id LIMIT 700",
     "alert_digest": "SELECT event_id, program_id, change_type, ev_score, greatest(0, (SELECT count(*) FROM alerts) - 8) AS more FROM alerts ORDER BY ev_score DESC, event_id LIMIT 8",
     "refresh_schedule": "SELECT repo_key, priority, fetched_at, stale FROM staled ORDER BY stale DESC, priority DESC, fetched_at NULLS FIRST, repo_key LIMIT 250",
-    "enrich_stats": "SELECT count(*) AS discovered, count(*) FILTER (WHERE stale) AS stale, least(250, count(*) FILTER (WHERE stale)) AS scheduled, greatest(0, count(*) FILTER (WHERE stale) - 250) AS deferred FROM staled",
+    "enrich_stats": "SELECT count(*) AS discovered, count(*) FILTER (WHERE stale) AS stale, least(250, count(*) FILTER (WHERE stale)) AS scheduled, greatest(0, count(*) FILTER (WHERE stale) - 250) AS deferred, count(result) AS attempted, count(*) FILTER (WHERE result = 'ok') AS updated, count(*) FILTER (WHERE result <> 'ok') AS failed, count(*) FILTER (WHERE after IS NULL) AS pending, count(*) FILTER (WHERE repo_key NOT LIKE 'gitlab.com/%') AS github, count(*) FILTER (WHERE repo_key LIKE 'gitlab.com/%') AS gitlab FROM stats",
     "cache_upsert": "SELECT repo_key, CASE WHEN b.status = 'ok' OR a.status = 'ok' THEN 'ok' ELSE 'pending' END AS status, CASE WHEN b.status = 'ok' THEN b.fetched_at WHEN a.status = 'ok' THEN a.fetched_at END AS fetched_at, CASE WHEN a.status = 'ok' AND b.status <> 'ok' THEN b.status END AS last_error FROM cached a FULL JOIN fetched b USING (repo_key) WHERE repo_key IN (SELECT repo_key FROM prio)",
-    "scan_coverage": "SELECT repo_key, count(*) AS eligible, count(k.path) AS selected, CAST(coalesce(sum(k.size), 0) AS BIGINT) AS bytes, CASE WHEN count(k.path) = count(*) THEN 'complete' ELSE 'bounded' END AS status FROM blob_p p LEFT JOIN picked k USING (repo_key, path) GROUP BY 1",
-    "signals_lookup": "SELECT program_id, target_key, repo_key, repo_status FROM j",
+    "scan_coverage": "SELECT * FROM scanned",
+    "signals_lookup": "SELECT t.target_key, r.repo_key, k.provider, k.full_name, k.status, k.stars FROM (SELECT DISTINCT target_key FROM merged_t) t LEFT JOIN resolved r ON r.target_key = t.target_key LEFT JOIN looked k ON k.repo_key = r.repo_key",
+    "repo_status": "SELECT program_id, target_key, repo_key, repo_status FROM j",
+    "merge_key": "SELECT DISTINCT name, left(trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', '-', 'g'), '-'), 96) AS merge_key FROM fx_names",
+    "run_meta": "SELECT count(*) AS programs, CAST(sum(targets) AS BIGINT) AS targets, count(*) FILTER (WHERE exclude_reason IS NULL AND ev_score > 0) AS ranked, count(*) FILTER (WHERE exclude_reason IS NOT NULL) AS excluded, (SELECT count(*) FROM evt) AS events, (SELECT count(*) FROM health) AS sources, (SELECT count(*) FROM health WHERE status = 'ok') AS healthy_sources, (SELECT n FROM gate) AS coverage_n, (SELECT measured FROM gate) AS coverage_measured, (SELECT required FROM gate) AS coverage_required, (SELECT ready FROM gate) AS coverage_ready, (SELECT round(ratio, 3) FROM gate) AS coverage_ratio, (SELECT sentinels FROM checks) AS checks_sentinels, (SELECT managed FROM checks) AS checks_managed, (SELECT sentinel_ok FROM checks) AS checks_sentinel_ok, (SELECT ceiling_ok FROM checks) AS checks_ceiling_ok, (SELECT ready FROM checks) AS checks_ready FROM best",
     "coverage_gate": "SELECT * FROM gate",
     "publish_gate": "SELECT ready AND h AS publish, ready AND h AND changed AS changed FROM (SELECT ready AND (SELECT ready FROM checks) AS ready, (SELECT count(*) > 0 FROM health WHERE status = 'ok') AS h, (SELECT changed FROM differ) AS changed FROM gate)",
     "policy_lookup": "SELECT p.program_id, coalesce(r.policy_invite_only, false) AS policy_invite_only, coalesce(r.policy_kyc, false) AS policy_kyc, coalesce(r.excludes_in, false) AS excludes_in, CAST(coalesce(p.resolved_reports, r.policy_reports) AS BIGINT) AS resolved_reports FROM prog p LEFT JOIN restrict r ON r.url = p.url",
     "policy_fallback_target": "SELECT merge_key, 'program:' || merge_key || ':policy' AS target_key, type, value FROM fallback",
     "live_match": "SELECT * FROM ruled WHERE rule IS NOT NULL",
     "override_join": "SELECT program_id, floor AS override_floor, eligible AS override_eligible, eligibility_reason AS override_eligibility_reason, invite_only AS override_invite_only, kyc_required AS override_kyc_required, array_to_string(countries, ',') AS override_countries, no_safe_harbor AS override_no_safe_harbor, safe_harbor_required AS override_safe_harbor_required FROM ovr",
-    "public_projection": "SELECT program_id, position, target_key, type, workflow, ev_score, CASE WHEN repo_status = 'ok' THEN hardening_index END AS hardening_index, CASE WHEN repo_status = 'ok' THEN stars END AS stars, CASE WHEN repo_status = 'ok' THEN commits_90d END AS commits_90d FROM (SELECT *, CAST(row_number() OVER (PARTITION BY program_id ORDER BY exclude_reason IS NOT NULL, ev_score DESC, p_findable DESC, target_key) AS INTEGER) AS position FROM ev) WHERE position <= 16",
     "browse": "SELECT program_id, name, workflow, ev_score FROM lane WHERE workflow <> 'static-source-hardened' AND ev_score >= 1 AND platform = 'BUILDING' AND (contains(lower(concat_ws(' ', name, platform, workflow, findable_class, reason, array_to_string(tags, ' '))), 'oauth') OR program_id IN (SELECT program_id FROM ev WHERE contains(lower(value), 'oauth'))) AND program_id <> 'program:program-1' AND regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') <> 'program2'",
     "browse_sort": "SELECT program_id, name, max_reward, ev_score FROM best ORDER BY coalesce(max_reward, 0) DESC, name, program_id LIMIT 25",
 }.items()}

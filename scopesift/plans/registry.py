@@ -99,11 +99,11 @@ QUERIES = {
     "missing_grace": lambda s, d: diff.missing_grace(flow.merged(s, d, True)[0].withColumn("missing_count", F.lit(0)), present(flow.merged(s, d)[0])),
     "change_events": lambda s, d: diff.change_events(flow.changes(s, d), NOW),
     "repo_resolve": lambda s, d: evidence.repo_resolve(flow.merged(s, d)[1].select("target_key", "value").distinct()),
-    "repo_activity": lambda s, d: evidence.repo_activity(view(s, d, "fx_repo_commits"), NOW),
-    "repo_profile": lambda s, d: evidence.repo_profile(view(s, d, "fx_repo_commits"), NOW),
+    "repo_activity": lambda s, d: evidence.repo_activity(view(s, d, "fx_repo_commits"), view(s, d, "fx_repo_pulls"), NOW),
+    "repo_profile": lambda s, d: evidence.repo_profile(flow.repo_meta(s, d), view(s, d, "fx_repo_commits"), NOW).withColumn("languages", F.array_join(F.transform(F.array_sort(F.map_entries("languages")), lambda x: F.concat_ws(":", x["key"], x["value"])), ",")),
     "scan_priority_pick": lambda s, d: evidence.scan_priority_pick(view(s, d, "fx_blobs")),
-    "detect_traps": lambda s, d: evidence.detect_traps(view(s, d, "fx_blobs")),
-    "trap_rollup": lambda s, d: evidence.trap_rollup(evidence.detect_traps(view(s, d, "fx_blobs"))),
+    "detect_traps": lambda s, d: evidence.detect_traps(view(s, d, "fx_blobs"), view(s, d, "fx_tree").select("repo_key", "path")),
+    "trap_rollup": lambda s, d: flow.traps(s, d).withColumn("trap_hits", F.array_join(F.transform("trap_hits", lambda h: F.concat_ws(":", h["kind"], h["path"], h["line"], h["match"])), ";")),
     "policy_text": lambda s, d: flow.texts(s, d).select("url", F.sha2("text", 256).alias("text_sha256")),
     "policy_rewards": lambda s, d: evidence.policy_rewards(flow.texts(s, d)),
     "policy_floor": lambda s, d: evidence.policy_floor(evidence.policy_rewards(flow.texts(s, d)), flow.texts(s, d)),
@@ -136,7 +136,7 @@ QUERIES = {
     "facet_platforms": lambda s, d: rank.facet_platforms(flow.merged(s, d)[0]),
     "summary_metrics": lambda s, d: rank.summary_metrics(flow.best(s, d), flow.evaluated(s, d)),
     "ev_tier": lambda s, d: rank.ev_tier(flow.best(s, d)),
-    "run_meta": lambda s, d: rank.run_meta(flow.best(s, d)),
+    "run_meta": lambda s, d: rank.run_meta(flow.best(s, d), _events(s, d), _health(s, d), state.coverage_gate(flow.evaluated(s, d)), cache.trap_assertions(flow.evaluated(s, d), SENTINEL)),
     "src_health": _health,
     "src_snapshot_fallback": lambda s, d: state.src_snapshot_fallback(flow.records(s, d), flow.records(s, d, True), 290).select("source_id", "record_no", "name", "raw_status"),
     "norm_programs": lambda s, d: flow.records(s, d).select("record_no", "merge_key", "url", "status", "paid"),
@@ -150,17 +150,18 @@ QUERIES = {
     "event_log_roll": lambda s, d: _log(s, d).select("event_id", "program_id", "change_type", "happened_at"),
     "alert_digest": lambda s, d: state.alert_digest(_scored(s, d)),
     "refresh_schedule": lambda s, d: state.refresh_schedule(_stale(s, d)).select("repo_key", "priority", "fetched_at", "stale"),
-    "enrich_stats": lambda s, d: state.enrich_stats(_stale(s, d)),
+    "enrich_stats": lambda s, d: state.enrich_stats(_stale(s, d), _fresh(s, d), state.cache_upsert(_cache(s, d), _fresh(s, d), _repos(s, d))),
     "cache_upsert": lambda s, d: state.cache_upsert(_cache(s, d), _fresh(s, d), _repos(s, d)),
     "scan_coverage": lambda s, d: state.scan_coverage(view(s, d, "fx_blobs"), evidence.scan_priority_pick(view(s, d, "fx_blobs"))),
-    "signals_lookup": lambda s, d: flow.joined(s, d).select("program_id", "target_key", "repo_key", "repo_status"),
+    "signals_lookup": lambda s, d: state.signals_lookup(flow.merged(s, d)[1].select("target_key", "value").distinct(), view(s, d, "fx_signals_old")),
+    "repo_status": lambda s, d: flow.joined(s, d).select("program_id", "target_key", "repo_key", "repo_status"),
+    "merge_key": lambda s, d: merge.merge_keys(view(s, d, "fx_names")),
     "coverage_gate": lambda s, d: state.coverage_gate(flow.evaluated(s, d)),
     "publish_gate": lambda s, d: state.publish_gate(state.coverage_gate(flow.evaluated(s, d)), _health(s, d), state.dataset_changed(_core(flow.merged(s, d)[0]), _core(flow.merged(s, d, True)[0])), cache.trap_assertions(flow.evaluated(s, d), SENTINEL)),
     "policy_lookup": lambda s, d: state.policy_lookup(flow.merged(s, d)[0], evidence.policy_restrictions(flow.texts(s, d))),
     "policy_fallback_target": lambda s, d: state.fallback_target(flow.merged(s, d)[0]),
-    "live_match": lambda s, d: state.live_match(flow.merged(s, d)[1], LIVE_RULES).select("merge_key", "target_key", "rule"),
+    "live_match": lambda s, d: state.live_match(flow.merged(s, d)[1].join(flow.merged(s, d)[0].select("merge_key", "program_id", "name"), "merge_key"), LIVE_RULES).select("merge_key", "target_key", "rule"),
     "override_join": lambda s, d: state.override_join(flow.merged(s, d)[0], s.createDataFrame(OVERRIDES, OVERRIDE_FIELDS)).withColumn("override_countries", F.array_join("override_countries", ",")),
-    "public_projection": lambda s, d: state.public_projection(flow.evaluated(s, d)),
     "browse": lambda s, d: _browsed(s, d).select("program_id", "name", "workflow", "ev_score"),
     "browse_sort": lambda s, d: state.browse_sort(flow.best(s, d), "reward").select("program_id", "name", "max_reward", "ev_score"),
 }

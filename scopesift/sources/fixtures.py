@@ -43,7 +43,8 @@ UNION ALL SELECT 'MACHINERY', -s_suppkey, 'Program ' || CAST(900000 + s_suppkey
 _TARGETS = """
 SELECT o_custkey AS record_no, l_orderkey * 10 + l_linenumber AS ordinal, o_orderdate AS added_at, l_returnflag <> 'R' AS eligible,
   CASE p_type WHEN 'ECONOMY' THEN 'source_code' WHEN 'SMALL' THEN 'api' WHEN 'MEDIUM' THEN 'web_application' WHEN 'LARGE' THEN 'smart_contract' WHEN 'PROMO' THEN 'android' ELSE 'executable' END AS raw_type,
-  CASE p_type WHEN 'ECONOMY' THEN 'https://github.com/' || replace(p_brand, '#', '') || '/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR(20)) || '/tree/main' || CASE WHEN p_partkey % 5 = 0 THEN '/parser/network' ELSE '' END
+  CASE p_type WHEN 'ECONOMY' THEN CASE p_partkey % 19 WHEN 2 THEN 'git@github.com:' WHEN 5 THEN 'git@GitLab.com:group/' WHEN 6 THEN 'https://gitlab.com/group/' WHEN 7 THEN 'https://me@www.github.com:443/' WHEN 9 THEN 'https://github.com/%zz/' ELSE 'https://github.com/' END
+     || replace(p_brand, '#', '') || '/' || replace(p_name, ' ', CASE p_partkey % 19 WHEN 8 THEN '%2D' ELSE '-' END) || '-' || CAST(p_partkey AS VARCHAR(20)) || CASE p_partkey % 19 WHEN 2 THEN '.git' WHEN 5 THEN '' WHEN 6 THEN '/-/issues/1?x=1' ELSE '/tree/main' || CASE WHEN p_partkey % 5 = 0 THEN '/parser/network' ELSE '' END END
     WHEN 'SMALL' THEN 'api.' || CAST(p_partkey AS VARCHAR(20)) || '.example.org' WHEN 'LARGE' THEN '0x' || lpad(CAST(p_partkey % 150 AS VARCHAR(20)), 40, '0')
     ELSE ' https://login' || CAST(p_partkey AS VARCHAR(20)) || '.example.org/  oauth ' END AS value,
   CASE p_partkey % 17 WHEN 0 THEN 'Multi-tenant console with RBAC' WHEN 1 THEN 'Agent that reads mail' WHEN 2 THEN 'Checkout and billing' WHEN 3 THEN 'the wallet' WHEN 4 THEN 'Signing service' WHEN 5 THEN 'a multi' WHEN 6 THEN 'contract for upgrades' WHEN 7 THEN 'code by hand' WHEN 8 THEN 'language models' WHEN 9 THEN 'protobuf codec over the network' ELSE NULL END AS description,
@@ -78,28 +79,38 @@ SELECT c_mktsegment AS source_id, CASE WHEN c_custkey % 6 = 5 THEN 'projectdisco
 VIEWS = {
     "fx_feeds": _FEEDS,
     "fx_tree": f"""
-SELECT {_REPO} AS repo_key, CASE doc_id % 7 WHEN 0 THEN 'SECURITY.md' WHEN 1 THEN '.github/workflows/' || lang || '-CodeQL.yml' WHEN 2 THEN 'fuzz/' || CAST(doc_id AS VARCHAR(20)) WHEN 3 THEN 'src/' || lang || CAST(doc_id AS VARCHAR(20)) || '.go'
- ELSE 'lib/pkg' || CAST(doc_id % 50 AS VARCHAR(20)) || '/deep/' || CAST(doc_id AS VARCHAR(20)) || '.rs' END AS path,
+SELECT {_REPO} AS repo_key, CASE WHEN doc_id % 31 = 7 THEN 'spec/cve/poc_' || CAST(doc_id AS VARCHAR(20)) || '_test.rb' ELSE CASE doc_id % 7 WHEN 0 THEN 'SECURITY.md' WHEN 1 THEN '.github/workflows/' || lang || '-CodeQL.yml' WHEN 2 THEN 'fuzz/' || CAST(doc_id AS VARCHAR(20)) WHEN 3 THEN 'src/' || lang || CAST(doc_id AS VARCHAR(20)) || '.go'
+ ELSE 'lib/pkg' || CAST(doc_id % 50 AS VARCHAR(20)) || '/deep/' || CAST(doc_id AS VARCHAR(20)) || '.rs' END END AS path,
  text || CASE WHEN doc_id % 19 = 0 THEN ' Semgrep and TRIVY' ELSE '' END || CASE WHEN doc_id % 23 = 0 THEN ' func FuzzParse(f)' ELSE '' END AS text, doc_id % 9 = 0 AS failed FROM documents JOIN part ON p_partkey = floor(doc_id / 4)""",
     "fx_compare": f"""
 SELECT {_REPO} AS repo_key, 'src/' || CAST(l_suppkey AS VARCHAR(20)) || '.go' AS path, CASE l_linenumber % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' ELSE 'removed' END AS status FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type = 'ECONOMY'""",
     "fx_repo_meta": f"""
 SELECT {_REPO} AS repo_key, CASE WHEN p_partkey % 11 = 0 THEN 'pending' ELSE 'ok' END AS status, p_partkey % 97 * 100 AS stars, CASE p_partkey % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'master' ELSE 'consensus' END AS default_branch,
- CASE p_partkey % 4 WHEN 0 THEN 'Go' WHEN 1 THEN 'C,Python' WHEN 2 THEN 'Python,Rust' ELSE '' END AS languages FROM part WHERE p_type = 'ECONOMY'""",
+ CASE p_partkey % 4 WHEN 0 THEN 'Go:1200' WHEN 1 THEN 'C:300,Python:20' WHEN 2 THEN 'Python:7,Rust:90,PYTHON:8' ELSE '' END AS languages,
+ p_partkey % 13 AS forks, p_size % 5 AS releases FROM part WHERE p_type = 'ECONOMY'""",
     "fx_advisories": f"""
 SELECT {_REPO} AS repo_key, CASE l_linenumber % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'published' WHEN 2 THEN 'closed' WHEN 3 THEN 'triage' ELSE 'Draft' END AS state, l_shipdate AS updated_at, 'Pkg' || CAST(l_suppkey % 50 AS VARCHAR(20)) AS package FROM lineitem JOIN part ON p_partkey = l_partkey""",
     "fx_records": _RECORDS.format(where=""),
     "fx_records_before": _RECORDS.format(where=f"WHERE o_orderdate < TIMESTAMP '{BEFORE}'"),
     "fx_targets": _TARGETS.format(where=""),
     "fx_targets_before": _TARGETS.format(where=f"WHERE o_orderdate < TIMESTAMP '{BEFORE}'"),
-    "fx_repo_commits": """
-SELECT lower(replace(p_brand, '#', '') || '/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR(20))) AS repo_key, l_orderkey AS sha, l_suppkey AS author,
-  CASE WHEN p_partkey % 23 = 0 THEN CAST('2001-10-20 00:00:00' AS TIMESTAMP_NTZ) ELSE l_shipdate END AS committed_at, l_quantity * 40 AS additions FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type = 'ECONOMY'""",
+    "fx_repo_commits": f"""
+SELECT {_REPO} AS repo_key, l_orderkey AS sha, l_suppkey AS author, CASE WHEN p_partkey % 23 = 0 THEN CAST('2001-10-20 00:00:00' AS TIMESTAMP_NTZ) ELSE l_shipdate END AS committed_at FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type = 'ECONOMY'""",
+    "fx_repo_pulls": f"""
+SELECT {_REPO} AS repo_key, CASE WHEN l_linenumber % 5 = 0 THEN NULL WHEN p_partkey % 23 = 0 THEN CAST('2001-10-20 00:00:00' AS TIMESTAMP_NTZ) ELSE l_shipdate END AS merged_at, l_quantity * 40 AS additions FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type = 'ECONOMY'""",
+    "fx_names": """
+SELECT 'Program ' || CAST(CAST(floor(c_custkey / 3) AS BIGINT) AS VARCHAR(20)) AS name FROM customer
+UNION ALL SELECT CASE p_partkey % 7 WHEN 0 THEN ' Ünïted ' WHEN 1 THEN 'Đại_' WHEN 2 THEN 'Ệcole — ' WHEN 3 THEN 'Ξένος ' WHEN 4 THEN 'O''Neil & ' WHEN 5 THEN '++' ELSE 'Åse/ǺB ' END || p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' ' || CAST(p_partkey AS VARCHAR(20)) END FROM part""",
+    # signals as an older run left them: some under the older form of the key, some under both
+    "fx_signals_old": f"""
+SELECT CASE WHEN p_partkey % 7 = 3 THEN 'github:' ELSE '' END || {_REPO} AS repo_key, 'ok' AS status, CAST(p_partkey % 97 AS BIGINT) AS stars FROM part WHERE p_type = 'ECONOMY' AND p_partkey % 7 <> 5
+UNION ALL SELECT 'github:' || {_REPO}, 'failed', CAST(-1 AS BIGINT) FROM part WHERE p_type = 'ECONOMY' AND p_partkey % 7 = 4
+UNION ALL SELECT 'gitlab:group/' || {_REPO}, 'ok', CAST(5 AS BIGINT) FROM part WHERE p_type = 'ECONOMY' AND p_partkey % 19 = 6""",
     "fx_blobs": """
 SELECT lower(replace(p_brand, '#', '') || '/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR(20))) AS repo_key,
   CASE WHEN doc_id % 2 = 0 THEN 'test/' ELSE 'src/' END || lang || '/' || CAST(doc_id AS VARCHAR(20)) || CASE WHEN doc_id % 13 = 0 THEN '_exploit' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN '_test' ELSE '' END || '.go' AS path,
   'blob' AS type, CAST(doc_id AS VARCHAR(20)) AS sha, CAST(n_chars AS BIGINT) AS size,
-  text || CASE WHEN doc_id % 11 = 0 THEN chr(10) || '// known issue: see tracker' ELSE '' END || CASE WHEN doc_id % 17 = 0 THEN chr(10) || 'if (false) { verify_signature() }' ELSE '' END AS text
+  text || CASE WHEN doc_id % 11 = 0 THEN chr(10) || '//   known issue: see  tracker' || chr(10) || '# Do not use in production' ELSE '' END || CASE WHEN doc_id % 17 = 0 THEN chr(10) || 'if (false) { verify_signature() }' ELSE '' END AS text
 FROM documents JOIN part ON p_partkey = floor(doc_id / 4) WHERE p_type = 'ECONOMY'""",
     "fx_policy": """
 SELECT page_id, 'https://program' || CAST(page_id AS VARCHAR(20)) || '.example.org/policy' AS url,

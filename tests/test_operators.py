@@ -330,3 +330,106 @@ def test_overrides_and_audits_decide(spark):
     rows = [tuple((BASE | dict(type="web", value="https://a.example.org", target_key=str(i)) | c).get(n) for n in names) for i, (c, _) in enumerate(cases)]
     got = value.evaluate_targets(spark.createDataFrame(rows, f"{SCHEMA}, {more}"), NOW).collect()
     assert [r.exclude_reason for r in sorted(got, key=lambda r: int(r.target_key))] == [x for _, x in cases]
+
+
+def test_repository_addresses(spark):
+    cases = {"git@github.com:Own/Re.po.git": "own/re.po", "git@GitLab.com:a/b/c": "gitlab.com/a/b/c", "https://me@www.github.com:443/O/R/tree/x": "o/r", "github.com/o/r%2Eb/": "o/r.b", "https://gitlab.com/g/s/p/-/issues/1?x": "gitlab.com/g/s/p",
+             "http://github.com/o%2Fr": "o/r", "https://github.com/o/a+b": None, "https://github.com/%zz/r": None, "https://github.com/o": None, "https://github.com/o/...": None, "git@example.org:o/r": None, "https://evil.org/github.com/o/r": None, "": None, None: None, " https://github.com/o/r.GIT#x ": "o/r"}
+    rows = [(str(i), v) for i, v in enumerate(cases)]
+    got = {r.target_key: r.repo_key for r in evidence.repo_resolve(spark.createDataFrame(rows, "target_key string, value string")).collect()}
+    assert got == {str(i): k for i, k in enumerate(cases.values()) if k}
+
+
+def test_merge_keys_decompose_with_compatibility(spark):
+    names = {"ﬁnance ①": "finance-1", "Ｆｕｌｌ　Ｗｉｄｔｈ": "full-width", "Ệcole": "ecole", "İzmir": "izmir", "Ĳssel": "ijssel", "  --Plain_ Name! ": "plain-name", "½": "1-2", "Ξένος": "", "": "", "x" * 200: "x" * 96}
+    df = spark.createDataFrame([(n,) for n in [*names, *names]] + [(None,)], "name string")
+    assert {r.name: r.merge_key for r in merge.merge_keys(df).collect()} == names
+    assert merge.merge_keys(df.limit(0)).count() == 0 and merge.merge_keys(df).count() == len(names)
+
+
+def test_traps_tell_line_and_text_of_the_first_match(spark):
+    wide = "\U0001f600" * 50
+    blobs = [("r", "src/a.go", f"{wide}\nx\n//  this   documents the vulnerability\n# do not use in production"), ("r", "src/b.go", "a\r\nb\nif (FALSE) {\n attack }"), ("r", "src/c.go", "if (false)"), ("r", "test/x_exploit.go", None),
+             ("r", "test/x_exploit.go", "again"), ("s", "src/late.go", "y" * 500_001 + "\n# known issue"), ("s", "src/wide.go", "z" * 400_000 + "\n" * 7 + "# known issue " + "w" * 300)]
+    tree = [("r", "test/x_exploit.go"), ("t", "spec/poc_test.rb"), ("t", "src/poc.rb"), ("t", None)]
+    got = evidence.detect_traps(spark.createDataFrame(blobs, "repo_key string, path string, text string"), spark.createDataFrame(tree, "repo_key string, path string"))
+    assert {tuple(r) for r in got.select("repo_key", "path", "kind", "line", "match").collect()} == {
+        ("r", "src/a.go", "known-comment", 3, "// this documents the vulnerability"), ("r", "src/b.go", "disabled-security-flag", 3, "if (FALSE"), ("r", "test/x_exploit.go", "test-filename", None, "x_exploit.go"),
+        ("s", "src/wide.go", "known-comment", 8, "# known issue"), ("t", "spec/poc_test.rb", "test-filename", None, "poc_test.rb")}
+    assert got.count() == 5
+    roll = {r.repo_key: r for r in evidence.trap_rollup(got).collect()}
+    assert (roll["r"].traps, roll["r"].security_fix_gated, [h.kind for h in roll["r"].trap_hits]) == (3, True, ["disabled-security-flag", "known-comment", "test-filename"]) and not roll["t"].security_fix_gated
+
+
+def test_a_long_list_of_traps_is_cut_but_its_flag_is_not(spark):
+    rows = [("r", f"p{i:03}", "a-kind" if i < 50 else "disabled-security-flag", i, "m") for i in range(51)]
+    r = evidence.trap_rollup(spark.createDataFrame(rows, "repo_key string, path string, kind string, line int, match string")).first()
+    assert (r.traps, len(r.trap_hits), r.security_fix_gated) == (20, 20, True)
+
+
+def test_pull_requests_and_profile(spark):
+    from datetime import datetime as d
+
+    commits = spark.createDataFrame([("a", d(2026, 1, 30), 1), ("a", d(2026, 1, 10), 2), ("a", d(2025, 12, 1), 1), ("a", d(2026, 3, 1), 1), ("a", d(2020, 1, 31), 1)], "repo_key string, committed_at timestamp, author long")
+    pulls = spark.createDataFrame([("a", d(2026, 1, 1), 900), ("a", d(2020, 1, 1), 5000), ("a", None, 7000), ("b", d(2020, 1, 1), 3)], "repo_key string, merged_at timestamp, additions long")
+    got = {r.repo_key: tuple(r)[1:] for r in evidence.repo_activity(commits, pulls, NOW).collect()}
+    assert got == {"a": (1, 2, 3, 1, 900.0), "b": (0, 0, 0, 0, 0.0)}
+    meta = spark.createDataFrame([("a", 5, 2, 1, ["Go:7", "PY:1", "py:3"]), ("n", None, None, None, None)], "repo_key string, stars long, forks long, releases long, languages array<string>")
+    got = {r.repo_key: r for r in evidence.repo_profile(meta, commits, NOW).collect()}
+    assert (got["a"].age_y, got["a"].contributors, got["a"].commits, got["a"].languages) == (6.0, 2, 5, {"go": 7, "py": 3})
+    assert (got["n"].age_y, got["n"].contributors, got["n"].languages) == (None, 0, None)
+
+
+def test_a_text_that_yields_nothing_still_takes_budget(spark):
+    from datetime import datetime as d
+
+    now = d(2026, 1, 31)
+    programs = [("useful", "baseline", "Critical: $5,000"), ("low", "baseline", "Low ones are out of scope"), ("reports", "baseline", "12 valid reports"), ("idle", "baseline", "no word of money"), ("same", "new_target", " text "), ("none", "new_program", None), ("kept", "baseline", ""), ("was_fresh", "new_target", "new words")]
+    import hashlib
+
+    h = hashlib.sha256(b"text").hexdigest()
+    cache_rows = [("same", "partial", now, h), ("kept", "ok", now, None), ("was_fresh", "ok", now, "x"), ("gone", "ok", now, None)]
+    p = spark.createDataFrame(programs, "program_id string, change_type string, policy_text string")
+    c = spark.createDataFrame(cache_rows, "program_id string, status string, fetched_at timestamp_ntz, inline_hash string")
+    got = {r.program_id: (r.action, r.reread) for r in cache.policy_refresh(p, c, NOW, budget=3).collect()}
+    assert got == {"useful": ("inline", True), "low": ("inline", True), "reports": ("inline", True), "same": ("fetch", False), "none": ("fetch", False), "idle": ("fetch", True), "kept": ("keep", False), "was_fresh": ("wait", True)}
+    assert {r.action for r in cache.policy_refresh(p, c, NOW, budget=0).collect()} == {"inline", "keep", "wait"}
+
+
+def test_signals_are_found_under_both_forms_of_a_key(spark):
+    targets = spark.createDataFrame([("1", "https://github.com/o/a"), ("2", "git@github.com:o/b.git"), ("3", "https://gitlab.com/g/s/c"), ("4", "https://github.com/o/d"), ("5", "plain"), ("1", "https://github.com/o/a")], "target_key string, value string")
+    signals = spark.createDataFrame([("o/a", "ok", 1), ("github:o/a", "ok", 2), ("github:o/b", "failed", 3), ("gitlab:g/s/c", "ok", 4)], "repo_key string, status string, stars long")
+    got = {r.target_key: (r.repo_key, r.provider, r.full_name, r.status, r.stars) for r in state.signals_lookup(targets, signals).collect()}
+    assert got == {"1": ("o/a", "github", "o/a", "ok", 1), "2": ("o/b", "github", "o/b", "failed", 3), "3": ("gitlab.com/g/s/c", "gitlab", "g/s/c", "ok", 4), "4": ("o/d", "github", "o/d", "pending", None), "5": (None,) * 5}
+
+
+def _targets(spark, rows):
+    named = ["program_id", "target_key", "type", "value", "repo_key", "ev_score", "p_findable", "exclude_reason"]
+    df = spark.createDataFrame(rows, "program_id string, target_key string, type string, value string, repo_key string, ev_score double, p_findable double, exclude_reason string")
+    more = {c: F.lit(None).cast("string") for c in (*rank.FIELDS, "name", "platform", "url", "max_reward", "resolved_reports") if c not in named}
+    return df.withColumns(more)
+
+
+def test_best_target_and_what_is_published(spark):
+    rows = [("p", f"k{i:02}", "web", "v", None, float(i % 5), 0.5, None) for i in range(40)] + [("p", "best", "web", "v", "o/r", 4.0, 0.9, None), ("p", "out", "web", "v", "o/pending", 0.0, 1.0, "no"), ("q", "b", "web", "v", "o/pending", 0.0, 0.1, "x"), ("q", "a", "web", "v", "o/r", 0.0, 0.1, "x")]
+    df = _targets(spark, rows)
+    best = rank.best_target(df)
+    assert {(r.program_id, r.target_key, r.targets) for r in best.collect()} == {("p", "best", 42), ("q", "a", 2)}
+    assert rank.best_target(df.limit(0)).count() == 0
+    signals = spark.createDataFrame([("o/r", "ok", 7, ["a"] * 50, {"go": 1}), ("o/pending", "pending", 9, None, None)], "repo_key string, status string, stars long, files_added_90d_list array<string>, languages map<string,long>")
+    got = {r.program_id: r.targets for r in state.public_projection(df, best, state.compact_signals(signals)).collect()}
+    assert [t.target_key for t in got["p"]] == ["best", *(f"k{i:02}" for i in (4, 9, 14, 19, 24, 29, 34, 39, 3, 8, 13, 18, 23, 28, 33))] and [t.position for t in got["p"]] == list(range(1, 17))
+    assert got["p"][0].repo_signals.stars == 7 and len(got["p"][0].repo_signals.files_added_90d_list) == 40 and got["p"][1].repo_signals is None
+    assert [(t.target_key, t.is_best, t.repo_signals.status, t.repo_signals.stars) for t in got["q"]] == [("a", True, "ok", 7), ("b", False, "pending", None)] and got["q"][1].repo_signals.files_added_90d_list == []
+
+
+def test_best_target_cuts_groups_before_the_shuffle(spark):
+    plan = rank.best_target(_targets(spark, [("p", "k", "web", "v", None, 1.0, 1.0, None)]))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "SortAggregate" not in plan
+
+
+def test_counts_of_a_refresh(spark):
+    stale = spark.createDataFrame([("a", True), ("b", True), ("c", False), ("gitlab.com/d/e", True)], "repo_key string, stale boolean")
+    results = spark.createDataFrame([("a", "ok"), ("b", "failed"), ("other", "ok")], "repo_key string, status string")
+    after = spark.createDataFrame([("a", "ok"), ("b", "pending"), ("c", "ok")], "repo_key string, status string")
+    assert state.enrich_stats(stale, results, after, 2).first().asDict() == {"discovered": 4, "stale": 3, "scheduled": 2, "deferred": 1, "attempted": 2, "updated": 1, "failed": 1, "pending": 2, "github": 3, "gitlab": 1}
