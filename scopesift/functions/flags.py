@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: More characters than a word of a phrase has.
@@ -23,13 +23,12 @@ Pattern = tuple[str, list[str]]
 
 def lowered(x: Column) -> Column:
     """ASCII letters in lower case: case-blind patterns of ASCII letters fit nothing else."""
-    return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.length(x) == F.octet_length(x), F.lower(x)).otherwise(F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def plain(x: Column) -> Column:
     """Lower case, and one character for each that is not ASCII: the borders of words are then those between ASCII letters, digits or underscores and all else."""
-    low = lowered(x)
-    return F.when(F.length(low) == F.octet_length(low), low).otherwise(F.regexp_replace(low, r"[^\x00-\x7f]", "\u0000"))
+    return F.when(F.length(x) == F.octet_length(x), F.lower(x)).otherwise(F.regexp_replace(lowered(x), r"[^\x00-\x7f]", "\u0000"))
 
 
 def fits(text: Column, pattern: Pattern) -> Column:
@@ -50,10 +49,18 @@ def ends(text: Column) -> Column:
 
 def told(text: Column, patterns: list[Pattern]) -> Column:
     """What a record keeps of its text: struct of bits and ends."""
-    low = plain(text)
+    return _kept(plain(text), patterns)
+
+
+def _kept(low: Column, patterns: list[Pattern]) -> Column:
     return F.struct(bits(low, patterns).alias("bits"), ends(low).alias("ends"))
 
 
+def add_told(df: DataFrame, name: str, text: Column, patterns: list[Pattern]) -> DataFrame:
+    """Adds ``told`` of a text as a column. The lowered text is a column of its own first, so that the plan names it once and not once a pattern."""
+    return df.withColumn(f"__{name}", plain(text)).withColumn(name, _kept(F.col(f"__{name}"), patterns)).drop(f"__{name}")
+
+
 def joint(parts: list[Column], phrases: dict[int, list[str]]) -> Column:
     """Bits of the parts (structs of ``told``, null: none) as one text. phrases: of the patterns that can hold a space, what they then find."""
     seams = F.concat_ws(" ", *(p["ends"] for p in parts))

@@ -19,6 +19,11 @@ TEXT_FILE = (r"(?i)(?:^|/)(?:[^/.]+|[^/]+\.(?:md|txt|rst|adoc|go|rs|c|cc|cpp|cxx
 STOP_PARTS = ["tree", "blob", "commit", "commits", "issues", "pull", "pulls", "releases", "tags"]
 
 
+def _once(df: DataFrame, name: str, x: Column) -> DataFrame:
+    """Adds x as the one element of an array that is taken apart: filters and columns that come later read it and do not have its expression written out in each of them."""
+    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(x)).alias(name))
+
+
 def repo_resolve(targets: DataFrame) -> DataFrame:
     """target_key, repo_key: owner and name of a hosted repository in the target's value; other targets go.
 
@@ -26,18 +31,21 @@ def repo_resolve(targets: DataFrame) -> DataFrame:
     slashes cut; ``%xx`` decoded in addresses (a value that can't be gives none); a ``-`` part and all from the first stop word on
     are left out; ``.git`` goes; parts of other characters give none.
     """
-    raw = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", r"(?U)^\s+|\s+$", ""), r"[?#].*$", ""), r"/+$", "")
+    low = F.lower("value")
+    df = targets.select("target_key", "value").where(F.contains(low, F.lit("github.com")) | F.contains(low, F.lit("gitlab.com")))
+    df = _once(df, "raw", F.regexp_replace(F.regexp_replace(F.regexp_replace("value", r"(?U)^\s+|\s+$", ""), r"[?#].*$", ""), r"/+$", ""))
+    raw = F.col("raw")
     by_name, by_url = r"(?i)^git@(github\.com|gitlab\.com):(.+?)(?:\.git)?$", r"(?i)^(?:https?://)?(?:[^/@]*@)?(?:www\.)?(github\.com|gitlab\.com)(?::\d*)?/(.*)$"
     named = raw.rlike(by_name)
     host = F.lower(F.when(named, F.regexp_extract(raw, by_name, 1)).otherwise(F.regexp_extract(raw, by_url, 1)))
     decoded = F.try_url_decode(F.replace(F.regexp_extract(raw, by_url, 2), F.lit("+"), F.lit("%2B")))
     path = F.when(named, F.regexp_extract(raw, by_name, 2)).otherwise(decoded)
-    df = targets.select("target_key", host.alias("host"), F.filter(F.split(path, "/"), lambda x: x != "").alias("p")).where("host <> '' AND p IS NOT NULL")
+    df = _once(df, "s", F.struct(host.alias("host"), F.filter(F.split(path, "/"), lambda x: x != "").alias("p"))).select("target_key", "s.*").where("host <> '' AND p IS NOT NULL")
     stops = F.transform("p", lambda x: (x == "-") | F.lower(x).isin(STOP_PARTS))
     end = F.coalesce(F.array_position(stops, True), F.lit(0)).cast("int")
-    df = df.withColumn("p", F.when(end > 0, F.slice("p", 1, F.greatest(end - 1, F.lit(0)))).otherwise(F.col("p")))
-    df = df.where("size(p) >= 2").withColumn("p", F.when(F.col("host") == "github.com", F.slice("p", 1, 2)).otherwise(F.col("p")))
-    df = df.withColumn("p", F.concat(F.slice("p", 1, F.size("p") - 1), F.array(F.regexp_replace(F.element_at("p", -1), r"(?i)\.git$", ""))))
+    df = _once(df, "p", F.when(end > 0, F.slice("p", 1, F.greatest(end - 1, F.lit(0)))).otherwise(F.col("p"))).where("size(p) >= 2")
+    df = _once(df, "p", F.when(F.col("host") == "github.com", F.slice("p", 1, 2)).otherwise(F.col("p")))
+    df = _once(df, "p", F.concat(F.slice("p", 1, F.size("p") - 1), F.array(F.regexp_replace(F.element_at("p", -1), r"(?i)\.git$", ""))))
     fine = F.forall("p", lambda x: x.rlike(r"(?i)^[a-z0-9._-]+$") & x.rlike("(?i)[a-z0-9]"))
     name = F.lower(F.array_join("p", "/"))
     return df.where(fine).select("target_key", F.when(F.col("host") == "github.com", name).otherwise(F.concat(F.lit("gitlab.com/"), name)).alias("repo_key")).distinct()

@@ -67,8 +67,9 @@ def record_facts(records: DataFrame, targets: DataFrame) -> DataFrame:
     phrase are few: only their texts are put in order.
     """
     nothing = lambda c: F.when(F.col(c) != "", F.col(c))
-    own = records.select("record_no", flags.told(F.col("policy_text"), PATTERNS).alias("t"))
-    each = targets.select("record_no", "target_key", "type", "value", flags.told(F.concat_ws(" ", nothing("value"), nothing("description"), nothing("impact")), PATTERNS).alias("t"))
+    own = flags.add_told(records.select("record_no", "policy_text"), "t", F.col("policy_text"), PATTERNS).drop("policy_text")
+    each = targets.select("record_no", "target_key", "type", "value", F.concat_ws(" ", nothing("value"), nothing("description"), nothing("impact")).alias("text"))
+    each = flags.add_told(each, "t", F.col("text"), PATTERNS).drop("text")
     first = flags.bits(F.col("t.ends"), [(f"{a}$", [a]) for _, a, _, _ in _PHRASES])
     second = flags.bits(F.col("t.ends"), [(f"^{b}", [b]) for _, _, b, _ in _PHRASES])
     zero = F.lit(0)

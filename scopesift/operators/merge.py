@@ -107,9 +107,8 @@ def merge_programs(records: DataFrame, targets: DataFrame, said: DataFrame) -> D
         "source_ids", "countries", "launched_at", "resolved_reports", tags.alias("tags"), F.array_sort(facts.language_names(F.col("bits"))).alias("languages"), facts.local_hint(F.col("bits")).alias("local_testing_hint"),
         F.coalesce("repository_count", F.lit(0)).cast("long").alias("repository_count"), F.coalesce("target_count", F.lit(0)).cast("long").alias("target_count"), "text_invites", "text_head")
     # what the evaluation of each target asks of the program's texts
-    return df.withColumns({"source_code": F.array_contains("tags", "source-code"),
-                           "invite_words": F.coalesce("text_invites", F.lit(False)) | value.invites(F.concat_ws(" ", "name", "text_head")),
-                           "name_flags": value.told(F.col("name")), "rest_flags": value.told(F.array_join(F.concat("tags", "languages"), " "))}).drop("text_invites", "text_head")
+    df = df.withColumns({"source_code": F.array_contains("tags", "source-code"), "invite_words": F.coalesce("text_invites", F.lit(False)) | value.invites(F.concat_ws(" ", "name", "text_head"))})
+    return value.add_told(value.add_told(df, "name_flags", F.col("name")), "rest_flags", F.array_join(F.concat("tags", "languages"), " ")).drop("text_invites", "text_head")
 
 
 def merge_policy_text(records: DataFrame, most: int = 150_000) -> DataFrame:
@@ -124,5 +123,5 @@ def merge_policy_text(records: DataFrame, most: int = 150_000) -> DataFrame:
 def merge_targets(records: DataFrame, targets: DataFrame) -> DataFrame:
     """Targets of all records of a program; of equal keys the one of the last record in lead order stays. target_flags: what its own texts say for routing."""
     last = F.max_by(F.struct("type", "value", "added_at", "description", "impact"), F.struct("lead_rank", "ordinal")).alias("t")
-    return (targets.join(records.select("record_no", "merge_key", "lead_rank"), "record_no").groupBy("merge_key", "target_key").agg(last)
-            .select("merge_key", "target_key", "t.*").withColumn("target_flags", value.target_told()))
+    kept = targets.join(records.select("record_no", "merge_key", "lead_rank"), "record_no").groupBy("merge_key", "target_key").agg(last)
+    return value.add_told(kept.select("merge_key", "target_key", "t.*"), "target_flags", value.target_text())

@@ -44,16 +44,21 @@ def told(text: Column) -> Column:
     return flags.told(text, _PATTERNS)
 
 
-def target_told() -> Column:
-    """Routing flags of a target's own part: type, value, description and impact."""
-    return told(F.concat_ws(" ", *(F.when(F.col(c) != "", F.col(c)) for c in ("type", "value", "description", "impact"))))
+def add_told(df: DataFrame, name: str, text: Column) -> DataFrame:
+    """The same as a column of all rows."""
+    return flags.add_told(df, name, text, _PATTERNS)
 
 
-def repo_told() -> Column:
-    """Routing flags of a repository's part: name, branch, languages, top paths and added files. What is missing leaves no gap."""
+def target_text() -> Column:
+    """A target's own part of the search text: type, value, description and impact."""
+    return F.concat_ws(" ", *(F.when(F.col(c) != "", F.col(c)) for c in ("type", "value", "description", "impact")))
+
+
+def repo_text() -> Column:
+    """A repository's part: name, branch, languages, top paths and added files. What is missing leaves no gap."""
     some = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x != "")
     one = lambda c: some(F.array(F.col(c)))
-    return told(F.array_join(F.concat(one("repo_key"), one("default_branch"), some("languages"), some("top_paths"), some("added_list")), " "))
+    return F.array_join(F.concat(one("repo_key"), one("default_branch"), some("languages"), some("top_paths"), some("added_list")), " ")
 
 
 def invites(text: Column) -> Column:
@@ -70,8 +75,10 @@ def search_flags(df: DataFrame) -> DataFrame:
         if c not in df.columns and not {"name_flags", "target_flags", "rest_flags", "repo_flags"} <= set(df.columns):
             df = df.withColumn(c, F.lit(None).cast(kind))
     none = F.array().cast("array<string>")
-    made = {"name_flags": lambda: told(F.col("name")), "target_flags": target_told, "rest_flags": lambda: told(F.array_join(F.concat(F.coalesce("tags", none), F.coalesce("spoken", none)), " ")), "repo_flags": repo_told}
-    df = df.withColumns({c: f() for c, f in made.items() if c not in df.columns})
+    made = {"name_flags": lambda: F.col("name"), "target_flags": target_text, "rest_flags": lambda: F.array_join(F.concat(F.coalesce("tags", none), F.coalesce("spoken", none)), " "), "repo_flags": repo_text}
+    for c, text in made.items():
+        if c not in df.columns:
+            df = add_told(df, c, text())
     parts = [F.col(c) for c in ("name_flags", "target_flags", "rest_flags", "repo_flags")]
     core = _NAMES.index("mature_core")
     df = df.withColumn("marks", flags.joint(parts, _SPANNING))

@@ -42,9 +42,10 @@ def forget() -> None:
 
 
 def records(spark: SparkSession, sf: str, before: bool = False) -> DataFrame:
-    rows = view(spark, sf, "fx_records_before" if before else "fx_records")
+    """Normalised records in lead order; read by the merge of programs, texts and targets and by what records say."""
+    when = "_before" if before else ""
     listed = F.filter(F.split("countries", ","), lambda x: x != "")
-    return merge.lead_rank(merge.norm_status(rows.withColumn("countries", listed)))
+    return stored(spark, sf, f"records{when}", lambda: merge.lead_rank(merge.norm_status(view(spark, sf, f"fx_records{when}").withColumn("countries", listed))))
 
 
 def targets(spark: SparkSession, sf: str, before: bool = False) -> DataFrame:
@@ -116,7 +117,7 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
     df = measured(spark, sf).withColumns({"advisories_resolved": F.col("advisories.resolved"), "languages": F.map_keys("languages")})
     wanted = ["stars", "default_branch", "languages", "age_y", "contributors", "commits_90d", "max_additions_90d", "files_added_90d", "added_list", "top_paths", "sec_tooling", "advisories_resolved", "advisory_match", "traps", "dev_known", "security_fix_gated"]
     df = df.select("repo_key", "repo_state", *(F.when(F.col("repo_state") == "ok", F.col(c)).alias(c) for c in wanted))
-    return df.withColumn("repo_flags", value.repo_told()).drop("top_paths", "added_list")
+    return value.add_told(df, "repo_flags", value.repo_text()).drop("top_paths", "added_list")
 
 
 def published_signals(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,6 +132,18 @@ def published_signals(spark: SparkSession, sf: str) -> DataFrame:
     return state.compact_signals(df)
 
 
+def resolved(spark: SparkSession, sf: str) -> DataFrame:
+    """target_key, repo_key of targets in source code."""
+    return evidence.repo_resolve(merged(spark, sf)[1].where("type = 'source-code'").select("target_key", "value").distinct())
+
+
+def sites(spark: SparkSession, sf: str) -> DataFrame:
+    """value, repo_key of all targets that are evaluated, each pair once."""
+    p, t = merged(spark, sf)
+    own = state.fallback_target(p).select("target_key", "value")
+    return t.select("target_key", "value").unionByName(own).join(resolved(spark, sf), "target_key", "left").select("value", "repo_key").distinct()
+
+
 def joined(spark: SparkSession, sf: str) -> DataFrame:
     """Targets with their program, change and evidence: the input of evaluate_targets. Programs without targets have their own address as one.
 
@@ -144,11 +157,11 @@ def joined(spark: SparkSession, sf: str) -> DataFrame:
     seen = state.target_lifecycle(t, before, NOW)
     apart = lambda c: F.coalesce(c, F.concat(F.lit("\u0000"), "merge_key", "target_key"))
     own = state.fallback_target(p).withColumns({c: F.lit(None).cast("string") for c in ("description", "impact")} | {"added_at": F.lit(None).cast(t.schema["added_at"].dataType)})
-    t = t.join(seen, ["merge_key", "target_key"], "left").unionByName(own.withColumns({"target_flags": value.target_told(), "first_seen_at": F.lit(None).cast("timestamp_ntz")}))
+    own = value.add_told(own, "target_flags", value.target_text())
+    t = t.join(seen, ["merge_key", "target_key"], "left").unionByName(own.withColumn("first_seen_at", F.lit(None).cast("timestamp_ntz")))
     df = t.join(p.withColumnRenamed("languages", "spoken"), "merge_key").join(changes(spark, sf).select("merge_key", "change_type", "change_at"), "merge_key").join(policy(spark, sf), "url", "left").join(overrides, "program_id", "left")
     # a repository that nothing is known of yet is known by name
-    keys = evidence.repo_resolve(t.where("type = 'source-code'").select("target_key", "value").distinct()).withColumn("key_flags", value.told(F.col("repo_key")))
-    df = df.join(keys, "target_key", "left")
+    df = df.join(value.add_told(resolved(spark, sf), "key_flags", F.col("repo_key")), "target_key", "left")
     df = df.withColumn("repo_at", apart(F.col("repo_key"))).join(stored(spark, sf, "signals", lambda: signals(spark, sf)).withColumnRenamed("repo_key", "repo_at"), "repo_at", "left").drop("repo_at")
     df = df.withColumn("address", apart(F.when(F.col("type") == "smart-contract", F.col("value")))).join(live, "address", "left").drop("address")
     return df.withColumns({"repo_status": F.coalesce("repo_state", F.when(F.col("repo_key").isNotNull(), "pending")), "repo_flags": F.coalesce("repo_flags", "key_flags"), "deployed": F.when(F.col("tx_30d").isNotNull(), True)}).drop("repo_state", "key_flags")
@@ -157,7 +170,8 @@ def joined(spark: SparkSession, sf: str) -> DataFrame:
 def evaluated(spark: SparkSession, sf: str) -> DataFrame:
     def build() -> DataFrame:
         audited = spark.createDataFrame(AUDITED, "no int, key string, aliases array<string>, verdict string, fresh_at_audit double")
-        return value.evaluate_targets(cache.audit_match(joined(spark, sf), audited), NOW)
+        named = cache.audit_match(joined(spark, sf), audited, programs=merged(spark, sf)[0], sites=sites(spark, sf))
+        return value.evaluate_targets(named, NOW)
 
     return stored(spark, sf, "evaluated", build)
 
