@@ -433,3 +433,23 @@ def test_counts_of_a_refresh(spark):
     results = spark.createDataFrame([("a", "ok"), ("b", "failed"), ("other", "ok")], "repo_key string, status string")
     after = spark.createDataFrame([("a", "ok"), ("b", "pending"), ("c", "ok")], "repo_key string, status string")
     assert state.enrich_stats(stale, results, after, 2).first().asDict() == {"discovered": 4, "stale": 3, "scheduled": 2, "deferred": 1, "attempted": 2, "updated": 1, "failed": 1, "pending": 2, "github": 3, "gitlab": 1}
+
+
+def test_equal_targets_of_a_record_leave_no_choice(spark):
+    import itertools
+
+    one = ("r", "k", 1, "smart-contract", "0x1", None, None)
+    for order in itertools.permutations([(*one, ""), (*one, None), (*one[:4], "0X1", None, None, "")]):
+        df = spark.createDataFrame(list(order), "record_no string, target_key string, ordinal int, type string, value string, added_at timestamp_ntz, description string, impact string").coalesce(1)
+        assert merge.dedupe_targets(df).select("value", "impact").collect() == [Row(value="0x1", impact="")]
+
+
+def test_targets_are_trimmed_and_typed_as_their_patterns_say(spark):
+    import re
+
+    kinds = ["Source_Code", "smart contract", "smartcontract", "smart__contract", "Blockchain_Contract", "GraphQL", "ip_address", "other thing", "", None, "web-application", "IoT"]
+    values = [" a ", " b  c　", "  ", "", None, "d  e", "\tf"]
+    raw = spark.createDataFrame([(k, v) for k in kinds for v in values], "raw_type string, value string").selectExpr("'r' AS record_no", "1 AS ordinal", "raw_type", "value", "CAST(NULL AS timestamp_ntz) AS added_at", "CAST(NULL AS boolean) AS eligible")
+    kind = lambda k: next((n for n, p in merge.TYPE_PATTERNS if re.search(p, (k or "other").lower().replace("_", "-"))), None) or ("other" if k in (None, "") else k.lower().replace("_", "-"))
+    want = sorted((kind(k), v.strip()) for k in kinds for v in values if v and v.strip())
+    assert sorted((r.type, r.value) for r in merge.norm_targets(raw).collect()) == want
