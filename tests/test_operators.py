@@ -435,6 +435,26 @@ def test_counts_of_a_refresh(spark):
     assert state.enrich_stats(stale, results, after, 2).first().asDict() == {"discovered": 4, "stale": 3, "scheduled": 2, "deferred": 1, "attempted": 2, "updated": 1, "failed": 1, "pending": 2, "github": 3, "gitlab": 1}
 
 
+def test_evaluation_joins_programs_and_repositories_once_and_keeps_what_is_read(spark):
+    from scopesift.plans import flow
+
+    rows = spark.createDataFrame([("a", "https://GitHub.com/o/r", 1), ("b", "x.example.org", 2), ("c", "gitlab.com/none", 3), ("d", None, 4)], "target_key string, value string, n int")
+    homes = spark.createDataFrame([("a", "https://GitHub.com/o/r", "o/r")], "target_key string, value string, repo_key string")
+    got = flow.located(rows, homes)
+    assert sorted((r.n, r.repo_key) for r in got.collect()) == [(1, "o/r"), (2, None), (3, None), (4, None)]
+    assert flow.evaluated(spark, "/root/testdata/sf0.001").columns == flow.EVALUATED
+    assert "target_flags" not in flow.merged(spark, "/root/testdata/sf0.001")[1].columns
+
+
+def test_repo_status_needs_no_earlier_snapshot(spark):
+    from scopesift.plans import flow, registry
+
+    flow.forget()
+    sf = "/root/testdata/sf0.001"
+    assert registry.QUERIES["repo_status"](spark, sf).where("repo_status = 'pending' AND repo_key IS NULL").count() == 0
+    assert not {"targets_before", "changes", "signals"} & {k[2] for k in flow._STATE}
+
+
 def test_equal_targets_of_a_record_leave_no_choice(spark):
     import itertools
 
