@@ -30,8 +30,8 @@ def norm_programs(records: DataFrame, sources: DataFrame) -> DataFrame:
     Each step is a projection of its own, so that a value that is read often is taken from the record once.
     """
     raw = F.col("raw")
-    rewards = feeds.norm_rewards(records)
-    df = records.join(rewards, ["source_id", "page_no", "ordinal"]).join(sources, "source_id")
+    # sources are a list of settings: the records stay where they are, and not in one task for each source
+    df = feeds.with_rewards(records).join(F.broadcast(sources), "source_id")
     lists = {"status_in": STATUS, "harbor": HARBOR, "disclosure": DISCLOSURE, "address": ADDRESS, "handle": HANDLE, "paid_in": PAID, "launched": LAUNCHED, "reports": REPORTS, "invite": INVITE, "kyc": KYC}
     df = df.withColumns({k: v.first(raw, *keys) for k, keys in lists.items()} | {"shut": F.coalesce(v.boolean(v.at(raw, "disabled")), F.lit(False)) | F.coalesce(v.boolean(v.at(raw, "closed")), F.lit(False)), "banned": v.at(raw, "excluded_countries"), "bounty": v.at(raw, "bounty")}
                         | {f"text_{k}": v.at(raw, k) for k in POLICY})

@@ -473,3 +473,28 @@ def test_targets_are_trimmed_and_typed_as_their_patterns_say(spark):
     kind = lambda k: next((n for n, p in merge.TYPE_PATTERNS if re.search(p, (k or "other").lower().replace("_", "-"))), None) or ("other" if k in (None, "") else k.lower().replace("_", "-"))
     want = sorted((kind(k), v.strip()) for k in kinds for v in values if v and v.strip())
     assert sorted((r.type, r.value) for r in merge.norm_targets(raw).collect()) == want
+
+
+def _joins(df):
+    return str(df._jdf.queryExecution().optimizedPlan().toString()).count("Join ")
+
+
+def test_feed_pages_are_dealt_out_and_parsed_once(spark, tmp_path):
+    from scopesift.operators import normal
+    from scopesift.sources.fixtures import FEEDS, view
+
+    # a narrow table of many rows in one file, of less than a MB
+    spark.sql("SELECT id AS c_custkey, 'BUILDING' AS c_mktsegment, CAST(1 AS DOUBLE) AS c_acctbal FROM range(60000)").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    records = feeds.src_feeds(view(spark, str(tmp_path), "fx_feeds"))
+    assert records.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    sources = spark.createDataFrame(FEEDS, "source_id string, homepage string, url_template string, paid_only boolean, priority int")
+    plan = normal.norm_programs(records, sources)
+    assert _joins(plan) == 1  # the sources; no join of the records with what was read from them
+    assert "hashpartitioning(source_id" not in plan._jdf.queryExecution().executedPlan().toString()  # nor one task for each source
+
+
+def test_overrides_do_not_shuffle_programs(spark):
+    programs = spark.createDataFrame([("program:a", "A"), ("program:b", "B")], "program_id string, name string")
+    plan = state.override_join(programs, spark.createDataFrame([("A", "LOW")], "key string, floor string"))
+    assert "hashpartitioning(key" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in plan.collect()] == [("program:a", "LOW")]
