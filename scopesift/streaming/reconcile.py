@@ -44,7 +44,8 @@ def reconcile(programs: DataFrame, targets: DataFrame, before: DataFrame | None,
     lives = state.program_lifecycle(changes, before.select("merge_key", *SEEN), run_ts)
     here = sets.join(changes.select("merge_key", "change_type", "change_at"), "merge_key").join(lives, "program_id")
     gone = before.join(programs.select("merge_key"), "merge_key", "left_anti").withColumns({"missing_count": F.coalesce("missing_count", F.lit(0)) + 1, "status": F.lit("stale")}).where("missing_count < 2")
-    seen = targets.join(state.target_lifecycle(targets, before_targets, run_ts, baseline), ["merge_key", "target_key"])
+    rest = [c for c in targets.columns if c not in ("merge_key", "target_key", "first_seen_at")]
+    seen = state.target_lifecycle(targets, before_targets, run_ts, baseline, also=rest)
     kept = before_targets.join(gone.select("merge_key"), "merge_key", "left_semi")
     columns = here.columns
     return {"programs": here.unionByName(gone.select(columns)), "targets": seen.unionByName(kept.select(seen.columns)),

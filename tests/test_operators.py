@@ -498,3 +498,27 @@ def test_overrides_do_not_shuffle_programs(spark):
     plan = state.override_join(programs, spark.createDataFrame([("A", "LOW")], "key string, floor string"))
     assert "hashpartitioning(key" not in plan._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in plan.collect()] == [("program:a", "LOW")]
+
+
+def test_targets_are_dealt_out_by_record_and_counted_once_in_a_diff(spark):
+    rows = [(r, i, f"k{i % 3}", "web", f"v{i}", None, None, None) for r in range(6) for i in range(5)]
+    t = merge.dedupe_targets(spark.createDataFrame(rows, "record_no long, ordinal long, target_key string, type string, value string, added_at timestamp, description string, impact string"))
+    assert str(t._jdf.queryExecution().executedPlan().toString()).count("Exchange hashpartitioning(record_no") == 1
+    where = t.withColumn("p", F.spark_partition_id()).groupBy("record_no").agg(F.count_distinct("p").alias("n"), F.count("*").alias("rows")).collect()
+    assert {(r.n, r.rows) for r in where} == {(1, 3)}
+    keyed = merge.keyed_targets(spark.createDataFrame([(0, "m", 1), (1, "m", 2), (2, "o", 1)], "record_no long, merge_key string, lead_rank int"), t)
+    assert sorted(tuple(r) for r in merge.merged_keys(keyed).collect()) == [(m, f"k{i}", "web") for m in "mo" for i in range(3)]
+    assert sorted((r.merge_key, r.target_key, r.value) for r in merge.merge_keyed(keyed).collect()) == [(m, f"k{i}", v) for m in "mo" for i, v in enumerate(("v3", "v4", "v2"))]
+    # rows of several records are one target, a missing key is like no other
+    many = spark.createDataFrame([("m", "a"), ("m", "a"), ("m", "b"), (None, "a")], "merge_key string, target_key string")
+    old = spark.createDataFrame([("m", "c"), ("m", "b"), ("m", "b"), (None, "a")], "merge_key string, target_key string")
+    assert {tuple(r) for r in diff.diff_targets(many, old).collect()} == {("m", 1, 1), (None, 1, 1)}
+
+
+def test_programs_merge_no_whole_targets(spark):
+    from scopesift.plans import flow
+
+    flow.forget()
+    flow.programs(spark, "/root/testdata/sf0.001").count()
+    names = {k[2] for k in flow._STATE}
+    assert "programs" in names and "targets" not in names
