@@ -13,9 +13,13 @@ many empty parts for the count above also sends each of its elements as a
 signature; if only one of two sets is such, its partner's count still holds, if
 both are, they share an element. So no similar pair is missed.
 
-Equal sets are one node from the start. Signatures are gathered per shard. The
-members of a signature's group all go to the group's hub, its first member in a
-hashed order; groups that overlap mostly share their hub, so a set goes to few
+Equal sets are one node from the start. A first look joins most near copies: the
+signatures of the first ``quick`` slices alone, made where the sets are first
+read. Then each node sends all its signatures, with the class that the first
+look gave it. They are gathered per shard; a group whose members are all of one
+class says nothing new and goes, so near copies don't meet again in as many
+shards as they share signatures. The members of any other group all go to the
+group's hub, its first member in a hashed order; groups that overlap mostly share their hub, so a set goes to few
 hubs however many signatures it shares. Inside a hub every two sets are looked
 at in one task, block by block: first sizes and parity sketches (the differing
 bits of two sketches never outnumber the differing elements) tell which sets
@@ -77,8 +81,8 @@ def bands(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int, similar: tuple[int, int], seed: int, prefix: np.ndarray | None = None, slack: float = 0.18):
-    """PartEnum signatures of sets: number of the set and 64-bit signature. similar: the least similarity as a fraction."""
+def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int, similar: tuple[int, int], seed: int, only: int | None = None, slack: float = 0.18):
+    """PartEnum signatures of sets: number of the set and 64-bit signature. similar: the least similarity as a fraction. only: those of the first ``only`` slices, a part of what finds all."""
     up, down = similar
     size = np.bincount(doc, minlength=n_docs)
     first = np.append(0, np.cumsum(size))
@@ -88,25 +92,32 @@ def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int, similar: tuple[int,
     most = np.ceil(2 * 1.5 ** j.astype(float)).astype(np.int64) - 1
     differ = (2 * most * (down - up)) // (down + up)
     slices = np.ceil((differ // 2 + 1) / (1 - slack)).astype(np.int64)
-    begin = np.append(0, np.cumsum(3 * slices))
+    kept = slices if only is None else np.minimum(slices, only)
+    begin = np.append(0, np.cumsum(3 * kept))
     # rows of elements for every set and band
     n = size[which]
     row = np.repeat(np.arange(len(which)), n)
     el = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[which][row]
-    x = mix(h[el] + np.uint64((2 * seed + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-    part = begin[row] + ((x >> np.uint64(32)).astype(np.int64) * (3 * slices)[row] >> 32)
+    x = mix(h + np.uint64((2 * seed + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))[el]
+    part = (x >> np.uint64(32)).astype(np.int64) * (3 * slices)[row] >> 32
+    if only is not None:
+        on = np.flatnonzero(part < (3 * kept)[row])
+        row, x, part = row[on], x[on], part[on]
+    part += begin[row]
     total = np.zeros(int(begin[-1]), np.uint64)
     np.add.at(total, part, mix(x))
     has = np.bincount(part, minlength=int(begin[-1])) > 0
     total, has = total.reshape(-1, 3), has.reshape(-1, 3)
-    of = np.repeat(np.arange(len(which)), slices)
-    number = np.arange(len(of)) - np.repeat(np.cumsum(slices) - slices, slices)
+    of = np.repeat(np.arange(len(which)), kept)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(kept) - kept, kept)
     tag = mix((j[of] + 64).astype(np.uint64) * np.uint64(1 << 40) + number.astype(np.uint64) * np.uint64(4))
     sets, sigs = [], []
     for k, (p, q) in enumerate(((0, 1), (0, 2), (1, 2))):
         on = np.flatnonzero(has[:, p] | has[:, q])
         sets.append(which[of[on]])
         sigs.append(mix(tag[on] + np.uint64(k) + mix(total[on, p]) + total[on, q] * np.uint64(3)))
+    if only is not None:
+        return np.concatenate(sets), np.concatenate(sigs)
     # sets whose empty parts leave the count open send their elements too
     bad = np.bincount(of, weights=(has.sum(1) <= 1), minlength=len(which)).astype(np.int64)
     partner = np.minimum((size[which] * down) // up, most)
@@ -134,13 +145,14 @@ def set_keys(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
     return mix(out)
 
 
-def hubs_of(sig: np.ndarray, d: np.ndarray, named: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hub and member of each group of ids that share a signature, once each. named: a group is called by its members instead."""
+def hubs_of(sig: np.ndarray, d: np.ndarray, named: bool, cls: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hub and member of each group of ids that share a signature and are not all of one class, once each. cls: classes of the ids, each its own if not given. named: a group is called by its members instead."""
+    cls = d if cls is None else cls
     order = np.lexsort((mix(d.view(np.uint64)), sig))
-    sig, d = sig[order], d[order]
+    sig, d, cls = sig[order], d[order], cls[order]
     keep = np.ones(len(sig), bool)
     keep[1:] = (sig[1:] != sig[:-1]) | (d[1:] != d[:-1])
-    sig, d = sig[keep], d[keep]
+    sig, d, cls = sig[keep], d[keep], cls[keep]
     at = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
     n = np.diff(np.append(at, len(sig)))
     of = np.repeat(np.arange(len(at)), n)
@@ -150,7 +162,7 @@ def hubs_of(sig: np.ndarray, d: np.ndarray, named: bool) -> tuple[np.ndarray, np
         hub = mix(name).view(np.int64)
     else:
         hub = d[at]
-    on = (n > 1)[of]
+    on = (np.minimum.reduceat(cls, at) != np.maximum.reduceat(cls, at))[of] if len(at) else np.zeros(0, bool)
     both = np.unique(np.stack([hub[of[on]], d[on]]), axis=1)
     return both[0], both[1]
 
@@ -270,13 +282,73 @@ def links_of(sets: list[np.ndarray], first: np.ndarray | None, similar: tuple[in
     return out
 
 
+def _sent(ids: np.ndarray, s: np.ndarray, sig: np.ndarray, shards: int, cls: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each shard that signatures of sets go to. ids: of the sets; s: number of the set of each signature; cls: classes of the sets."""
+    other = np.zeros_like(ids) if cls is None else ids ^ cls  # nought for most, so it packs well
+    shard = (sig >> np.uint64(40)).astype(np.int64) % shards
+    order = np.lexsort((ids[s], shard))
+    s, sig, shard = s[order], sig[order], shard[order]
+    at = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(s) else np.zeros(0, np.int64)
+    ends = np.append(at[1:], len(s)) if len(s) else at
+    head = np.ones(len(s), bool)
+    head[1:] = (s[1:] != s[:-1]) | (shard[1:] != shard[:-1])
+    first = np.flatnonzero(head)
+    times = np.diff(np.append(first, len(s))).astype("<u4")
+    who = np.searchsorted(first, ends)
+    # 48 bits of a signature are left beside the shard's number
+    low = (sig & np.uint64((1 << 48) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return pa.RecordBatch.from_arrays([_arr(shard[at]), _blob(low, ends), _blob(ids[s[first]].astype("<i8"), who), _blob(times, who), _blob(other[s[first]].astype("<i8"), who)], names=["shard", "sig", "ids", "times", "other"])
+
+
+def _gathered(named: DataFrame, send, shards: int, divided: bool, distinct: bool = True) -> DataFrame:
+    """g (the hub, or the group's number if groups are divided), v: what ``send`` sends, gathered. A row stands in several shards; distinct: once in all."""
+    def close(rows):
+        low = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, 6)
+        sig = np.zeros((len(low), 8), np.uint8)
+        sig[:, :6] = low
+        times = np.frombuffer(b"".join(r[2] for r in rows), "<u4")
+        ids, other = (np.repeat(np.frombuffer(b"".join(r[k] for r in rows), "<i8"), times) for k in (1, 3))
+        g, v = hubs_of(sig.view("<u8").ravel(), ids, divided, ids ^ other)
+        for lo in range(0, len(g), 100_000):
+            yield pa.RecordBatch.from_arrays([_arr(g[lo : lo + 100_000]), _arr(v[lo : lo + 100_000])], names=["g", "v"])
+
+    def gather(batches):
+        """Rows arrive sorted by shard; one shard at a time is held."""
+        now, rows = None, []
+        for b in batches:
+            for shard, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if shard != now and rows:
+                    yield from close(rows)
+                    rows = []
+                now = shard
+                rows.append(row)
+        if rows:
+            yield from close(rows)
+
+    sent = named.mapInArrow(send, "shard long, sig binary, ids binary, times binary, other binary").repartition(shards, "shard").sortWithinPartitions("shard")
+    got = sent.mapInArrow(gather, "g long, v long")
+    return got.distinct() if distinct else got
+
+
+def _quick_groups(nodes: DataFrame, shards: int) -> DataFrame:
+    """nodes: key, quick (their first signatures). Rows: g (the hub), v, both keys of nodes."""
+    def send(batches):
+        for b in batches:
+            lists = b.column(1)
+            count = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield _sent(b.column(0).to_numpy(), np.repeat(np.arange(b.num_rows), count), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), shards)
+
+    return _gathered(nodes, send, shards, False)
+
+
 def _groups(named: DataFrame, n: int, similar, seed: int, shards: int) -> DataFrame:
-    """named: d, t, and p (array of group numbers) if groups are being divided. Rows: g (the hub, or the group's number if groups are divided), v."""
+    """named: d, t, c (an id that stands for the class, null: d is alone), and p (array of group numbers) if groups are being divided. Rows: g (the hub, or the group's number if groups are divided), v."""
     divided = "p" in named.columns
 
     def send(batches):
         for b in few(batches, 500):
             ids = b.column(0).to_numpy()
+            cls = pa.compute.coalesce(b.column(2), b.column(0)).to_numpy()
             doc, h = shingle_sets(b.column(1), n)
             if not divided:  # of equal sets in a batch one stands for all
                 _, lead = np.unique(set_keys(doc, h, len(ids)), return_index=True)
@@ -284,55 +356,20 @@ def _groups(named: DataFrame, n: int, similar, seed: int, shards: int) -> DataFr
                 doc, h = doc[on], h[on]
             s, sig = signatures(doc, h, len(ids), similar, seed)
             if divided:
-                groups = b.column(2)
+                groups = b.column(3)
                 count = pa.compute.list_value_length(groups).to_numpy(zero_copy_only=False).astype(np.int64)
                 flat = groups.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 start = np.cumsum(count) - count
                 rep = np.repeat(np.arange(len(s)), count[s])
                 k = np.arange(len(rep)) - np.repeat(np.cumsum(count[s]) - count[s], count[s]) + start[s[rep]]
                 s, sig = s[rep], mix(sig[rep] + mix(flat[k]))
-            shard = (sig >> np.uint64(40)).astype(np.int64) % shards
-            order = np.lexsort((ids[s], shard))
-            s, sig, shard = s[order], sig[order], shard[order]
-            at = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(s) else np.zeros(0, np.int64)
-            ends = np.append(at[1:], len(s)) if len(s) else at
-            head = np.ones(len(s), bool)
-            head[1:] = (s[1:] != s[:-1]) | (shard[1:] != shard[:-1])
-            first = np.flatnonzero(head)
-            times = np.diff(np.append(first, len(s))).astype("<u4")
-            who = np.searchsorted(first, ends)
-            # 48 bits of a signature are left beside the shard's number
-            low = (sig & np.uint64((1 << 48) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            yield pa.RecordBatch.from_arrays([_arr(shard[at]), _blob(low, ends), _blob(ids[s[first]].astype("<i8"), who), _blob(times, who)], names=["shard", "sig", "ids", "times"])
+            yield _sent(ids, s, sig, shards, cls)
 
-    def close(rows):
-        low = np.frombuffer(b"".join(r for r, _, _ in rows), np.uint8).reshape(-1, 6)
-        sig = np.zeros((len(low), 8), np.uint8)
-        sig[:, :6] = low
-        ids = np.repeat(np.frombuffer(b"".join(w for _, w, _ in rows), "<i8"), np.frombuffer(b"".join(t for _, _, t in rows), "<u4"))
-        g, v = hubs_of(sig.view("<u8").ravel(), ids, divided)
-        for lo in range(0, len(g), 100_000):
-            yield pa.RecordBatch.from_arrays([_arr(g[lo : lo + 100_000]), _arr(v[lo : lo + 100_000])], names=["g", "v"])
-
-    def gather(batches):
-        """Rows arrive sorted by shard; one shard at a time is held."""
-        now, rows = None, []
-        for b in batches:
-            for shard, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if shard != now and rows:
-                    yield from close(rows)
-                    rows = []
-                now = shard
-                rows.append(row)
-        if rows:
-            yield from close(rows)
-
-    sent = named.mapInArrow(send, "shard long, sig binary, ids binary, times binary").repartition(shards, "shard").sortWithinPartitions("shard")
-    return sent.mapInArrow(gather, "g long, v long").distinct()
+    return _gathered(named, send, shards, divided)
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, similar: tuple[int, int] = (75, 100),
-                    block: int = 4_000, weight: int = 3_000_000, huge: int = 40_000, rounds: int = 2, shards: int | None = None) -> DataFrame:
+                    block: int = 4_000, weight: int = 3_000_000, huge: int = 40_000, rounds: int = 2, quick: int = 2, shards: int | None = None) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable by links). shards: four times the session's shuffle partitions if not given."""
     spark = docs.sparkSession
     ship(spark)
@@ -344,7 +381,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for b in few(batches):
             doc, h = shingle_sets(b.column(1), n)
             size = np.bincount(doc, minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), _arr(size), _arr(set_keys(doc, h, b.num_rows)), pa.array(sketches(doc, h, size), pa.binary())], names=["d", "s", "key", "sketch"])
+            of_set, sig = signatures(doc, h, b.num_rows, similar, 0, only=quick)
+            ends = np.append(0, np.cumsum(np.bincount(of_set, minlength=b.num_rows)))
+            told = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _arr(sig[np.argsort(of_set, kind="stable")]))
+            yield pa.RecordBatch.from_arrays([b.column(0), _arr(size), _arr(set_keys(doc, h, b.num_rows)), pa.array(sketches(doc, h, size), pa.binary()), told], names=["d", "s", "key", "sketch", "quick"])
 
     def whole(batches):
         for b in few(batches):
@@ -370,9 +410,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         return per_block(batches, close)
 
-    about = saved(named.mapInArrow(describe, "d long, s long, key long, sketch binary"), "sets")
+    about = saved(named.mapInArrow(describe, "d long, s long, key long, sketch binary, quick array<long>"), "sets")
     some = about.where("s > 0")
-    node = saved(some.groupBy("key").agg(F.min("d").alias("rep"), F.first("s").alias("s"), F.first("sketch").alias("sketch")), "nodes")
+    node = saved(some.groupBy("key").agg(F.min("d").alias("rep"), F.first("s").alias("s"), F.first("sketch").alias("sketch"), F.first("quick").alias("quick")), "nodes")
     of = some.select(F.col("d").alias("v"), "key").distinct()
 
     def linked(members: DataFrame) -> DataFrame:
@@ -389,12 +429,26 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows of one id are linked, whatever their texts
     own = some.groupBy("d").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x < y").select("d", "x")
     links = some.select("d", "key").join(own, "d").select("x", F.col("key").alias("y"))
-    open_ = named.where("t IS NOT NULL")
+
+    def within(groups: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """members: g, key; counts: g, n of the groups of several sets; groups of one have nothing to compare."""
+        members = saved(groups, name)
+        return members, saved(members.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+
+    members, counts = within(_quick_groups(node.select("key", "quick"), shards).withColumnRenamed("v", "key"), "first_members")
+    links = links.unionByName(linked(members.join(counts.where(F.col("n") <= huge), "g").select("g", "key")))
+    drop(members, counts)
+    # each id that has a class with others, or no set of its own: one id that stands for the class, and whether another row gives all its sets
+    sets_of = of.join(node.select("key", "rep"), "key").join(components(links).toDF("key", "component"), "key", "left")
+    of_class = sets_of.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("c"))
+    told = sets_of.join(of_class, "component", "left").groupBy(F.col("v").alias("d")).agg(F.min("c").alias("c"), F.bool_and(F.col("v") != F.col("rep")).alias("copy")).where("c IS NOT NULL OR copy")
+    told = saved(told, "told")
+    alone = named.where("t IS NOT NULL").join(told, "d", "left").where(~F.coalesce("copy", F.lit(False))).select("d", "t", "c")
+    open_ = alone
     for r in range(rounds):
         groups = saved(_groups(open_, n, similar, r, shards), "groups")
-        # copies of a set are one member; groups of one set have nothing to compare
-        members = saved(groups.join(of, "v").select("g", "key").distinct(), "members")
-        counts = saved(members.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+        # copies of a set are one member
+        members, counts = within(groups.join(of, "v").select("g", "key").distinct(), "members")
         drop(groups)
         last = r == rounds - 1
         links = links.unionByName(linked(members.join(counts if last else counts.where(F.col("n") <= huge), "g").select("g", "key")))
@@ -402,7 +456,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         drop(members, counts)
         if divide is None or divide.isEmpty():
             break
-        open_ = named.where("t IS NOT NULL").join(divide, "d").select("d", "t", "p")
+        open_ = alone.join(divide, "d").select("d", "t", "c", "p")
     reached = components(links)
     least = reached.join(node.selectExpr("key AS v", "rep"), "v").groupBy("component").agg(F.min("rep").alias("least"))
     named_by = node.select(F.col("key").alias("v"), "rep").join(reached.join(least, "component").select("v", "least"), "v", "left").select(F.col("v").alias("key"), F.coalesce("least", "rep").alias("c"))

@@ -172,6 +172,55 @@ def test_ngram_join(spark, options):
     assert sorted(tuple(r) for r in ngram_join.jaccard_classes(df, **options).collect()) == brute_classes(rows)
 
 
+def test_groups_of_one_class_are_not_gathered_again():
+    sig, d = np.array([5, 5, 5, 6, 6, 7, 7, 8], np.uint64), np.array([1, 2, 3, 1, 2, 2, 3, 3])
+    g, v = ngram_join.hubs_of(sig, d, False, np.array([1, 1, 1, 1, 1, 1, 1, 1]))
+    assert len(g) == len(v) == 0
+    g, v = ngram_join.hubs_of(sig, d, False, np.array([1, 1, 3, 1, 1, 1, 3, 3]))
+    assert set(v.tolist()) == {1, 2, 3} and set(zip(g.tolist(), v.tolist())) < set(zip(*(x.tolist() for x in ngram_join.hubs_of(sig, d, False))))
+    g, v = ngram_join.hubs_of(sig[:5], d[:5], False, np.array([1, 1, 3, 1, 1]))
+    assert set(v.tolist()) == {1, 2, 3}  # the group of one class is left out, the mixed one is whole
+
+
+def test_ngram_join_gathers_near_copies_about_as_often_over_many_shards(spark, monkeypatch):
+    random.seed(8)
+    rows = []
+    for k in range(40):
+        x = [f"w{random.randrange(10**6)}" for _ in range(300)]
+        for j in range(5):
+            y = list(x)
+            y[random.randrange(300)] = f"v{k}x{j}"
+            rows.append((5 * k + j, " ".join(y)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    made = {}
+    gathered = ngram_join._gathered
+    for shards in (8, 128):
+        made[shards] = counted = []
+
+        def before_distinct(*args):
+            counted.append(gathered(*args, distinct=False).count())
+            return gathered(*args)
+
+        monkeypatch.setattr(ngram_join, "_gathered", before_distinct)
+        assert sorted(tuple(r) for r in ngram_join.jaccard_classes(df, shards=shards).collect()) == brute_classes(rows)
+    # the first look joins all copies, so that nothing is gathered again
+    assert sum(made[128]) < 3 * sum(made[8]) and made[8][1] == made[128][1] == 0
+
+
+@pytest.mark.parametrize("quick", [0, 1])
+def test_ngram_join_does_not_hang_on_the_first_look(spark, quick):
+    random.seed(6)
+    rows = []
+    for k in range(120):
+        x = list("abcdefghijklmnopqrstuvwxyz"[k % 9 :]) * (1 + k % 3)
+        for _ in range(k % 4):
+            x[random.randrange(len(x))] = random.choice("123")
+        rows.append((k // 2 if k % 10 == 0 else 500 + k, " ".join(x)))
+    rows += [(k, t) for k, t in rows[:9]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(3)
+    assert sorted(tuple(r) for r in ngram_join.jaccard_classes(df, quick=quick).collect()) == brute_classes(rows)
+
+
 def test_ngram_join_edges(spark):
     one, two, long = "a b c d e f g h", "p q r s t u v w", " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
     rows = [(None, one), (4, one), (4, two), (9, two), (9, two), (3, "x"), (5, "X"), (7, long), (8, long + " end"), (6, None), (6, None)]
