@@ -217,6 +217,28 @@ def test_stream_takes_polls_in_order_and_again(spark):
     assert [r.program_id for r in sinks.read_state(spark, to, "events").collect()] == ["program:b"] and sinks.versions(spark, to) == [one, two, three, four]
 
 
+def test_stream_joins_by_shuffles(spark):
+    """Where tables are too large to be broadcast the stream gives what it gives with broadcasts."""
+    rows = [(str(i), "open", float(i)) for i in range(40)]
+    polls = [("2026-01-01", rows[:30], [(str(i % 40), f"k{i}") for i in range(200) if i % 10]), ("2026-01-02", rows[3:], [(str(i % 40), f"k{i}") for i in range(200) if i % 10 != 7])]
+
+    def taken(least):
+        landed, to, at = (sinks.folder(spark, x) for x in ("landed", "state", "stream"))
+        for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.set(c, least)
+        try:
+            for run, programs, targets in polls:
+                spark.createDataFrame([(*t, None) for t in targets], TARGET).write.parquet(f"{landed}/targets/run_ts={run}")
+                programs_of(spark, programs).write.parquet(f"{landed}/programs/run_ts={run}")
+            reconcile.incremental_reconcile(spark, landed, to, at, programs_of(spark, []).schema, spark.createDataFrame([], TARGET).schema)
+            return [sorted(map(str, sinks.read_state(spark, to, t).collect())) for t in ("programs", "targets", "events")]
+        finally:
+            for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+                spark.conf.unset(c)
+
+    assert taken("-1") == taken("10MB")
+
+
 def test_state_is_published_whole(spark, monkeypatch):
     to = sinks.folder(spark, "state")
     table = lambda n: spark.range(n)
