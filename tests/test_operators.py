@@ -531,6 +531,13 @@ def test_targets_are_dealt_out_by_record_and_counted_once_in_a_diff(spark):
     keyed = merge.keyed_targets(spark.createDataFrame([(0, "m", 1), (1, "m", 2), (2, "o", 1)], "record_no long, merge_key string, lead_rank int"), t)
     assert sorted(tuple(r) for r in merge.merged_keys(keyed).collect()) == [(m, f"k{i}", "web") for m in "mo" for i in range(3)]
     assert sorted((r.merge_key, r.target_key, r.value) for r in merge.merge_keyed(keyed).collect()) == [(m, f"k{i}", v) for m in "mo" for i, v in enumerate(("v3", "v4", "v2"))]
+    # only keys that stand in several records are dealt out: the same rows, also where a hash is not one of a merged key
+    keyed = keyed.unionByName(keyed.where("record_no = 0").withColumns({"target_key": F.lit("alone"), "value": F.concat("target_key", F.lit("!"))}).limit(1)).unionByName(keyed.withColumns({"merge_key": F.lit(None).cast("string"), "target_key": F.lit("k0")}))
+    several = merge.shared_keys(keyed)
+    assert several.count() == 4  # three of m, one without a program
+    for found in (several, several.unionByName(spark.sql("SELECT xxhash64('m', 'alone') AS h")), keyed.select(F.xxhash64("merge_key", "target_key").alias("h")).distinct()):
+        assert sorted(map(str, merge.merge_keyed(keyed, found).collect())) == sorted(map(str, merge.merge_keyed(keyed).collect()))
+        assert sorted(map(str, merge.merged_keys(keyed, found).collect())) == sorted(map(str, merge.merged_keys(keyed).collect()))
     # rows of several records are one target, a missing key is like no other
     many = spark.createDataFrame([("m", "a"), ("m", "a"), ("m", "b"), (None, "a")], "merge_key string, target_key string")
     old = spark.createDataFrame([("m", "c"), ("m", "b"), ("m", "b"), (None, "a")], "merge_key string, target_key string")
