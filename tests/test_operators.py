@@ -551,3 +551,32 @@ def test_programs_merge_no_whole_targets(spark):
     flow.programs(spark, "/root/testdata/sf0.001").count()
     names = {k[2] for k in flow._STATE}
     assert "programs" in names and "targets" not in names
+
+
+def test_scope_holds_own_and_merged_targets_of_both_snapshots(spark):
+    """One pass over items and texts gives what norm, dedupe, merge and diff give of each snapshot."""
+    import random
+
+    rng = random.Random(3)
+    texts = [(n, rng.choice(["api", "smart_contract", "source_code", "x"]), rng.choice([" V 1", "v  1", "v2 ", "https://github.com/o/r", "0x1", "0X1", " "]), rng.choice(["", None, "the wallet", "smart"]), rng.choice(["", None, "core"])) for n in range(40)]
+    submissions = [(n, rng.randrange(8), f"2001-01-{1 + n % 28:02d} 00:00:00", n % 3 > 0) for n in range(60)]
+    items = [(rng.randrange(60), rng.randrange(12), rng.choice([True, True, None, False]), rng.randrange(44)) for _ in range(900)]
+    t = spark.createDataFrame(texts, "text_no long, raw_type string, value string, description string, impact string")
+    s = spark.createDataFrame(submissions, "submission_no long, record_no long, added_at string, before boolean").withColumn("added_at", F.col("added_at").cast("timestamp_ntz"))
+    i = spark.createDataFrame(items, "submission_no long, ordinal long, eligible boolean, text_no long")
+    # record 2 changes its program, 6 is new, 7 went
+    now = spark.createDataFrame([(r, "mno"[r % 3] if r != 2 else "p", 1 + r // 3) for r in range(7)], "record_no long, merge_key string, lead_rank int")
+    old = spark.createDataFrame([(r, "mno"[r % 3], 4 - r // 3) for r in range(8) if r != 6], "record_no long, merge_key string, lead_rank int")
+    got = merge.scope(s, i, merge.norm_texts(t), now, old)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(merge_key") == 1
+    got = got.cache()
+    raw = i.join(s, "submission_no").join(t, "text_no")
+    merged = {}
+    for records, rows, own, top, lead in ((now, raw, "own", "top", "lead_rank"), (old, raw.where("before"), "own_before", "top_before", "lead_before")):
+        keyed = merge.keyed_targets(records, merge.dedupe_targets(merge.norm_targets(rows))).where("listed").withColumn("rank", F.col("lead_rank"))
+        fields = ["merge_key", "record_no", "target_key", "ordinal", "type", "value", "added_at"]
+        assert sorted(map(str, got.where(own).select(*fields, F.col(lead).alias("lead")).collect())) == sorted(map(str, keyed.select(*fields, F.col("rank").alias("lead")).collect()))
+        merged[top] = merge.merge_keyed(keyed).select("merge_key", "target_key", "type", "value", "added_at")
+        assert sorted(map(str, got.where(top).select(merged[top].columns).collect())) == sorted(map(str, merged[top].collect())) != []
+    want = diff.diff_targets(merged["top"], merged["top_before"])
+    assert {tuple(r) for r in diff.count_changes(got).collect()} == {tuple(r) for r in want.collect()}
